@@ -143,7 +143,12 @@ class Compiler(ast.NodeVisitor):
         return self.generic_visit(node.op)
 
     def visit_BinOp(self, node) -> Value:
-        return self.arithmetic(node.op, self.visit(node.left), self.visit(node.right))
+        left, right = self.visit(node.left), self.visit(node.right)
+        exponent = node.right.value if isinstance(node.right, ast.Constant) else None
+        if isinstance(node.op, ast.Pow) and left.kind in (INT, BOOL) and exponent in range(1, 9):
+            # A whole power of an integer is an exact integer, not a double.
+            return Value(reduce(F.try_multiply, [_number(left)] * exponent), INT, None)
+        return self.arithmetic(node.op, left, right)
 
     def arithmetic(self, op, left: Value, right: Value) -> Value:
         if isinstance(op, ast.Add) and left.kind == right.kind == STR:

@@ -29,7 +29,7 @@ def float_text(col: Column) -> Column:
     mantissa = F.substring_index(body, "E", 1)
     exponent = F.substring_index(body, "E", -1).try_cast("int")
     digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.", ""), "0+$", "")
-    padded = F.rpad(digits, exponent + 2, "0")
+    padded = F.rpad(digits, F.greatest(exponent + 2, F.length(digits)), "0")
     large = F.concat(padded.substr(F.lit(1), exponent + 1), F.lit("."), padded.substr(exponent + 2, F.length(padded)))
     scientific = F.concat(
         F.regexp_replace(mantissa, r"\.0$", ""),
