@@ -145,7 +145,7 @@ class Compiler(ast.NodeVisitor):
     def visit_BinOp(self, node) -> Value:
         left, right = self.visit(node.left), self.visit(node.right)
         exponent = node.right.value if isinstance(node.right, ast.Constant) else None
-        if isinstance(node.op, ast.Pow) and left.kind in (INT, BOOL) and exponent in range(1, 9):
+        if isinstance(node.op, ast.Pow) and left.kind in (INT, BOOL) and type(exponent) is int and 1 <= exponent <= 8:
             # A whole power of an integer is an exact integer, not a double.
             return Value(reduce(F.try_multiply, [_number(left)] * exponent), INT, None)
         return self.arithmetic(node.op, left, right)
