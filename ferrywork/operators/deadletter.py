@@ -62,7 +62,7 @@ def dead_letters(rejected: DataFrame, source: str, table: str, run_id: str, fail
     columns = [c for c in rejected.columns if c not in (ERROR_TYPE, ERROR_TEXT)]
     kind = F.col(ERROR_TYPE) if ERROR_TYPE in rejected.columns else F.lit(None).cast("string")
     text = F.lit(error_text) if error_text is not None else F.col(ERROR_TEXT)
-    return rejected.select(
+    letters = rejected.select(
         F.lit(safe_name(source)).alias("source_name"),
         F.lit(table).alias("table_name"),
         F.lit(run_id).alias("run_id"),
@@ -72,6 +72,9 @@ def dead_letters(rejected: DataFrame, source: str, table: str, run_id: str, fail
         failed_at.alias("failed_at"),
         F.lit(False).alias("reprocessed"),
     )
+    # The id comes from the content, so a task that runs again gives it again.
+    identity = F.concat_ws("\n", "run_id", "source_name", "table_name", ERROR_TYPE, ERROR_TEXT, "row_data")
+    return letters.select(F.sha2(identity, 256).alias("id"), "*")
 
 
 def summary(letters: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Fixed value: largest accepted difference of row counts, in percent.
 DEFAULT_THRESHOLD_PCT = 5.0
@@ -102,23 +102,12 @@ def checks_of_counts(counted: DataFrame, required: list[str], threshold: float =
 def schema_versions(observed: DataFrame) -> DataFrame:
     """Version history from ``(table_name, seen_at, columns)`` observations.
 
-    A version is recorded when the column list differs from the one seen
-    before it. Repeated lists are cut map-side first, so the ordered step only
-    sees the first time of each run of equal lists per table and day.
+    Columns are only ever added, so a list that was left never comes back and
+    each distinct list is one version. Observations are folded map-side to the
+    distinct lists, of which a table has few, before they are numbered.
     """
-    from pyspark.sql import Window
-
-    by_table = Window.partitionBy("table_name").orderBy("seen_at")
-    changed = observed.withColumn("_before", F.lag("columns").over(by_table)).where(
-        F.col("_before").isNull() | (F.col("_before") != F.col("columns"))
-    )
-    return changed.select(
-        "table_name",
-        F.row_number().over(by_table).alias("version"),
-        "columns",
-        F.col("seen_at").alias("applied_at"),
+    first_seen = observed.groupBy("table_name", "columns").agg(F.min("seen_at").alias("applied_at"))
+    by_table = Window.partitionBy("table_name").orderBy("applied_at", "columns")
+    return first_seen.select(
+        "table_name", F.row_number().over(by_table).cast("bigint").alias("version"), "columns", "applied_at"
     )
-
-
-def expected_type(dtype: T.DataType) -> str:
-    return dtype.simpleString()

@@ -147,10 +147,9 @@ def infer_document_columns(df: DataFrame, column: str, id_column: str = "_id") -
         fields.select("column_name", kind.alias("kind"))
         .groupBy("column_name")
         .agg(
-            F.when(kinds == 0, "null").when(numeric, "double").when(kinds == 1, one).otherwise("text").alias("type"),
-            (F.first("column_name") != id_column).alias("nullable"),
-            (F.first("column_name") == id_column).alias("pk"),
+            F.when(kinds == 0, "null").when(numeric, "double").when(kinds == 1, one).otherwise("text").alias("type")
         )
+        .select("*", (F.col("column_name") != id_column).alias("nullable"), (F.col("column_name") == id_column).alias("pk"))
     )
 
 
