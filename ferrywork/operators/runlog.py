@@ -114,16 +114,20 @@ def last_success_per_pipeline(runs: DataFrame) -> DataFrame:
 def dependency_gate(pipelines: DataFrame, runs: DataFrame, exclude_run_id=None) -> DataFrame:
     """May a pipeline run: its upstream must have succeeded after its own last run.
 
-    ``exclude_run_id`` leaves out the run being started. One aggregation over
-    the runs gives both times; it is joined twice to the pipelines.
+    ``exclude_run_id`` leaves out the run being started. Both joins use both
+    times of the same aggregation, so the runs are scanned and shuffled once.
     """
     if exclude_run_id is not None:
         runs = runs.where(F.col("id") != exclude_run_id)
     times = runs.groupBy("pipeline_id").agg(
         F.max(F.when(_status(SUCCESS), F.col("finished_at"))).alias("success_at"), F.max("started_at").alias("ran_at")
     )
-    own = times.select(F.col("pipeline_id").alias("id"), F.col("ran_at").alias("last_own_run_at"))
-    upstream = times.select(F.col("pipeline_id").alias("depends_on"), F.col("success_at").alias("upstream_success_at"))
+    own = times.select(
+        F.col("pipeline_id").alias("id"), F.col("ran_at").alias("last_own_run_at"), F.col("success_at").alias("last_own_success_at")
+    )
+    upstream = times.select(
+        F.col("pipeline_id").alias("depends_on"), F.col("success_at").alias("upstream_success_at"), F.col("ran_at").alias("upstream_run_at")
+    )
     names = pipelines.select(F.col("id").alias("depends_on"), F.col("name").alias("_upstream_name"))
     gated = pipelines.select("id", "name", "depends_on").join(own, "id", "left").join(upstream, "depends_on", "left").join(names, "depends_on", "left")
     upstream_name = F.coalesce("_upstream_name", F.col("depends_on").cast("string"))
@@ -134,7 +138,7 @@ def dependency_gate(pipelines: DataFrame, runs: DataFrame, exclude_run_id=None)
         ~free & ~fresh, F.concat(F.lit("upstream '"), upstream_name, F.lit("' has not succeeded since this pipeline last ran"))
     )
     return gated.select(
-        "id", "depends_on", "upstream_success_at", "last_own_run_at",
+        "id", "depends_on", "upstream_success_at", "upstream_run_at", "last_own_run_at", "last_own_success_at",
         F.coalesce(free | (~never & fresh), F.lit(False)).alias("satisfied"),
         reason.alias("reason"),
     )
@@ -144,7 +148,7 @@ def dependency_gate(pipelines: DataFrame, runs: DataFrame, exclude_run_id=None)
 
 
 def dashboard_summary(runs: DataFrame, pipelines: DataFrame, tables: DataFrame, sources: DataFrame, destinations: DataFrame, as_of) -> DataFrame:
-    """All overview figures in one row: one aggregation per frame, joined by a constant."""
+    """All overview figures in one row: one aggregation per frame."""
     day, week, hour = (_since(as_of, "started_at", **span) for span in ({"days": 1}, {"days": 7}, {"hours": 1}))
     won = _status(SUCCESS)
     run_part = runs.agg(
@@ -158,22 +162,25 @@ def dashboard_summary(runs: DataFrame, pipelines: DataFrame, tables: DataFrame,
         F.count_distinct(F.when(hour & _status(FAILED), F.col("pipeline_id"))).alias("degraded_pipelines"),
     )
     active = F.count_if(_status("active"))
-    pipeline_part = pipelines.agg(
-        F.count("*").alias("total_pipelines"), active.alias("active_pipelines"), active.alias("running_pipelines")
-    )
-    source_part = sources.agg(
-        F.count("*").alias("total_sources"),
-        F.count_if(_status("connected")).alias("active_sources"),
-        F.count_if(_since(as_of, "created_at", days=7)).alias("new_sources_week"),
-    )
-    table_part = tables.agg(F.count_if("enabled").alias("total_tables_synced"))
-    destination_part = destinations.agg(F.count("*").alias("total_destinations"))
-    one_row = run_part.withColumn("_one", F.lit(1))
-    for part in (pipeline_part, source_part, table_part, destination_part):
-        one_row = one_row.join(part.withColumn("_one", F.lit(1)), "_one")
+    one_row = run_part
+    for part in (
+        pipelines.agg(
+            F.struct(F.count("*").alias("total_pipelines"), active.alias("active_pipelines"), active.alias("running_pipelines"))
+        ),
+        sources.agg(
+            F.struct(
+                F.count("*").alias("total_sources"),
+                F.count_if(_status("connected")).alias("active_sources"),
+                F.count_if(_since(as_of, "created_at", days=7)).alias("new_sources_week"),
+            )
+        ),
+        tables.agg(F.struct(F.count_if("enabled").alias("total_tables_synced"))),
+        destinations.agg(F.struct(F.count("*").alias("total_destinations"))),
+    ):
+        one_row = one_row.withColumn("_part", part.scalar()).select("*", "_part.*").drop("_part")
     uptime = F.when(F.col("_week") > 0, F.round(F.col("_week_won") / F.col("_week") * 100, 1)).otherwise(100.0)
     latency = F.coalesce(F.col("_latency").cast("bigint"), F.lit(0).cast("bigint"))
-    return one_row.withColumns({"uptime_pct_7d": uptime, "avg_latency_ms": latency}).drop("_one", "_week", "_week_won", "_latency")
+    return one_row.withColumns({"uptime_pct_7d": uptime, "avg_latency_ms": latency}).drop("_week", "_week_won", "_latency")
 
 
 def degraded_pipelines(runs: DataFrame, as_of, hours: int = 1) -> DataFrame:
@@ -207,16 +214,15 @@ def busiest_day(daily: DataFrame) -> DataFrame:
 
 def pipeline_status_counts(pipelines: DataFrame, tables: DataFrame) -> DataFrame:
     failing = _status("error") | _status(FAILED)
-    left = pipelines.agg(
+    counted = pipelines.agg(
         F.count_if(_status("active")).alias("active_count"),
         F.count_if(_status("paused")).alias("paused_count"),
         F.count_if(failing).alias("error_count"),
-        F.lit(1).alias("_one"),
     )
-    right = tables.agg(
-        F.count("*").alias("total_tables"), F.count_distinct("source_schema").alias("schema_count"), F.lit(1).alias("_one")
+    from_tables = tables.agg(
+        F.struct(F.count("*").alias("total_tables"), F.count_distinct("source_schema").alias("schema_count"))
     )
-    return left.join(right, "_one").drop("_one")
+    return counted.withColumn("_part", from_tables.scalar()).select("*", "_part.*").drop("_part")
 
 
 def pipeline_health(pipelines: DataFrame, runs: DataFrame, as_of) -> DataFrame:

@@ -159,17 +159,30 @@ def script(df: DataFrame, fn: Callable[[dict], dict | None], schema: T.StructTyp
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow_schema = to_arrow_schema(out_schema, timezone="UTC")
+        arrow_schema = to_arrow_schema(out_schema)
+
+        def arrow(rows):
+            return pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in rows], schema=arrow_schema)
+
         for batch in batches:
-            kept = []
+            before, after = [], []
             for row in batch.to_pylist():
                 try:
                     result = fn(dict(row))
                 except Exception:
                     result = row
                 if result is not None:
-                    kept.append({n: result.get(n) for n in names})
-            yield pa.RecordBatch.from_pylist(kept, schema=arrow_schema)
+                    before.append(row)
+                    after.append(result)
+            try:
+                yield arrow(after)
+            except (pa.ArrowException, TypeError, ValueError, AttributeError):
+                # Some result does not fit the schema: those rows count as failed.
+                for old, new in zip(before, after):
+                    try:
+                        yield arrow([new])
+                    except (pa.ArrowException, TypeError, ValueError, AttributeError):
+                        yield arrow([old])
 
     return df.mapInArrow(run, out_schema)
 
