@@ -12,16 +12,18 @@ Layout, below ``<root>/<name>``::
     v=00002.b=64/changes/batch=00001/_rejected=false|true/   _COMMITTED.<run>
 
 Only folders with a marker count, so a job that dies leaves nothing visible and
-can run again. A run that was committed before is replaced, not added. One
-writer per target at a time.
+can run again. The marker holds the schema, so nothing is inferred from files.
+A run that was committed before is replaced, not added. One writer per target
+at a time.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ferrywork.functions.names import safe_name
 from ferrywork.operators.merge import delete_by_key, has_key, latest_per_key, row_hash
@@ -30,6 +32,7 @@ from ferrywork.sources import folders
 MARKER = "_COMMITTED."
 OP, REJECTED, BATCH = "_op", "_rejected", "batch"
 UPSERT, DELETE = "U", "D"
+BOOKKEEPING = (OP, REJECTED, BATCH, "error_type", "error_text")
 
 
 def _run_token(run_id: str) -> str:
@@ -55,14 +58,20 @@ class TargetTable:
 
     # -- what is committed ------------------------------------------------
 
-    def _committed(self, path: str) -> bool:
-        return any(n.startswith(MARKER) for n in folders.child_names(self.spark, path))
+    def _marker(self, path: str) -> str | None:
+        return next((n for n in folders.child_names(self.spark, path) if n.startswith(MARKER)), None)
+
+    def _commit(self, path: str, run_id: str, schema: T.StructType) -> None:
+        folders.write_text(self.spark, f"{path}/{MARKER}{_run_token(run_id)}", schema.json())
+
+    def _schema(self, path: str) -> T.StructType:
+        return T.StructType.fromJson(json.loads(folders.read_text(self.spark, f"{path}/{self._marker(path)}")))
 
     def version(self) -> tuple[int, int] | None:
         """Number and bucket count of the newest committed base."""
         for name in reversed(folders.child_names(self.spark, self.path)):
             match = re.fullmatch(r"v=(\d+)\.b=(\d+)", name)
-            if match and self._committed(f"{self.path}/{name}/base"):
+            if match and self._marker(f"{self.path}/{name}/base"):
                 return int(match.group(1)), int(match.group(2))
         return None
 
@@ -72,24 +81,32 @@ class TargetTable:
     def batches(self, version: tuple[int, int]) -> list[int]:
         folder = f"{self._folder(version)}/changes"
         numbers = [int(n.split("=")[1]) for n in folders.child_names(self.spark, folder) if n.startswith("batch=")]
-        return sorted(n for n in numbers if self._committed(self._batch_path(version, n)))
+        return sorted(n for n in numbers if self._marker(self._batch_path(version, n)))
 
     def _batch_path(self, version: tuple[int, int], number: int) -> str:
         return f"{self._folder(version)}/changes/batch={number:05d}"
 
     def _batch_of_run(self, version: tuple[int, int], numbers: list[int], run_id: str) -> int | None:
         marker = MARKER + _run_token(run_id)
-        return next((n for n in numbers if marker in folders.child_names(self.spark, self._batch_path(version, n))), None)
+        return next((n for n in numbers if self._marker(self._batch_path(version, n)) == marker), None)
+
+    def schema(self) -> T.StructType | None:
+        """Columns of the base, then those that later batches added."""
+        version = self.version()
+        if version is None:
+            return None
+        paths = [f"{self._folder(version)}/base", *(self._batch_path(version, n) for n in self.batches(version))]
+        return _merged([self._schema(p) for p in paths], drop=BOOKKEEPING)
 
     # -- reading ------------------------------------------------------------
 
     def _base(self, version: tuple[int, int]) -> DataFrame:
         path = f"{self._folder(version)}/base"
-        plain = self.spark.read.parquet(path)
-        if not self.keys or version[1] == 0:
-            return plain
+        schema = self._schema(path)
+        if not self.keys or not schema.fields:
+            return self.spark.read.schema(schema).parquet(path)
         table = f"{self._label}_v{version[0]}"
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
         by = ", ".join(f"`{k}`" for k in self.keys)
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet "
@@ -98,9 +115,9 @@ class TargetTable:
         return self.spark.table(table)
 
     def _changes(self, version: tuple[int, int], numbers: list[int]) -> DataFrame:
-        folder = f"{self._folder(version)}/changes"
         paths = [self._batch_path(version, n) for n in numbers]
-        reader = self.spark.read.option("basePath", folder).option("mergeSchema", "true")
+        schema = _merged([self._schema(p) for p in paths], drop=(BATCH,)).add(BATCH, "integer")
+        reader = self.spark.read.schema(schema).option("basePath", f"{self._folder(version)}/changes")
         return reader.parquet(*paths).where(~F.col(REJECTED)).drop(REJECTED, "error_type", "error_text")
 
     def _newest(self, changes: DataFrame) -> DataFrame:
@@ -118,6 +135,8 @@ class TargetTable:
         if not numbers:
             return base, None
         changes = self._changes(version, numbers)
+        if not base.columns:
+            base = self.spark.createDataFrame([], T.StructType([f for f in changes.schema if f.name not in (OP, BATCH)]))
         if not self.keys:
             return base, changes.drop(OP, BATCH)
         newest = self._newest(changes.where(has_key(self.keys))).where(F.col(OP) == UPSERT)
@@ -138,8 +157,7 @@ class TargetTable:
         number = version and self._batch_of_run(version, self.batches(version), run_id)
         if number is None:
             return None
-        rows = self.spark.read.parquet(self._batch_path(version, number))
-        return rows.where(F.col(REJECTED)).drop(REJECTED, OP)
+        return Batch(self, self._batch_path(version, number), run_id, None).rejected_rows()
 
     # -- writing ------------------------------------------------------------
 
@@ -164,7 +182,8 @@ class TargetTable:
             if more is not None:
                 changed = more.unionByName(first.limit(0), allowMissingColumns=True).select(columns)
                 save(changed.repartition(version[1], *self.keys), "append")
-        folders.touch(self.spark, f"{path}/{MARKER}{_run_token(run_id)}")
+        columns = first.schema.fields + [f for f in (more.schema.fields if more is not None else []) if f.name not in first.columns]
+        self._commit(path, run_id, T.StructType([T.StructField(f.name, f.dataType) for f in columns]))
 
     def replace(self, rows: DataFrame, run_id: str) -> None:
         """A new version that holds just ``rows``, one per key."""
@@ -182,7 +201,8 @@ class TargetTable:
         version = self.version()
         if version is None:
             version = (1, self.buckets if self.keys else 0)
-            self._write_base(version, rows.drop("error_type", "error_text").limit(0), None, run_id)
+            self._commit(f"{self._folder(version)}/base", run_id, T.StructType())
+        self._check_types(rows)
         numbers = self.batches(version)
         number = self._batch_of_run(version, numbers, run_id)
         if number is None:
@@ -190,7 +210,14 @@ class TargetTable:
         out = rows.withColumns({OP: F.lit(op), REJECTED: F.lit(False) if rejected is None else rejected})
         path = self._batch_path(version, number)
         out.write.mode("overwrite").partitionBy(REJECTED).parquet(path)
-        return Batch(self, path, run_id)
+        return Batch(self, path, run_id, T.StructType([T.StructField(f.name, f.dataType) for f in out.schema.fields]))
+
+    def _check_types(self, rows: DataFrame) -> None:
+        known = self.schema()
+        types = {f.name: f.dataType for f in known.fields} if known else {}
+        wrong = [f.name for f in rows.schema.fields if f.name in types and types[f.name] != f.dataType]
+        if wrong:
+            raise TypeError(f"columns {wrong} do not have the target's type; cast them first")
 
     def compact(self, run_id: str) -> None:
         """Fold the changes into a new base; the old version stays readable."""
@@ -217,12 +244,22 @@ class TargetTable:
 class Batch:
     """A written change batch that waits for its commit."""
 
-    def __init__(self, target: TargetTable, path: str, run_id: str):
-        self.target, self.path, self.run_id = target, path, run_id
+    def __init__(self, target: TargetTable, path: str, run_id: str, schema: T.StructType | None):
+        self.target, self.path, self.run_id, self.schema = target, path, run_id, schema
 
     def rejected_rows(self) -> DataFrame:
-        rows = self.target.spark.read.parquet(self.path)
+        schema = self.schema or self.target._schema(self.path)
+        rows = self.target.spark.read.schema(schema).parquet(self.path)
         return rows.where(F.col(REJECTED)).drop(REJECTED, OP)
 
     def commit(self) -> None:
-        folders.touch(self.target.spark, f"{self.path}/{MARKER}{_run_token(self.run_id)}")
+        self.target._commit(self.path, self.run_id, self.schema)
+
+
+def _merged(schemas: list[T.StructType], drop: tuple[str, ...] = ()) -> T.StructType:
+    out = T.StructType()
+    for schema in schemas:
+        for f in schema.fields:
+            if f.name not in drop and f.name not in out.names:
+                out = out.add(T.StructField(f.name, f.dataType))
+    return out

@@ -173,7 +173,7 @@ def sync_table(ws: Workspace, pipeline: Pipeline, table: SyncTable, source: Data
     order_by = bookmark_column if bookmark_column in rows.columns else None
     target = ws.target(table, order_by)
     stamp = F.lit(as_of).cast("timestamp")
-    have_target = target.exists()
+    known = target.schema()
     if table.load_mode == "raw":
         # The typed load reads this run's raw rows back, not the source again.
         path = ws.raw_path(pipeline.source_name, table.source_table)
@@ -183,8 +183,7 @@ def sync_table(ws: Workspace, pipeline: Pipeline, table: SyncTable, source: Data
         mine = spark.read.parquet(path).where((F.col("_day") == F.to_date(stamp)) & (F.col(load.RUN_ID) == run_id))
         rows = load.parse_raw(mine, rows.schema).drop(load.RUN_ID, "_extracted_at")
 
-    if have_target:
-        known = target.read().schema
+    if known is not None and known.fields:
         kept = {f.name.lower() for f in known.fields}
         result.new_columns = [c for c in rows.columns if c.lower() not in kept and not c.startswith("_")]
         if result.new_columns and not table.auto_evolve and not full:

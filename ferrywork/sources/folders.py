@@ -20,9 +20,19 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(target)) if fs.exists(target) else []
 
 
-def touch(spark: SparkSession, path: str) -> None:
+def write_text(spark: SparkSession, path: str, text: str) -> None:
     target, fs = _open(spark, path)
-    fs.create(target, True).close()
+    out = fs.create(target, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    target, fs = _open(spark, path)
+    stream = fs.open(target)
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return text
 
 
 def remove(spark: SparkSession, path: str) -> None:
