@@ -7,9 +7,13 @@ column's type when they are used. One row per table and run keeps it small.
 
 from __future__ import annotations
 
+import json
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ferrywork.operators.merge import latest_per_key, newest_first
+from ferrywork.sources import folders
 
 BOOKMARK_SCHEMA = (
     "pipeline_id string, source_table string, bookmark_column string, bookmark_value string, "
@@ -49,27 +53,56 @@ def backfill_rows(bookmarks: DataFrame, chosen: Column, value: str, at: Column)
 
 
 class BookmarkStore:
-    """The bookmark log as a parquet folder."""
+    """Bookmarks as small JSON files, ``<pipeline>/<table>/<time>.<run>.json``.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    The newest readable file counts, so a write that died midway is ignored,
+    and a run that is repeated writes its own file again. No Spark job is
+    needed to look up or move one bookmark.
+    """
 
-    def log(self) -> DataFrame:
-        from ferrywork.sources.folders import exists
+    def __init__(self, spark: SparkSession, path: str, history: int = 10):
+        self.spark, self.path, self.history = spark, path, history
+
+    def _folder(self, pipeline_id: str, source_table: str) -> str:
+        return f"{self.path}/{file_name(pipeline_id)}/{file_name(source_table)}"
 
-        if not exists(self.spark, self.path):
+    def log(self) -> DataFrame:
+        """All kept state rows, for :func:`current_bookmarks` and :func:`list_bookmarks`."""
+        if not folders.exists(self.spark, self.path):
             return self.spark.createDataFrame([], BOOKMARK_SCHEMA)
-        return self.spark.read.schema(BOOKMARK_SCHEMA).parquet(self.path)
+        return self.spark.read.schema(BOOKMARK_SCHEMA).json(f"{self.path}/*/*/*.json")
+
+    def newest(self, pipeline_id: str, source_table: str) -> dict | None:
+        folder = self._folder(pipeline_id, source_table)
+        for name in reversed(folders.child_names(self.spark, folder)):
+            try:
+                return json.loads(folders.read_text(self.spark, f"{folder}/{name}"))
+            except ValueError:
+                continue
+        return None
 
     def get(self, pipeline_id: str, source_table: str) -> str | None:
-        mine = (F.col("pipeline_id") == pipeline_id) & (F.col("source_table") == source_table)
-        row = current_bookmarks(self.log().where(mine)).first()
+        row = self.newest(pipeline_id, source_table)
         return row["bookmark_value"] if row else None
 
-    def append(self, rows: DataFrame) -> None:
-        rows.select(*[c.split()[0] for c in BOOKMARK_SCHEMA.split(", ")]).coalesce(1).write.mode("append").parquet(self.path)
-
     def put(self, pipeline_id, source_table, column, value, row_count, run_id, at) -> None:
-        self.append(
-            self.spark.createDataFrame([(pipeline_id, source_table, column, value, row_count, run_id, at)], BOOKMARK_SCHEMA)
-        )
+        folder = self._folder(pipeline_id, source_table)
+        row = {
+            "pipeline_id": pipeline_id, "source_table": source_table, "bookmark_column": column, "bookmark_value": value,
+            "row_count": row_count, "last_run_id": run_id, "last_synced_at": at.isoformat(),
+        }
+        folders.write_text(self.spark, f"{folder}/{at:%Y%m%dT%H%M%S%f}.{file_name(run_id)}.json", json.dumps(row) + "\n")
+        for name in folders.child_names(self.spark, folder)[: -self.history]:
+            folders.remove(self.spark, f"{folder}/{name}")
+
+    def reset(self, pipeline_id, source_table, run_id, at) -> None:
+        """The next run of this table is a full load."""
+        self.put(pipeline_id, source_table, None, None, 0, run_id, at)
+
+    def backfill(self, pipeline_id, source_table, column, value, run_id, at) -> None:
+        """The next run of this table starts past ``value``."""
+        self.put(pipeline_id, source_table, column, value, 0, run_id, at)
+
+
+def file_name(text: str) -> str:
+    return quote(str(text), safe="-_")

@@ -8,13 +8,13 @@ on them instead.
 
 Layout, below ``<root>/<name>``::
 
-    v=00002.b=64/base/            parquet in 64 buckets, _COMMITTED.<run>
-    v=00002.b=64/changes/batch=00001/_rejected=false|true/   _COMMITTED.<run>
+    v=00002.b=64/base/            parquet in 64 buckets, _COMMITTED.json
+    v=00002.b=64/changes/batch=00001/_rejected=false|true/   _COMMITTED.json
 
 Only folders with a marker count, so a job that dies leaves nothing visible and
-can run again. The marker holds the schema, so nothing is inferred from files.
-A run that was committed before is replaced, not added. One writer per target
-at a time.
+can run again. The marker names the run, the schema and the bookmark that the
+batch reached: rows and bookmark are committed by one small write. One writer
+per target at a time.
 """
 
 from __future__ import annotations
@@ -29,17 +29,18 @@ from ferrywork.functions.names import safe_name
 from ferrywork.operators.merge import delete_by_key, has_key, latest_per_key, row_hash
 from ferrywork.sources import folders
 
-MARKER = "_COMMITTED."
+MARKER = "_COMMITTED.json"
 OP, REJECTED, BATCH = "_op", "_rejected", "batch"
 UPSERT, DELETE = "U", "D"
-BOOKKEEPING = (OP, REJECTED, BATCH, "error_type", "error_text")
+ERRORS = ("error_type", "error_text")
+BOOKKEEPING = (OP, REJECTED, BATCH, *ERRORS)
 
-
-def _run_token(run_id: str) -> str:
-    return re.sub(r"[^A-Za-z0-9-]", "_", run_id)
+Version = tuple[int, int]
 
 
 class TargetTable:
+    """``keys`` may be empty: such a target only grows."""
+
     def __init__(
         self,
         spark: SparkSession,
@@ -52,22 +53,29 @@ class TargetTable:
     ):
         self.spark, self.keys, self.order_by = spark, list(keys), order_by
         self.path = f"{root.rstrip('/')}/{safe_name(name)}"
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = (buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))) if keys else 0
         self.compact_after = compact_after
         self._label = f"{safe_name(name)}_{zlib.crc32(self.path.encode()):08x}"
+        self._read_markers: dict[str, dict] = {}
 
     # -- what is committed ------------------------------------------------
 
-    def _marker(self, path: str) -> str | None:
-        return next((n for n in folders.child_names(self.spark, path) if n.startswith(MARKER)), None)
+    def _marker(self, path: str) -> dict | None:
+        if path not in self._read_markers:
+            if not folders.exists(self.spark, f"{path}/{MARKER}"):
+                return None
+            self._read_markers[path] = json.loads(folders.read_text(self.spark, f"{path}/{MARKER}"))
+        return self._read_markers[path]
 
-    def _commit(self, path: str, run_id: str, schema: T.StructType) -> None:
-        folders.write_text(self.spark, f"{path}/{MARKER}{_run_token(run_id)}", schema.json())
+    def _commit(self, path: str, schema: T.StructType, **facts) -> None:
+        marker = {**facts, "schema": schema.jsonValue()}
+        folders.write_text(self.spark, f"{path}/{MARKER}", json.dumps(marker))
+        self._read_markers[path] = marker
 
     def _schema(self, path: str) -> T.StructType:
-        return T.StructType.fromJson(json.loads(folders.read_text(self.spark, f"{path}/{self._marker(path)}")))
+        return T.StructType.fromJson(self._marker(path)["schema"])
 
-    def version(self) -> tuple[int, int] | None:
+    def version(self) -> Version | None:
         """Number and bucket count of the newest committed base."""
         for name in reversed(folders.child_names(self.spark, self.path)):
             match = re.fullmatch(r"v=(\d+)\.b=(\d+)", name)
@@ -75,33 +83,52 @@ class TargetTable:
                 return int(match.group(1)), int(match.group(2))
         return None
 
-    def _folder(self, version: tuple[int, int]) -> str:
+    def _folder(self, version: Version) -> str:
         return f"{self.path}/v={version[0]:05d}.b={version[1]}"
 
-    def batches(self, version: tuple[int, int]) -> list[int]:
-        folder = f"{self._folder(version)}/changes"
-        numbers = [int(n.split("=")[1]) for n in folders.child_names(self.spark, folder) if n.startswith("batch=")]
-        return sorted(n for n in numbers if self._marker(self._batch_path(version, n)))
+    def _base_path(self, version: Version) -> str:
+        return f"{self._folder(version)}/base"
 
-    def _batch_path(self, version: tuple[int, int], number: int) -> str:
+    def _batch_path(self, version: Version, number: int) -> str:
         return f"{self._folder(version)}/changes/batch={number:05d}"
 
-    def _batch_of_run(self, version: tuple[int, int], numbers: list[int], run_id: str) -> int | None:
-        marker = MARKER + _run_token(run_id)
-        return next((n for n in numbers if self._marker(self._batch_path(version, n)) == marker), None)
+    def batches(self, version: Version) -> list[int]:
+        names = folders.child_names(self.spark, f"{self._folder(version)}/changes")
+        numbers = sorted(int(n.split("=")[1]) for n in names if n.startswith("batch="))
+        return [n for n in numbers if self._marker(self._batch_path(version, n))]
+
+    def commits(self) -> list[dict]:
+        """Markers of the newest version, oldest first: its base, then its batches."""
+        version = self.version()
+        if version is None:
+            return []
+        return [self._marker(p) for p in (self._base_path(version), *(self._batch_path(version, n) for n in self.batches(version)))]
+
+    def commit_of(self, run_id: str) -> dict | None:
+        """The marker of this run if its rows are already in the target."""
+        for marker in self.commits():
+            for fact in (marker, *marker.get("folded", [])):
+                if fact.get("run_id") == run_id:
+                    return fact
+        return None
+
+    def last_bookmark(self) -> dict | None:
+        """The bookmark fact committed last, with its run and time."""
+        facts = [f for m in self.commits() for f in (*m.get("folded", []), m) if f.get("bookmark")]
+        return facts[-1] if facts else None
 
     def schema(self) -> T.StructType | None:
         """Columns of the base, then those that later batches added."""
         version = self.version()
         if version is None:
             return None
-        paths = [f"{self._folder(version)}/base", *(self._batch_path(version, n) for n in self.batches(version))]
+        paths = [self._base_path(version), *(self._batch_path(version, n) for n in self.batches(version))]
         return _merged([self._schema(p) for p in paths], drop=BOOKKEEPING)
 
     # -- reading ------------------------------------------------------------
 
-    def _base(self, version: tuple[int, int]) -> DataFrame:
-        path = f"{self._folder(version)}/base"
+    def _base(self, version: Version) -> DataFrame:
+        path = self._base_path(version)
         schema = self._schema(path)
         if not self.keys or not schema.fields:
             return self.spark.read.schema(schema).parquet(path)
@@ -114,15 +141,16 @@ class TargetTable:
         )
         return self.spark.table(table)
 
-    def _changes(self, version: tuple[int, int], numbers: list[int]) -> DataFrame:
+    def _changes(self, version: Version, numbers: list[int]) -> DataFrame:
         paths = [self._batch_path(version, n) for n in numbers]
         schema = _merged([self._schema(p) for p in paths], drop=(BATCH,)).add(BATCH, "integer")
         reader = self.spark.read.schema(schema).option("basePath", f"{self._folder(version)}/changes")
-        return reader.parquet(*paths).where(~F.col(REJECTED)).drop(REJECTED, "error_type", "error_text")
+        return reader.parquet(*paths).where(~F.col(REJECTED)).drop(REJECTED, *ERRORS)
 
     def _newest(self, changes: DataFrame) -> DataFrame:
-        order = [F.col(BATCH).desc()]
-        if self.order_by and self.order_by in changes.columns:
+        # Within a batch a delete wins: its scan may have come after the other.
+        order = [F.col(BATCH).desc(), F.col(OP).asc()]
+        if self.order_by in changes.columns:
             order.append(F.col(self.order_by).desc_nulls_last())
         return latest_per_key(changes, self.keys, [*order, row_hash(changes)])
 
@@ -142,73 +170,67 @@ class TargetTable:
         newest = self._newest(changes.where(has_key(self.keys))).where(F.col(OP) == UPSERT)
         return delete_by_key(base, changes, self.keys), newest.drop(OP, BATCH)
 
-    def exists(self) -> bool:
-        return self.version() is not None
-
     def read(self) -> DataFrame:
         base, changed = self._parts()
         if base is None:
             raise LookupError(f"{self.path} has no committed version")
         return base if changed is None else base.unionByName(changed, allowMissingColumns=True)
 
-    def rejected(self, run_id: str) -> DataFrame | None:
-        """Rows of a run that were not accepted, with their error."""
-        version = self.version()
-        number = version and self._batch_of_run(version, self.batches(version), run_id)
-        if number is None:
-            return None
-        return Batch(self, self._batch_path(version, number), run_id, None).rejected_rows()
-
     # -- writing ------------------------------------------------------------
 
-    def _write_base(self, version: tuple[int, int], first: DataFrame, more: DataFrame | None, run_id: str) -> None:
-        path = f"{self._folder(version)}/base"
+    def _write_base(self, version: Version, first: DataFrame, more: DataFrame | None, **facts) -> None:
+        """Write ``first`` as it is partitioned, and ``more`` spread over the buckets."""
+        path = self._base_path(version)
+        self._read_markers.pop(path, None)
+        schema = _merged([first.schema] + ([more.schema] if more is not None else []))
+
+        def shaped(rows):
+            return rows.select([F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+
         if not self.keys:
-            rows = first if more is None else first.unionByName(more, allowMissingColumns=True)
+            rows = first if more is None else shaped(first).unionByName(shaped(more))
             rows.write.mode("overwrite").parquet(path)
         else:
             table = f"{self._label}_v{version[0]}"
             self.spark.sql(f"DROP TABLE IF EXISTS {table}")
 
             def save(rows, mode):
-                rows.write.mode(mode).format("parquet").bucketBy(version[1], *self.keys).sortBy(*self.keys).option(
-                    "path", path
-                ).saveAsTable(table)
-
-            columns = first.columns if more is None else first.columns + [c for c in more.columns if c not in first.columns]
-            empty = None if more is None else more.limit(0)
-            kept = first if empty is None else first.unionByName(empty, allowMissingColumns=True)
-            save(kept.select(columns), "overwrite")
+                bucketed = shaped(rows).write.mode(mode).format("parquet").bucketBy(version[1], *self.keys).sortBy(*self.keys)
+                bucketed.option("path", path).saveAsTable(table)
+
+            save(first, "overwrite")
             if more is not None:
-                changed = more.unionByName(first.limit(0), allowMissingColumns=True).select(columns)
-                save(changed.repartition(version[1], *self.keys), "append")
-        columns = first.schema.fields + [f for f in (more.schema.fields if more is not None else []) if f.name not in first.columns]
-        self._commit(path, run_id, T.StructType([T.StructField(f.name, f.dataType) for f in columns]))
+                save(more.repartition(version[1], *self.keys), "append")
+        self._commit(path, schema, **facts)
 
-    def replace(self, rows: DataFrame, run_id: str) -> None:
+    def replace(self, rows: DataFrame, run_id: str, at: str = "", bookmark: dict | None = None) -> None:
         """A new version that holds just ``rows``, one per key."""
         last = self.version()
-        version = ((last[0] if last else 0) + 1, self.buckets if self.keys else 0)
+        version = ((last[0] if last else 0) + 1, self.buckets)
         if self.keys:
             order = [F.col(self.order_by).desc_nulls_last()] if self.order_by in rows.columns else []
-            # One shuffle serves both the choice per key and the bucketed write.
-            spread = rows.where(has_key(self.keys)).repartition(self.buckets, *self.keys) if not order else rows.where(has_key(self.keys))
-            rows = latest_per_key(spread, self.keys, [*order, row_hash(rows)]).repartition(self.buckets, *self.keys)
-        self._write_base(version, rows, None, run_id)
+            unique = latest_per_key(rows.where(has_key(self.keys)), self.keys, [*order, row_hash(rows)])
+            rows = unique.repartition(self.buckets, *self.keys)
+        self._write_base(version, rows, None, run_id=run_id, at=at, bookmark=bookmark)
+
+    def append(self, rows: DataFrame, run_id: str, rejected: Column | None = None) -> "Batch":
+        """Write ``rows`` as a change batch. Nothing is visible before ``commit``.
 
-    def append(self, rows: DataFrame, run_id: str, op: str = UPSERT, rejected: Column | None = None) -> "Batch":
-        """Write ``rows`` as a change batch. Nothing is visible before ``commit``."""
+        Rows may bring an ``_op`` column of ``U`` and ``D``; without it all are
+        upserts. ``rejected`` rows are stored beside the others but never read
+        as part of the table.
+        """
         version = self.version()
         if version is None:
-            version = (1, self.buckets if self.keys else 0)
-            self._commit(f"{self._folder(version)}/base", run_id, T.StructType())
+            version = (1, self.buckets)
+            self._commit(self._base_path(version), T.StructType())
         self._check_types(rows)
         numbers = self.batches(version)
-        number = self._batch_of_run(version, numbers, run_id)
-        if number is None:
-            number = (numbers[-1] if numbers else 0) + 1
-        out = rows.withColumns({OP: F.lit(op), REJECTED: F.lit(False) if rejected is None else rejected})
-        path = self._batch_path(version, number)
+        path = self._batch_path(version, (numbers[-1] if numbers else 0) + 1)
+        added = {REJECTED: F.lit(False) if rejected is None else rejected}
+        if OP not in rows.columns:
+            added[OP] = F.lit(UPSERT)
+        out = rows.withColumns(added)
         out.write.mode("overwrite").partitionBy(REJECTED).parquet(path)
         return Batch(self, path, run_id, T.StructType([T.StructField(f.name, f.dataType) for f in out.schema.fields]))
 
@@ -219,19 +241,20 @@ class TargetTable:
         if wrong:
             raise TypeError(f"columns {wrong} do not have the target's type; cast them first")
 
-    def compact(self, run_id: str) -> None:
+    def compact(self) -> None:
         """Fold the changes into a new base; the old version stays readable."""
         version = self.version()
         base, changed = self._parts()
-        if changed is not None:
-            buckets = version[1] if self.keys else 0
-            self._write_base((version[0] + 1, buckets), base, changed, run_id)
+        if changed is None:
+            return
+        folded = [{k: m.get(k) for k in ("run_id", "at", "bookmark", "rows")} for m in self.commits() if m.get("run_id")]
+        self._write_base((version[0] + 1, version[1] if self.keys else 0), base, changed, folded=folded)
 
-    def compact_if_due(self, run_id: str) -> bool:
+    def compact_if_due(self) -> bool:
         version = self.version()
         due = version is not None and len(self.batches(version)) >= self.compact_after
         if due:
-            self.compact(run_id)
+            self.compact()
         return due
 
     def drop_old_versions(self, keep: int = 2) -> None:
@@ -244,16 +267,15 @@ class TargetTable:
 class Batch:
     """A written change batch that waits for its commit."""
 
-    def __init__(self, target: TargetTable, path: str, run_id: str, schema: T.StructType | None):
+    def __init__(self, target: TargetTable, path: str, run_id: str, schema: T.StructType):
         self.target, self.path, self.run_id, self.schema = target, path, run_id, schema
 
     def rejected_rows(self) -> DataFrame:
-        schema = self.schema or self.target._schema(self.path)
-        rows = self.target.spark.read.schema(schema).parquet(self.path)
+        rows = self.target.spark.read.schema(self.schema).parquet(self.path)
         return rows.where(F.col(REJECTED)).drop(REJECTED, OP)
 
-    def commit(self) -> None:
-        self.target._commit(self.path, self.run_id, self.schema)
+    def commit(self, at: str = "", bookmark: dict | None = None, rows: int | None = None) -> None:
+        self.target._commit(self.path, self.schema, run_id=self.run_id, at=at, bookmark=bookmark, rows=rows)
 
 
 def _merged(schemas: list[T.StructType], drop: tuple[str, ...] = ()) -> T.StructType:

@@ -1,23 +1,26 @@
 """A pipeline run: every table scanned past its bookmark, transformed and loaded.
 
-Per table the source is read once: scan, transforms, checks and counts are one
-write job (plus the key scan for soft deletes). The order of effects makes a
-crash harmless: batch files, dead letters, commit marker, bookmark.
+Per table scan, transforms, checks, counts and soft deletes are one write job.
+The order of effects makes a crash harmless: batch files, dead letters, commit
+marker (which carries the bookmark), bookmark. A run that is repeated after its
+commit writes nothing again.
 """
 
 from __future__ import annotations
 
+import json
 import logging
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ferrywork.operators import deadletter, load, quality, runlog
-from ferrywork.operators.state import BookmarkStore
-from ferrywork.operators.targets import DELETE, TargetTable
+from ferrywork.operators.state import BookmarkStore, file_name
+from ferrywork.operators.targets import DELETE, OP, UPSERT, TargetTable
 from ferrywork.operators.transforms import apply_steps
 from ferrywork.sources import folders
 from ferrywork.sources.scans import (
@@ -34,7 +37,8 @@ RUNS = (
 )
 STATS = (
     "run_id string, table_name string, status string, rows_extracted bigint, rows_loaded_raw bigint, rows_loaded_analytics bigint, "
-    "rows_failed bigint, rows_deleted bigint, bookmark_before string, bookmark_after string, new_columns string, duration_ms bigint, error_message string"
+    "rows_failed bigint, rows_deleted bigint, bookmark_before string, bookmark_after string, "
+    "new_columns string, quality_passed boolean, duration_ms bigint, error_message string"
 )
 
 
@@ -123,14 +127,22 @@ class Workspace:
     def log_path(self, name: str) -> str:
         return f"{self.root}/logs/{name}"
 
-    def append_log(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(self.log_path(name))
+    def write_log(self, name: str, key: str, lines: list[str]) -> None:
+        """A few JSON lines about one run; writing them again replaces them."""
+        folders.write_text(self.spark, f"{self.log_path(name)}/{file_name(key)}.json", "".join(f"{x}\n" for x in lines))
 
     def read_log(self, name: str, schema: str) -> DataFrame:
         path = self.log_path(name)
         if not folders.exists(self.spark, path):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+        return self.spark.read.schema(schema).json(path)
+
+    def write_dead_letters(self, letters: DataFrame, table: str, run_id: str) -> None:
+        """One folder per table and run, so that a repeated run replaces its own."""
+        letters.write.mode("overwrite").parquet(f"{self.log_path('dead_letters')}/of_table={file_name(table)}/of_run={file_name(run_id)}")
+
+    def dead_letters(self) -> DataFrame:
+        return self.spark.read.parquet(self.log_path("dead_letters")).drop("of_table", "of_run")
 
 
 def pick_bookmark_column(table: SyncTable, source: DataFrame) -> str | None:
@@ -156,6 +168,13 @@ def sync_table(ws: Workspace, pipeline: Pipeline, table: SyncTable, source: Data
     spark, result = ws.spark, TableResult(table.source_table)
     full = table.sync_mode == FULL_REFRESH
     bookmark_column = pick_bookmark_column(table, source)
+    target = ws.target(table, bookmark_column)
+    _recover_bookmark(ws, pipeline, table, target)
+    done = target.commit_of(run_id)
+    if done:
+        result.rows_loaded = done.get("rows") or 0
+        result.bookmark_before, result.bookmark_after = (done.get("bookmark") or {}).get("before"), (done.get("bookmark") or {}).get("after")
+        return result
     bookmark = None if full else ws.bookmarks.get(pipeline.id, table.source_table)
     result.bookmark_before = bookmark
 
@@ -170,8 +189,6 @@ def sync_table(ws: Workspace, pipeline: Pipeline, table: SyncTable, source: Data
     rows = rows.observe(extracted, F.count("*").alias("n"), top.alias("top"))
     rows = apply_steps(rows, table.transforms, scripts, rejects="_casts")
 
-    order_by = bookmark_column if bookmark_column in rows.columns else None
-    target = ws.target(table, order_by)
     stamp = F.lit(as_of).cast("timestamp")
     known = target.schema()
     if table.load_mode == "raw":
@@ -198,38 +215,56 @@ def sync_table(ws: Workspace, pipeline: Pipeline, table: SyncTable, source: Data
     nulls = [F.count_if(good & F.col(f"`{c}`").isNull()).alias(f"nulls_{c}") for c in required if c in checked.columns]
     checked = checked.observe(counted, F.count("*").alias("n"), F.count_if(good).alias("good"), *nulls)
 
-    written = _replace(ws, target, checked, run_id) if full else target.append(checked, run_id, rejected=~good)
+    deleted = None
+    if full:
+        written = _stage(ws, target, checked, run_id)
+    else:
+        if bookmark is not None and table.keys and find_column(source, table.deleted_column):
+            deleted = Observation()
+            gone = deleted_keys(source, table, bookmark, bookmark_column).observe(deleted, F.count("*").alias("n"))
+            checked = checked.withColumn(OP, F.lit(UPSERT)).unionByName(gone.withColumn(OP, F.lit(DELETE)), allowMissingColumns=True)
+        written = target.append(checked, run_id, rejected=F.col(deadletter.ERROR_TYPE).isNotNull())
     metrics = counted.get
     result.rows_extracted = extracted.get["n"]
     result.rows_loaded, result.rows_failed = metrics["good"], metrics["n"] - metrics["good"]
+    result.rows_deleted = deleted.get["n"] if deleted else 0
     if result.rows_failed:
         letters = deadletter.dead_letters(written.rejected_rows(), pipeline.source_name, table.source_table, run_id, stamp)
-        ws.append_log("dead_letters", letters)
-    if result.rows_extracted:
-        written.commit()
-        if bookmark_column and extracted.get["top"] is not None:
-            result.bookmark_after = extracted.get["top"]
-            ws.bookmarks.put(
-                pipeline.id, table.source_table, bookmark_column, result.bookmark_after, result.rows_loaded, run_id, as_of
-            )
-
-    if not full and bookmark is not None and table.keys and find_column(source, table.deleted_column):
-        result.rows_deleted = _apply_soft_deletes(target, table, source, bookmark, bookmark_column, run_id)
+        ws.write_dead_letters(letters, table.source_table, run_id)
+    if result.rows_extracted or result.rows_deleted:
+        result.bookmark_after = extracted.get["top"]
+        fact = None
+        if result.bookmark_after is not None:
+            fact = {"column": bookmark_column, "before": bookmark, "after": result.bookmark_after}
+        written.commit(as_of.isoformat(), fact, result.rows_loaded)
+        _recover_bookmark(ws, pipeline, table, target)
 
     names = [c for c in required if f"nulls_{c}" in metrics]
     counts = {"rows_extracted": metrics["n"], "rows_loaded": metrics["good"], **{f"nulls_{c}": metrics[f"nulls_{c}"] for c in names}}
+    fixed = {"pipeline_id": pipeline.id, "run_id": run_id, "table_name": table.source_table, "checked_at": as_of.isoformat()}
     one = spark.range(1).select(
-        F.lit(pipeline.id).alias("pipeline_id"), F.lit(run_id).alias("run_id"), F.lit(table.source_table).alias("table_name"),
-        stamp.alias("checked_at"), *[F.lit(v).cast("bigint").alias(k) for k, v in counts.items()],
+        *[F.lit(v).alias(k) for k, v in fixed.items()], *[F.lit(v).cast("bigint").alias(k) for k, v in counts.items()]
     )
-    ws.append_log("quality", quality.checks_of_counts(one, names, pipeline.quality_threshold))
+    verdicts = quality.checks_of_counts(one, names, pipeline.quality_threshold)
+    ws.write_log("quality", f"{run_id}.{table.source_table}", verdicts.toJSON().collect())
     gap = 0 if not metrics["n"] else abs(metrics["n"] - metrics["good"]) / metrics["n"] * 100
     result.quality_passed = gap <= pipeline.quality_threshold and not any(metrics[f"nulls_{c}"] for c in names)
-    target.compact_if_due(run_id)
+    target.compact_if_due()
     return result
 
 
-class _Replaced:
+def _recover_bookmark(ws: Workspace, pipeline: Pipeline, table: SyncTable, target: TargetTable) -> None:
+    """Record the bookmark of the target's last commit, unless state has a later word."""
+    fact = target.last_bookmark()
+    known = ws.bookmarks.newest(pipeline.id, table.source_table)
+    if fact and (known is None or known["last_synced_at"] < fact["at"]):
+        mark = fact["bookmark"]
+        ws.bookmarks.put(
+            pipeline.id, table.source_table, mark["column"], mark["after"], fact.get("rows") or 0, fact["run_id"], datetime.fromisoformat(fact["at"])
+        )
+
+
+class _Staged:
     """Full refresh: the accepted part of the staged rows becomes the new base on commit."""
 
     def __init__(self, ws: Workspace, target: TargetTable, path: str, run_id: str):
@@ -241,27 +276,22 @@ class _Replaced:
     def rejected_rows(self) -> DataFrame:
         return self.staged().where(F.col(deadletter.ERROR_TYPE).isNotNull())
 
-    def commit(self) -> None:
+    def commit(self, at: str, bookmark: dict | None, rows: int) -> None:
         good = self.staged().where(F.col(deadletter.ERROR_TYPE).isNull())
-        self.target.replace(good.drop(deadletter.ERROR_TYPE, deadletter.ERROR_TEXT), self.run_id)
+        self.target.replace(good.drop(deadletter.ERROR_TYPE, deadletter.ERROR_TEXT), self.run_id, at, bookmark)
 
 
-def _replace(ws: Workspace, target: TargetTable, checked: DataFrame, run_id: str) -> _Replaced:
+def _stage(ws: Workspace, target: TargetTable, checked: DataFrame, run_id: str) -> _Staged:
     path = f"{ws.root}/staging/{target.path.rsplit('/', 1)[1]}"
     checked.write.mode("overwrite").parquet(path)
-    return _Replaced(ws, target, path, run_id)
+    return _Staged(ws, target, path, run_id)
 
 
-def _apply_soft_deletes(target, table: SyncTable, source: DataFrame, bookmark, bookmark_column, run_id: str) -> int:
+def deleted_keys(source: DataFrame, table: SyncTable, bookmark, bookmark_column: str) -> DataFrame:
+    """Target keys of the rows soft-deleted since the bookmark."""
     gone = soft_deleted_rows(source, bookmark, bookmark_column, table.deleted_column, table.include_touched)
-    keys = gone.select(*(table.source_keys or table.keys))
     renames = [s for s in table.transforms if s.get("type") == "rename"]
-    counted = Observation()
-    keys = apply_steps(keys, renames).select(*table.keys).observe(counted, F.count("*").alias("n"))
-    batch = target.append(keys, f"{run_id}-deletes", op=DELETE)
-    if counted.get["n"]:
-        batch.commit()
-    return counted.get["n"]
+    return apply_steps(gone.select(*(table.source_keys or table.keys)), renames).select(*table.keys)
 
 
 def run_pipeline(
@@ -272,6 +302,7 @@ def run_pipeline(
     as_of: datetime,
     scripts: dict | None = None,
     trigger: str = "manual",
+    parallel_tables: int = 4,
 ) -> RunResult:
     """Sync every enabled table. A table that fails is logged and the others go on."""
     runs = ws.read_log("runs", RUNS)
@@ -282,10 +313,8 @@ def run_pipeline(
         gate = runlog.dependency_gate(known, runs, exclude_run_id=run_id).first()
         if not gate["satisfied"]:
             return RunResult(run_id, "skipped", [], gate["reason"])
-    results = []
-    for table in pipeline.tables:
-        if not table.enabled:
-            continue
+
+    def sync_one(table: SyncTable) -> TableResult:
         started = time.monotonic()
         try:
             result = sync_table(ws, pipeline, table, read_source(table.source_table), run_id, as_of, scripts)
@@ -293,22 +322,32 @@ def run_pipeline(
             log.exception("table %s failed", table.source_table)
             result = TableResult(table.source_table, "failed", error=str(exc)[:500])
         result.duration_ms = int((time.monotonic() - started) * 1000)
-        results.append(result)
+        return result
+
+    enabled = [t for t in pipeline.tables if t.enabled]
+    # Small tables leave most of a cluster idle, so a few are synced side by side.
+    with ThreadPoolExecutor(max_workers=max(1, min(len(enabled), parallel_tables))) as pool:
+        results = list(pool.map(sync_one, enabled))
     outcome = RunResult(run_id, "success", results)
     write_run_log(ws, pipeline, outcome, as_of, trigger)
     return outcome
 
 
 def write_run_log(ws: Workspace, pipeline: Pipeline, outcome: RunResult, as_of: datetime, trigger: str) -> None:
-    from datetime import timedelta
-
     took = sum(t.duration_ms for t in outcome.tables)
     stats = [
-        (outcome.run_id, t.table, t.status, t.rows_extracted, t.rows_raw, t.rows_loaded, t.rows_failed, t.rows_deleted, t.bookmark_before,
-         t.bookmark_after, ", ".join(t.new_columns), t.duration_ms, t.error)
+        {
+            "run_id": outcome.run_id, "table_name": t.table, "status": t.status, "rows_extracted": t.rows_extracted, "rows_loaded_raw": t.rows_raw,
+            "rows_loaded_analytics": t.rows_loaded, "rows_failed": t.rows_failed, "rows_deleted": t.rows_deleted,
+            "bookmark_before": t.bookmark_before, "bookmark_after": t.bookmark_after, "new_columns": ", ".join(t.new_columns),
+            "quality_passed": t.quality_passed, "duration_ms": t.duration_ms, "error_message": t.error,
+        }
         for t in outcome.tables
     ]
-    errors = "; ".join(f"{t.table}: {t.error}" for t in outcome.tables if t.error) or None
-    run = (outcome.run_id, pipeline.id, outcome.status, as_of, as_of + timedelta(milliseconds=took), took, outcome.rows_synced, trigger, errors)
-    ws.append_log("run_table_stats", ws.spark.createDataFrame(stats, STATS).coalesce(1))
-    ws.append_log("runs", ws.spark.createDataFrame([run], RUNS).coalesce(1))
+    run = {
+        "id": outcome.run_id, "pipeline_id": pipeline.id, "status": outcome.status, "started_at": as_of.isoformat(),
+        "finished_at": (as_of + timedelta(milliseconds=took)).isoformat(), "duration_ms": took, "rows_synced": outcome.rows_synced,
+        "trigger_type": trigger, "error_message": "; ".join(f"{t.table}: {t.error}" for t in outcome.tables if t.error) or None,
+    }
+    ws.write_log("run_table_stats", outcome.run_id, [json.dumps(s) for s in stats])
+    ws.write_log("runs", outcome.run_id, [json.dumps(run)])

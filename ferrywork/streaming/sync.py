@@ -2,7 +2,7 @@
 
 The stream's checkpoint takes the place of the bookmark. Every micro-batch is
 one change batch of the target, named by its number, so a batch that Spark runs
-again replaces itself.
+again after its commit is left out.
 """
 
 from __future__ import annotations
@@ -36,10 +36,12 @@ def stream_sync(
 
     def load_batch(batch: DataFrame, number: int) -> None:
         run_id = f"{name}-{number}"
+        if target.commit_of(run_id):
+            return
         rows = apply_steps(batch, transforms, scripts, rejects="_casts")
         checked = deadletter.row_errors(load.stamp(rows, run_id, F.current_timestamp()), needed, "_casts")
         target.append(checked, run_id, rejected=F.col(deadletter.ERROR_TYPE).isNotNull()).commit()
-        target.compact_if_due(run_id)
+        target.compact_if_due()
 
     return (
         stream.writeStream.queryName(name)
