@@ -19,24 +19,32 @@ def status_of(run_status: Column, has_stat: Column, stat_error: Column) -> Colum
     )
 
 
-def layered_tables(pipelines: DataFrame, tables: DataFrame, sources: DataFrame) -> DataFrame:
-    """One row per pipeline, table and layer, with the asset's name."""
+def named_tables(pipelines: DataFrame, tables: DataFrame, sources: DataFrame) -> DataFrame:
+    """Enabled tables with their load mode and the name of their raw table."""
     p = pipelines.select(F.col("id").alias("pipeline_id"), "source_id", F.col("load_mode").alias("_mode"))
     s = sources.select(F.col("id").alias("source_id"), F.col("name").alias("_source"))
-    own_mode = F.coalesce(F.col("load_mode"), F.col("_mode"), F.lit("direct")) if "load_mode" in tables.columns else F.coalesce("_mode", F.lit("direct"))
-    raw_name = F.concat(F.coalesce(safe_name(F.col("_source"), keep_dots=True), F.lit("unknown")), F.lit("_"), F.col("source_table"), F.lit("_raw"))
+    modes = ["load_mode", "_mode"] if "load_mode" in tables.columns else ["_mode"]
+    source = F.coalesce(safe_name(F.col("_source"), keep_dots=True), F.lit("unknown"))
     joined = tables.where("enabled").join(p, "pipeline_id").join(s, "source_id", "left")
-    named = joined.select("pipeline_id", "source_table", own_mode.alias("mode"), raw_name.alias("_raw_name"))
+    return joined.select(
+        "pipeline_id",
+        "source_table",
+        F.coalesce(*modes, F.lit("direct")).alias("mode"),
+        F.concat(source, F.lit("_"), "source_table", F.lit("_raw")).alias("raw_name"),
+    )
+
+
+def layered_tables(named: DataFrame) -> DataFrame:
+    """One row per table and layer, with the asset's name."""
 
     def layer(name, asset):
-        return F.struct(F.lit(name).alias("layer"), asset.alias("name"))
+        return F.struct(F.lit(name).alias("layer"), F.col(asset).alias("name"))
 
-    direct = F.array(layer("source", F.col("source_table")), layer("target", F.col("source_table")))
-    raw = F.array(
-        layer("source", F.col("source_table")), layer("raw", F.col("_raw_name")), layer("target", F.col("source_table"))
+    source, raw, target = layer("source", "source_table"), layer("raw", "raw_name"), layer("target", "source_table")
+    layers = F.when(F.col("mode") == "raw", F.array(source, raw, target)).otherwise(F.array(source, target))
+    return named.select("pipeline_id", "source_table", "mode", F.explode(layers).alias("l")).select(
+        "pipeline_id", "source_table", "mode", "l.*"
     )
-    layers = F.explode(F.when(F.col("mode") == "raw", raw).otherwise(direct))
-    return named.select("pipeline_id", "source_table", "mode", layers.alias("l")).select("pipeline_id", "source_table", "mode", "l.*")
 
 
 def assets(pipelines: DataFrame, tables: DataFrame, sources: DataFrame, runs: DataFrame, stats: DataFrame) -> DataFrame:
@@ -53,7 +61,7 @@ def assets(pipelines: DataFrame, tables: DataFrame, sources: DataFrame, runs: Da
         F.col("duration_ms").alias("_duration"),
         F.col("error_message").alias("_error"),
     )
-    joined = layered_tables(pipelines, tables, sources).join(last.drop("run_id"), "pipeline_id", "left").join(figures, ["pipeline_id", "name"], "left")
+    joined = layered_tables(named_tables(pipelines, tables, sources)).join(last.drop("run_id"), "pipeline_id", "left").join(figures, ["pipeline_id", "name"], "left")
     zero = F.lit(0).cast("bigint")
     rows = (
         F.when(F.col("layer") == "source", F.col("rows_extracted"))
@@ -69,28 +77,24 @@ def assets(pipelines: DataFrame, tables: DataFrame, sources: DataFrame, runs: Da
     )
 
 
-def edges(layered: DataFrame) -> DataFrame:
-    """Edges between neighbouring layers, keyed ``layer.name``.
-
-    Each layered row other than the target knows its successor, so no join is
-    needed: the raw layer's name follows from the row itself.
-    """
-    key = F.concat("layer", F.lit("."), "name")
-    per_table = layered.groupBy("pipeline_id", "source_table").agg(
-        F.max(F.when(F.col("layer") == "source", key)).alias("s"),
-        F.max(F.when(F.col("layer") == "raw", key)).alias("r"),
-        F.max(F.when(F.col("layer") == "target", key)).alias("t"),
-    )
+def edges(named: DataFrame) -> DataFrame:
+    """Edges between neighbouring layers, keyed ``layer.name``; each table gives its own."""
 
     def edge(a, b):
-        return F.struct(F.col(a).alias("from_asset"), F.col(b).alias("to_asset"))
+        return F.struct(a.alias("from_asset"), b.alias("to_asset"))
+
+    source = F.concat(F.lit("source."), "source_table")
+    raw = F.concat(F.lit("raw."), "raw_name")
+    target = F.concat(F.lit("target."), "source_table")
+    pairs = F.when(F.col("mode") == "raw", F.array(edge(source, raw), edge(raw, target))).otherwise(F.array(edge(source, target)))
+    return named.select("pipeline_id", F.explode(pairs).alias("e")).select("pipeline_id", "e.*")
+
 
-    pairs = F.explode(F.when(F.col("r").isNotNull(), F.array(edge("s", "r"), edge("r", "t"))).otherwise(F.array(edge("s", "t"))))
-    return per_table.select("pipeline_id", pairs.alias("e")).select("pipeline_id", "e.*")
+def neighbours(edge_rows: DataFrame) -> DataFrame:
+    """One hop up and down of every asset; sources have no upstream, targets no downstream."""
 
+    def seen_from(asset, direction, other):
+        return F.struct(F.col(asset).alias("asset"), F.lit(direction).alias("direction"), F.col(other).alias("neighbour"))
 
-def neighbours(asset_keys: DataFrame, edge_rows: DataFrame) -> DataFrame:
-    """One hop up and down for each ``(pipeline_id, asset)``; a source has no upstream."""
-    up = edge_rows.select("pipeline_id", F.col("to_asset").alias("asset"), F.lit("upstream").alias("direction"), F.col("from_asset").alias("neighbour"))
-    down = edge_rows.select("pipeline_id", F.col("from_asset").alias("asset"), F.lit("downstream").alias("direction"), F.col("to_asset").alias("neighbour"))
-    return up.unionByName(down).join(asset_keys.select("pipeline_id", "asset"), ["pipeline_id", "asset"], "left_semi")
+    both = F.array(seen_from("to_asset", "upstream", "from_asset"), seen_from("from_asset", "downstream", "to_asset"))
+    return edge_rows.select("pipeline_id", F.explode(both).alias("n")).select("pipeline_id", "n.*")

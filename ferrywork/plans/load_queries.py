@@ -18,9 +18,8 @@ NOW = F.lit(AS_OF).cast("timestamp_ntz")
 def load_raw(spark, sf):
     rows = table(spark, sf, "orders").selectExpr("o_orderkey", "o_totalprice", "CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END AS status")
     raw = load.raw_rows(rows, RUN_ID, NOW)
-    typed = load.parse_raw(raw.withColumn("keep", F.col("_data").contains('"status":')), "o_orderkey bigint, o_totalprice double, status string")
-    has_key = raw.select(F.from_json("_data", "o_orderkey bigint").getField("o_orderkey").alias("o_orderkey"), F.col("_data").contains('"status":').alias("keeps_nulls"))
-    return typed.drop("_extracted_at").join(has_key, "o_orderkey")
+    parsed = F.from_json("_data", "o_orderkey bigint, o_totalprice double, status string").alias("row")
+    return raw.select("_run_id", parsed, F.col("_data").contains('"status":').alias("keeps_nulls")).select("_run_id", "row.*", "keeps_nulls")
 
 
 @check(

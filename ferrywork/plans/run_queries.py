@@ -319,7 +319,7 @@ _EDGES = f"""SELECT pipeline_id, 'source.' || source_table AS from_asset, CASE W
 
 @check("lineage_edges", _EDGES, ("pipelines", "pipeline_tables", "sources"))
 def lineage_edges(spark, sf):
-    return lineage.edges(lineage.layered_tables(*lineage_frames(spark, sf)))
+    return lineage.edges(lineage.named_tables(*lineage_frames(spark, sf)))
 
 
 @check(
@@ -329,9 +329,8 @@ def lineage_edges(spark, sf):
     ("pipelines", "pipeline_tables", "sources"),
 )
 def lineage_neighbors(spark, sf):
-    layered = lineage.layered_tables(*lineage_frames(spark, sf))
-    wanted = layered.where(F.col("source_table") == "t1").select("pipeline_id", F.concat("layer", F.lit("."), "name").alias("asset"))
-    return lineage.neighbours(wanted, lineage.edges(layered))
+    rows = lineage.neighbours(lineage.edges(lineage.named_tables(*lineage_frames(spark, sf))))
+    return rows.where(F.col("asset").contains("t1"))
 
 
 # -- alerts -------------------------------------------------------------------------

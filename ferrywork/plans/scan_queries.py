@@ -92,9 +92,17 @@ def scan_files(spark, sf):
     return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"))
 
 
-@check("discover_tables")
+@check(
+    "discover_tables",
+    " UNION ALL ".join(
+        f"SELECT 'public' AS schema_name, '{t}' AS table_name, count(*) AS row_count, "
+        f"(SELECT count(*) FROM information_schema.columns WHERE table_name = '{t}') AS column_count FROM {t}"
+        for t in TABLES
+    ),
+)
 def discover_tables(spark, sf):
-    return catalog.columns_of({t: table(spark, sf, t) for t in TABLES}, "public", {"orders": ["o_orderkey"]})
+    frames = {t: table(spark, sf, t) for t in TABLES}
+    return catalog.tables_of(frames, "public")
 
 
 _DUCK_TYPES = """CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
@@ -256,10 +264,9 @@ def bookmark_reset(spark, sf):
     ("src_orders",),
 )
 def backfill_from(spark, sf):
-    source = view(spark, sf, "src_orders")
-    latest = source.agg(F.max("updated_at").cast("string").alias("bookmark_value"), F.max("updated_at").alias("last_synced_at"))
-    now = latest.selectExpr("'p' AS pipeline_id", "'orders' AS source_table", "bookmark_value", "last_synced_at")
-    moved = state.backfill_rows(now, F.col("source_table") == "orders", "1999-06-01 00:00:00", F.lit("2024-02-01").cast("timestamp_ntz"))
-    log = now.unionByName(moved).withColumn("last_run_id", F.lit("r"))
-    floor = state.current_bookmarks(log).select(F.col("bookmark_value").cast("timestamp_ntz")).scalar()
-    return scans.live_rows(source).where(F.col("updated_at") > floor).select("o_orderkey", "updated_at")
+    mine = bookmark_log(spark, sf).where((F.col("pipeline_id") == "7") & (F.col("source_table") == "click"))
+    now = state.current_bookmarks(mine)
+    moved = state.backfill_rows(now, F.lit(True), "1999-06-01 00:00:00", F.lit("2024-02-01").cast("timestamp_ntz"))
+    floor = state.upsert_bookmarks(now, moved).select(F.col("bookmark_value").try_cast("timestamp_ntz")).scalar()
+    rows = scans.live_rows(view(spark, sf, "src_orders"))
+    return rows.where(F.col("updated_at") > floor).select("o_orderkey", "updated_at")

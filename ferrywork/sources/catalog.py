@@ -30,6 +30,18 @@ def columns_of(tables: dict[str, DataFrame], schema_name: str = "default", prima
     return spark.createDataFrame(rows, COLUMNS_SCHEMA)
 
 
+def tables_of(tables: dict[str, DataFrame], schema_name: str = "default") -> DataFrame:
+    """One row per frame: its rows (answered from file footers where Spark can) and columns."""
+    out = None
+    for name, df in sorted(tables.items()):
+        part = df.agg(F.count("*").alias("row_count")).select(
+            F.lit(schema_name).alias("schema_name"), F.lit(name).alias("table_name"), "row_count",
+            F.lit(len(df.columns)).cast("bigint").alias("column_count"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def discover_tables(spark: SparkSession, schema_include: list[str] | None = None, primary_keys: dict[str, list[str]] | None = None) -> DataFrame:
     """Columns of every table in the session catalogue, ordered by schema and table."""
     parts = []
