@@ -35,7 +35,7 @@ def null_counts(df: DataFrame, required: list[str]) -> list[Column]:
 
 def null_check(df: DataFrame, required: list[str]) -> DataFrame:
     """One row: verdict and ``col(n)`` list of the required columns holding NULLs."""
-    counted = df.agg(*null_counts(df, required))
+    counted = df.agg(F.count("*").alias("n"), *null_counts(df, required))
     return counted.select(*null_verdict([F.col(f"nulls_{c}") for c in required], required))
 
 

@@ -153,6 +153,8 @@ def script(df: DataFrame, fn: Callable[[dict], dict | None], schema: T.StructTyp
     out_schema = df.schema if schema is None else schema
     if isinstance(out_schema, str):
         out_schema = T.StructType.fromDDL(out_schema)
+    # A script may leave any value out, whatever the input promised.
+    out_schema = T.StructType([T.StructField(f.name, f.dataType) for f in out_schema.fields])
     names = out_schema.names
 
     def run(batches):
