@@ -8,7 +8,10 @@ from ferrywork.operators import deadletter as dl, load, merge, quality
 from ferrywork.plans.fixtures import AS_OF, BOOKMARK, RUN_ID, table, view
 from ferrywork.plans.registry import check
 
-NOW = F.lit(AS_OF).cast("timestamp_ntz")
+
+def now():
+    return F.lit(AS_OF).cast("timestamp_ntz")
+
 
 
 @check(
@@ -17,7 +20,7 @@ NOW = F.lit(AS_OF).cast("timestamp_ntz")
 )
 def load_raw(spark, sf):
     rows = table(spark, sf, "orders").selectExpr("o_orderkey", "o_totalprice", "CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END AS status")
-    raw = load.raw_rows(rows, RUN_ID, NOW)
+    raw = load.raw_rows(rows, RUN_ID, now())
     parsed = F.from_json("_data", "o_orderkey bigint, o_totalprice double, status string").alias("row")
     return raw.select("_run_id", parsed, F.col("_data").contains('"status":').alias("keeps_nulls")).select("_run_id", "row.*", "keeps_nulls")
 
@@ -28,7 +31,7 @@ def load_raw(spark, sf):
 )
 def load_typed_append(spark, sf):
     schema = spark.createDataFrame([], "o_orderkey int, o_orderstatus string, discount double").schema
-    return load.stamp(load.align_to(table(spark, sf, "orders"), schema), RUN_ID, NOW)
+    return load.stamp(load.align_to(table(spark, sf, "orders"), schema), RUN_ID, now())
 
 
 # The target holds the orders up to the bookmark; changes come from all of them,
@@ -91,7 +94,7 @@ def schema_evolve_union(spark, sf):
 
 @check("raw_ttl_prune", f"SELECT event_id, ts FROM events WHERE date_trunc('hour', ts) + INTERVAL 7 DAY > timestamp '{AS_OF}'")
 def raw_ttl_prune(spark, sf):
-    return load.live_raw_rows(table(spark, sf, "events").select("event_id", "ts"), NOW, "ts")
+    return load.live_raw_rows(table(spark, sf, "events").select("event_id", "ts"), now(), "ts")
 
 
 @check("compact_latest", "SELECT * FROM (SELECT user_id, event_type, event_id, ts, value FROM events) QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
@@ -109,7 +112,7 @@ def raw_hash_dedup(spark, sf):
 @check("raw_replay", _NEWEST)
 def raw_replay(spark, sf):
     changes = change_rows(spark, sf)
-    raw = load.raw_rows(changes, RUN_ID, NOW)
+    raw = load.raw_rows(changes, RUN_ID, now())
     return load.replay_raw(raw, changes.schema, ["o_orderkey"], "updated_at")
 
 
@@ -220,7 +223,7 @@ def dead_letter_write(spark, sf):
 
     casted = type_cast(mixed_text(spark, sf), {"code": "int"}, rejects="_casts")
     rejected = dl.row_errors(casted, ["o_orderkey"], "_casts").where(F.col(dl.ERROR_TYPE).isNotNull())
-    letters = dl.dead_letters(rejected, "Shop-DB", "orders", RUN_ID, NOW)
+    letters = dl.dead_letters(rejected, "Shop-DB", "orders", RUN_ID, now())
     return letters.select(
         "source_name", "table_name", "run_id", "error_text", "error_type", "failed_at", "reprocessed",
         F.from_json("row_data", "o_orderkey bigint").getField("o_orderkey").alias("o_orderkey"),
