@@ -206,18 +206,34 @@ class Compiler(ast.NodeVisitor):
             return Value(answer, BOOL, nulls)
         else:
             return _undefined(BOOL)
-        if isinstance(op, ast.Eq):
-            return Value(a == b, BOOL, nulls)
-        if isinstance(op, ast.NotEq):
-            return Value(a != b, BOOL, nulls)
-        if isinstance(op, ast.Lt):
-            return Value(a < b, BOOL, nulls)
-        if isinstance(op, ast.LtE):
-            return Value(a <= b, BOOL, nulls)
-        if isinstance(op, ast.Gt):
-            return Value(a > b, BOOL, nulls)
-        if isinstance(op, ast.GtE):
-            return Value(a >= b, BOOL, nulls)
+        # NaN is the greatest double in Spark but compares as false in Python.
+        # An upper bound keeps it out and, unlike isnan, can be pushed down.
+        loose = [
+            v.col <= float("inf")
+            for v, node in ((left, left_node), (right, right_node))
+            if v.kind == FLOAT and not isinstance(node, ast.Constant)
+        ]
+        guard = reduce(lambda x, y: x & y, loose) if loose else None
+
+        literal = isinstance(left_node, ast.Constant) or isinstance(right_node, ast.Constant)
+
+        def unless_nan(condition, needed=True):
+            if guard is None or not needed:
+                return condition
+            # Beside a literal both sides are NULL together; else NULL must win.
+            return condition & guard if literal else F.when(condition.isNotNull(), condition & guard)
+
+        if isinstance(op, (ast.Eq, ast.NotEq)):
+            equal = unless_nan(a == b, len(loose) == 2)
+            return Value(equal if isinstance(op, ast.Eq) else ~equal if len(loose) == 2 else a != b, BOOL, nulls)
+        for cls, condition, may_let_nan_in in (
+            (ast.Lt, a < b, right.kind == FLOAT),
+            (ast.LtE, a <= b, right.kind == FLOAT),
+            (ast.Gt, a > b, left.kind == FLOAT),
+            (ast.GtE, a >= b, left.kind == FLOAT),
+        ):
+            if isinstance(op, cls):
+                return Value(unless_nan(condition, may_let_nan_in), BOOL, nulls)
         return self.generic_visit(op)
 
     def compared_with_none(self, op, value: Value) -> Value:

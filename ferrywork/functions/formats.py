@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from ferrywork.functions.pytext import round_half_up
+
 # Limits and words of the short texts.
 SECOND_MS, MINUTE_MS = 1_000, 60_000
 THOUSAND, MILLION = 1_000, 1_000_000
@@ -24,7 +26,7 @@ def duration_text(ms: Column) -> Column:
 
 
 def one_decimal(value: Column) -> Column:
-    return F.format_string("%.1f", value.cast("double"))
+    return F.format_string("%.1f", round_half_up(value.cast("double"), 1))
 
 
 def count_text(n: Column) -> Column:

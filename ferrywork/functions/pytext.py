@@ -99,18 +99,13 @@ def py_bool(col: Column, dtype: T.DataType) -> Column:
     return F.when(col.isNotNull(), True)
 
 
-def round_half_even(col: Column, digits: int) -> Column:
-    """``round(float, digits)``, exact: ties are judged on the binary value.
+def _scaled(col: Column, digits: int) -> tuple[Column, Column, Column, float]:
+    """``col * 10**digits`` as floor, fraction and rounding error, together exact.
 
-    ``bround`` judges them on the printed decimal (2.675 looks like a tie but
-    lies below it). The product ``x * 10**digits`` is split into its rounded
-    value and its rounding error, which together are exact.
+    ``round`` and ``bround`` judge ties on the printed decimal (2.675 looks
+    like a tie but lies below it). Splitting both factors into halves gives the
+    error of their product, and with it the true side of a tie.
     """
-    if digits < 0:
-        scale = float(10**-digits)
-        return F.rint(col / scale) * scale
-    if digits == 0:
-        return F.rint(col)
     scale = float(10**digits)
     product = col * scale
     high = col * _SPLITTER - (col * _SPLITTER - col)
@@ -119,11 +114,30 @@ def round_half_even(col: Column, digits: int) -> Column:
     scale_low = scale - scale_high
     error = ((high * scale_high - product) + high * scale_low + low * scale_high) + low * scale_low
     floor = F.floor(product).cast("double")
-    part = product - floor
+    return floor, product - floor, error, scale
+
+
+def _rounded(col: Column, digits: int, at_tie) -> Column:
+    floor, part, error, scale = _scaled(col, digits)
     up = (
         F.when((part > 0.5) | ((part == 0.5) & (error > 0)), 1.0)
         .when((part < 0.5) | (error < 0), 0.0)
-        .otherwise(F.abs(floor % 2.0))
+        .otherwise(at_tie(floor))
     )
-    # Beyond 2**52 / scale every double already has no digits to drop.
+    # Beyond 2**52 / scale a double has no digits left to drop.
     return F.when(F.abs(col) < 2.0**52 / scale, (floor + up) / scale).otherwise(col)
+
+
+def round_half_even(col: Column, digits: int) -> Column:
+    """``round(float, digits)``, ties to the even digit."""
+    if digits < 0:
+        scale = float(10**-digits)
+        return F.rint(col / scale) * scale
+    if digits == 0:
+        return F.rint(col)
+    return _rounded(col, digits, lambda floor: F.abs(floor % 2.0))
+
+
+def round_half_up(col: Column, digits: int) -> Column:
+    """Rounding of display numbers, ties upwards."""
+    return _rounded(col, digits, lambda floor: F.lit(1.0))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ferrywork.functions.names import safe_name
 from ferrywork.operators.merge import latest_per_key, newest_first
+from ferrywork.sources import folders
 
 RUN_ID, SYNCED_AT = "_run_id", "_synced_at"
 
@@ -46,6 +49,15 @@ def live_raw_rows(rows: DataFrame, as_of: Column, moment: str = "_extracted_at",
     return rows.where(F.col(moment) >= first_hour.cast(column_type))
 
 
+def expire_raw(spark: SparkSession, path: str, as_of, days: int = RAW_TTL_DAYS) -> list[str]:
+    """Remove whole days of raw rows that are past their time; returns the days."""
+    last_kept = f"{as_of - timedelta(days=days):%Y-%m-%d}"
+    names = [n for n in folders.child_names(spark, path) if n.startswith("_day=") and n[5:] < last_kept]
+    for name in names:
+        folders.remove(spark, f"{path}/{name}")
+    return [n[5:] for n in names]
+
+
 def dedup_by_hash(df: DataFrame, columns: list[str], keep_first: list[str]) -> DataFrame:
     """One row per equal content of ``columns``, the first by ``keep_first``; adds ``_hash``."""
     hashed = df.withColumn("_hash", F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256))

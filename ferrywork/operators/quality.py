@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ferrywork.functions.pytext import round_half_even
+
 # Fixed value: largest accepted difference of row counts, in percent.
 DEFAULT_THRESHOLD_PCT = 5.0
 
@@ -20,7 +22,7 @@ def row_count_check(counts: DataFrame, threshold: float = DEFAULT_THRESHOLD_PCT)
     passed = pct <= threshold
     return counts.select(
         "*",
-        F.round(pct, 2).alias("discrepancy_pct"),
+        round_half_even(pct, 2).alias("discrepancy_pct"),
         F.when(passed, "passed").otherwise("failed").alias("status"),
         passed.alias("passed"),
     )
@@ -57,7 +59,7 @@ def null_ratios(df: DataFrame, columns: list[str], threshold_pct: float) -> Data
     """Per column: share of NULLs in percent and whether it stays within the threshold."""
     share = [F.coalesce(F.avg(F.col(f"`{c}`").isNull().cast("int")) * 100, F.lit(0.0)).alias(c) for c in columns]
     long = df.agg(*share).unpivot([], columns, "column_name", "pct")
-    return long.select("column_name", F.round("pct", 2).alias("null_pct"), (F.col("pct") <= threshold_pct).alias("passed"))
+    return long.select("column_name", round_half_even(F.col("pct"), 2).alias("null_pct"), (F.col("pct") <= threshold_pct).alias("passed"))
 
 
 def unique_violations(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -92,7 +94,7 @@ def checks_of_counts(counted: DataFrame, required: list[str], threshold: float =
         )
 
     count_row = log_row(
-        "row_count", F.when(pct <= threshold, "passed").otherwise("failed"), F.round(pct, 2), none, none, pct <= threshold
+        "row_count", F.when(pct <= threshold, "passed").otherwise("failed"), round_half_even(pct, 2), none, none, pct <= threshold
     )
     null_row = log_row("null_check", status, F.lit(None), null_columns, required_columns, passed)
     kept = [c for c in counted.columns if not c.startswith("nulls_")]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ferrywork.functions.pytext import round_half_even
 from ferrywork.operators.merge import latest_per_key, newest_first
 
 SUCCESS, FAILED, RUNNING = "success", "failed", "running"
@@ -178,7 +179,7 @@ def dashboard_summary(runs: DataFrame, pipelines: DataFrame, tables: DataFrame,
         destinations.agg(F.struct(F.count("*").alias("total_destinations"))),
     ):
         one_row = one_row.withColumn("_part", part.scalar()).select("*", "_part.*").drop("_part")
-    uptime = F.when(F.col("_week") > 0, F.round(F.col("_week_won") / F.col("_week") * 100, 1)).otherwise(100.0)
+    uptime = F.when(F.col("_week") > 0, round_half_even(F.col("_week_won") / F.col("_week") * 100, 1)).otherwise(100.0)
     latency = F.coalesce(F.col("_latency").cast("bigint"), F.lit(0).cast("bigint"))
     return one_row.withColumns({"uptime_pct_7d": uptime, "avg_latency_ms": latency}).drop("_week", "_week_won", "_latency")
 

@@ -23,7 +23,7 @@ import json
 import re
 import zlib
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ferrywork.functions.names import safe_name
 from ferrywork.operators.merge import delete_by_key, has_key, latest_per_key, row_hash
@@ -50,11 +50,12 @@ class TargetTable:
         order_by: str | None = None,
         buckets: int | None = None,
         compact_after: int = 20,
+        compact_share: float = 0.5,
     ):
         self.spark, self.keys, self.order_by = spark, list(keys), order_by
         self.path = f"{root.rstrip('/')}/{safe_name(name)}"
         self.buckets = (buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))) if keys else 0
-        self.compact_after = compact_after
+        self.compact_after, self.compact_share = compact_after, compact_share
         self._label = f"{safe_name(name)}_{zlib.crc32(self.path.encode()):08x}"
         self._read_markers: dict[str, dict] = {}
 
@@ -195,12 +196,14 @@ class TargetTable:
             self.spark.sql(f"DROP TABLE IF EXISTS {table}")
 
             def save(rows, mode):
-                bucketed = shaped(rows).write.mode(mode).format("parquet").bucketBy(version[1], *self.keys).sortBy(*self.keys)
+                counted = Observation()
+                bucketed = shaped(rows).observe(counted, F.count("*").alias("n")).write.mode(mode).format("parquet").bucketBy(version[1], *self.keys).sortBy(*self.keys)
                 bucketed.option("path", path).saveAsTable(table)
+                return counted.get["n"]
 
-            save(first, "overwrite")
+            facts["rows"] = save(first, "overwrite")
             if more is not None:
-                save(more.repartition(version[1], *self.keys), "append")
+                facts["rows"] += save(more.repartition(version[1], *self.keys), "append")
         self._commit(path, schema, **facts)
 
     def replace(self, rows: DataFrame, run_id: str, at: str = "", bookmark: dict | None = None) -> None:
@@ -251,8 +254,13 @@ class TargetTable:
         self._write_base((version[0] + 1, version[1] if self.keys else 0), base, changed, folded=folded)
 
     def compact_if_due(self) -> bool:
-        version = self.version()
-        due = version is not None and len(self.batches(version)) >= self.compact_after
+        """Compact a first load at once, later when changes are many or large beside the base."""
+        base, *changes = self.commits() or [{}]
+        if not changes or not self.keys:
+            return False
+        changed = sum(m.get("rows") or 0 for m in changes)
+        due = len(changes) >= self.compact_after or not base["schema"]["fields"]
+        due = due or changed > self.compact_share * (base.get("rows") or 0)
         if due:
             self.compact()
         return due

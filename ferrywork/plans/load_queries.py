@@ -128,7 +128,7 @@ def nulled_lines(spark, sf):
 @check(
     "quality_row_count",
     """SELECT table_name, sum(rows_extracted)::bigint AS rows_extracted, sum(rows_loaded_analytics)::bigint AS rows_loaded,
-        round(abs(sum(rows_extracted) - sum(rows_loaded_analytics)) / sum(rows_extracted) * 100, 2) AS discrepancy_pct,
+        round_even(abs(sum(rows_extracted) - sum(rows_loaded_analytics)) / sum(rows_extracted) * 100, 2) AS discrepancy_pct,
         CASE WHEN abs(sum(rows_extracted) - sum(rows_loaded_analytics)) / sum(rows_extracted) * 100 <= 0.25 THEN 'passed' ELSE 'failed' END AS status,
         abs(sum(rows_extracted) - sum(rows_loaded_analytics)) / sum(rows_extracted) * 100 <= 0.25 AS passed
         FROM run_table_stats GROUP BY table_name""",
@@ -157,7 +157,7 @@ def quality_null_check(spark, sf):
     "quality_log",
     f"""SELECT count(*) AS rows_loaded, (SELECT count(*) FROM orders) * 4 AS rows_extracted, 'row_count' AS check_type,
         CASE WHEN abs((SELECT count(*) FROM orders) * 4 - count(*)) / ((SELECT count(*) FROM orders) * 4) * 100 <= 5 THEN 'passed' ELSE 'failed' END AS status,
-        round(abs((SELECT count(*) FROM orders) * 4 - count(*)) / ((SELECT count(*) FROM orders) * 4) * 100, 2) AS discrepancy_pct,
+        round_even(abs((SELECT count(*) FROM orders) * 4 - count(*)) / ((SELECT count(*) FROM orders) * 4) * 100, 2) AS discrepancy_pct,
         NULL::varchar AS null_columns, NULL::varchar AS required_columns,
         abs((SELECT count(*) FROM orders) * 4 - count(*)) / ((SELECT count(*) FROM orders) * 4) * 100 <= 5 AS passed FROM lineitem
       UNION ALL SELECT count(*), (SELECT count(*) FROM orders) * 4, 'null_check', 'warning', NULL, {_NULL_TEXT}, '{', '.join(_REQUIRED)}', FALSE FROM ({_NULLED})""",
@@ -174,8 +174,8 @@ def quality_unique_check(spark, sf):
 
 @check(
     "quality_null_ratio",
-    f"""SELECT 'l_returnflag' AS column_name, round(avg((l_returnflag IS NULL)::int) * 100, 2) AS null_pct, avg((l_returnflag IS NULL)::int) * 100 <= 20 AS passed FROM ({_NULLED})
-      UNION ALL SELECT 'l_linenumber', round(avg((l_linenumber IS NULL)::int) * 100, 2), avg((l_linenumber IS NULL)::int) * 100 <= 20 FROM ({_NULLED})
+    f"""SELECT 'l_returnflag' AS column_name, round_even(avg((l_returnflag IS NULL)::int) * 100, 2) AS null_pct, avg((l_returnflag IS NULL)::int) * 100 <= 20 AS passed FROM ({_NULLED})
+      UNION ALL SELECT 'l_linenumber', round_even(avg((l_linenumber IS NULL)::int) * 100, 2), avg((l_linenumber IS NULL)::int) * 100 <= 20 FROM ({_NULLED})
       UNION ALL SELECT 'l_quantity', 0.0, TRUE""",
 )
 def quality_null_ratio(spark, sf):

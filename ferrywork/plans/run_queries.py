@@ -104,7 +104,7 @@ def dependency_gate(spark, sf):
     f"""SELECT count(*) FILTER ({DAY}) AS total_runs_24h, count(*) FILTER ({DAY} AND status = 'failed') AS failed_runs_24h,
         coalesce(sum(rows_synced) FILTER ({DAY}), 0)::bigint AS rows_synced_24h, coalesce(sum(rows_synced) FILTER (status = 'success'), 0)::bigint AS total_rows_synced,
         count(DISTINCT pipeline_id) FILTER (status = 'failed' AND started_at >= {NOW} - INTERVAL 1 HOUR) AS degraded_pipelines,
-        CASE WHEN count(*) FILTER ({WEEK}) > 0 THEN round(count(*) FILTER ({WEEK} AND status = 'success') / count(*) FILTER ({WEEK}) * 100, 1) ELSE 100.0 END AS uptime_pct_7d,
+        CASE WHEN count(*) FILTER ({WEEK}) > 0 THEN round_even(count(*) FILTER ({WEEK} AND status = 'success') / count(*) FILTER ({WEEK}) * 100, 1) ELSE 100.0 END AS uptime_pct_7d,
         coalesce(trunc(avg(duration_ms) FILTER ({WEEK} AND status = 'success')), 0)::bigint AS avg_latency_ms,
         (SELECT count(*) FROM pipelines) AS total_pipelines, (SELECT count(*) FROM pipelines WHERE status = 'active') AS active_pipelines,
         (SELECT count(*) FROM pipelines WHERE status = 'active') AS running_pipelines, (SELECT count(*) FROM sources) AS total_sources,
@@ -395,25 +395,29 @@ def alert_message(spark, sf):
 # -- display text ---------------------------------------------------------------------
 
 
+# One decimal of n / unit: exact ties go up, which printf alone does not do.
+_ONE_DECIMAL = "printf('%.1f', CASE WHEN {n} % {unit} IN ({unit} / 4, {unit} * 3 / 4) THEN ({n} + {unit} / 20) / {unit} ELSE {n} / {unit} END)"
+_SECONDS = _ONE_DECIMAL.format(n="duration_ms", unit=1000)
+
+
 @check(
     "format_duration",
-    """SELECT id, CASE WHEN duration_ms IS NULL THEN '-' WHEN duration_ms < 1000 THEN duration_ms || 'ms' WHEN duration_ms < 60000 THEN printf('%.1f', duration_ms / 1000) || 's'
-        ELSE (duration_ms // 60000) || 'm ' || ((duration_ms % 60000) // 1000) || 's' END AS duration FROM (SELECT id, duration_ms // 100 * 100 AS duration_ms FROM runs)""",
+    f"""SELECT id, CASE WHEN duration_ms IS NULL THEN '-' WHEN duration_ms < 1000 THEN duration_ms || 'ms' WHEN duration_ms < 60000 THEN {_SECONDS} || 's'
+        ELSE (duration_ms // 60000) || 'm ' || ((duration_ms % 60000) // 1000) || 's' END AS duration FROM runs""",
     ("runs",),
 )
 def format_duration(spark, sf):
-    ms = F.floor(F.col("duration_ms") / 100) * 100
-    return view(spark, sf, "runs").select("id", formats.duration_text(ms).alias("duration"))
+    return view(spark, sf, "runs").select("id", formats.duration_text(F.col("duration_ms")).alias("duration"))
 
 
 @check(
     "format_count",
-    """SELECT o_orderkey, CASE WHEN n >= 1000000 THEN printf('%.1f', n / 1000000) || 'M' WHEN n >= 1000 THEN printf('%.1f', n / 1000) || 'K' ELSE n::varchar END AS shown
-        FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_orderkey % 1000 WHEN 1 THEN floor(o_totalprice / 100)::bigint * 100 ELSE floor(o_totalprice)::bigint * 100000 END AS n FROM orders)""",
+    f"""SELECT o_orderkey, CASE WHEN n >= 1000000 THEN {_ONE_DECIMAL.format(n='n', unit=1000000)} || 'M' WHEN n >= 1000 THEN {_ONE_DECIMAL.format(n='n', unit=1000)} || 'K' ELSE n::varchar END AS shown
+        FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_orderkey % 1000 WHEN 1 THEN floor(o_totalprice)::bigint ELSE floor(o_totalprice)::bigint * 250 END AS n FROM orders)""",
 )
 def format_count(spark, sf):
-    price = F.col("o_totalprice")
-    n = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") % 1000).when(F.col("o_orderkey") % 3 == 1, F.floor(price / 100) * 100).otherwise(F.floor(price) * 100000)
+    whole = F.floor("o_totalprice")
+    n = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") % 1000).when(F.col("o_orderkey") % 3 == 1, whole).otherwise(whole * 250)
     return table(spark, sf, "orders").select("o_orderkey", formats.count_text(n).alias("shown"))
 
 

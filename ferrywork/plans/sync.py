@@ -61,6 +61,7 @@ class SyncTable:
     auto_evolve: bool = False
     include_touched: bool = True
     enabled: bool = True
+    buckets: int | None = None
 
 
 @dataclass(frozen=True)
@@ -118,7 +119,7 @@ class Workspace:
 
     def target(self, table: SyncTable, bookmark_column: str | None = None) -> TargetTable:
         return TargetTable(
-            self.spark, f"{self.root}/targets", table.target_table or table.source_table, list(table.keys), bookmark_column
+            self.spark, f"{self.root}/targets", table.target_table or table.source_table, list(table.keys), bookmark_column, table.buckets
         )
 
     def raw_path(self, source: str, table: str) -> str:
@@ -236,7 +237,7 @@ def sync_table(ws: Workspace, pipeline: Pipeline, table: SyncTable, source: Data
         fact = None
         if result.bookmark_after is not None:
             fact = {"column": bookmark_column, "before": bookmark, "after": result.bookmark_after}
-        written.commit(as_of.isoformat(), fact, result.rows_loaded)
+        written.commit(as_of.isoformat(), fact, result.rows_loaded + result.rows_deleted)
         _recover_bookmark(ws, pipeline, table, target)
 
     names = [c for c in required if f"nulls_{c}" in metrics]

@@ -29,6 +29,22 @@ def build_session(app_name: str = "ferrywork", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+def sized_conf(input_bytes: int) -> dict[str, str]:
+    """Partition settings for a job that reads about ``input_bytes``.
+
+    Shuffles start with partitions of about 200 MB, which AQE may join or split
+    at run time; very large scans get larger splits so that the number of tasks
+    stays manageable.
+    """
+    partitions = max(200, -(-input_bytes // (200 * 1024**2)))
+    split = 128 if input_bytes < 10 * 1024**4 else 512
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": f"{split}m",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200m",
+    }
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for written tables that every executor can reach.
 

@@ -53,9 +53,19 @@ def stream_sync(
     )
 
 
-def without_repeats(stream: DataFrame, keys: list[str], time_column: str, delay: str = "1 day") -> DataFrame:
-    """Rows whose key was not seen within ``delay``; state is dropped after it."""
-    return stream.withWatermark(time_column, delay).dropDuplicatesWithinWatermark(keys)
+def without_repeats(stream: DataFrame, keys: list[str], time_column: str, delay: str = "1 day", spread: int = 8) -> DataFrame:
+    """Rows whose key was not seen within ``delay``; state is dropped after it.
+
+    Streaming de-duplication has no map-side step, so all repeats of one hot
+    key would meet in one task. They are first thinned in ``spread`` parts by
+    the task they come from; the second step is exact whatever that split is.
+    ``spread=1`` leaves the first step out.
+    """
+    marked = stream.withWatermark(time_column, delay)
+    if spread > 1:
+        parts = marked.withColumn("_part", F.spark_partition_id() % spread)
+        marked = parts.dropDuplicatesWithinWatermark([*keys, "_part"]).drop("_part")
+    return marked.dropDuplicatesWithinWatermark(keys)
 
 
 def daily_counts(stream: DataFrame, time_column: str, delay: str = "1 day") -> DataFrame:

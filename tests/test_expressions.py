@@ -30,7 +30,7 @@ def rows():
             pick(None, -7, -3, 0, 1, 2, 5, 7, 12345678901),
             pick(None, -3, -2, 0, 1, 2, 3),
             pick(None, -2.5, -0.5, 0.0, 0.5, 1.5, 2.5, 2.675, 1.005, 12345678.9, 1e20, 1e-5, 0.00025, 1234.125),
-            pick(None, -3.0, 0.0, 0.3, 2.0),
+            pick(None, -3.0, 0.0, 0.3, 2.0, float("nan")),
             pick(None, "", "abc", "  Ab c\t", "12", " 7 ", "1_000", "x,y,z", "3.7", "-1e3", "nan?", "Ünïcode"),
             pick(None, "", "a", "b", ",", "abc"),
             pick(None, True, False),
@@ -51,6 +51,7 @@ VALUES = [
     "a if f else b", "s if a > 1 else t", "a if x > 1 else x", "a and b", "a or b", "s or t", "not s", "f and a > 1",
     "1 < a < 6", "a == b", "a == s", "a != s", "s in ('abc', '12')", "a not in (1, 2, 'q')", "t in s", "a in (b, 7)",
     "a is None", "s is not None", "a < s", "x == a", "f == True", "f + 1 > a", "x > 1 or a / b > 2",
+    "y > 0", "y >= x", "x < y", "y == y", "y != y", "y != 2.0", "y == 0.3", "1 > y", "not y > 0", "y <= 5.0",
 ]
 CONDITIONS = [
     "a > 1", "a > 1 and s != 'abc'", "a > 1 or b < 2", "not (a > 1 and f)", "s", "x", "a / b > 1", "s and a > 1",
@@ -116,6 +117,14 @@ def test_round_is_exact_for_any_double(spark):
         assert got == [float(round(x, digits)) for x in xs]
 
 
+def test_display_rounding_is_exact_and_ties_go_up(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    xs = [i / 1000 for i in range(1, 4000)] + [i / 7 for i in range(500)]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(pytext.round_half_up(F.col("x"), 1)).collect()]
+    assert got == [float(Decimal(x).quantize(Decimal("0.1"), ROUND_HALF_UP)) for x in xs]
+
+
 def test_float_text_matches_str(spark):
     rng = random.Random(5)
     xs = [0.0, -0.0, 1e16, 1e15, 123456789012345.6, 9.5e-5, 1e-4, 1e7, -1e22, float("inf"), float("-inf"), float("nan")]

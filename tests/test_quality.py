@@ -51,6 +51,8 @@ def test_raw_rows_roundtrip_and_expiry(spark, tmp_path):
     as_of = F.lit(datetime(2024, 1, 8, 5, 0))
     assert load.live_raw_rows(raw, as_of).count() == 3
     assert load.live_raw_rows(raw, F.lit(datetime(2024, 1, 8, 4, 59))).count() == 6
+    assert load.expire_raw(spark, str(tmp_path / "raw"), datetime(2024, 1, 9, 12)) == ["2024-01-01"]
+    assert spark.read.parquet(str(tmp_path / "raw")).count() == 3
     assert load.dedup_by_hash(df, ["a", "b", "c"], ["a"]).count() == 2
 
 
