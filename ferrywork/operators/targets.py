@@ -155,55 +155,60 @@ class TargetTable:
             order.append(F.col(self.order_by).desc_nulls_last())
         return latest_per_key(changes, self.keys, [*order, row_hash(changes)])
 
-    def _parts(self) -> tuple[DataFrame | None, DataFrame | None]:
-        """The untouched base rows and the rows that changed."""
+    def _parts(self) -> list[DataFrame]:
+        """The untouched base rows and the rows that changed, whichever there are."""
         version = self.version()
         if version is None:
-            return None, None
+            raise LookupError(f"{self.path} has no committed version")
         base, numbers = self._base(version), self.batches(version)
         if not numbers:
-            return base, None
+            return [base]
         changes = self._changes(version, numbers)
-        if not base.columns:
-            base = self.spark.createDataFrame([], T.StructType([f for f in changes.schema if f.name not in (OP, BATCH)]))
-        if not self.keys:
-            return base, changes.drop(OP, BATCH)
-        newest = self._newest(changes.where(has_key(self.keys))).where(F.col(OP) == UPSERT)
-        return delete_by_key(base, changes, self.keys), newest.drop(OP, BATCH)
+        newest = changes
+        if self.keys:
+            newest = self._newest(changes.where(has_key(self.keys))).where(F.col(OP) == UPSERT)
+        parts = [newest.drop(OP, BATCH)]
+        if base.columns:
+            parts.insert(0, delete_by_key(base, changes, self.keys))
+        return parts
 
     def read(self) -> DataFrame:
-        base, changed = self._parts()
-        if base is None:
-            raise LookupError(f"{self.path} has no committed version")
-        return base if changed is None else base.unionByName(changed, allowMissingColumns=True)
+        first, *more = self._parts()
+        return first.unionByName(more[0], allowMissingColumns=True) if more else first
 
     # -- writing ------------------------------------------------------------
 
-    def _write_base(self, version: Version, first: DataFrame, more: DataFrame | None, **facts) -> None:
-        """Write ``first`` as it is partitioned, and ``more`` spread over the buckets."""
-        path = self._base_path(version)
-        self._read_markers.pop(path, None)
-        schema = _merged([first.schema] + ([more.schema] if more is not None else []))
-
-        def shaped(rows):
-            return rows.select([F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+    def _spread(self, rows: DataFrame, buckets: int) -> DataFrame:
+        """One task per bucket, so that a bucket becomes one file.
 
-        if not self.keys:
-            rows = first if more is None else shaped(first).unionByName(shaped(more))
-            rows.write.mode("overwrite").parquet(path)
-        else:
-            table = f"{self._label}_v{version[0]}"
-            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        Rows that were just chosen per key are already hashed by key; where
+        shuffles have as many partitions as there are buckets that is enough.
+        """
+        if not self.keys or int(self.spark.conf.get("spark.sql.shuffle.partitions")) == buckets:
+            return rows
+        return rows.repartition(buckets, *self.keys)
 
-            def save(rows, mode):
-                counted = Observation()
-                bucketed = shaped(rows).observe(counted, F.count("*").alias("n")).write.mode(mode).format("parquet").bucketBy(version[1], *self.keys).sortBy(*self.keys)
+    def _write_base(self, version: Version, parts: list[DataFrame], **facts) -> None:
+        """Write the parts as they are partitioned, then commit."""
+        path = self._base_path(version)
+        self._read_markers.pop(path, None)
+        schema = _merged([p.schema for p in parts])
+        table = f"{self._label}_v{version[0]}"
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        facts["rows"] = 0
+        for number, part in enumerate(parts):
+            counted = Observation()
+            have = set(part.columns)
+            shaped = part.select(
+                [F.col(f"`{f.name}`") if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+            ).observe(counted, F.count("*").alias("n"))
+            writer = shaped.write.mode("append" if number else "overwrite")
+            if self.keys:
+                bucketed = writer.format("parquet").bucketBy(version[1], *self.keys).sortBy(*self.keys)
                 bucketed.option("path", path).saveAsTable(table)
-                return counted.get["n"]
-
-            facts["rows"] = save(first, "overwrite")
-            if more is not None:
-                facts["rows"] += save(more.repartition(version[1], *self.keys), "append")
+            else:
+                writer.parquet(path)
+            facts["rows"] += counted.get["n"]
         self._commit(path, schema, **facts)
 
     def replace(self, rows: DataFrame, run_id: str, at: str = "", bookmark: dict | None = None) -> None:
@@ -213,8 +218,8 @@ class TargetTable:
         if self.keys:
             order = [F.col(self.order_by).desc_nulls_last()] if self.order_by in rows.columns else []
             unique = latest_per_key(rows.where(has_key(self.keys)), self.keys, [*order, row_hash(rows)])
-            rows = unique.repartition(self.buckets, *self.keys)
-        self._write_base(version, rows, None, run_id=run_id, at=at, bookmark=bookmark)
+            rows = self._spread(unique, self.buckets)
+        self._write_base(version, [rows], run_id=run_id, at=at, bookmark=bookmark)
 
     def append(self, rows: DataFrame, run_id: str, rejected: Column | None = None) -> "Batch":
         """Write ``rows`` as a change batch. Nothing is visible before ``commit``.
@@ -247,11 +252,11 @@ class TargetTable:
     def compact(self) -> None:
         """Fold the changes into a new base; the old version stays readable."""
         version = self.version()
-        base, changed = self._parts()
-        if changed is None:
+        if not self.batches(version):
             return
+        *kept, changed = self._parts()
         folded = [{k: m.get(k) for k in ("run_id", "at", "bookmark", "rows")} for m in self.commits() if m.get("run_id")]
-        self._write_base((version[0] + 1, version[1] if self.keys else 0), base, changed, folded=folded)
+        self._write_base((version[0] + 1, version[1]), [*kept, self._spread(changed, version[1])], folded=folded)
 
     def compact_if_due(self) -> bool:
         """Compact a first load at once, later when changes are many or large beside the base."""
