@@ -18,7 +18,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from ferrywork.operators import deadletter, load, quality, runlog
+from ferrywork.operators import alerts, deadletter, load, quality, runlog
 from ferrywork.operators.state import BookmarkStore, file_name
 from ferrywork.operators.targets import DELETE, OP, UPSERT, TargetTable
 from ferrywork.operators.transforms import apply_steps
@@ -334,6 +334,15 @@ def run_pipeline(
     return outcome
 
 
+def run_alerts(ws: Workspace, run_id: str) -> DataFrame:
+    """Alert events of one logged run; see ``alerts`` for routing and text."""
+    runs = ws.read_log("runs", RUNS).where(F.col("id") == run_id).select(F.col("id").alias("run_id"), "pipeline_id")
+    stats = ws.read_log("run_table_stats", STATS).where(F.col("run_id") == run_id)
+    return alerts.alert_events(
+        stats.join(runs, "run_id").withColumns({"rows_synced": F.col("rows_loaded_analytics"), "passed": F.col("quality_passed")})
+    )
+
+
 def write_run_log(ws: Workspace, pipeline: Pipeline, outcome: RunResult, as_of: datetime, trigger: str) -> None:
     took = sum(t.duration_ms for t in outcome.tables)
     stats = [

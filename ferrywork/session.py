@@ -45,20 +45,25 @@ def sized_conf(input_bytes: int) -> dict[str, str]:
     }
 
 
+_test_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for written tables that every executor can reach.
 
     The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    and the session is local (tests) a temporary folder is made and remembered.
+    and the session is local (tests) a temporary folder is made, once per
+    application.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="ferrywork-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _test_dirs:
+        _test_dirs[context.applicationId] = tempfile.mkdtemp(prefix="ferrywork-")
+    return _test_dirs[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -79,16 +79,20 @@ def read_table(
 ) -> DataFrame:
     """Lazy frame over one source table.
 
-    For JDBC give ``partition_column`` and ``bounds``: the read is then split
-    into ``partitions`` range queries. Without them one task reads it all.
-    Filters and columns are pushed to the database by Spark.
+    For JDBC give a numeric, date or timestamp ``partition_column``: the read is
+    then split into ``partitions`` range queries between ``bounds``, which are
+    looked up where they are not given. Without a column one task reads it all,
+    which suits small tables only. Filters and columns are pushed to the
+    database by Spark.
     """
     connector = get_connector(name)
     reader = spark.read.format(connector.format).options(**connector_options(name, config))
     if connector.format == "jdbc":
         reader = reader.option("dbtable", table).option("fetchsize", fetch_size)
-        if partition_column and bounds:
-            low, high = bounds
+        if partition_column:
+            low, high = bounds or column_bounds(jdbc_reader(spark, name, config), table, partition_column)
+            if low is None:
+                return reader.load()
             reader = reader.options(
                 partitionColumn=partition_column, lowerBound=str(low), upperBound=str(high), numPartitions=str(partitions)
             )
@@ -98,6 +102,12 @@ def read_table(
     return reader.load(table)
 
 
+def column_bounds(query, table: str, column: str) -> tuple:
+    """Least and greatest value of a column; ``query`` maps SQL to a frame."""
+    row = query(f"SELECT MIN({column}) AS low, MAX({column}) AS high FROM {table}").first()
+    return tuple(row)
+
+
 def jdbc_reader(spark: SparkSession, name: str, config: dict):
     """``query -> frame`` for catalogue queries against a JDBC source."""
     options = connector_options(name, config)

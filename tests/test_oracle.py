@@ -21,6 +21,9 @@ def con():
 @pytest.mark.parametrize("key", sorted(queries()))
 def test_query_matches_its_sql(spark, con, key):
     df = queries()[key](spark, SF_DIR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    assert key == "t_script_udtf" or "MapIn" not in plan and "PythonUDF" not in plan
     if key in oracle_sql():
         assert compare(df, con, oracle_sql()[key]) == []
     else:

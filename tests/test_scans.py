@@ -119,6 +119,11 @@ def test_connectors():
     assert "url" not in connectors.connector_options("parquet", {})
 
 
+def test_bounds_are_looked_up(spark):
+    spark.range(5, 20).createOrReplaceTempView("bounded")
+    assert connectors.column_bounds(spark.sql, "bounded", "id") == (5, 19)
+
+
 def test_files_roundtrip(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id int, s string")
     for kind in ("parquet", "orc", "json", "csv"):

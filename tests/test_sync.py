@@ -212,3 +212,17 @@ def test_counts_come_from_the_write_itself(ws, spark, monkeypatch):
 
     monkeypatch.setattr(DataFrame, "count", no_count)
     assert run(ws, [USERS], {"users": frame(spark, [(1, "a", day(1), None)])}, 1).outcome == "success"
+
+
+def test_alerts_and_run_log_questions(ws, spark):
+    from ferrywork.operators import runlog
+
+    rows = [(1, "a", day(1), None), (None, "b", day(2), None)]
+    run(ws, [USERS, SyncTable("gone", keys=("id",))], {"users": frame(spark, rows)}, 1)
+    events = sorted((r["table_name"], r["event_type"]) for r in sync.run_alerts(ws, "run-1").collect())
+    assert events == [("gone", "failure"), ("users", "dead_letter"), ("users", "quality_breach"), ("users", "success")]
+    runs = ws.read_log("runs", sync.RUNS)
+    assert runlog.pipeline_stats(runs).first()["total_rows"] == 1
+    assert runlog.recent_runs(runs).first()["rows_synced"] == 1
+    assert runlog.run_summary(ws.read_log("run_table_stats", sync.STATS)).first()["status"] == "partial"
+    assert runlog.daily_run_stats(runs, "2024-01-02 00:00:00").first()["run_count"] == 1
