@@ -51,17 +51,19 @@ def assets(pipelines: DataFrame, tables: DataFrame, sources: DataFrame, runs: Da
     """Assets with status, rows, time and error of the pipeline's last run.
 
     The last run per pipeline is found first, so only its figures are joined.
+    Both uses of it read the same columns, so the runs are shuffled once.
     """
     last = last_run_per_pipeline(runs).select("pipeline_id", F.col("id").alias("run_id"), F.col("status").alias("_run_status"))
-    figures = stats.join(last.select("run_id", "pipeline_id"), "run_id").select(
+    figures = stats.join(last, "run_id").select(
         "pipeline_id",
+        F.col("_run_status").alias("_stat_run_status"),
         F.col("table_name").alias("name"),
         F.lit(True).alias("_has"),
         "rows_extracted", "rows_loaded_raw", "rows_loaded_analytics",
         F.col("duration_ms").alias("_duration"),
         F.col("error_message").alias("_error"),
     )
-    joined = layered_tables(named_tables(pipelines, tables, sources)).join(last.drop("run_id"), "pipeline_id", "left").join(figures, ["pipeline_id", "name"], "left")
+    joined = layered_tables(named_tables(pipelines, tables, sources)).join(last, "pipeline_id", "left").join(figures, ["pipeline_id", "name"], "left")
     zero = F.lit(0).cast("bigint")
     rows = (
         F.when(F.col("layer") == "source", F.col("rows_extracted"))
@@ -70,7 +72,7 @@ def assets(pipelines: DataFrame, tables: DataFrame, sources: DataFrame, runs: Da
     )
     return joined.select(
         "pipeline_id", "layer", "name", "source_table",
-        status_of(F.col("_run_status"), F.coalesce("_has", F.lit(False)), F.col("_error")).alias("status"),
+        status_of(F.coalesce("_stat_run_status", "_run_status"), F.coalesce("_has", F.lit(False)), F.col("_error")).alias("status"),
         F.coalesce(rows, zero).alias("rows"),
         F.coalesce("_duration", zero).alias("duration_ms"),
         F.col("_error").alias("error"),

@@ -34,25 +34,29 @@ def load_typed_append(spark, sf):
     return load.stamp(load.align_to(table(spark, sf, "orders"), schema), RUN_ID, now())
 
 
-# The target holds the orders up to the bookmark; changes come from all of them,
-# each order twice: as it is and, for even keys, once more later.
+# The target holds the orders up to the bookmark. The changes overlap it by a
+# year, and every open order is changed once more a day later.
+OVERLAP = "1997-01-01 00:00:00"
 _TARGET = f"SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate AS updated_at FROM orders WHERE o_orderdate <= timestamp '{BOOKMARK}'"
-_CHANGES = """SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate AS updated_at FROM orders WHERE o_orderkey % 3 = 0
-    UNION ALL SELECT o_orderkey, 'X', o_totalprice + 1, o_orderdate + INTERVAL 1 DAY FROM orders WHERE o_orderkey % 6 = 0"""
+_CHANGES = f"""SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate AS updated_at FROM orders WHERE o_orderdate > timestamp '{OVERLAP}'
+    UNION ALL SELECT o_orderkey, 'X', o_totalprice + 1, o_orderdate + INTERVAL 1 DAY FROM orders WHERE o_orderstatus = 'O'"""
+
+
+def order_rows(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").alias("updated_at"))
 
 
 def target_rows(spark, sf):
-    rows = table(spark, sf, "orders").where(F.col("o_orderdate") <= F.lit(BOOKMARK).cast("timestamp_ntz"))
-    return rows.select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").alias("updated_at"))
+    return order_rows(spark, sf).where(F.col("updated_at") <= F.lit(BOOKMARK).cast("timestamp_ntz"))
 
 
 def change_rows(spark, sf):
-    rows = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").alias("updated_at"))
-    later = rows.where("o_orderkey % 6 = 0").select(
+    rows = order_rows(spark, sf)
+    later = rows.where("o_orderstatus = 'O'").select(
         "o_orderkey", F.lit("X").alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"),
         (F.col("updated_at") + F.make_dt_interval(F.lit(1))).alias("updated_at"),
     )
-    return rows.where("o_orderkey % 3 = 0").unionByName(later)
+    return rows.where(F.col("updated_at") > F.lit(OVERLAP).cast("timestamp_ntz")).unionByName(later)
 
 
 _NEWEST = f"SELECT * FROM ({_CHANGES}) QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY updated_at DESC) = 1"
@@ -83,13 +87,14 @@ def delete_by_pk(spark, sf):
 
 @check(
     "schema_evolve_union",
-    """SELECT o_orderkey, o_orderstatus, NULL::varchar AS priority FROM orders WHERE o_orderkey % 2 = 0
-        UNION ALL SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 2 = 1""",
+    f"""SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderdate > timestamp '{BOOKMARK}' THEN o_orderpriority END AS priority FROM orders""",
 )
 def schema_evolve_union(spark, sf):
-    rows = table(spark, sf, "orders")
-    old = rows.where("o_orderkey % 2 = 0").select("o_orderkey", "o_orderstatus")
-    return load.evolve(old, rows.where("o_orderkey % 2 = 1").select("o_orderkey", "o_orderstatus", F.col("o_orderpriority").alias("priority")))
+    """Rows from before the bookmark were loaded when there was no priority yet."""
+    rows, moment = table(spark, sf, "orders"), F.lit(BOOKMARK).cast("timestamp_ntz")
+    old = rows.where(F.col("o_orderdate") <= moment).select("o_orderkey", "o_orderstatus")
+    new = rows.where(F.col("o_orderdate") > moment).select("o_orderkey", "o_orderstatus", F.col("o_orderpriority").alias("priority"))
+    return load.evolve(old, new)
 
 
 @check("raw_ttl_prune", f"SELECT event_id, ts FROM events WHERE date_trunc('hour', ts) + INTERVAL 7 DAY > timestamp '{AS_OF}'")

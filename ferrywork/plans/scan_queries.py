@@ -110,14 +110,20 @@ _DUCK_TYPES = """CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN
 _LISTED = ", ".join(f"'{t}'" for t in TABLES)
 
 
+_ROWS = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in TABLES)
+
+
 @check(
     "describe_columns",
-    f"""SELECT table_name, column_name, {_DUCK_TYPES} AS type, cast(ordinal_position AS bigint) AS position
-        FROM information_schema.columns WHERE table_name IN ({_LISTED})""",
+    f"""SELECT table_name, column_name, {_DUCK_TYPES} AS type, cast(ordinal_position AS bigint) AS position, row_count
+        FROM information_schema.columns JOIN ({_ROWS}) USING (table_name)""",
 )
 def describe_columns(spark, sf):
-    columns = catalog.columns_of({t: table(spark, sf, t) for t in TABLES}, "public")
-    return columns.select("table_name", "column_name", "type", F.col("position").cast("bigint").alias("position"))
+    frames = {t: table(spark, sf, t) for t in TABLES}
+    columns = catalog.columns_of(frames, "public").select(
+        "table_name", "column_name", "type", F.col("position").cast("bigint").alias("position")
+    )
+    return columns.join(catalog.tables_of(frames, "public").select("table_name", "row_count"), "table_name")
 
 
 @check(
@@ -133,16 +139,20 @@ def infer_json_schema(spark, sf):
 
 @check(
     "detect_sync_mode",
-    """SELECT table_name, CASE WHEN max(x) = 1 THEN 'incremental' ELSE 'full_refresh' END AS sync_mode,
-            CASE WHEN max(x) = 1 THEN 'updated_at' END AS bookmark_column, CASE WHEN max(x) = 1 THEN 'deleted_at' END AS deleted_at_column
-        FROM (SELECT 'src_orders' AS table_name, 1 AS x UNION ALL SELECT table_name, 0 FROM information_schema.columns
-              WHERE table_name IN ('orders', 'events', 'lineitem'))
-        GROUP BY table_name""",
+    """SELECT 'src_orders' AS table_name, 'incremental' AS sync_mode, 'updated_at' AS bookmark_column, 'deleted_at' AS deleted_at_column,
+            count(*) AS row_count, max(updated_at) AS newest FROM src_orders
+        UNION ALL SELECT 'orders', 'full_refresh', NULL, NULL, count(*), NULL FROM orders
+        UNION ALL SELECT 'events', 'incremental', 'created_at', NULL, count(*), max(ts) FROM events""",
+    ("src_orders",),
 )
 def detect_sync_mode(spark, sf):
-    frames = {t: table(spark, sf, t) for t in ("orders", "events", "lineitem")}
-    frames["src_orders"] = view(spark, sf, "src_orders")
-    return catalog.detect_sync_modes(catalog.columns_of(frames, "public")).drop("schema_name")
+    """Sync mode per table, with its rows and the newest value of the column it found."""
+    frames = {
+        "orders": table(spark, sf, "orders"),
+        "events": table(spark, sf, "events").withColumnRenamed("ts", "created_at"),
+        "src_orders": view(spark, sf, "src_orders"),
+    }
+    return catalog.discover(frames, "public").drop("schema_name", "column_count")
 
 
 @check("raw_json_extract", "SELECT event_id, cast(json_extract_string(props, '$.k') AS bigint) AS k FROM events")
@@ -202,12 +212,15 @@ def table_globs(spark, sf):
 
 @check(
     "schema_drift",
-    "SELECT 'orders' AS table_name, unnest(['deleted_at', 'updated_at']) AS column_name, 'timestamp_ntz' AS type",
+    """SELECT 'orders' AS table_name, name AS column_name, type FROM (SELECT unnest(['deleted_at', 'updated_at']) AS name, 'text' AS type)
+        WHERE (SELECT count(*) FROM orders) > 0""",
 )
 def schema_drift(spark, sf):
-    source = catalog.columns_of({"orders": view(spark, sf, "src_orders").withColumn("_x", F.lit(1))}, "public")
+    """Fields found in all documents that the target table has no column for."""
+    documents = view(spark, sf, "src_orders").withColumn("_x", F.lit(1)).select(F.to_json(F.struct("*")).alias("doc"))
+    found = catalog.infer_document_columns(documents, "doc").withColumn("table_name", F.lit("orders"))
     target = catalog.columns_of({"orders": table(spark, sf, "orders").withColumnRenamed("o_custkey", "O_CUSTKEY")}, "public")
-    return catalog.new_columns(source, target).select("table_name", "column_name", "type")
+    return catalog.new_columns(found, target).select("table_name", "column_name", "type")
 
 
 # -- bookmarks ------------------------------------------------------------------

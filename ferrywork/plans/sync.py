@@ -23,9 +23,8 @@ from ferrywork.operators.state import BookmarkStore, file_name
 from ferrywork.operators.targets import DELETE, OP, UPSERT, TargetTable
 from ferrywork.operators.transforms import apply_steps
 from ferrywork.sources import folders
-from ferrywork.sources.scans import (
-    CHANGE_COLUMNS, CREATED_COLUMN, DELETED_COLUMN, bounded_rows, find_column, incremental_rows, live_rows, soft_deleted_rows,
-)
+from ferrywork.sources.catalog import bookmark_column_of
+from ferrywork.sources.scans import DELETED_COLUMN, bounded_rows, find_column, incremental_rows, live_rows, soft_deleted_rows
 
 log = logging.getLogger(__name__)
 
@@ -150,8 +149,7 @@ def pick_bookmark_column(table: SyncTable, source: DataFrame) -> str | None:
     """The configured column, else the first change column, else the creation column."""
     if table.bookmark_column:
         return find_column(source, table.bookmark_column)
-    changed = [c for c in source.columns if c.lower() in CHANGE_COLUMNS]
-    return changed[0] if changed else find_column(source, CREATED_COLUMN)
+    return bookmark_column_of(source.columns)
 
 
 def conform(rows: DataFrame, known, rejects: str) -> DataFrame:

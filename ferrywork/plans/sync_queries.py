@@ -42,7 +42,7 @@ def sync_slice(spark, sf):
 def full_refresh_load(spark, sf):
     source = view(spark, sf, "src_orders").select("o_orderkey", "o_custkey", "o_totalprice", "updated_at", "deleted_at")
     target = TargetTable(spark, scratch_path(spark, "refresh"), "orders", ["o_orderkey"], "updated_at")
-    target.replace(source.where("o_orderkey % 2 = 0").drop("deleted_at"), "run-1")
+    target.replace(source.where(F.col("updated_at") <= F.lit(BOOKMARK).cast("timestamp_ntz")).drop("deleted_at"), "run-1")
     target.replace(live_rows(source).drop("deleted_at"), "run-2")
     return target.read()
 

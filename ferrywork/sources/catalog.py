@@ -107,6 +107,27 @@ def detect_sync_modes(columns: DataFrame) -> DataFrame:
     )
 
 
+def discover(tables: dict[str, DataFrame], schema_name: str = "default") -> DataFrame:
+    """Per table: rows, columns, sync mode and the newest value of its bookmark column."""
+    modes = detect_sync_modes(columns_of(tables, schema_name))
+    newest = None
+    for name, df in sorted(tables.items()):
+        column = bookmark_column_of(df.columns)
+        top = F.max(column) if column else F.lit(None)
+        part = df.agg(F.count("*").alias("row_count"), top.cast("timestamp_ntz").alias("newest")).select(
+            F.lit(name).alias("table_name"), "row_count", F.lit(len(df.columns)).cast("bigint").alias("column_count"), "newest"
+        )
+        newest = part if newest is None else newest.unionByName(part)
+    return modes.join(newest, "table_name")
+
+
+def bookmark_column_of(columns: list[str]) -> str | None:
+    """First change column in column order, else the creation column."""
+    changed = [c for c in columns if c.lower() in CHANGE_COLUMNS]
+    created = [c for c in columns if c.lower() == CREATED_COLUMN]
+    return (changed + created + [None])[0]
+
+
 def parse_table_filter(text: str) -> tuple[list[str], list[str]]:
     """Include and exclude globs of ``"a*, +b, -c"``."""
     words = [w.strip() for w in text.split(",") if w.strip()]
@@ -153,7 +174,7 @@ def infer_document_columns(df: DataFrame, column: str, id_column: str = "_id") -
     )
     seen = {k: F.count_if(F.col("kind") == k) > 0 for k in ("boolean", "bigint", "double", "json", "text")}
     kinds = sum((c.cast("int") for c in seen.values()), F.lit(0))
-    one = F.max("kind")
+    one = F.coalesce(*[F.when(c, k) for k, c in seen.items()])
     numeric = seen["bigint"] & seen["double"] & (kinds == 2)
     return (
         fields.select("column_name", kind.alias("kind"))

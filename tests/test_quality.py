@@ -60,3 +60,11 @@ def test_align_to_target_types(spark):
     df = spark.createDataFrame([("7", 1), ("x", 2)], "N string, extra int")
     schema = spark.createDataFrame([], "n int, m string").schema
     assert [tuple(r) for r in load.align_to(df, schema).collect()] == [(7, None), (None, None)]
+
+
+def test_listings_are_sorted_by_kind(spark):
+    from ferrywork.operators import runlog
+
+    df = spark.createDataFrame([(2, "b"), (10, "A"), (1, None), (3, "B")], "n int, s string").repartition(3)
+    assert [r["n"] for r in runlog.sorted_listing(df, "n", True).collect()] == [10, 3, 2, 1]
+    assert [r["s"] for r in runlog.sorted_listing(df, "s").collect()] == ["A", "B", "b", None]
