@@ -172,6 +172,10 @@ class Compiler(ast.NodeVisitor):
             return Value(_floor_mod(a, b, kind), kind, None)
         if isinstance(op, ast.FloorDiv):
             return Value(_floor_div(a, b, kind), kind, None)
+        if kind == INT and isinstance(op, (ast.BitAnd, ast.BitOr, ast.BitXor)):
+            bits = {ast.BitAnd: a.bitwiseAND(b), ast.BitOr: a.bitwiseOR(b), ast.BitXor: a.bitwiseXOR(b)}[type(op)]
+            both = left.kind == right.kind == BOOL
+            return Value(bits != 0 if both else bits, BOOL if both else INT, _merged_nulls(left, right))
         if isinstance(op, ast.Pow):
             power = F.pow(a.cast("double"), b.cast("double"))
             power = F.when(~F.isnan(power) & (F.abs(power) != float("inf")), power)
@@ -413,31 +417,64 @@ class Compiler(ast.NodeVisitor):
     def method(self, name: str, target: Value, arg_nodes) -> Value:
         if target.kind != STR:
             raise ExpressionError(f"method {name!r} needs text")
+        if name == "join" and len(arg_nodes) == 1 and isinstance(arg_nodes[0], (ast.Tuple, ast.List)):
+            parts = [self.visit(e) for e in arg_nodes[0].elts]
+            if any(p.kind != STR for p in parts):
+                return _undefined(STR)
+            missing = _any_of([v.is_null() for v in (target, *parts)])
+            return Value(F.when(~missing, F.concat_ws("", *_between(parts, target.col))), STR, _merged_nulls(target, *parts))
+        if name == "zfill" and len(arg_nodes) == 1:
+            return self.zero_filled(target, self.literal_int(arg_nodes[0]))
         args = [self.visit(a) for a in arg_nodes]
         if any(a.kind != STR for a in args):
             return _undefined(STR)
         text, nulls = target.col, _merged_nulls(target, *args)
-        plain = {"lower": F.lower, "upper": F.upper, "strip": pytext.strip}
-        edges = {"lstrip": r"(?U)^\s+", "rstrip": r"(?U)\s+$"}
-        if not args and name in plain:
-            return Value(plain[name](text), STR, nulls)
-        if not args and name in edges:
-            return Value(F.regexp_replace(text, edges[name], ""), STR, nulls)
+        literals = [a.value for a in arg_nodes if isinstance(a, ast.Constant)]
+        if name in ("strip", "lstrip", "rstrip") and len(args) == len(literals) <= 1:
+            return Value(self.stripped(name, text, *literals), STR, nulls)
+        if not args and name in ("lower", "upper"):
+            return Value(F.lower(text) if name == "lower" else F.upper(text), STR, nulls)
+        if not args and name == "capitalize":
+            return Value(F.concat(F.upper(F.left(text, F.lit(1))), F.lower(text.substr(F.lit(2), F.length(text)))), STR, nulls)
         if name == "replace" and len(args) == 2:
             return Value(F.replace(text, args[0].col, args[1].col), STR, nulls)
         if name == "startswith" and len(args) == 1:
             return Value(F.startswith(text, args[0].col), BOOL, nulls)
         if name == "endswith" and len(args) == 1:
             return Value(F.endswith(text, args[0].col), BOOL, nulls)
+        if name == "removeprefix" and len(args) == 1:
+            rest = text.substr(F.length(args[0].col) + 1, F.length(text))
+            found = F.startswith(text, args[0].col)
+            return Value(F.when(found, rest).when(~found, text), STR, nulls)
+        if name == "removesuffix" and len(args) == 1:
+            rest = text.substr(F.lit(1), F.length(text) - F.length(args[0].col))
+            found = F.endswith(text, args[0].col)
+            return Value(F.when(found, rest).when(~found, text), STR, nulls)
+        if name == "find" and len(args) == 1:
+            return Value((F.call_function("instr", text, args[0].col) - 1).cast("bigint"), INT, nulls)
+        if name == "count" and len(args) == len(literals) == 1 and literals[0]:
+            removed = F.length(text) - F.length(F.replace(text, args[0].col, F.lit("")))
+            return Value((removed / len(literals[0])).cast("bigint"), INT, nulls)
         if name == "split":
             if not args:
                 words = F.filter(F.split(text, r"(?U)\s+"), lambda w: F.length(w) > 0)
                 return Value(words, LIST, nulls)
-            separator = arg_nodes[0]
-            if isinstance(separator, ast.Constant) and separator.value:
-                return Value(F.split(text, re.escape(separator.value)), LIST, nulls)
+            if len(args) == len(literals) == 1 and literals[0]:
+                return Value(F.split(text, re.escape(literals[0])), LIST, nulls)
         raise ExpressionError(f"method {name!r} with {len(args)} arguments is not supported")
 
+    def stripped(self, name: str, text: Column, chars: str | None = None) -> Column:
+        unit = r"\s" if chars is None else "[" + "".join("\\" + c if not c.isalnum() else c for c in chars) + "]"
+        edges = {"strip": f"^{unit}+|{unit}+$", "lstrip": f"^{unit}+", "rstrip": f"{unit}+$"}
+        return text if chars == "" else F.regexp_replace(text, "(?U)" + edges[name], "")
+
+    def zero_filled(self, target: Value, width: int) -> Value:
+        text = target.col
+        sign = F.when(F.left(text, F.lit(1)).isin("+", "-"), F.left(text, F.lit(1))).otherwise("")
+        digits = text.substr(F.length(sign) + 1, F.length(text))
+        filled = F.concat(sign, F.lpad(digits, F.lit(width) - F.length(sign), "0"))
+        return Value(F.when(F.length(text) >= width, text).otherwise(filled), STR, target.null_if)
+
     def literal_int(self, node) -> int:
         try:
             value = ast.literal_eval(node)
@@ -471,6 +508,13 @@ class Compiler(ast.NodeVisitor):
         return Value(F.when(inside, target.col.substr(position, F.lit(1))), STR, None)
 
 
+def _between(parts: list[Value], separator: Column) -> list[Column]:
+    out = []
+    for part in parts:
+        out += [separator, part.col] if out else [part.col]
+    return out
+
+
 def _floor_mod(a: Column, b: Column, kind: str) -> Column:
     rest = F.try_mod(a, b)
     return F.when((rest != 0) & ((rest < 0) != (b < 0)), rest + b).otherwise(rest)

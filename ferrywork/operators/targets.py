@@ -136,9 +136,10 @@ class TargetTable:
         table = f"{self._label}_v{version[0]}"
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
         by = ", ".join(f"`{k}`" for k in self.keys)
+        quoted = path.replace("'", "\\'")
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet "
-            f"CLUSTERED BY ({by}) SORTED BY ({by}) INTO {version[1]} BUCKETS LOCATION '{path}'"
+            f"CLUSTERED BY ({by}) SORTED BY ({by}) INTO {version[1]} BUCKETS LOCATION '{quoted}'"
         )
         return self.spark.table(table)
 
@@ -149,11 +150,16 @@ class TargetTable:
         return reader.parquet(*paths).where(~F.col(REJECTED)).drop(REJECTED, *ERRORS)
 
     def _newest(self, changes: DataFrame) -> DataFrame:
-        # Within a batch a delete wins: its scan may have come after the other.
-        order = [F.col(BATCH).desc(), F.col(OP).asc()]
+        """Last change per key: by batch, then by the order column.
+
+        A delete that brings only its key wins within its batch, because its
+        scan may have come after the other one.
+        """
+        order = [F.col(BATCH).desc()]
         if self.order_by in changes.columns:
-            order.append(F.col(self.order_by).desc_nulls_last())
-        return latest_per_key(changes, self.keys, [*order, row_hash(changes)])
+            moment = F.col(self.order_by)
+            order += [(moment.isNull() & (F.col(OP) == DELETE)).desc(), moment.desc_nulls_last()]
+        return latest_per_key(changes, self.keys, [*order, F.col(OP).asc(), row_hash(changes)])
 
     def _parts(self) -> list[DataFrame]:
         """The untouched base rows and the rows that changed, whichever there are."""
@@ -268,9 +274,11 @@ class TargetTable:
         due = due or changed > self.compact_share * (base.get("rows") or 0)
         if due:
             self.compact()
+            self.drop_old_versions()
         return due
 
     def drop_old_versions(self, keep: int = 2) -> None:
+        """Readers that began on the version before the newest may still finish."""
         names = [n for n in folders.child_names(self.spark, self.path) if re.fullmatch(r"v=\d+\.b=\d+", n)]
         for name in names[:-keep]:
             self.spark.sql(f"DROP TABLE IF EXISTS {self._label}_v{int(name[2:7])}")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ferrywork.operators import deadletter, load
-from ferrywork.operators.targets import TargetTable
+from ferrywork.operators.targets import DELETE, OP, UPSERT, TargetTable
 from ferrywork.operators.transforms import apply_steps
 
 
@@ -30,8 +30,12 @@ def stream_sync(
     required: list[str] | None = None,
     output_mode: str = "append",
     scripts: dict | None = None,
+    deleted_column: str | None = None,
 ) -> StreamingQuery:
-    """Load everything that is available, then stop."""
+    """Load everything that is available, then stop.
+
+    Rows with a value in ``deleted_column`` delete their key.
+    """
     needed = list(dict.fromkeys([*target.keys, *(required or [])]))
 
     def load_batch(batch: DataFrame, number: int) -> None:
@@ -40,6 +44,9 @@ def stream_sync(
             return
         rows = apply_steps(batch, transforms, scripts, rejects="_casts")
         checked = deadletter.row_errors(load.stamp(rows, run_id, F.current_timestamp()), needed, "_casts")
+        if deleted_column:
+            gone = F.col(deleted_column).isNotNull()
+            checked = checked.withColumn(OP, F.when(gone, DELETE).otherwise(UPSERT))
         target.append(checked, run_id, rejected=F.col(deadletter.ERROR_TYPE).isNotNull()).commit()
         target.compact_if_due()
 

@@ -51,6 +51,9 @@ VALUES = [
     "a if f else b", "s if a > 1 else t", "a if x > 1 else x", "a and b", "a or b", "s or t", "not s", "f and a > 1",
     "1 < a < 6", "a == b", "a == s", "a != s", "s in ('abc', '12')", "a not in (1, 2, 'q')", "t in s", "a in (b, 7)",
     "a is None", "s is not None", "a < s", "x == a", "f == True", "f + 1 > a", "x > 1 or a / b > 2",
+    "s.strip('a ')", "s.rstrip('c')", "s.lstrip('-x]')", "s.capitalize()", "s.find('b')", "s.find(t)", "s.count('a')", "s.count('b,')",
+    "s.removeprefix('ab')", "s.removesuffix('c')", "s.removesuffix(t)", "'-'.join([s, t])", "t.join((s, 'q', s))", "s.zfill(5)", "str(a).zfill(4)",
+    "a & b", "a | 1", "a ^ b", "f & f", "f | True",
     "y > 0", "y >= x", "x < y", "y == y", "y != y", "y != 2.0", "y == 0.3", "1 > y", "not y > 0", "y <= 5.0",
 ]
 CONDITIONS = [

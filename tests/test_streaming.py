@@ -33,6 +33,20 @@ def test_bad_rows_are_kept_apart(spark, tmp_path):
     assert [r["id"] for r in target.read().collect()] == [1]
 
 
+def test_deletes_and_returns_follow_the_order_column(spark, tmp_path):
+    folder = str(tmp_path)
+    schema = "id bigint, v bigint, s string, deleted_at timestamp"
+    from datetime import datetime
+
+    at = datetime(2024, 1, 1)
+    rows = [(1, 1, "a", None), (1, 2, "a", at), (2, 1, "b", at), (2, 2, "b2", None), (3, 1, "c", None)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/in")
+    target = TargetTable(spark, folder, "out", ["id"], "v")
+    stream = streams.file_stream(spark, f"{folder}/in", "*.parquet", spark.createDataFrame([], schema).schema)
+    streams.stream_sync(stream, target, "d", f"{folder}/_checkpoint", deleted_column="deleted_at").awaitTermination()
+    assert sorted((r["id"], r["s"]) for r in target.read().collect()) == [(2, "b2"), (3, "c")]
+
+
 def test_repeated_keys_are_dropped(spark, tmp_path):
     folder = str(tmp_path)
     rows = spark.range(50).select((F.col("id") % 10).alias("id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("t"))

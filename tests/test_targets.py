@@ -165,3 +165,13 @@ def test_one_key_with_a_third_of_all_rows(spark, target):
 def test_marker_is_one_file(target):
     put(target, [(1, 1, "a")], "r1")
     assert MARKER in folders.child_names(target.spark, f"{target.path}/v=00001.b=4/changes/batch=00001")
+
+
+def test_old_versions_go_after_compaction(target):
+    target.compact_after = 1
+    for n in range(4):
+        put(target, [(n, n, "a")], f"r{n}")
+        assert target.compact_if_due()
+    assert [n[:7] for n in folders.child_names(target.spark, target.path)] == ["v=00004", "v=00005"]
+    assert rows(target.read(), "k") == [(0,), (1,), (2,), (3,)]
+    assert target.commit_of("r3") and target.version()[0] == 5
