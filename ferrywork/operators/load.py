@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -31,9 +31,15 @@ def raw_table_name(source: str, table: str) -> str:
     return f"{safe_name(source)}_{safe_name(table)}_raw"
 
 
-def write_raw(rows: DataFrame, path: str) -> None:
-    """Append raw rows by day, so that expiry drops whole folders."""
-    rows.withColumn("_day", F.to_date("_extracted_at")).write.mode("append").partitionBy("_day").parquet(path)
+def write_raw(rows: DataFrame, path: str, run_id: str, day: date) -> str:
+    """Write one run's raw rows to a folder of its own; returns the folder.
+
+    Days are the outer folders, so expiry drops whole days; a run that is
+    repeated replaces its rows.
+    """
+    folder = f"{path}/_day={day:%Y-%m-%d}/of_run={folders.file_name(run_id)}"
+    rows.write.mode("overwrite").parquet(folder)
+    return folder
 
 
 def live_raw_rows(rows: DataFrame, as_of: Column, moment: str = "_extracted_at", days: int = RAW_TTL_DAYS) -> DataFrame:

@@ -8,12 +8,12 @@ column's type when they are used. One row per table and run keeps it small.
 from __future__ import annotations
 
 import json
-from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ferrywork.operators.merge import latest_per_key, newest_first
 from ferrywork.sources import folders
+from ferrywork.sources.folders import file_name
 
 BOOKMARK_SCHEMA = (
     "pipeline_id string, source_table string, bookmark_column string, bookmark_value string, "
@@ -103,6 +103,3 @@ class BookmarkStore:
         """The next run of this table starts past ``value``."""
         self.put(pipeline_id, source_table, column, value, 0, run_id, at)
 
-
-def file_name(text: str) -> str:
-    return quote(str(text), safe="-_")

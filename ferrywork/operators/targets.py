@@ -245,7 +245,7 @@ class TargetTable:
         if OP not in rows.columns:
             added[OP] = F.lit(UPSERT)
         out = rows.withColumns(added)
-        out.write.mode("overwrite").partitionBy(REJECTED).parquet(path)
+        out.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(REJECTED).parquet(path)
         return Batch(self, path, run_id, T.StructType([T.StructField(f.name, f.dataType) for f in out.schema.fields]))
 
     def _check_types(self, rows: DataFrame) -> None:

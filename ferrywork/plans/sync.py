@@ -19,10 +19,11 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ferrywork.operators import alerts, deadletter, load, quality, runlog
-from ferrywork.operators.state import BookmarkStore, file_name
+from ferrywork.operators.state import BookmarkStore
 from ferrywork.operators.targets import DELETE, OP, UPSERT, TargetTable
 from ferrywork.operators.transforms import apply_steps
 from ferrywork.sources import folders
+from ferrywork.sources.folders import file_name
 from ferrywork.sources.catalog import bookmark_column_of
 from ferrywork.sources.scans import DELETED_COLUMN, bounded_rows, find_column, incremental_rows, live_rows, soft_deleted_rows
 
@@ -92,7 +93,10 @@ class TableResult:
 
 @dataclass
 class RunResult:
-    """``status`` tells whether the run came to its end; ``outcome`` looks at the tables."""
+    """``status`` tells whether the run came to its end; ``outcome`` looks at the tables.
+
+    The run log has a run as failed where every table of it failed.
+    """
 
     run_id: str
     status: str
@@ -194,9 +198,9 @@ def sync_table(ws: Workspace, pipeline: Pipeline, table: SyncTable, source: Data
         # The typed load reads this run's raw rows back, not the source again.
         path = ws.raw_path(pipeline.source_name, table.source_table)
         landed = Observation()
-        load.write_raw(load.raw_rows(rows, run_id, stamp).observe(landed, F.count("*").alias("n")), path)
+        raw = load.raw_rows(rows, run_id, stamp).observe(landed, F.count("*").alias("n"))
+        mine = spark.read.parquet(load.write_raw(raw, path, run_id, as_of.date()))
         result.rows_raw = landed.get["n"]
-        mine = spark.read.parquet(path).where((F.col("_day") == F.to_date(stamp)) & (F.col(load.RUN_ID) == run_id))
         rows = load.parse_raw(mine, rows.schema).drop(load.RUN_ID, "_extracted_at")
 
     if known is not None and known.fields:
@@ -353,7 +357,8 @@ def write_run_log(ws: Workspace, pipeline: Pipeline, outcome: RunResult, as_of:
         for t in outcome.tables
     ]
     run = {
-        "id": outcome.run_id, "pipeline_id": pipeline.id, "status": outcome.status, "started_at": as_of.isoformat(),
+        "id": outcome.run_id, "pipeline_id": pipeline.id,
+        "status": runlog.FAILED if outcome.outcome == "failed" else outcome.status, "started_at": as_of.isoformat(),
         "finished_at": (as_of + timedelta(milliseconds=took)).isoformat(), "duration_ms": took, "rows_synced": outcome.rows_synced,
         "trigger_type": trigger, "error_message": "; ".join(f"{t.table}: {t.error}" for t in outcome.tables if t.error) or None,
     }

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import SparkSession
 
 
+def file_name(text: str) -> str:
+    """Any text as one path element."""
+    return quote(str(text), safe="-_")
+
+
 def _open(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target, target.getFileSystem(spark._jsc.hadoopConfiguration())

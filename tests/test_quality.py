@@ -44,8 +44,10 @@ def test_raw_rows_roundtrip_and_expiry(spark, tmp_path):
     df = spark.createDataFrame([(1, None, 1.5), (1, None, 1.5), (2, "x", None)], "a int, b string, c double")
     old = load.raw_rows(df, "r1", F.lit(datetime(2024, 1, 1, 5, 30)))
     new = load.raw_rows(df, "r2", F.lit(datetime(2024, 1, 9)))
-    load.write_raw(old, str(tmp_path / "raw"))
-    load.write_raw(new, str(tmp_path / "raw"))
+    load.write_raw(old, str(tmp_path / "raw"), "r1", datetime(2024, 1, 1))
+    load.write_raw(new, str(tmp_path / "raw"), "r2", datetime(2024, 1, 9))
+    # A repeated run replaces its own rows.
+    load.write_raw(new, str(tmp_path / "raw"), "r2", datetime(2024, 1, 9))
     raw = spark.read.parquet(str(tmp_path / "raw"))
     assert sorted(map(repr, load.parse_raw(raw.where("_run_id = 'r2'"), df.schema).select("a", "b", "c").collect())) == sorted(map(repr, df.collect()))
     as_of = F.lit(datetime(2024, 1, 8, 5, 0))

@@ -190,6 +190,24 @@ def test_dependency_gate_in_a_run(ws, spark):
     assert run(ws, [], frames, 4, pipeline=later).status == "skipped"
 
 
+def test_a_run_whose_tables_all_failed_does_not_open_the_gate(ws, spark):
+    assert run(ws, [USERS], {}, 1).outcome == "failed"
+    assert ws.read_log("runs", sync.RUNS).first()["status"] == "failed"
+    later = Pipeline("p2", "shop", (USERS,), depends_on="p1")
+    assert run(ws, [], {}, 2, pipeline=later).status == "skipped"
+
+
+def test_raw_run_that_died_is_replaced(ws, spark, monkeypatch):
+    table = SyncTable("users", bookmark_column="updated_at", load_mode="raw")
+    frames = {"users": frame(spark, [(1, "a", day(1), None)])}
+    with monkeypatch.context() as patch:
+        patch.setattr(sync.TargetTable, "append", lambda *a, **k: 1 / 0)
+        assert run(ws, [table], frames, 1).outcome == "failed"
+    assert run(ws, [table], frames, 1).outcome == "success"
+    assert ws.target(table).read().count() == 1
+    assert spark.read.parquet(ws.raw_path("Shop-DB", "users")).count() == 1
+
+
 def test_disabled_tables_are_left_out(ws, spark):
     assert run(ws, [SyncTable("users", enabled=False)], {}, 1).tables == []
 
