@@ -45,7 +45,7 @@ def mark_duplicates(df: DataFrame, keys: list[str], order_by: list[str]) -> Data
     clean = flagged.where(F.col("_hit").isNull() | ~good).select(*df.columns)
     folded = flagged.where(F.col("_hit") & good).groupBy(*columns).agg(F.count("*").alias("_copies"))
     rest = [c for c in columns if c not in keys and c not in order_by]
-    place = F.struct(*order_by, *rest)
+    place = F.struct(*order_by, *rest) if order_by or rest else F.lit(0)
     firsts = folded.groupBy(*keys).agg(F.min(place).alias("_first"))
     ranked = folded.join(firsts, keys).withColumn("_is_first", place == F.col("_first"))
     copies = ranked.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))

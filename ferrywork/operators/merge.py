@@ -20,7 +20,12 @@ def newest_first(*columns: str) -> list[Column]:
 
 def row_hash(df: DataFrame) -> Column:
     """Hash over all columns; the last tie-break, so that results repeat."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    def hashable(field):
+        col = F.col(f"`{field.name}`")
+        text = field.dataType.simpleString()
+        return F.to_json(F.struct(col)) if "map<" in text or "variant" in text else col
+
+    return F.xxhash64(*[hashable(f) for f in df.schema.fields])
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order_by: list[Column]) -> DataFrame:

@@ -23,8 +23,8 @@ from ferrywork.operators.state import BookmarkStore
 from ferrywork.operators.targets import DELETE, OP, UPSERT, TargetTable
 from ferrywork.operators.transforms import apply_steps
 from ferrywork.sources import folders
+from ferrywork.sources.catalog import bookmark_column_of, matches_globs, parse_table_filter
 from ferrywork.sources.folders import file_name
-from ferrywork.sources.catalog import bookmark_column_of
 from ferrywork.sources.scans import DELETED_COLUMN, bounded_rows, find_column, incremental_rows, live_rows, soft_deleted_rows
 
 log = logging.getLogger(__name__)
@@ -44,7 +44,11 @@ STATS = (
 
 @dataclass(frozen=True)
 class SyncTable:
-    """How one table is synced. ``keys`` are target columns; ``source_keys`` default to them."""
+    """How one table is synced. ``keys`` are target columns; ``source_keys`` default to them.
+
+    Of several rows with one key the newest is kept; with ``reject_duplicates``
+    the first is kept and the others become dead letters.
+    """
 
     source_table: str
     keys: tuple[str, ...] = ()
@@ -60,6 +64,7 @@ class SyncTable:
     lookback: str | None = None
     auto_evolve: bool = False
     include_touched: bool = True
+    reject_duplicates: bool = False
     enabled: bool = True
     buckets: int | None = None
 
@@ -141,6 +146,17 @@ class Workspace:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).json(path)
 
+    def prune_logs(self, as_of: datetime, days: int = 90) -> int:
+        """Remove the log files of runs past their time; returns how many runs went."""
+        runs = self.read_log("runs", RUNS)
+        old = runs.join(runlog.retained_runs(runs, as_of.isoformat(), days).select("id"), "id", "left_anti").select("id")
+        gone = 0
+        for row in old.toLocalIterator():
+            for name in ("run_table_stats", "runs"):
+                folders.remove(self.spark, f"{self.log_path(name)}/{file_name(row['id'])}.json")
+            gone += 1
+        return gone
+
     def write_dead_letters(self, letters: DataFrame, table: str, run_id: str) -> None:
         """One folder per table and run, so that a repeated run replaces its own."""
         letters.write.mode("overwrite").parquet(f"{self.log_path('dead_letters')}/of_table={file_name(table)}/of_run={file_name(run_id)}")
@@ -156,6 +172,19 @@ def pick_bookmark_column(table: SyncTable, source: DataFrame) -> str | None:
     return bookmark_column_of(source.columns)
 
 
+def tables_from(discovered: DataFrame, keys: dict[str, tuple[str, ...]] | None = None, table_filter: str = "") -> tuple[SyncTable, ...]:
+    """Sync settings for the tables of a ``catalog.discover`` frame that pass the filter."""
+    include, exclude = parse_table_filter(table_filter)
+    wanted = discovered.where(matches_globs(F.col("table_name"), include, exclude)).orderBy("table_name")
+    return tuple(
+        SyncTable(
+            row["table_name"], keys=tuple((keys or {}).get(row["table_name"], ())), sync_mode=row["sync_mode"],
+            bookmark_column=row["bookmark_column"], deleted_column=row["deleted_at_column"] or DELETED_COLUMN,
+        )
+        for row in wanted.collect()
+    )
+
+
 def conform(rows: DataFrame, known, rejects: str) -> DataFrame:
     """Columns the target already has take its types; misfits are named in ``rejects``."""
     types = {f.name: f.dataType for f in known.fields}
@@ -213,6 +242,11 @@ def sync_table(ws: Workspace, pipeline: Pipeline, table: SyncTable, source: Data
 
     required = list(dict.fromkeys([*table.keys, *table.required]))
     checked = deadletter.row_errors(load.stamp(rows, run_id, stamp), required, "_casts")
+    if table.reject_duplicates and table.keys:
+        # Looked at several times, so the rows are written first and not read from the source again.
+        staged = f"{ws.root}/staging/{target.path.rsplit('/', 1)[1]}-checked"
+        checked.write.mode("overwrite").parquet(staged)
+        checked = deadletter.mark_duplicates(spark.read.schema(checked.schema).parquet(staged), list(table.keys), [bookmark_column] if bookmark_column in checked.columns else [])
     good = F.col(deadletter.ERROR_TYPE).isNull()
     counted = Observation()
     nulls = [F.count_if(good & F.col(f"`{c}`").isNull()).alias(f"nulls_{c}") for c in required if c in checked.columns]

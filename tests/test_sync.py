@@ -208,6 +208,47 @@ def test_raw_run_that_died_is_replaced(ws, spark, monkeypatch):
     assert spark.read.parquet(ws.raw_path("Shop-DB", "users")).count() == 1
 
 
+def test_duplicates_can_be_rejected(ws, spark):
+    rows = [(1, "first", day(1), None), (1, "second", day(2), None), (1, "second", day(2), None), (2, "b", day(1), None)]
+    kept = SyncTable("users", keys=("id",), bookmark_column="updated_at", reject_duplicates=True)
+    result = run(ws, [kept], {"users": frame(spark, rows)}, 1).tables[0]
+    assert (result.rows_extracted, result.rows_loaded, result.rows_failed) == (4, 2, 2)
+    assert current(ws, kept) == [(1, "first"), (2, "b")]
+    assert {r["error_type"] for r in ws.dead_letters().collect()} == {"PK_DUPLICATE"}
+    merged = Workspace(spark, ws.root + "-merged")
+    run(merged, [USERS], {"users": frame(spark, rows)}, 1)
+    assert current(merged, USERS) == [(1, "second"), (2, "b")]
+
+
+def test_old_run_logs_are_pruned(ws, spark):
+    for n in (1, 2, 3000):
+        run(ws, [USERS], {"users": frame(spark, [(1, "a", day(1), None)])}, n)
+    assert ws.prune_logs(T0 + timedelta(hours=3000)) == 2
+    assert [r["id"] for r in ws.read_log("runs", sync.RUNS).collect()] == ["run-3000"]
+    assert ws.read_log("run_table_stats", sync.STATS).count() == 1
+
+
+def test_settings_from_discovery(ws, spark):
+    from ferrywork.sources import catalog
+
+    frames = {
+        "users": frame(spark, [(1, "a", day(1), None), (2, "b", day(2), day(3))]),
+        "countries": frame(spark, [(7, "x")], "id int, name string"),
+        "tmp_x": frame(spark, [(1,)], "id int"),
+    }
+    tables = sync.tables_from(catalog.discover(frames), {"users": ("id",), "countries": ("id",)}, "-tmp*")
+    assert [(t.source_table, t.sync_mode, t.bookmark_column) for t in tables] == [
+        ("countries", "full_refresh", None), ("users", "incremental", "updated_at"),
+    ]
+    assert run(ws, tables, frames, 1).rows_synced == 2
+
+
+def test_rows_with_maps_are_merged(ws, spark):
+    rows = spark.sql("SELECT 1 AS id, map('a', 1) AS m UNION ALL SELECT 1, map('b', 2)")
+    assert run(ws, [SyncTable("t", keys=("id",))], {"t": rows}, 1).outcome == "success"
+    assert ws.target(SyncTable("t", keys=("id",))).read().count() == 1
+
+
 def test_disabled_tables_are_left_out(ws, spark):
     assert run(ws, [SyncTable("users", enabled=False)], {}, 1).tables == []
 
