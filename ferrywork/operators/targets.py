@@ -22,6 +22,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
@@ -179,8 +180,7 @@ class TargetTable:
         return parts
 
     def read(self) -> DataFrame:
-        first, *more = self._parts()
-        return first.unionByName(more[0], allowMissingColumns=True) if more else first
+        return _united(self._parts())
 
     # -- writing ------------------------------------------------------------
 
@@ -194,28 +194,20 @@ class TargetTable:
             return rows
         return rows.repartition(buckets, *self.keys)
 
-    def _write_base(self, version: Version, parts: list[DataFrame], **facts) -> None:
-        """Write the parts as they are partitioned, then commit."""
+    def _write_base(self, version: Version, rows: DataFrame, **facts) -> None:
+        """Write the rows as they are partitioned, then commit."""
         path = self._base_path(version)
         self._read_markers.pop(path, None)
-        schema = _merged([p.schema for p in parts])
         table = f"{self._label}_v{version[0]}"
         self.spark.sql(f"DROP TABLE IF EXISTS {table}")
-        facts["rows"] = 0
-        for number, part in enumerate(parts):
-            counted = Observation()
-            have = set(part.columns)
-            shaped = part.select(
-                [F.col(f"`{f.name}`") if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
-            ).observe(counted, F.count("*").alias("n"))
-            writer = shaped.write.mode("append" if number else "overwrite")
-            if self.keys:
-                bucketed = writer.format("parquet").bucketBy(version[1], *self.keys).sortBy(*self.keys)
-                bucketed.option("path", path).saveAsTable(table)
-            else:
-                writer.parquet(path)
-            facts["rows"] += counted.get["n"]
-        self._commit(path, schema, **facts)
+        counted = Observation()
+        writer = rows.observe(counted, F.count("*").alias("n")).write.mode("overwrite")
+        if self.keys:
+            bucketed = writer.format("parquet").bucketBy(version[1], *self.keys).sortBy(*self.keys)
+            bucketed.option("path", path).saveAsTable(table)
+        else:
+            writer.parquet(path)
+        self._commit(path, _merged([rows.schema]), rows=counted.get["n"], **facts)
 
     def replace(self, rows: DataFrame, run_id: str, at: str = "", bookmark: dict | None = None) -> None:
         """A new version that holds just ``rows``, one per key."""
@@ -225,7 +217,7 @@ class TargetTable:
             order = [F.col(self.order_by).desc_nulls_last()] if self.order_by in rows.columns else []
             unique = latest_per_key(rows.where(has_key(self.keys)), self.keys, [*order, row_hash(rows)])
             rows = self._spread(unique, self.buckets)
-        self._write_base(version, [rows], run_id=run_id, at=at, bookmark=bookmark)
+        self._write_base(version, rows, run_id=run_id, at=at, bookmark=bookmark)
 
     def append(self, rows: DataFrame, run_id: str, rejected: Column | None = None) -> "Batch":
         """Write ``rows`` as a change batch. Nothing is visible before ``commit``.
@@ -262,7 +254,9 @@ class TargetTable:
             return
         *kept, changed = self._parts()
         folded = [{k: m.get(k) for k in ("run_id", "at", "bookmark", "rows")} for m in self.commits() if m.get("run_id")]
-        self._write_base((version[0] + 1, version[1]), [*kept, self._spread(changed, version[1])], folded=folded)
+        # The kept rows are written from where they are, bucket by bucket.
+        rows = _united([*kept, self._spread(changed, version[1])])
+        self._write_base((version[0] + 1, version[1]), rows, folded=folded)
 
     def compact_if_due(self) -> bool:
         """Compact a first load at once, later when changes are many or large beside the base."""
@@ -299,6 +293,10 @@ class Batch:
         self.target._commit(self.path, self.schema, run_id=self.run_id, at=at, bookmark=bookmark, rows=rows)
 
 
+def _united(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def _merged(schemas: list[T.StructType], drop: tuple[str, ...] = ()) -> T.StructType:
     out = T.StructType()
     for schema in schemas:
