@@ -115,6 +115,11 @@ _DEAD_LETTERS = [
 DEPENDS = {"run_table_stats": ["runs"], "run_results": ["runs"]}
 
 
+def view_columns(name: str) -> list[str]:
+    """Column expressions of a view over one table, for use on a stream of that table."""
+    return _SPARK_VIEWS[name][1]
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The derived view ``name`` as a Spark frame."""
     if name == "dead_letters":

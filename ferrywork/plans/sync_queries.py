@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ferrywork.operators import load, merge
 from ferrywork.operators.targets import TargetTable
 from ferrywork.operators.transforms import apply_steps
-from ferrywork.plans.fixtures import BOOKMARK, table, view
+from ferrywork.plans.fixtures import BOOKMARK, table, view, view_columns
 from ferrywork.plans.registry import check
 from ferrywork.plans.sync import Pipeline, SyncTable, Workspace, run_pipeline
 from ferrywork.session import scratch_path
@@ -140,9 +140,7 @@ def stream_dedup(spark, sf):
 )
 def stream_daily_stats(spark, sf):
     folder = scratch_path(spark, "daily")
-    from ferrywork.plans.fixtures import _SPARK_VIEWS
-
-    runs = event_stream(spark, sf).selectExpr(*_SPARK_VIEWS["runs"][1]).withColumn("started_at", F.col("started_at").cast("timestamp"))
+    runs = event_stream(spark, sf).selectExpr(*view_columns("runs")).withColumn("started_at", F.col("started_at").cast("timestamp"))
     target = TargetTable(spark, folder, "daily", ["day"])
     streams.stream_sync(
         streams.daily_counts(runs, "started_at"), target, f"d{abs(hash(folder))}", f"{folder}/_checkpoint", output_mode="update"

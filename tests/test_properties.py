@@ -3,7 +3,7 @@
 import random
 
 from hypothesis import HealthCheck, given, settings, strategies as st
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import types as T
 
 from ferrywork.functions.expressions import value_of
 from ferrywork.operators import merge

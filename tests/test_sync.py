@@ -3,8 +3,6 @@
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
-
 from ferrywork.operators import state
 from ferrywork.plans import sync
 from ferrywork.plans.sync import Pipeline, SyncTable, Workspace, run_pipeline
