@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ferrywork.llm import bpe, packing, simhash
+from ferrywork.llm import bpe, packing, simhash, substring
 from ferrywork.llm.frames import table
 
 QUERIES, SQL = {}, {}
@@ -43,3 +43,28 @@ def op5_distinct_word_bpe(spark, sf_dir):
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+OP2_SQL = r"""
+WITH w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), g AS (
+    SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS window_text
+    FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 11, 1))) AS i FROM w)
+), f AS (
+    SELECT window_text, min(doc_id) AS first FROM g GROUP BY window_text
+), r AS (
+    SELECT doc_id, list(DISTINCT p) AS gone FROM (
+        SELECT g.doc_id, unnest(range(g.i, g.i + 13)) AS p FROM g JOIN f USING (window_text) WHERE f.first < g.doc_id) GROUP BY doc_id
+), k AS (
+    SELECT w.doc_id, ws, list_filter(range(1, len(ws) + 1), lambda p: gone IS NULL OR NOT list_contains(gone, p)) AS kept FROM w LEFT JOIN r USING (doc_id)
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - len(kept) AS BIGINT) AS n_removed,
+    sha256(array_to_string(list_transform(kept, lambda p: ws[p]), ' ')) AS kept_sha256 FROM k
+"""
+
+
+@query("op2_suffix_automata", OP2_SQL)
+def op2_suffix_automata(spark, sf_dir):
+    found = substring.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
