@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ferrywork.llm import bpe, packing, simhash, substring
+from ferrywork.llm import bpe, packing, pii, simhash, substring
 from ferrywork.llm.frames import table
 
 QUERIES, SQL = {}, {}
@@ -68,3 +68,9 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - len(kept) AS B
 def op2_suffix_automata(spark, sf_dir):
     found = substring.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op7_weak_supervision_pii")
+def op7_weak_supervision_pii(spark, sf_dir):
+    found = pii.pii_report(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
