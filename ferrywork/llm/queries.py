@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ferrywork.llm import bpe, packing, pii, simhash, substring
+from ferrywork.llm import annindex, bpe, capfilters, extract, langid, packing, pii, simhash, substring, urlfilter
 from ferrywork.llm.frames import table
 
 QUERIES, SQL = {}, {}
@@ -74,3 +74,39 @@ def op2_suffix_automata(spark, sf_dir):
 def op7_weak_supervision_pii(spark, sf_dir):
     found = pii.pii_report(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query("op1_multi_index_hashing")
+def op1_multi_index_hashing(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return annindex.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query("op3_cap_filters")
+def op3_cap_filters(spark, sf_dir):
+    return capfilters.cap_filter_links(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_crf_language")
+def op10_crf_language(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+RULES = [
+    urlfilter.Rule("net", "/", "block"),
+    urlfilter.Rule("example.net", "/en/", "allow"),
+    urlfilter.Rule("example.com", "/de/", "block"),
+    urlfilter.Rule("org", "/fr/", "allow"),
+]
+
+
+@query("op6_boosted_urls")
+def op6_boosted_urls(spark, sf_dir):
+    judged = urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op9_neighbour_differencing")
+def op9_neighbour_differencing(spark, sf_dir):
+    found = extract.main_text(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))

@@ -58,14 +58,14 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return sum(1 << k for k in np.flatnonzero(2 * ones > len(hashes)).tolist())
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, fp`` (a signed long) for each row of ``docs``."""
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary())
-            found = np.array([fingerprint(t.as_py()) for t in texts], dtype=np.uint64).view(np.int64)
+            found = np.array([fingerprint(t.as_py(), shingle) for t in texts], dtype=np.uint64).view(np.int64)
             yield rows_of(schema, [batch.column(0), pa.array(found)])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
@@ -159,14 +159,14 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return fps.select("fp").mapInArrow(keyed, "key long, fp long").repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, fp, component_id`` for each row of ``docs``.
 
     Null and blank texts have fingerprint 0 and link like any other.  Repeated rows and equal texts share
     their fingerprint and so their component.  Rows without ``doc_id`` stay, and lend no id: a component
     with no id at all has a null ``component_id``.  An empty table gives an empty result.  Other columns are not read.
     """
-    marked = written(fingerprints(docs), "fingerprints")
+    marked = written(fingerprints(docs, shingle), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = components(links(distinct, radius))
     rooted = written(distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
