@@ -1,18 +1,18 @@
 """Byte-level BPE over a global shuffle of distinct words.
 
-Documents are dealt into buckets by a hash, compressed.  Each bucket lists its distinct pre-tokens; those
-lists are shuffled by word, so that every distinct word of the corpus is encoded in one place and once, and its
-ids go back to the buckets that hold it.  There, pre-tokens are found again in reading order and their ids
-put in place.  A very frequent word takes one row per bucket, not one per use.
+Documents are dealt into buckets by a hash, compressed.  Each bucket lists its distinct pre-tokens, packed into slots by a
+hash of the word; the slots are shuffled, so that every distinct word of the corpus is encoded in one place and once, and
+its ids go back to the buckets that hold it.  There, pre-tokens are found again in reading order and their
+ids put in place.  A very frequent word travels once per bucket, not once per use.
 """
 
 from __future__ import annotations
 
 import base64
+import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ferrywork.llm.frames import SLICE_BYTES, rows_of, slices
 from ferrywork.llm.textcodes import distinct_pretokens, gathered
 
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES, MOST_SLOTS = 8 << 20, 1 << 16
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -56,6 +56,19 @@ def _texts(packed: pa.Table):
         yield at, found
 
 
+def _packed(parts: list[bytes]) -> bytes:
+    """Byte strings in one compressed blob: their number, their lengths, themselves."""
+    lengths = np.array([len(parts), *map(len, parts)], dtype="<u4").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(lengths + b"".join(parts))
+
+
+def _unpacked(blob: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    count = int.from_bytes(raw[:4], "little")
+    ends = (4 + 4 * count + np.cumsum(np.frombuffer(raw[4 : 4 + 4 * count], dtype="<u4"), dtype=np.int64)).tolist()
+    return [raw[a:b] for a, b in zip([4 + 4 * count, *ends], ends)]
+
+
 def encode(docs: DataFrame, ranks_path: str, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``doc_id, ids`` (little-endian unsigned 32-bit) for each row of ``docs``.
 
@@ -66,8 +79,9 @@ def encode(docs: DataFrame, ranks_path: str, bucket_bytes: int = BUCKET_BYTES) -
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
     packed_schema = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("packed", pa.binary())])
-    word_schema = pa.schema([("bucket", pa.int64()), ("word", pa.string())])
-    ids_schema = pa.schema([("bucket", pa.int64()), ("word", pa.string()), ("ids", pa.binary())])
+    slots = min(buckets, MOST_SLOTS)
+    word_schema = pa.schema([("bucket", pa.int64()), ("slot", pa.int32()), ("words", pa.binary())])
+    ids_schema = pa.schema([*word_schema, ("ids", pa.binary())])
     result_schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def compress(batches):
@@ -80,29 +94,42 @@ def encode(docs: DataFrame, ranks_path: str, bucket_bytes: int = BUCKET_BYTES) -
         found: set[str] = set()
         for _, texts in _texts(group):
             found.update(distinct_pretokens(texts)[0])
-        return pa.Table.from_arrays([pa.repeat(group.column("bucket")[0], len(found)), pa.array(list(found), pa.string())], schema=word_schema)
+        by_slot: dict[int, list[bytes]] = {}
+        for word in sorted(w.encode() for w in found):
+            by_slot.setdefault(zlib.crc32(word) % slots, []).append(word)
+        blobs = [_packed(part) for part in by_slot.values()]
+        return pa.Table.from_arrays([pa.repeat(group.column("bucket")[0], len(blobs)), pa.array(list(by_slot), pa.int32()), pa.array(blobs, pa.binary())], schema=word_schema)
 
     def encoded(batches):
-        ids_of, last, ids = codec(ranks_path).encode_ordinary, None, b""
+        ids_of, slot, known = codec(ranks_path).encode_ordinary, None, {}
         for batch in batches:
-            blobs = []
-            for word in batch.column(1).to_pylist():
-                if word != last:
-                    last, ids = word, np.array(ids_of(word), dtype="<u4").tobytes()
-                blobs.append(ids)
-            yield rows_of(ids_schema, [batch.column(0), batch.column(1), blobs])
+            for row in range(batch.num_rows):
+                now, blob = batch.column("slot")[row].as_py(), batch.column("words")[row].as_py()
+                if now != slot:
+                    slot, known = now, {}
+                ids = []
+                for word in _unpacked(blob):
+                    if word not in known:
+                        known[word] = np.array(ids_of(word.decode()), dtype="<u4").tobytes()
+                    ids.append(known[word])
+                yield rows_of(ids_schema, [batch.column("bucket").slice(row, 1), [slot], [blob], [_packed(ids)]])
 
     def reassemble(texts_of: pa.Table, words_of: pa.Table) -> pa.Table:
-        place = {w: k for k, w in enumerate(words_of.column("word").to_pylist())}
-        blobs = words_of.column("ids").combine_chunks()
-        lengths = pc.binary_length(blobs).to_numpy() // 4
-        flat = np.frombuffer(b"".join(blobs.to_pylist()), dtype="<u4")
+        place: dict[str, int] = {}
+        blobs: list[bytes] = []
+        for own, ids in zip(words_of.column("words"), words_of.column("ids")):
+            for word in _unpacked(own.as_py()):
+                place[word.decode()] = len(place)
+            blobs += _unpacked(ids.as_py())
+        lengths = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // 4
+        flat = np.frombuffer(b"".join(blobs), dtype="<u4")
+        del blobs
         starts = np.cumsum(lengths) - lengths
         found = []
         for _, texts in _texts(texts_of):
             own, number, first = distinct_pretokens(texts)
             rows = np.array([place[w] for w in own], dtype=np.int64)[number] if own else np.zeros(0, np.int64)
-            count = lengths[rows].astype(np.int64)
+            count = lengths[rows]
             ids = gathered(flat, starts[rows], count)
             ends = np.concatenate(([0], np.cumsum(count)))[first]
             found += [ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
@@ -110,8 +137,8 @@ def encode(docs: DataFrame, ranks_path: str, bucket_bytes: int = BUCKET_BYTES) -
 
     bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).alias("bucket")
     packed = docs.select(bucket, "doc_id", "text").mapInArrow(compress, "bucket long, doc_id long, packed binary")
-    listed = packed.groupBy("bucket").applyInArrow(words, "bucket long, word string")
-    coded = listed.repartition("word").sortWithinPartitions("word").mapInArrow(encoded, "bucket long, word string, ids binary")
+    listed = packed.groupBy("bucket").applyInArrow(words, "bucket long, slot int, words binary")
+    coded = listed.repartition("slot").sortWithinPartitions("slot").mapInArrow(encoded, "bucket long, slot int, words binary, ids binary")
     return packed.groupBy("bucket").cogroup(coded.groupBy("bucket")).applyInArrow(reassemble, "doc_id long, ids binary")
 
 

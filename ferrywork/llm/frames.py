@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ferrywork.session import scratch_path
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

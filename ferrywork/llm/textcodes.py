@@ -31,15 +31,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
+_known_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-    pair = []
-    for b in (base, pow(base, -1, 2**64)):
-        steps = np.full(size, b, dtype=np.uint64)
-        steps[0] = 1
-        pair.append(np.multiply.accumulate(steps))
-    return pair[0], pair[1]
+    """Powers of an odd base and of its inverse, modulo 2**64; the longest rows so far are kept."""
+    if base not in _known_powers or len(_known_powers[base][0]) < size:
+        pair = []
+        for b in (base, pow(base, -1, 2**64)):
+            steps = np.full(size, b, dtype=np.uint64)
+            steps[0] = 1
+            pair.append(np.multiply.accumulate(steps))
+        _known_powers[base] = (pair[0], pair[1])
+    return _known_powers[base]
 
 
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64) -> np.ndarray:
