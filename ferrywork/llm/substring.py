@@ -10,8 +10,8 @@
 
 The automata are not broadcast whole: the reference is the corpus itself, so shards and stretches are
 brought together by a shuffle, which grows with the repeated text alone.  Anchors found more than ``HOT`` times
-(a passage that a large part of the documents share) would all meet in one shard; their windows are compared by
-their words in an aggregation and a join that Spark can split.
+(a passage that a large part of the documents share) would all meet in one shard; their runs of windows are folded to
+distinct texts first, whose windows are compared by an aggregation, and the answers are joined back to the runs, which Spark can split.
 """
 
 from __future__ import annotations
@@ -162,7 +162,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     named = source.where("doc_id IS NOT NULL")
     run = pa.schema([("anchor", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("windows", pa.int16())])
     seen = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64())])
-    stretch = pa.schema([("shard", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("words", pa.binary())])
+    stretch = pa.schema([("shard", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("words", pa.binary()), ("hot", pa.bool_())])
     span = pa.schema([("row", pa.int64()), ("at", pa.int32()), ("count", pa.int32())])
 
     def marks(batches):
@@ -183,24 +183,40 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
             blobs = [pack(t.as_buffer()) if t.is_valid else None for t in part.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(blobs, pa.binary()), part.column("rest")], names=["row", "doc_id", "packed", "rest"])
 
-    def cut(of_hot: bool):
-        def run_(batches):
-            unpack = zstandard.ZstdDecompressor().decompress
-            for batch in batches:
-                rows, size = [], 0
-                for row, doc, blob, found in zip(*[batch.column(c).to_pylist() for c in ("row", "doc_id", "packed", "found")]):
-                    words = unpack(blob).split()
-                    for shard, at, count in _stretches([f for f in found if f["hot"] == of_hot], of_hot):
-                        part = b" ".join(words[at : at + count + window - 1])
-                        rows.append((shard, row, doc, at, part))
-                        size += len(part)
-                    if size > 1 << 20:
-                        yield rows_of(stretch, list(zip(*rows)))
-                        rows, size = [], 0
-                if rows:
+    def cut(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            rows, size = [], 0
+            for row, doc, blob, found in zip(*[batch.column(c).to_pylist() for c in ("row", "doc_id", "packed", "found")]):
+                words = unpack(blob).split()
+                for shard, at, count, is_hot in _stretches(found):
+                    part = b" ".join(words[at : at + count + window - 1])
+                    rows.append((shard, row, doc, at, part, is_hot))
+                    size += len(part)
+                if size > 1 << 20:
                     yield rows_of(stretch, list(zip(*rows)))
+                    rows, size = [], 0
+            if rows:
+                yield rows_of(stretch, list(zip(*rows)))
 
-        return run_
+    def windows_of(batches):
+        schema = pa.schema([("words", pa.binary()), ("k", pa.int32()), ("window", pa.binary()), ("first", pa.int64())])
+        for batch in batches:
+            rows = []
+            for text, doc in zip(batch.column("words").to_pylist(), batch.column("first").to_pylist()):
+                words = text.split(b" ")
+                rows += [(text, k, b" ".join(words[k : k + window]), doc) for k in range(len(words) - window + 1)]
+            if rows:
+                yield rows_of(schema, list(zip(*rows)))
+
+    def held_before(batches):
+        for batch in batches:
+            rows = []
+            for row, doc, at, firsts in zip(*[batch.column(c).to_pylist() for c in ("row", "doc_id", "at", "firsts")]):
+                gone = np.array(sorted(f["k"] for f in firsts if f["first"] < doc), dtype=np.int64)
+                rows += [(row, at + a, b - a + window - 1) for a, b in _runs(gone)]
+            if rows:
+                yield rows_of(span, list(zip(*rows)))
 
     def match(batches):
         shard, now = None, None
@@ -246,12 +262,15 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     found = placed.join(firsts, "anchor").groupBy("row").agg(F.collect_set(F.struct("at", "windows", "first", "hot")).alias("found"))
     packed = source.mapInArrow(compress, f"row long, doc_id long, packed binary, rest {rest_type}")
     parts = packed.join(found, "row").select("row", "doc_id", "packed", "found")
-    stretch_ddl = "shard long, row long, doc_id long, at int, words binary"
-    cold = parts.mapInArrow(cut(False), stretch_ddl).repartition("shard").sortWithinPartitions("shard", "doc_id", "row", "at")
+    stretches = written(parts.mapInArrow(cut, "shard long, row long, doc_id long, at int, words binary, hot boolean"), "stretches")
+    cold = stretches.where("NOT hot").drop("hot").repartition("shard").sortWithinPartitions("shard", "doc_id", "row", "at")
     spans = cold.mapInArrow(match, "row long, at int, count int")
-    shared = parts.mapInArrow(cut(True), stretch_ddl)
-    earliest = shared.groupBy("words").agg(F.min("doc_id").alias("first"))
-    again = shared.join(earliest, "words").where("first < doc_id").select("row", "at", F.lit(window).alias("count"))
+    shared = stretches.where("hot").select("row", "doc_id", "at", "words")
+    texts = shared.groupBy("words").agg(F.min("doc_id").alias("first"))
+    each = texts.mapInArrow(windows_of, "words binary, k int, window binary, first long")
+    earliest = each.groupBy("window").agg(F.min("first").alias("first"))
+    firsts = each.drop("first").join(earliest, "window").groupBy("words").agg(F.collect_list(F.struct("k", "first")).alias("firsts"))
+    again = shared.join(firsts, "words").mapInArrow(held_before, "row long, at int, count int")
     spans = written(spans.union(again), "spans")
     removal = spans.groupBy("row").agg(F.collect_list(F.struct("at", "count")).alias("spans"))
     joined = packed.join(removal, "row", "left").select("row", "doc_id", "packed", "spans", "rest")
@@ -265,15 +284,12 @@ def _pieces(n: int, size: int = 100_000):
     return [(k, min(k + size, n)) for k in range(0, n, size)]
 
 
-def _stretches(found: list[dict], single: bool):
-    """Consecutive windows of one shard in one stretch; of hot anchors, each window by itself."""
-    found = sorted((f["at"], f["windows"], f["first"]) for f in found)
-    if single:
-        return [(first, at + k, 1) for at, windows, first in found for k in range(windows)]
-    out: list[list[int]] = []
-    for at, windows, first in found:
-        if out and out[-1][0] == first and out[-1][1] + out[-1][2] == at:
-            out[-1][2] += windows
+def _stretches(found: list[dict]):
+    """Consecutive windows of one shard in one stretch; of hot anchors, each run by itself."""
+    out: list[list] = []
+    for f in sorted(found, key=lambda f: f["at"]):
+        if out and not f["hot"] and not out[-1][3] and out[-1][0] == f["first"] and out[-1][1] + out[-1][2] == f["at"]:
+            out[-1][2] += f["windows"]
         else:
-            out.append([first, at, windows])
+            out.append([f["first"], f["at"], f["windows"], f["hot"]])
     return out
