@@ -20,7 +20,7 @@ from ferrywork.llm.frames import rows_of, slices
 from ferrywork.llm.textcodes import Words, gathered, run_hashes, utf8
 
 SAMPLE_DOCS, SAMPLE_CHARS, FEATURE_BITS, GRAMS, STEPS, CHUNK, SPLICE, UNKNOWN = 400, 20_000, 17, (1, 2, 3, 4), 40, 64, 40, "und"
-_BASES = [np.uint64(b) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _LETTER = np.array([chr(b).isalpha() and b < 128 or b >= 128 for b in range(256)])
 
 
@@ -47,17 +47,17 @@ def word_features(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     raw = gathered(words.raw, start, size)
     buffer[inside] = np.where((raw >= 65) & (raw <= 90), raw + 32, raw)
     found, owner = [], []
-    for n, base in zip(GRAMS, _BASES):
+    for n in GRAMS:
         count = np.maximum(room - n + 1, 0)
         first = gathered(np.arange(len(buffer)), at, count)
-        found.append(run_hashes(buffer, first, first + n, base))
+        found.append(run_hashes(buffer, first, first + n, _BASE))
         owner.append(np.repeat(np.arange(len(index)), count))
-    found.append(run_hashes(buffer, at, at + room, _BASES[4]))
+    found.append(run_hashes(buffer, at, at + room, _BASE))
     owner.append(np.arange(len(index)))
     found, owner = np.concatenate(found), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
     letters = np.logical_or.reduceat(_LETTER[raw], np.cumsum(size) - size) if len(index) else np.zeros(0, bool)
-    return (found[order] >> np.uint64(64 - FEATURE_BITS)).astype(np.int64), np.bincount(owner, minlength=len(index)), number, letters[number] if len(index) else letters
+    return (found[order] >> np.uint64(64 - FEATURE_BITS)).astype(np.int32), np.bincount(owner, minlength=len(index)), number, letters[number] if len(index) else letters
 
 
 def emissions(weights: np.ndarray, features: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -136,7 +136,7 @@ def train(texts: list[str], langs: list[str], steps: int = STEPS) -> Field | Non
     first = np.unique(np.concatenate([[0], group, len(mixed) + words.first]))
     number, truth = number[line], truth[line]
     k = len(labels)
-    field = Field(labels, np.zeros((1 << FEATURE_BITS, k)), np.zeros((k, k)), np.zeros(k))
+    field = Field(labels, np.zeros((1 << FEATURE_BITS, k), dtype=np.float32), np.zeros((k, k)), np.zeros(k))
     wanted = np.zeros((len(line), k))
     wanted[np.arange(len(line)), truth] = 1
     inner = np.ones(len(line), dtype=bool)
@@ -149,15 +149,17 @@ def train(texts: list[str], langs: list[str], steps: int = STEPS) -> Field | Non
     for _ in range(steps):
         scores = emissions(field.weights, features, count)[number]
         marginal, forward, backward, evidence = forward_backward(scores, first, field.moves, field.starts)
-        pairs = forward[after - 1][:, :, None] * np.exp(field.moves)[None] * (evidence[after] * backward[after])[:, None, :]
+        pairs = np.zeros((k, k))
+        for part in np.array_split(after, 1 + len(after) // 50_000):
+            seen = forward[part - 1][:, :, None] * np.exp(field.moves)[None] * (evidence[part] * backward[part])[:, None, :]
+            pairs += _unit(seen, (1, 2)).sum(axis=0)
         error = wanted - marginal
         per_word = np.stack([np.bincount(number, error[:, j], minlength=len(count)) for j in range(k)], axis=1) / np.sqrt(count)[:, None]
-        slope = np.stack([np.bincount(features, np.repeat(per_word[:, j], count), minlength=1 << FEATURE_BITS) for j in range(k)], axis=1)
-        grads = (slope - 0.05 * field.weights, seen_moves - _unit(pairs, (1, 2)).sum(axis=0) - field.moves, seen_starts - marginal[~inner].sum(axis=0) - field.starts)
+        slope = np.stack([np.bincount(features, np.repeat(per_word[:, j], count), minlength=1 << FEATURE_BITS) for j in range(k)], axis=1).astype(np.float32)
+        grads = (slope - 0.05 * field.weights, seen_moves - pairs - field.moves, seen_starts - marginal[~inner].sum(axis=0) - field.starts)
         for value, grad, square in zip((field.weights, field.moves, field.starts), grads, squares):
             square += grad * grad
             value += 0.5 * grad / np.sqrt(square)
-    field.weights = field.weights.astype(np.float32)
     return field
 
 

@@ -8,6 +8,8 @@ When the stream ends, open windows are poured into each other; the last one is c
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from ferrywork.llm.frames import rows_of, slices
 from ferrywork.llm.textcodes import distinct_pretokens, gathered
 
-WINDOW, END_ID, CACHED_WORDS = 2048, 1, 300_000
+WINDOW, END_ID, CACHED_WORDS = 2048, 1, 100_000
 PIECE = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()),
@@ -29,11 +31,12 @@ class WordEncoder:
     """Ids of texts by a tokenizer file; each distinct pre-token is encoded once while it is kept."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         words, number, first = distinct_pretokens(texts)
@@ -41,13 +44,13 @@ class WordEncoder:
         if len(known) + len(words) > CACHED_WORDS:
             known.clear()
         new = [w for w in words if w not in known]
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            known.update(zip(part, (np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch(part, add_special_tokens=False))))
+        for k in range(0, len(new), 2000):
+            part = new[k : k + 2000]
+            known.update(zip(part, (np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(part, add_special_tokens=False))))
         ids = [known[w] for w in words]
-        count = np.array([len(x) for x in ids], dtype=np.int64)
+        count = np.array([len(x) // 4 for x in ids], dtype=np.int64)
         start = np.cumsum(count) - count
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
         found = gathered(flat, start[number], count[number])
         ends = np.concatenate(([0], np.cumsum(count[number])))[first]
         return [found[a:b] for a, b in zip(ends[:-1], ends[1:])]
