@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ferrywork.llm.frames import rows_of, slices
 from ferrywork.llm.textcodes import distinct_pretokens, gathered
 
-WINDOW, END_ID, CACHED_WORDS = 2048, 1, 100_000
+WINDOW, END_ID, CACHED_WORDS = 2048, 1, 300_000
 PIECE = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()),
@@ -46,7 +46,10 @@ class WordEncoder:
         new = [w for w in words if w not in known]
         for k in range(0, len(new), 2000):
             part = new[k : k + 2000]
-            known.update(zip(part, (np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(part, add_special_tokens=False))))
+            found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(found.ids, dtype="<u4").tobytes()
+            ends = 4 * np.cumsum(np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(part)))
+            known.update((w, raw[a:b]) for w, a, b in zip(part, [0, *ends.tolist()], ends.tolist()))
         ids = [known[w] for w in words]
         count = np.array([len(x) // 4 for x in ids], dtype=np.int64)
         start = np.cumsum(count) - count
