@@ -155,7 +155,7 @@ class Compiler(ast.NodeVisitor):
             return Value(F.concat(left.col, right.col), STR, _merged_nulls(left, right))
         if isinstance(op, ast.Mult) and {left.kind, right.kind} == {STR, INT}:
             text, times = (left, right) if left.kind == STR else (right, left)
-            return Value(F.call_function("repeat", text.col, times.col.cast("int")), STR, None)
+            return Value(F.call_function("repeat", text.col, times.col.try_cast("int")), STR, None)
         if not _both_numeric(left, right):
             return _undefined(STR if STR in (left.kind, right.kind) else FLOAT)
         a, b = _number(left), _number(right)

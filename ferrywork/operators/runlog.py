@@ -199,7 +199,7 @@ def pipeline_stats(runs: DataFrame) -> DataFrame:
 
 
 def daily_run_stats(runs: DataFrame, as_of, days: int = 7) -> DataFrame:
-    recent = runs.where(_since(as_of, "started_at", days=min(days, 30)))
+    recent = runs.where(_since(as_of, "started_at", days=days))
     return (
         recent.groupBy(F.to_date("started_at").alias("day"))
         .agg(F.count("*").alias("run_count"), _sum(F.col("rows_synced")).alias("total_rows"))

@@ -66,7 +66,10 @@ class TargetTable:
         if path not in self._read_markers:
             if not folders.exists(self.spark, f"{path}/{MARKER}"):
                 return None
-            self._read_markers[path] = json.loads(folders.read_text(self.spark, f"{path}/{MARKER}"))
+            try:
+                self._read_markers[path] = json.loads(folders.read_text(self.spark, f"{path}/{MARKER}"))
+            except json.JSONDecodeError:  # cut short: not committed
+                return None
         return self._read_markers[path]
 
     def _commit(self, path: str, schema: T.StructType, **facts) -> None:

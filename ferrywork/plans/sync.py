@@ -68,6 +68,10 @@ class SyncTable:
     enabled: bool = True
     buckets: int | None = None
 
+    def __post_init__(self):
+        if self.lookback and not self.keys and self.sync_mode != FULL_REFRESH:
+            raise ValueError(f"{self.source_table}: lookback reads rows again, which needs keys to merge them")
+
 
 @dataclass(frozen=True)
 class Pipeline:
@@ -214,7 +218,7 @@ def sync_table(ws: Workspace, pipeline: Pipeline, table: SyncTable, source: Data
         source, bookmark_column, bookmark, table.deleted_column, table.lookback
     )
     if table.max_rows and bookmark_column and not full:
-        rows = bounded_rows(rows, bookmark_column, table.max_rows)
+        rows = bounded_rows(rows, bookmark_column, table.max_rows, unordered=bookmark is None)
 
     extracted = Observation()
     top = F.max(bookmark_column).cast("string") if bookmark_column else F.lit(None).cast("string")
@@ -268,7 +272,7 @@ def sync_table(ws: Workspace, pipeline: Pipeline, table: SyncTable, source: Data
     if result.rows_failed:
         letters = deadletter.dead_letters(written.rejected_rows(), pipeline.source_name, table.source_table, run_id, stamp)
         ws.write_dead_letters(letters, table.source_table, run_id)
-    if result.rows_extracted or result.rows_deleted:
+    if result.rows_extracted or result.rows_deleted or full:  # an emptied source empties the target
         result.bookmark_after = extracted.get["top"]
         fact = None
         if result.bookmark_after is not None:

@@ -28,10 +28,17 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """The file appears whole or not at all: it is written beside its place and renamed."""
     target, fs = _open(spark, path)
-    out = fs.create(target, True)
+    folder, _, name = path.rpartition("/")
+    part, _ = _open(spark, f"{folder}/_{name}.part")
+    out = fs.create(part, True)
     out.write(bytearray(text.encode()))
     out.close()
+    if not fs.rename(part, target):
+        fs.delete(target, False)
+        if not fs.rename(part, target):
+            raise OSError(f"cannot write {path}")
 
 
 def read_text(spark: SparkSession, path: str) -> str:

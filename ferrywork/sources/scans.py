@@ -53,16 +53,19 @@ def incremental_rows(
     return rows.where(F.col(name) > floor)
 
 
-def bounded_rows(df: DataFrame, order_column: str, max_rows: int) -> DataFrame:
+def bounded_rows(df: DataFrame, order_column: str, max_rows: int, unordered: bool = False) -> DataFrame:
     """The oldest ``max_rows`` rows, plus all rows that tie with the last one.
 
+    ``unordered`` adds the rows without a value, which no later batch would find: for the first batch.
+
     A cut between equal values would lose the rest of them for good, because
     the next run starts strictly past that value. The cut value is a scalar
     subquery over one narrow column; the rows themselves are only filtered.
     """
     oldest = df.select(order_column).where(F.col(order_column).isNotNull()).orderBy(order_column).limit(max_rows)
     cut = oldest.agg(F.max(order_column).alias("cut"))
-    return df.where(F.col(order_column) <= cut.scalar())
+    within = F.col(order_column) <= cut.scalar()
+    return df.where(within | F.col(order_column).isNull() if unordered else within)
 
 
 def soft_deleted_rows(
