@@ -11,8 +11,6 @@ filters with more than ``CROWD`` vectors are compared in blocks spread over task
 
 from __future__ import annotations
 
-from statistics import NormalDist
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,7 +21,7 @@ from ferrywork.llm.annindex import clean
 from ferrywork.llm.components import Forest, components
 from ferrywork.llm.frames import rows_of, written
 
-PARTS, SHARE, LOAD, CROWD, LIMIT = 3, 48, 128, 2048, 0.93
+PARTS, SHARE, LEAST, LOAD, CROWD, LIMIT = 3, 48, 24, 128, 2048, 0.93
 
 
 class ProductCode:
@@ -41,24 +39,32 @@ class ProductCode:
             book = rng.standard_normal((self.size, b - a))
             length = np.linalg.norm(book, axis=1, keepdims=True)
             self.books.append(book / np.where(length > 0, length, 1) / np.sqrt(PARTS))
-        self.threshold = NormalDist().inv_cdf(1 - chance) / np.sqrt(dim)
-
-    def decode(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(vector, filter)`` of all directions above the threshold; each vector has one filter at least, its best."""
+        # The threshold that a share ``chance`` of directions exceeds, measured on random vectors; normal only in many dimensions.
+        units = rng.standard_normal((20_000, dim))
+        units /= np.linalg.norm(units, axis=1, keepdims=True)
+        gains = np.zeros(len(units))
+        for (a, b), book in zip(self.edges, self.books):
+            gains += np.einsum("ij,ij->i", units[:, a:b], book[rng.integers(0, self.size, len(units))])
+        self.threshold = float(np.quantile(gains, 1 - chance))
+
+    def decode(self, units: np.ndarray, threshold: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """``(vector, filter)`` of all directions above the threshold, which is lowered for vectors with fewer than ``LEAST`` of them."""
+        threshold = self.threshold if threshold is None else threshold
         turned = units @ self.turn
         gains = [turned[:, a:b] @ book.T for (a, b), book in zip(self.edges, self.books)]
-        best = np.zeros(len(units), dtype=np.int64)
-        for g in gains:
-            best = best * self.size + g.argmax(axis=1)
         owner, code, so_far = np.arange(len(units)), np.zeros(len(units), dtype=np.int64), np.zeros(len(units))
         for part, g in enumerate(gains):
             hope = sum((h.max(axis=1) for h in gains[part + 1 :]), np.zeros(len(units)))
             total = so_far[:, None] + g[owner]
-            keep = total + hope[owner][:, None] >= self.threshold
-            at, word = np.nonzero(keep)
+            at, word = np.nonzero(total + hope[owner][:, None] >= threshold)
             owner, code, so_far = owner[at], code[at] * self.size + word, total[at, word]
-        pairs = np.unique(np.stack([np.concatenate([owner, np.arange(len(units))]), np.concatenate([code, best])]), axis=1)
-        return pairs[0], pairs[1]
+        poor = np.flatnonzero(np.bincount(owner, minlength=len(units)) < LEAST)
+        if len(poor) and threshold > -1:
+            more, codes = self.decode(units[poor], threshold - 0.05)
+            rich = ~np.isin(owner, poor)
+            owner, code = np.concatenate([owner[rich], poor[more]]), np.concatenate([code[rich], codes])
+        order = np.lexsort((code, owner))
+        return owner[order], code[order]
 
 
 def cap_filter_links(vectors: DataFrame, limit: float = LIMIT, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
