@@ -28,28 +28,41 @@ PIECE_DDL = "doc_id long, start long, length long, ids binary, doc_tokens long,
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer file; each distinct pre-token is encoded once while it is kept."""
+    """Ids of texts by the file of a byte-level tokenizer; each distinct pre-token is encoded once while it is kept."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # Words come already cut, so only their bytes are left to be mapped.
+        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        vocabulary = self.tokenizer.get_vocab()
+        self.id_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        self.id_bytes[list(vocabulary.values())] = [len(token) for token in vocabulary]  # one sign stands for one byte
         self.known: dict[str, bytes] = {}
 
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words in one call; words end where the bytes of their ids do."""
+        found = self.tokenizer.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0]
+        ids = np.array(found.ids, dtype="<u4")
+        reached = np.cumsum(self.id_bytes[ids])
+        wanted = np.cumsum([len(w.encode()) for w in words])
+        last = np.searchsorted(reached, wanted)
+        if len(ids) != last[-1] + 1 or (reached[last] != wanted).any():
+            raise ValueError("the tokenizer is not byte-level: its ids do not spell the words")
+        raw, ends = ids.tobytes(), (4 * (last + 1)).tolist()
+        self.known.update((w, raw[a:b]) for w, a, b in zip(words, [0, *ends], ends))
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         words, number, first = distinct_pretokens(texts)
         known = self.known
         if len(known) + len(words) > CACHED_WORDS:
             known.clear()
         new = [w for w in words if w not in known]
-        for k in range(0, len(new), 2000):
-            part = new[k : k + 2000]
-            found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            raw = np.array(found.ids, dtype="<u4").tobytes()
-            ends = 4 * np.cumsum(np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(part)))
-            known.update((w, raw[a:b]) for w, a, b in zip(part, [0, *ends.tolist()], ends.tolist()))
+        for k in range(0, len(new), 1000):
+            self._learn(new[k : k + 1000])
         ids = [known[w] for w in words]
         count = np.array([len(x) // 4 for x in ids], dtype=np.int64)
         start = np.cumsum(count) - count

@@ -100,7 +100,7 @@ class Words:
 def _classes() -> np.ndarray:
     """0 other, 1 letter, 2 number, 3 white space, for every code point."""
     table = np.zeros(sys.maxunicode + 1, dtype=np.uint8)
-    for code in range(sys.maxunicode + 1):
+    for code in range(0x40000):  # Unicode has no letter or number beyond plane 3
         kind = unicodedata.category(chr(code))[0]
         table[code] = 1 if kind == "L" else 2 if kind == "N" else 0
     table[list(UNICODE_SPACE)] = 3
