@@ -6,14 +6,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ferrywork.functions.names import safe_name
 from ferrywork.operators.load import json_row
+from ferrywork.operators.transforms import apply_steps, row_before
 
 # Reasons for a rejection.
 TYPE_MISMATCH, NULL_CONSTRAINT, PK_DUPLICATE = "TYPE_MISMATCH", "NULL_CONSTRAINT", "PK_DUPLICATE"
 ERROR_TYPE, ERROR_TEXT = "error_type", "error_text"
+#: The row as it was before the value that did not convert became NULL.
+ERROR_ROW = "error_row"
 
 
 def row_errors(df: DataFrame, required: list[str], failed_casts: str | None = None) -> DataFrame:
-    """Adds ``error_type`` and ``error_text``, NULL on good rows; needs no shuffle."""
+    """Adds ``error_type`` and ``error_text``, NULL on good rows; needs no shuffle.
+
+    Where the steps kept the row as it was before a failed cast, it becomes ``error_row``.
+    """
     missing = F.concat_ws(", ", *[F.when(F.col(f"`{c}`").isNull(), F.lit(c)) for c in required if c in df.columns])
     absent = [c for c in required if c not in df.columns]
     if absent:
@@ -24,7 +30,9 @@ def row_errors(df: DataFrame, required: list[str], failed_casts: str | None = No
         missing != "", F.concat(F.lit("required value is NULL: "), missing)
     )
     out = df.withColumns({ERROR_TYPE: kind, ERROR_TEXT: text})
-    return out.drop(failed_casts) if failed_casts and failed_casts in df.columns else out
+    if not failed_casts or failed_casts not in df.columns:
+        return out
+    return out.drop(failed_casts).withColumnRenamed(row_before(failed_casts), ERROR_ROW)
 
 
 def mark_duplicates(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
@@ -36,7 +44,7 @@ def mark_duplicates(df: DataFrame, keys: list[str], order_by: list[str]) -> Data
     per key is chosen, and unfolded after it. The order is made total by all
     the other columns.
     """
-    columns = [c for c in df.columns if c not in (ERROR_TYPE, ERROR_TEXT)]
+    columns = [c for c in df.columns if c not in (ERROR_TYPE, ERROR_TEXT, ERROR_ROW)]
     good = F.col(ERROR_TYPE).isNull()
     repeated = (
         df.where(good).groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > 1).drop("_n").withColumn("_hit", F.lit(True))
@@ -52,21 +60,24 @@ def mark_duplicates(df: DataFrame, keys: list[str], order_by: list[str]) -> Data
     duplicate = ~(F.col("_is_first") & (F.col("_copy") == 1))
     text = F.concat(F.lit("key occurs again: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
     marked = copies.withColumns(
-        {ERROR_TYPE: F.when(duplicate, PK_DUPLICATE), ERROR_TEXT: F.when(duplicate, text)}
+        {ERROR_TYPE: F.when(duplicate, PK_DUPLICATE), ERROR_TEXT: F.when(duplicate, text), ERROR_ROW: F.lit(None).cast("string")}
     ).select(*df.columns)
     return clean.unionByName(marked)
 
 
 def dead_letters(rejected: DataFrame, source: str, table: str, run_id: str, failed_at: Column, error_text: str | None = None) -> DataFrame:
-    """Rejected rows in dead-letter form: the row as JSON beside its error."""
-    columns = [c for c in rejected.columns if c not in (ERROR_TYPE, ERROR_TEXT)]
+    """Rejected rows in dead-letter form: the row as JSON, with the value that did not convert, beside its error."""
+    columns = [c for c in rejected.columns if c not in (ERROR_TYPE, ERROR_TEXT, ERROR_ROW)]
+    data = json_row(rejected.select(*[f"`{c}`" for c in columns]))
+    if ERROR_ROW in rejected.columns:
+        data = F.coalesce(F.col(ERROR_ROW), data)
     kind = F.col(ERROR_TYPE) if ERROR_TYPE in rejected.columns else F.lit(None).cast("string")
     text = F.lit(error_text) if error_text is not None else F.col(ERROR_TEXT)
     letters = rejected.select(
         F.lit(safe_name(source)).alias("source_name"),
         F.lit(table).alias("table_name"),
         F.lit(run_id).alias("run_id"),
-        json_row(rejected.select(*columns)).alias("row_data"),
+        data.alias("row_data"),
         kind.alias(ERROR_TYPE),
         text.alias(ERROR_TEXT),
         failed_at.alias("failed_at"),
@@ -97,9 +108,7 @@ def reprocess(letters: DataFrame, schema, steps, required: list[str], scripts: d
 
     ``reprocessed`` is true where the row now passes.
     """
-    from ferrywork.operators.transforms import apply_steps
-
     waiting = letters.where(~F.col("reprocessed"))
     rows = waiting.select("id", F.from_json("row_data", schema).alias("_row")).select("id", "_row.*")
-    out = row_errors(apply_steps(rows, steps, scripts, rejects="_casts"), required, "_casts")
+    out = row_errors(apply_steps(rows, steps, scripts, rejects="_casts"), required, "_casts").drop(ERROR_ROW)
     return out.withColumn("reprocessed", F.col(ERROR_TYPE).isNull())

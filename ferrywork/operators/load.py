@@ -16,14 +16,21 @@ RUN_ID, SYNCED_AT = "_run_id", "_synced_at"
 RAW_TTL_DAYS = 7
 
 
+# NULLs stay, and times keep their microseconds; readers take any number of digits.
+JSON_OPTIONS = {
+    "ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def json_row(df: DataFrame) -> Column:
-    """The whole row as JSON text, NULLs kept."""
-    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    """The whole row as JSON text, NULLs kept, times to the microsecond."""
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), JSON_OPTIONS)
 
 
-def raw_rows(df: DataFrame, run_id: str, extracted_at: Column) -> DataFrame:
-    """Raw landing rows: run, time, JSON text and its SHA-256."""
-    data = df.select(F.lit(run_id).alias(RUN_ID), extracted_at.alias("_extracted_at"), json_row(df).alias("_data"))
+def raw_rows(df: DataFrame, run_id: str, extracted_at: Column, beside: list[str] | None = None) -> DataFrame:
+    """Raw landing rows: run, time, JSON text and its SHA-256; columns ``beside`` stay out of the text."""
+    beside = beside or []
+    data = df.select(F.lit(run_id).alias(RUN_ID), extracted_at.alias("_extracted_at"), json_row(df.drop(*beside)).alias("_data"), *beside)
     return data.withColumn("_hash", F.sha2("_data", 256))
 
 
@@ -66,13 +73,14 @@ def expire_raw(spark: SparkSession, path: str, as_of, days: int = RAW_TTL_DAYS)
 
 def dedup_by_hash(df: DataFrame, columns: list[str], keep_first: list[str]) -> DataFrame:
     """One row per equal content of ``columns``, the first by ``keep_first``; adds ``_hash``."""
-    hashed = df.withColumn("_hash", F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256))
+    hashed = df.withColumn("_hash", F.sha2(F.to_json(F.struct(*columns), JSON_OPTIONS), 256))
     return latest_per_key(hashed, ["_hash"], [F.col(c).asc() for c in keep_first])
 
 
-def parse_raw(rows: DataFrame, schema: T.StructType | str) -> DataFrame:
+def parse_raw(rows: DataFrame, schema: T.StructType | str, beside: list[str] | None = None) -> DataFrame:
     """Typed rows read back from the raw landing table, with their run and time."""
-    return rows.select(RUN_ID, "_extracted_at", F.from_json("_data", schema).alias("_row")).select(RUN_ID, "_extracted_at", "_row.*")
+    kept = [RUN_ID, "_extracted_at", *(beside or [])]
+    return rows.select(*kept, F.from_json("_data", schema).alias("_row")).select(*kept, "_row.*")
 
 
 def replay_raw(rows: DataFrame, schema: T.StructType | str, keys: list[str], version: str) -> DataFrame:

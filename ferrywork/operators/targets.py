@@ -33,14 +33,17 @@ from ferrywork.sources import folders
 MARKER = "_COMMITTED.json"
 OP, REJECTED, BATCH = "_op", "_rejected", "batch"
 UPSERT, DELETE = "U", "D"
-ERRORS = ("error_type", "error_text")
+ERRORS = ("error_type", "error_text", "error_row")
 BOOKKEEPING = (OP, REJECTED, BATCH, *ERRORS)
 
 Version = tuple[int, int]
 
 
 class TargetTable:
-    """``keys`` may be empty: such a target only grows."""
+    """``keys`` may be empty: such a target only grows.
+
+    Commits carry ``owner``; with one set, only its own commits count as its runs and bookmarks.
+    """
 
     def __init__(
         self,
@@ -52,7 +55,9 @@ class TargetTable:
         buckets: int | None = None,
         compact_after: int = 20,
         compact_share: float = 0.5,
+        owner: str | None = None,
     ):
+        self.owner = owner
         self.spark, self.keys, self.order_by = spark, list(keys), order_by
         self.path = f"{root.rstrip('/')}/{safe_name(name)}"
         self.buckets = (buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))) if keys else 0
@@ -113,14 +118,21 @@ class TargetTable:
         """The marker of this run if its rows are already in the target."""
         for marker in self.commits():
             for fact in (marker, *marker.get("folded", [])):
-                if fact.get("run_id") == run_id:
+                if fact.get("run_id") == run_id and self._mine(fact):
                     return fact
         return None
 
+    def _mine(self, fact: dict) -> bool:
+        return self.owner is None or fact.get("owner") == self.owner
+
+    def last_fact(self, name: str) -> dict | None:
+        """The last commit of the owner that holds a fact of this name."""
+        facts = [f for m in self.commits() for f in (*m.get("folded", []), m) if f.get(name) and self._mine(f)]
+        return facts[-1] if facts else None
+
     def last_bookmark(self) -> dict | None:
         """The bookmark fact committed last, with its run and time."""
-        facts = [f for m in self.commits() for f in (*m.get("folded", []), m) if f.get("bookmark")]
-        return facts[-1] if facts else None
+        return self.last_fact("bookmark")
 
     def schema(self) -> T.StructType | None:
         """Columns of the base, then those that later batches added."""
@@ -220,7 +232,7 @@ class TargetTable:
             order = [F.col(self.order_by).desc_nulls_last()] if self.order_by in rows.columns else []
             unique = latest_per_key(rows.where(has_key(self.keys)), self.keys, [*order, row_hash(rows)])
             rows = self._spread(unique, self.buckets)
-        self._write_base(version, rows, run_id=run_id, at=at, bookmark=bookmark)
+        self._write_base(version, rows, run_id=run_id, at=at, bookmark=bookmark, owner=self.owner)
 
     def append(self, rows: DataFrame, run_id: str, rejected: Column | None = None) -> "Batch":
         """Write ``rows`` as a change batch. Nothing is visible before ``commit``.
@@ -256,7 +268,7 @@ class TargetTable:
         if not self.batches(version):
             return
         *kept, changed = self._parts()
-        folded = [{k: m.get(k) for k in ("run_id", "at", "bookmark", "rows")} for m in self.commits() if m.get("run_id")]
+        folded = [{k: m.get(k) for k in ("run_id", "at", "bookmark", "rows", "owner", "deleted")} for m in self.commits() if m.get("run_id")]
         # The kept rows are written from where they are, bucket by bucket.
         rows = _united([*kept, self._spread(changed, version[1])])
         self._write_base((version[0] + 1, version[1]), rows, folded=folded)
@@ -292,8 +304,10 @@ class Batch:
         rows = self.target.spark.read.schema(self.schema).parquet(self.path)
         return rows.where(F.col(REJECTED)).drop(REJECTED, OP)
 
-    def commit(self, at: str = "", bookmark: dict | None = None, rows: int | None = None) -> None:
-        self.target._commit(self.path, self.schema, run_id=self.run_id, at=at, bookmark=bookmark, rows=rows)
+    def commit(self, at: str = "", bookmark: dict | None = None, rows: int | None = None, deleted: str | None = None) -> None:
+        """``deleted`` is the newest soft delete that the batch carries over."""
+        owner = self.target.owner
+        self.target._commit(self.path, self.schema, run_id=self.run_id, at=at, bookmark=bookmark, rows=rows, owner=owner, deleted=deleted)
 
 
 def _united(parts: list[DataFrame]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ferrywork.functions import pytext
 from ferrywork.functions.expressions import ExpressionError, kept_by, value_of
+from ferrywork.operators.load import json_row
 
 log = logging.getLogger(__name__)
 
@@ -24,6 +25,23 @@ def _col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def row_before(rejects: str) -> str:
+    """Name of the column that holds a row, as JSON, as it was before its first failed cast."""
+    return f"{rejects}_row"
+
+
+def noted(df: DataFrame, changed: dict[str, Column], failed: dict[str, Column], rejects: str, keep_row: bool = True) -> DataFrame:
+    """Set the ``changed`` columns; where a ``failed`` condition holds, note its column's name and the row before."""
+    internal = [c for c in (rejects, row_before(rejects)) if c in df.columns]
+    names = F.concat_ws(", ", *[F.when(bad, F.lit(n)) for n, bad in failed.items()])
+    before = F.when(names != "", json_row(df.drop(*internal)))
+    if rejects in internal:
+        names = F.concat_ws(", ", F.nullif(_col(rejects), F.lit("")), F.nullif(names, F.lit("")))
+    if row_before(rejects) in internal:
+        before = F.coalesce(_col(row_before(rejects)), before)
+    return df.withColumns({**changed, rejects: names, **({row_before(rejects): before} if keep_row else {})})
+
+
 def rename(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Rename all columns at once, so names can be swapped.
 
@@ -41,8 +59,11 @@ def remove_fields(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.drop(*fields)
 
 
-def compute(df: DataFrame, expression: str) -> DataFrame:
-    """``name = expression``; a row whose expression fails keeps its old value."""
+def compute(df: DataFrame, expression: str, rejects: str | None = None) -> DataFrame:
+    """``name = expression``; a row whose expression fails keeps its old value.
+
+    An old value that does not fit the new type becomes NULL, and is noted in ``rejects`` as a failed cast.
+    """
     target, sep, text = expression.partition("=")
     target, text = target.strip(), text.strip()
     if not sep or not target or not text:
@@ -53,7 +74,10 @@ def compute(df: DataFrame, expression: str) -> DataFrame:
     new_type = df.select(value.alias("v")).schema["v"].dataType
     old_type = df.schema[target].dataType
     old = _col(target) if old_type == new_type else _col(target).try_cast(new_type)
-    return df.withColumn(target, F.coalesce(value, old))
+    kept = F.coalesce(value, old)
+    if rejects and old_type != new_type:
+        return noted(df, {target: kept}, {target: kept.isNull() & _col(target).isNotNull()}, rejects)
+    return df.withColumn(target, kept)
 
 
 def filter_rows(df: DataFrame, condition: str) -> DataFrame:
@@ -103,24 +127,19 @@ def _casts(df: DataFrame, columns: dict[str, str]) -> dict[str, Column]:
     return casts
 
 
-def type_cast(df: DataFrame, columns: dict[str, str], rejects: str | None = None) -> DataFrame:
+def type_cast(df: DataFrame, columns: dict[str, str], rejects: str | None = None, keep_row: bool = False) -> DataFrame:
     """Convert columns to int, float, str or bool.
 
     A value that does not convert becomes NULL, because a typed column cannot
-    keep it. With ``rejects`` its column name is added to that text column, so
-    the row can be sent to the dead letters.
+    keep it. With ``rejects`` its column name is added to that text column,
+    and with ``keep_row`` the row before the step is kept, for the dead letters.
     """
     casts = _casts(df, columns)
     if not casts:
         return df
-    out = df
     if rejects:
-        failed = [F.when(_col(n).isNotNull() & c.isNull(), F.lit(n)) for n, c in casts.items()]
-        before = [_col(rejects)] if rejects in df.columns else []
-        text = F.concat_ws(", ", *[F.nullif(b, F.lit("")) for b in before], *failed)
-        out = out.withColumns({**casts, rejects: text})
-        return out
-    return out.withColumns(casts)
+        return noted(df, casts, {n: _col(n).isNotNull() & c.isNull() for n, c in casts.items()}, rejects, keep_row)
+    return df.withColumns(casts)
 
 
 def concat_fields(
@@ -142,19 +161,24 @@ def concat_fields(
     return out.drop(*fields) if drop_source else out
 
 
-def script(df: DataFrame, fn: Callable[[dict], dict | None], schema: T.StructType | str | None = None) -> DataFrame:
+def script(
+    df: DataFrame, fn: Callable[[dict], dict | None], schema: T.StructType | str | None = None, beside: tuple[str, ...] = ()
+) -> DataFrame:
     """Run ``fn(row) -> row | None`` over every row, in Arrow batches.
 
     None drops the row, an exception keeps the original row. ``schema`` is the
     declared output schema (the input's by default): extra keys are dropped,
     missing keys are NULL. Rows are handled one batch at a time, so memory does
-    not grow with the partition.
+    not grow with the partition. Columns ``beside`` pass by the function unseen.
     """
+    beside = [c for c in beside if c in df.columns]
     out_schema = df.schema if schema is None else schema
     if isinstance(out_schema, str):
         out_schema = T.StructType.fromDDL(out_schema)
     # A script may leave any value out, whatever the input promised.
-    out_schema = T.StructType([T.StructField(f.name, f.dataType) for f in out_schema.fields])
+    out_schema = T.StructType([T.StructField(f.name, f.dataType) for f in out_schema.fields if f.name not in beside])
+    for name in beside:
+        out_schema = out_schema.add(name, df.schema[name].dataType)
     names = out_schema.names
 
     def run(batches):
@@ -169,12 +193,15 @@ def script(df: DataFrame, fn: Callable[[dict], dict | None], schema: T.StructTyp
         for batch in batches:
             before, after = [], []
             for row in batch.to_pylist():
+                held = {name: row.pop(name) for name in beside}
                 try:
                     result = fn(dict(row))
+                    if result is not None:
+                        result = {**result, **held}
                 except Exception:
-                    result = row
+                    result = {**row, **held}
                 if result is not None:
-                    before.append(row)
+                    before.append({**row, **held})
                     after.append(result)
             try:
                 yield arrow(after)
@@ -206,13 +233,13 @@ def apply_step(df: DataFrame, step: dict, scripts: dict | None = None, rejects:
     if kind == "remove_fields":
         return remove_fields(df, config.get("fields") or [])
     if kind == "compute":
-        return compute(df, config.get("expression", ""))
+        return compute(df, config.get("expression", ""), rejects)
     if kind == "filter":
         return filter_rows(df, config.get("condition", ""))
     if kind == "map_values":
         return map_values(df, config.get("column", ""), config.get("mapping") or {})
     if kind == "type_cast":
-        return type_cast(df, config.get("columns") or {}, rejects)
+        return type_cast(df, config.get("columns") or {}, rejects, keep_row=True)
     if kind == "concat_fields":
         return concat_fields(
             df,
@@ -230,7 +257,7 @@ def apply_step(df: DataFrame, step: dict, scripts: dict | None = None, rejects:
             log.warning("script %r is not registered; step skipped", config.get("script_name"))
             return df
         fn, schema = entry if isinstance(entry, tuple) else (entry, None)
-        return script(df, fn, schema)
+        return script(df, fn, schema, (rejects, row_before(rejects)) if rejects else ())
     log.warning("unknown transform type %r; step skipped", kind)
     return df
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ferrywork.operators import deadletter as dl, load, merge, quality
 from ferrywork.plans.fixtures import AS_OF, BOOKMARK, RUN_ID, table, view
 from ferrywork.plans.registry import check
+from ferrywork.plans.transform_queries import MIXED_SQL
 
 
 def now():
@@ -25,6 +26,17 @@ def load_raw(spark, sf):
     return raw.select("_run_id", parsed, F.col("_data").contains('"status":').alias("keeps_nulls")).select("_run_id", "row.*", "keeps_nulls")
 
 
+@check("load_raw_times", "SELECT event_id, ts, ts AS ts_of_letter FROM events")
+def load_raw_times(spark, sf):
+    """Times keep their microseconds through raw rows and dead letters."""
+    rows = table(spark, sf, "events").select("event_id", "ts")
+    schema = f"event_id bigint, ts {dict(rows.dtypes)['ts']}"
+    raw = load.parse_raw(load.raw_rows(rows, RUN_ID, now()), schema).select("event_id", "ts")
+    letters = dl.dead_letters(rows.withColumns({dl.ERROR_TYPE: F.lit("x"), dl.ERROR_TEXT: F.lit("x")}), "s", "events", RUN_ID, now())
+    mine = letters.select(F.from_json("row_data", schema).alias("row")).select("row.event_id", F.col("row.ts").alias("ts_of_letter"))
+    return raw.join(mine, "event_id")
+
+
 @check(
     "load_typed_append",
     f"SELECT o_orderkey::integer AS o_orderkey, o_orderstatus, NULL::double AS discount, '{RUN_ID}' AS _run_id, timestamp '{AS_OF}' AS _synced_at FROM orders",
@@ -220,19 +232,20 @@ def dead_letter_split(spark, sf):
 @check(
     "dead_letter_write",
     f"""SELECT 'shop_db' AS source_name, 'orders' AS table_name, '{RUN_ID}' AS run_id, 'value does not convert: code' AS error_text,
-        'TYPE_MISMATCH' AS error_type, timestamp '{AS_OF}' AS failed_at, FALSE AS reprocessed, o_orderkey FROM orders WHERE o_orderkey % 4 IN (0, 2)""",
+        'TYPE_MISMATCH' AS error_type, timestamp '{AS_OF}' AS failed_at, FALSE AS reprocessed, o_orderkey, o_totalprice, {MIXED_SQL} AS code
+        FROM orders WHERE o_orderkey % 4 IN (0, 2)""",
 )
 def dead_letter_write(spark, sf):
     from ferrywork.operators.transforms import type_cast
     from ferrywork.plans.transform_queries import mixed_text
 
-    casted = type_cast(mixed_text(spark, sf), {"code": "int"}, rejects="_casts")
+    casted = type_cast(mixed_text(spark, sf), {"code": "int"}, rejects="_casts", keep_row=True)
     rejected = dl.row_errors(casted, ["o_orderkey"], "_casts").where(F.col(dl.ERROR_TYPE).isNotNull())
     letters = dl.dead_letters(rejected, "Shop-DB", "orders", RUN_ID, now())
     return letters.select(
         "source_name", "table_name", "run_id", "error_text", "error_type", "failed_at", "reprocessed",
-        F.from_json("row_data", "o_orderkey bigint").getField("o_orderkey").alias("o_orderkey"),
-    )
+        F.from_json("row_data", "o_orderkey bigint, code string, o_totalprice double").alias("row"),
+    ).select("*", "row.*").drop("row")
 
 
 @check(

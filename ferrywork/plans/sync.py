@@ -16,16 +16,17 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
+from ferrywork.functions.names import safe_name
 from ferrywork.operators import alerts, deadletter, load, quality, runlog
 from ferrywork.operators.state import BookmarkStore
 from ferrywork.operators.targets import DELETE, OP, UPSERT, TargetTable
-from ferrywork.operators.transforms import apply_steps
+from ferrywork.operators.transforms import apply_steps, noted, row_before
 from ferrywork.sources import folders
 from ferrywork.sources.catalog import bookmark_column_of, matches_globs, parse_table_filter
 from ferrywork.sources.folders import file_name
-from ferrywork.sources.scans import DELETED_COLUMN, bounded_rows, find_column, incremental_rows, live_rows, soft_deleted_rows
+from ferrywork.sources.scans import DELETED_COLUMN, bookmark_literal, bounded_rows, find_column, incremental_rows, live_rows, soft_deleted_rows
 
 log = logging.getLogger(__name__)
 
@@ -54,6 +55,7 @@ class SyncTable:
     keys: tuple[str, ...] = ()
     source_keys: tuple[str, ...] | None = None
     target_table: str | None = None
+    target_schema: str | None = None
     sync_mode: str = INCREMENTAL
     load_mode: str = "direct"
     bookmark_column: str | None = None
@@ -81,6 +83,11 @@ class Pipeline:
     name: str = ""
     depends_on: str | None = None
     quality_threshold: float = quality.DEFAULT_THRESHOLD_PCT
+    target_schema: str | None = None
+
+    def schema_of(self, table: SyncTable) -> str:
+        """Folder of a table's target; by default each pipeline has one of its own."""
+        return table.target_schema or self.target_schema or f"{self.source_name}.{self.id}"
 
 
 @dataclass
@@ -129,10 +136,20 @@ class Workspace:
         self.spark, self.root = spark, root.rstrip("/")
         self.bookmarks = BookmarkStore(spark, f"{self.root}/state/bookmarks")
 
-    def target(self, table: SyncTable, bookmark_column: str | None = None) -> TargetTable:
-        return TargetTable(
-            self.spark, f"{self.root}/targets", table.target_table or table.source_table, list(table.keys), bookmark_column, table.buckets
-        )
+    def target(self, table: SyncTable, bookmark_column: str | None = None, pipeline: Pipeline | None = None) -> TargetTable:
+        """The target of a pipeline's table; without a pipeline, of the only schema that holds a table of this name."""
+        name, root = table.target_table or table.source_table, f"{self.root}/targets"
+        if pipeline:
+            schema, owner = file_name(pipeline.schema_of(table)), f"{pipeline.id}/{table.source_table}"
+        else:
+            schemas = [s for s in folders.child_names(self.spark, root) if folders.exists(self.spark, f"{root}/{s}/{safe_name(name)}")]
+            if len(schemas) > 1:
+                raise LookupError(f"{name} is in the schemas {schemas}; name the pipeline")
+            schema, owner = (schemas or ["default"])[0], None
+        return TargetTable(self.spark, f"{root}/{schema}", name, list(table.keys), bookmark_column, table.buckets, owner=owner)
+
+    def staging_path(self, target: TargetTable) -> str:
+        return f"{self.root}/staging/{target.path.removeprefix(self.root).removeprefix('/targets/')}"
 
     def raw_path(self, source: str, table: str) -> str:
         return f"{self.root}/raw/{load.raw_table_name(source, table)}"
@@ -195,16 +212,14 @@ def conform(rows: DataFrame, known, rejects: str) -> DataFrame:
     casts = {n: F.col(f"`{n}`").try_cast(t) for n, t in types.items() if n in rows.columns and rows.schema[n].dataType != t}
     if not casts:
         return rows
-    failed = [F.when(F.col(f"`{n}`").isNotNull() & c.isNull(), F.lit(n)) for n, c in casts.items()]
-    before = [F.nullif(F.col(rejects), F.lit(""))] if rejects in rows.columns else []
-    return rows.withColumns({**casts, rejects: F.concat_ws(", ", *before, *failed)})
+    return noted(rows, casts, {n: F.col(f"`{n}`").isNotNull() & c.isNull() for n, c in casts.items()}, rejects)
 
 
 def sync_table(ws: Workspace, pipeline: Pipeline, table: SyncTable, source: DataFrame, run_id: str, as_of: datetime, scripts=None) -> TableResult:
     spark, result = ws.spark, TableResult(table.source_table)
     full = table.sync_mode == FULL_REFRESH
     bookmark_column = pick_bookmark_column(table, source)
-    target = ws.target(table, bookmark_column)
+    target = ws.target(table, bookmark_column, pipeline)
     _recover_bookmark(ws, pipeline, table, target)
     done = target.commit_of(run_id)
     if done:
@@ -231,10 +246,11 @@ def sync_table(ws: Workspace, pipeline: Pipeline, table: SyncTable, source: Data
         # The typed load reads this run's raw rows back, not the source again.
         path = ws.raw_path(pipeline.source_name, table.source_table)
         landed = Observation()
-        raw = load.raw_rows(rows, run_id, stamp).observe(landed, F.count("*").alias("n"))
+        beside = [c for c in ("_casts", row_before("_casts")) if c in rows.columns]
+        raw = load.raw_rows(rows, run_id, stamp, beside).observe(landed, F.count("*").alias("n"))
         mine = spark.read.parquet(load.write_raw(raw, path, run_id, as_of.date()))
         result.rows_raw = landed.get["n"]
-        rows = load.parse_raw(mine, rows.schema).drop(load.RUN_ID, "_extracted_at")
+        rows = load.parse_raw(mine, rows.drop(*beside).schema, beside).drop(load.RUN_ID, "_extracted_at")
 
     if known is not None and known.fields:
         kept = {f.name.lower() for f in known.fields}
@@ -248,7 +264,7 @@ def sync_table(ws: Workspace, pipeline: Pipeline, table: SyncTable, source: Data
     checked = deadletter.row_errors(load.stamp(rows, run_id, stamp), required, "_casts")
     if table.reject_duplicates and table.keys:
         # Looked at several times, so the rows are written first and not read from the source again.
-        staged = f"{ws.root}/staging/{target.path.rsplit('/', 1)[1]}-checked"
+        staged = f"{ws.staging_path(target)}-checked"
         checked.write.mode("overwrite").parquet(staged)
         checked = deadletter.mark_duplicates(spark.read.schema(checked.schema).parquet(staged), list(table.keys), [bookmark_column] if bookmark_column in checked.columns else [])
     good = F.col(deadletter.ERROR_TYPE).isNull()
@@ -262,7 +278,8 @@ def sync_table(ws: Workspace, pipeline: Pipeline, table: SyncTable, source: Data
     else:
         if bookmark is not None and table.keys and find_column(source, table.deleted_column):
             deleted = Observation()
-            gone = deleted_keys(source, table, bookmark, bookmark_column).observe(deleted, F.count("*").alias("n"))
+            seen = target.last_fact("deleted")
+            gone = deleted_keys(source, table, bookmark, bookmark_column, seen and seen["deleted"], deleted, stamp)
             checked = checked.withColumn(OP, F.lit(UPSERT)).unionByName(gone.withColumn(OP, F.lit(DELETE)), allowMissingColumns=True)
         written = target.append(checked, run_id, rejected=F.col(deadletter.ERROR_TYPE).isNotNull())
     metrics = counted.get
@@ -277,7 +294,7 @@ def sync_table(ws: Workspace, pipeline: Pipeline, table: SyncTable, source: Data
         fact = None
         if result.bookmark_after is not None:
             fact = {"column": bookmark_column, "before": bookmark, "after": result.bookmark_after}
-        written.commit(as_of.isoformat(), fact, result.rows_loaded + result.rows_deleted)
+        written.commit(as_of.isoformat(), fact, result.rows_loaded + result.rows_deleted, deleted.get["top"] if deleted else None)
         _recover_bookmark(ws, pipeline, table, target)
 
     names = [c for c in required if f"nulls_{c}" in metrics]
@@ -317,20 +334,39 @@ class _Staged:
     def rejected_rows(self) -> DataFrame:
         return self.staged().where(F.col(deadletter.ERROR_TYPE).isNotNull())
 
-    def commit(self, at: str, bookmark: dict | None, rows: int) -> None:
+    def commit(self, at: str, bookmark: dict | None, rows: int, deleted: str | None = None) -> None:
         good = self.staged().where(F.col(deadletter.ERROR_TYPE).isNull())
-        self.target.replace(good.drop(deadletter.ERROR_TYPE, deadletter.ERROR_TEXT), self.run_id, at, bookmark)
+        self.target.replace(good.drop(deadletter.ERROR_TYPE, deadletter.ERROR_TEXT, deadletter.ERROR_ROW), self.run_id, at, bookmark)
 
 
 def _stage(ws: Workspace, target: TargetTable, checked: DataFrame, run_id: str) -> _Staged:
-    path = f"{ws.root}/staging/{target.path.rsplit('/', 1)[1]}"
+    path = ws.staging_path(target)
     checked.write.mode("overwrite").parquet(path)
     return _Staged(ws, target, path, run_id)
 
 
-def deleted_keys(source: DataFrame, table: SyncTable, bookmark, bookmark_column: str) -> DataFrame:
-    """Target keys of the rows soft-deleted since the bookmark."""
-    gone = soft_deleted_rows(source, bookmark, bookmark_column, table.deleted_column, table.include_touched)
+def deleted_keys(
+    source: DataFrame, table: SyncTable, bookmark, bookmark_column: str, seen: str | None, counted: Observation, as_of: Column
+) -> DataFrame:
+    """Target keys of the rows soft-deleted since the newest delete ``seen``, or else since the bookmark.
+
+    ``counted`` observes their number and the newest delete of them; one dated past ``as_of`` is not taken
+    as seen, or it would hide all deletes before it.  A bookmark that is no time cannot be compared with
+    deletes: then all of them count until one was seen.
+    """
+    name = find_column(source, table.deleted_column)
+    timed = bookmark_column and isinstance(source.schema[bookmark_column].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType, T.StringType))
+    if seen is None and not timed:
+        gone = source.where(F.col(name).isNotNull())
+    else:
+        # The change column is only compared where the floor is the bookmark itself.
+        touched = table.include_touched or seen is not None
+        gone = soft_deleted_rows(source, seen or bookmark, bookmark_column, name, touched, table.lookback)
+        if not table.include_touched and touched:
+            floor = bookmark_literal(bookmark, source.schema[bookmark_column].dataType)
+            gone = gone.where(F.col(bookmark_column).isNull() | (F.col(bookmark_column) <= floor))
+    newest = F.max(F.when(F.col(name).cast("timestamp") <= as_of, F.col(name))).cast("string")
+    gone = gone.observe(counted, F.count("*").alias("n"), newest.alias("top"))
     renames = [s for s in table.transforms if s.get("type") == "rename"]
     return apply_steps(gone.select(*(table.source_keys or table.keys)), renames).select(*table.keys)
 

@@ -95,6 +95,28 @@ def sync_cycle_raw(spark, sf):
     return ws.target(pipeline.tables[0], "updated_at").read().drop("deleted_at", load.RUN_ID, load.SYNCED_AT)
 
 
+@check(
+    "sync_cycle_two_sources",
+    f"""SELECT * EXCLUDE (deleted_at), 'a' AS of_pipeline FROM ({_SLICE_SQL}) WHERE updated_at <= timestamp '{MOMENTS[0]}'
+        AND (deleted_at IS NULL OR deleted_at > timestamp '{MOMENTS[0]}')
+        UNION ALL SELECT * EXCLUDE (deleted_at), 'b' FROM ({_SLICE_SQL}) WHERE deleted_at IS NULL""",
+    ("src_orders",),
+)
+def sync_cycle_two_sources(spark, sf):
+    """Two pipelines with a table of one name keep rows and bookmarks apart: the second one loads all of its own."""
+    ws = Workspace(spark, scratch_path(spark, "two"))
+    out = []
+    for number, (name, moment) in enumerate((("b", MOMENTS[1]), ("a", MOMENTS[0]), ("b", MOMENTS[2]))):
+        orders = SyncTable("orders", keys=("o_orderkey",), bookmark_column="updated_at", transforms=SLICE)
+        pipeline = Pipeline(name, "shop", (orders,))
+        result = run_pipeline(ws, pipeline, lambda _: orders_as_of(spark, sf, moment), f"run-{number}", datetime(2024, 1, 1 + number))
+        if result.outcome != "success":
+            raise RuntimeError(result.tables[0].error)
+        if number:
+            out.append(ws.target(orders, "updated_at", pipeline).read().drop("deleted_at", load.RUN_ID, load.SYNCED_AT).withColumn("of_pipeline", F.lit(name)))
+    return out[0].unionByName(out[1])
+
+
 @check("ensure_schema_ddl", "SELECT o_orderkey, o_orderstatus, NULL::double AS discount FROM orders WHERE o_orderdate > timestamp '2000-01-01'")
 def ensure_schema_ddl(spark, sf):
     """A typed table is made, filled, and given one more column."""
@@ -119,6 +141,24 @@ def stream_sync_append(spark, sf):
     return target.read().select("event_id", "user_id", "event_type", "value", "doubled")
 
 
+@check(
+    "stream_sync_rejects",
+    "SELECT event_id, 'TYPE_MISMATCH' AS error_type, event_type, value FROM events WHERE event_type = 'error'",
+)
+def stream_sync_rejects(spark, sf):
+    """Rows of a stream that do not convert become dead letters that hold their text."""
+    folder = scratch_path(spark, "rejects")
+    target = TargetTable(spark, folder, "events", ["event_id"])
+    events = event_stream(spark, sf).select(
+        "event_id", "event_type", "value", F.expr("CASE WHEN event_type = 'error' THEN 'x' || event_type ELSE '7' END").alias("code")
+    )
+    steps = [{"type": "type_cast", "config": {"columns": {"code": "int"}}}]
+    streams.stream_sync(events, target, f"r{abs(hash(folder))}", f"{folder}/_checkpoint", steps).awaitTermination()
+    letters = spark.read.parquet(streams.dead_letter_folder(target))
+    row = F.from_json("row_data", "event_id bigint, event_type string, value double, code string").alias("row")
+    return letters.select("error_type", row).where("row.code = 'xerror'").select("row.event_id", "error_type", "row.event_type", "row.value")
+
+
 @check("stream_dedup", "SELECT event_id, user_id, event_type FROM events")
 def stream_dedup(spark, sf):
     folder = scratch_path(spark, "dedup")

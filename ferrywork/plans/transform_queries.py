@@ -72,6 +72,8 @@ def t_map_values(spark, sf):
 
 _MIXED = "CASE o_orderkey % 4 WHEN 0 THEN o_orderpriority WHEN 1 THEN ' ' || {key} || ' ' WHEN 2 THEN '3.7' ELSE {key} END"
 
+MIXED_SQL = _MIXED.format(key="cast(o_orderkey AS varchar)")
+
 
 def mixed_text(spark, sf):
     text = _MIXED.format(key="cast(o_orderkey AS string)")

@@ -74,9 +74,12 @@ def soft_deleted_rows(
     bookmark_column: str,
     deleted_column: str = DELETED_COLUMN,
     include_touched: bool = True,
+    lookback: str | None = None,
 ) -> DataFrame:
     """Rows soft-deleted past the bookmark; none without a bookmark.
 
+    ``lookback`` moves the floor back as it does for live rows.
+
     ``include_touched=False`` leaves out rows whose change column also moved
     past the bookmark. Those are missed by the live scan too, so the default
     keeps them.
@@ -84,7 +87,10 @@ def soft_deleted_rows(
     deleted, changed = find_column(df, deleted_column), find_column(df, bookmark_column)
     if bookmark is None or deleted is None:
         return df.limit(0)
-    rows = df.where(F.col(deleted) > bookmark_literal(bookmark, df.schema[deleted].dataType))
+    floor = bookmark_literal(bookmark, df.schema[deleted].dataType)
+    if lookback:
+        floor = (floor - F.expr(f"INTERVAL {lookback}")).cast(df.schema[deleted].dataType)
+    rows = df.where(F.col(deleted) > floor)
     if include_touched or changed is None:
         return rows
     floor = bookmark_literal(bookmark, df.schema[changed].dataType)

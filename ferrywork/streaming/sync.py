@@ -1,18 +1,22 @@
 """The same loads as Structured Streaming jobs.
 
 The stream's checkpoint takes the place of the bookmark. Every micro-batch is
-one change batch of the target, named by its number, so a batch that Spark runs
-again after its commit is left out.
+one change batch of the target, named by the checkpoint's own id and its number,
+so a batch that Spark runs again after its commit is left out, and one of a new
+checkpoint is not.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import json
+
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ferrywork.operators import deadletter, load
 from ferrywork.operators.targets import DELETE, OP, UPSERT, TargetTable
 from ferrywork.operators.transforms import apply_steps
+from ferrywork.sources import folders
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str, schema: T.StructType, file_format: str = "parquet", files_per_batch: int = 1_000) -> DataFrame:
@@ -31,15 +35,19 @@ def stream_sync(
     output_mode: str = "append",
     scripts: dict | None = None,
     deleted_column: str | None = None,
+    letters: str | None = None,
 ) -> StreamingQuery:
     """Load everything that is available, then stop.
 
-    Rows with a value in ``deleted_column`` delete their key.
+    Rows with a value in ``deleted_column`` delete their key. Rejected rows
+    become dead letters below ``letters``, a folder beside the target by default.
     """
+    letters = letters or dead_letter_folder(target)
     needed = list(dict.fromkeys([*target.keys, *(required or [])]))
 
     def load_batch(batch: DataFrame, number: int) -> None:
-        run_id = f"{name}-{number}"
+        query_id = json.loads(folders.read_text(target.spark, f"{checkpoint}/metadata"))["id"]
+        run_id = f"{name}-{query_id}-{number}"
         if target.commit_of(run_id):
             return
         rows = apply_steps(batch, transforms, scripts, rejects="_casts")
@@ -47,7 +55,13 @@ def stream_sync(
         if deleted_column:
             gone = F.col(deleted_column).isNotNull()
             checked = checked.withColumn(OP, F.when(gone, DELETE).otherwise(UPSERT))
-        target.append(checked, run_id, rejected=F.col(deadletter.ERROR_TYPE).isNotNull()).commit()
+        bad, counted = F.col(deadletter.ERROR_TYPE).isNotNull(), Observation()
+        checked = checked.observe(counted, F.count("*").alias("n"), F.count_if(bad).alias("bad"))
+        written = target.append(checked, run_id, rejected=bad)
+        if counted.get["bad"]:
+            found = deadletter.dead_letters(written.rejected_rows(), name, name, run_id, F.current_timestamp())
+            found.write.mode("overwrite").parquet(f"{letters}/of_run={folders.file_name(run_id)}")
+        written.commit(rows=counted.get["n"] - counted.get["bad"])
         target.compact_if_due()
 
     return (
@@ -60,6 +74,10 @@ def stream_sync(
     )
 
 
+def dead_letter_folder(target: TargetTable) -> str:
+    return f"{target.path}_dead_letters"
+
+
 def without_repeats(stream: DataFrame, keys: list[str], time_column: str, delay: str = "1 day", spread: int = 8) -> DataFrame:
     """Rows whose key was not seen within ``delay``; state is dropped after it.
 
