@@ -1,8 +1,9 @@
 """Main text of web pages by differencing pages of neighbouring URLs.
 
 Pages are sorted by host and URL path over all tasks, so that a host of any size is spread and neighbours lie side by side.  Each
-page is aligned with the page before and after it on its host, line by line, by the longest common subsequence; lines that both have are furniture of the site and go.
-A page that shares most of its lines with its neighbour is a copy of it, which tells nothing of furniture.
+page is aligned with the nearest pages before and after it on its host whose lines differ, line by line, by the longest common subsequence; lines that both have are
+furniture of the site and go.  Where a neighbour shares most lines of a page, the nearest page beyond it that shares fewer is asked too: what the neighbour
+shares beyond that furniture is a copy, which tells nothing, if it is most of what remains.
 Markup says the rest: elements that are menus, forms, comments and the like are left out; within an article,
 paragraphs, headings and list items stay even when a neighbour repeats them (a licence line belongs to its text), other lines go as outside.
 """
@@ -126,6 +127,38 @@ def common(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
     return left, right
 
 
+def _share(own: list, other: list) -> bool:
+    """Whether ``other`` has so many lines of ``own`` that it may be a copy."""
+    return len(common(own, other)[0]) > COPY_SHARE * len(own)
+
+
+def furniture(own: list, partners: list[list]) -> set[int]:
+    """Positions of the lines of ``own`` that ``partners`` show to be furniture.
+
+    The partner with the fewest common lines goes first.  Each other one is a copy, and left out, if it shares most of what remains on either page.
+    Where every partner may be a copy, the lines are taken as furniture all the same, unless fewer than two lines would remain (an edited copy).
+    """
+    found = sorted(((common(own, other)[0], other) for other in partners), key=lambda x: len(x[0]))
+    if not found:
+        return set()
+    known = found[0][0]
+    if len(known) > COPY_SHARE * len(own) and len(own) - len(known) < 2:
+        return set()
+    for shared, other in found[1:]:
+        lines = {own[k] for k in known}
+        rest = min(len(own) - len(known), sum(line not in lines for line in other))
+        if len(shared - known) <= COPY_SHARE * rest:
+            known = known | shared
+    return known
+
+
+class _Run:
+    """Pages that follow each other with the same lines: ``left`` and ``right`` are the lines of their partners."""
+
+    def __init__(self, host: str, lines: list):
+        self.host, self.lines, self.pages, self.left, self.right, self.far = host, lines, [], [], [], None
+
+
 def _judged(lines: list[tuple[str, str]], shared: set[int]) -> str:
     article = any(zone in ("text", "loose") for zone, _ in lines)
     wanted = {"text", "loose"} if article else {"open"}
@@ -135,7 +168,7 @@ def _judged(lines: list[tuple[str, str]], shared: set[int]) -> str:
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text`` of each row of ``pages``.
 
-    Null and empty pages give an empty text.  Pages without host are not paired.  Repeated rows are kept; as copies of each other they delete nothing.
+    Null and empty pages give an empty text.  Pages without host are not paired.  Repeated rows are kept; copies of each other delete nothing and have the same partners.
     A page that is alone on its host, or at the edge of a task, has one neighbour or none.  Other columns are not read.
     """
     host, path = parts(F.col("url").cast("string"))
@@ -143,25 +176,46 @@ def main_text(pages: DataFrame) -> DataFrame:
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def run(batches):
-        before, done, size = None, [], 0
-        for part in slices(batches, "html"):
-            for own_host, page_id, url, page in zip(*[part.column(c).to_pylist() for c in ("host", "page_id", "url", "html")]):
-                now = [own_host, page_id, url, lines_of(page or ""), set()]
-                if before:
-                    if own_host and before[0] == own_host:
-                        a, b = ([text for _, text in x[3]] for x in (before, now))
-                        left, right = common(a, b)
-                        if len(left) <= COPY_SHARE * min(len(a), len(b)):
-                            before[4] |= left
-                            now[4] |= right
-                    done.append((before[1], before[2], _judged(before[3], before[4])))
+        done, size, last, waiting = [], 0, None, []
+
+        def finish(runs) -> None:
+            nonlocal size
+            for x in runs:
+                shared = furniture(x.lines, x.left + x.right) if x.host else set()
+                for page_id, url, lines in x.pages:
+                    done.append((page_id, url, _judged(lines, shared)))
                     size += len(done[-1][2])
-                before = now
+
+        for part in slices(batches, "html"):
+            for host, page_id, url, page in zip(*[part.column(c).to_pylist() for c in ("host", "page_id", "url", "html")]):
+                lines = lines_of(page or "")
+                texts = [text for _, text in lines]
+                if last is None or last.host != host or last.lines != texts:
+                    now = _Run(host, texts)
+                    if last is not None and host and last.host == host:
+                        # Runs wait for a page after them that is no copy.
+                        last.right.append(texts)
+                        waiting.append(last)
+                        if not _share(last.lines, texts):
+                            for x in waiting[:-1]:
+                                x.right.append(texts)
+                            finish(waiting)
+                            waiting = []
+                        now.left.append(last.lines)
+                        now.far = last.far
+                        if not _share(texts, last.lines):
+                            now.far = last.lines
+                        elif last.far is not None:
+                            now.left.append(last.far)
+                    elif last is not None:
+                        finish([*waiting, last])
+                        waiting = []
+                    last = now
+                last.pages.append((page_id, url, lines))
                 if size > 1 << 20:
                     yield rows_of(schema, list(zip(*done)))
                     done, size = [], 0
-        if before:
-            done.append((before[1], before[2], _judged(before[3], before[4])))
+        finish([*waiting, *([last] if last else [])])
         if done:
             yield rows_of(schema, list(zip(*done)))
 
