@@ -11,13 +11,18 @@ paragraphs, headings and list items stay even when a neighbour repeats them (a l
 from __future__ import annotations
 
 import html
+import pickle
 import re
+import zlib
+from array import array
+from bisect import bisect_right
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrywork.llm.frames import rows_of, slices
+from ferrywork.llm.frames import SLICE_BYTES, rows_of, slices, written
 from ferrywork.llm.urlfilter import parts
 
 # HTML's element kinds, and words that name furniture in class, id and role.
@@ -33,7 +38,9 @@ FURNITURE = set(
     "nav navbar navigation menu header masthead footer sidebar aside ad ads advert adverts advertisement banner promo sponsor sponsored cookie cookies consent gdpr notice notices popup modal "
     "comment comments replies reply disqus share sharing social related breadcrumb breadcrumbs newsletter subscribe signup login search contentinfo complementary dialog toolbar pagination pager widget".split()
 )
-COPY_SHARE = 0.8
+COPY_SHARE, BOUND_ROWS, RANGES = 0.8, 50, 4
+ORDER = ("host", "path", "page_id")
+ZONES = {"t": "text", "l": "loose", "o": "open"}
 
 
 def _named_furniture(attributes: str) -> bool:
@@ -139,6 +146,7 @@ def furniture(own: list, partners: list[list]) -> set[int]:
     Where every partner may be a copy, the lines are taken as furniture all the same, unless fewer than two lines would remain (an edited copy).
     """
     found = sorted(((common(own, other)[0], other) for other in partners), key=lambda x: len(x[0]))
+    found = [x for x in found if x[0]]
     if not found:
         return set()
     known = found[0][0]
@@ -155,8 +163,50 @@ def furniture(own: list, partners: list[list]) -> set[int]:
 class _Run:
     """Pages that follow each other with the same lines: ``left`` and ``right`` are the lines of their partners."""
 
-    def __init__(self, host: str, lines: list):
-        self.host, self.lines, self.pages, self.left, self.right, self.far = host, lines, [], [], [], None
+    def __init__(self, host: str, lines: list, before: _State | None):
+        self.host, self.lines, self.pages, self.right = host, lines, [], []
+        self.state = reached(before, lines)
+        _, near, far = self.state
+        self.left = [] if near is None else [near, far] if far is not None and _share(lines, near) else [near]
+
+
+# Of the last run of a host so far: its lines, those of the run before it, and those of the nearest run before that one which is no copy of it.
+_State = tuple[list, list | None, list | None]
+
+
+def reached(state: _State | None, lines: list) -> _State:
+    """The state after one more page with ``lines``."""
+    if state is None:
+        return lines, None, None
+    last, near, far = state
+    if last == lines:
+        return state
+    return lines, last, far if near is None or _share(last, near) else near
+
+
+def _edge(runs: list[list]) -> tuple:
+    """The first run, and the state after all ``runs`` of a host as far as these alone tell it."""
+    if len(runs) == 1:
+        return runs[0], runs[0], None, None
+    far = next((runs[k - 1] for k in range(len(runs) - 2, 0, -1) if not _share(runs[k], runs[k - 1])), None)
+    return runs[0], runs[-1], runs[-2], far
+
+
+def _carried(parts: list[tuple[str, tuple, str, tuple, bool]]) -> list[_State | None]:
+    """The state that each part finds before it, from ``(first host, its edge, last host, its edge, whether that is the same stretch)`` of all."""
+    found, host, state = [], None, None
+    for first_host, first_edge, last_host, last_edge, single in parts:
+        before = state if first_host and first_host == host else None
+        found.append(before)
+        first, last, near, far = last_edge
+        if single and before is not None:
+            begun = reached(before, first)
+            # Where no run of the part but the first has a partner that is no copy, that of the first one holds.
+            state = begun if near is None else (last, near, far if far is not None else reached(begun, [None])[2])
+        else:
+            state = (last, near, far)
+        host = last_host
+    return found
 
 
 def _judged(lines: list[tuple[str, str]], shared: set[int]) -> str:
@@ -165,59 +215,149 @@ def _judged(lines: list[tuple[str, str]], shared: set[int]) -> str:
     return "\n".join(text for k, (zone, text) in enumerate(lines) if zone in wanted and (zone == "text" or k not in shared))
 
 
+def _line_hashes(lines: str) -> list[int]:
+    return [xxhash.xxh64_intdigest(x) for x in lines.split("\n")] if lines else []
+
+
+def _signed(text: str) -> int:
+    return int.from_bytes(xxhash.xxh64_digest(text), signed=True)
+
+
+def _ranges(lines: DataFrame) -> tuple[list[tuple], int]:
+    """Bounds that part the pages by host and path into ranges of about equal size, and the number of tasks: each gets some ranges."""
+    count = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    step = max(1, lines.count() // (count * BOUND_ROWS))
+    keys = lines.where(F.pmod(F.xxhash64("host", "path", "page_id"), F.lit(step)) == 0).select(*ORDER).collect()
+    keys = sorted((r.host.encode(), r.path.encode(), r.page_id is not None, r.page_id or 0) for r in keys)
+    return sorted({keys[len(keys) * k // (RANGES * count)] for k in range(1, RANGES * count)} if keys else set()), count
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text`` of each row of ``pages``.
 
     Null and empty pages give an empty text.  Pages without host are not paired.  Repeated rows are kept; copies of each other delete nothing and have the same partners.
-    A page that is alone on its host, or at the edge of a task, has one neighbour or none.  Other columns are not read.
+    A page that is alone on its host has no partner.  The answer does not depend on how pages are dealt to tasks: what lies before and after each range of
+    pages is found first, from hashes of lines.  Other columns are not read.
     """
+    spark = pages.sparkSession
     host, path = parts(F.col("url").cast("string"))
     source = pages.select(host.alias("host"), path.alias("path"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    parsed = pa.schema([("host", pa.string()), ("path", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("zones", pa.string()), ("lines", pa.string()), ("tie", pa.int64())])
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
+    def parse(batches):
+        for part in slices(batches, "html"):
+            found = [lines_of(page or "") for page in part.column("html").to_pylist()]
+            # A line holds no white space but single blanks.
+            texts = ["\n".join(text for _, text in x) for x in found]
+            yield rows_of(parsed, [*[part.column(c) for c in ("host", "path", "page_id", "url")], ["".join(zone[0] for zone, _ in x) for x in found], texts, [_signed(t) for t in texts]])
+
+    lines = written(source.mapInArrow(parse, "host string, path string, page_id long, url string, zones string, lines string, tie long"), "page_lines")
+    bounds, count = _ranges(lines)
+
+    def ranged(columns: list[str], packed) -> DataFrame:
+        """``columns`` and the packed lines of the pages of a range in order, the number of the range first; pages of one key are in the order of their lines."""
+        columns = [*columns, "lines"]
+        marked = pa.schema([("part", pa.int32()), *[parsed.field(c) for c in (*ORDER, "tie", *columns)]])
+        marked = marked.set(len(marked) - 1, pa.field("lines", pa.binary()))
+
+        def mark(batches):
+            for batch in slices(batches, "lines"):
+                at = {c: batch.column(c) for c in batch.schema.names}
+                at["lines"] = [packed(x) for x in at["lines"].to_pylist()]
+                keys = zip(*[at[c].to_pylist() for c in ORDER])
+                number = [bisect_right(bounds, (h.encode(), p.encode(), k is not None, k or 0)) for h, p, k in keys]
+                yield rows_of(marked, [number, *[at[c] for c in (*ORDER, "tie", *columns)]])
+
+        kinds = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
+        dealt = lines.select(*ORDER, "tie", *columns).mapInArrow(mark, ", ".join(f"`{f.name}` {kinds[f.type]}" for f in marked))
+        return dealt.repartition(count, "part").sortWithinPartitions("part", *ORDER, "tie", *[c for c in columns if c != "lines"])
+
+    def stretches(batches):
+        """For each range: the edges of the first and of the last host, forwards and backwards."""
+
+        def closed():
+            if part is not None:
+                head = first if first is not None else runs
+                forward = (first_host, _edge(head), host, _edge(runs), first is None)
+                backward = (host, _edge(runs[::-1]), first_host, _edge(head[::-1]), first is None)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pickle.dumps((forward, backward))], pa.binary())], names=["part", "edges"])
+
+        part, host, first_host, first, runs = None, None, None, None, []
+        for batch in batches:
+            for number, own, hashes in zip(*[batch.column(c).to_pylist() for c in ("part", "host", "lines")]):
+                now = list(array("Q", hashes))
+                if not now:
+                    continue
+                if number != part:
+                    yield from closed()
+                    part, host, first_host, first, runs = number, own, own, None, [now]
+                elif own != host:
+                    first = runs if first is None else first
+                    host, runs = own, [now]
+                elif not own:
+                    runs = [now]
+                elif runs[-1] != now:
+                    runs.append(now)
+        yield from closed()
+
     def run(batches):
-        done, size, last, waiting = [], 0, None, []
+        done, size, last, waiting, part = [], 0, None, [], None
 
         def finish(runs) -> None:
             nonlocal size
             for x in runs:
                 shared = furniture(x.lines, x.left + x.right) if x.host else set()
-                for page_id, url, lines in x.pages:
-                    done.append((page_id, url, _judged(lines, shared)))
+                for page_id, url, zones, whole in x.pages:
+                    done.append((page_id, url, _judged(list(zip(map(ZONES.get, zones), whole.split("\n"))), shared)))
                     size += len(done[-1][2])
 
-        for part in slices(batches, "html"):
-            for host, page_id, url, page in zip(*[part.column(c).to_pylist() for c in ("host", "page_id", "url", "html")]):
-                lines = lines_of(page or "")
-                texts = [text for _, text in lines]
-                if last is None or last.host != host or last.lines != texts:
-                    now = _Run(host, texts)
-                    if last is not None and host and last.host == host:
+        def close() -> None:
+            """The last runs of a range, by what lies after it."""
+            if last is None:
+                return
+            after = around.value[part][1] if last.host else None
+            for x in [last, *waiting[::-1]]:
+                after = reached(after, x.lines)
+                x.right = [] if after[1] is None else [after[1], after[2]] if after[2] is not None and _share(x.lines, after[1]) else [after[1]]
+            finish([*waiting, last])
+
+        for batch in slices(batches, "lines", SLICE_BYTES // 4):
+            for number, host, page_id, url, zones, lines in zip(*[batch.column(c).to_pylist() for c in ("part", "host", "page_id", "url", "zones", "lines")]):
+                whole = zlib.decompress(lines).decode()
+                now = _line_hashes(whole)
+                if not now:  # it tells nothing of others
+                    done.append((page_id, url, ""))
+                    continue
+                if number != part or last.host != host or last.lines != now:
+                    before = None
+                    if number != part:
+                        close()
+                        waiting, part = [], number
+                        before = around.value[part][0] if host else None
+                    elif host and last.host == host:
                         # Runs wait for a page after them that is no copy.
-                        last.right.append(texts)
+                        before = last.state
+                        last.right.append(now)
                         waiting.append(last)
-                        if not _share(last.lines, texts):
+                        if not _share(last.lines, now):
                             for x in waiting[:-1]:
-                                x.right.append(texts)
+                                x.right.append(last.right[0])
                             finish(waiting)
                             waiting = []
-                        now.left.append(last.lines)
-                        now.far = last.far
-                        if not _share(texts, last.lines):
-                            now.far = last.lines
-                        elif last.far is not None:
-                            now.left.append(last.far)
-                    elif last is not None:
+                    else:
                         finish([*waiting, last])
                         waiting = []
-                    last = now
-                last.pages.append((page_id, url, lines))
+                    last = _Run(host, now, before)
+                last.pages.append((page_id, url, zones, whole))
                 if size > 1 << 20:
                     yield rows_of(schema, list(zip(*done)))
                     done, size = [], 0
-        finish([*waiting, *([last] if last else [])])
+        close()
         if done:
             yield rows_of(schema, list(zip(*done)))
 
-    ordered = source.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return ordered.mapInArrow(run, "page_id long, url string, text string")
+    edges = sorted((r.part, *pickle.loads(r.edges)) for r in ranged([], lambda x: array("Q", _line_hashes(x)).tobytes()).mapInArrow(stretches, "part int, edges binary").collect())
+    forward, backward = _carried([f for _, f, _ in edges]), _carried([b for _, _, b in edges[::-1]])[::-1]
+    around = spark.sparkContext.broadcast({number: (f, b) for (number, _, _), f, b in zip(edges, forward, backward)})
+    return ranged(["url", "zones"], lambda x: zlib.compress(x.encode(), 1)).mapInArrow(run, "page_id long, url string, text string")

@@ -1,5 +1,8 @@
 """Places where an operator did less than the whole job."""
 
+import numpy as np
+import pytest
+
 from ferrywork.llm import extract
 
 
@@ -25,15 +28,40 @@ def test_op9_differences_pages_that_are_mostly_furniture():
     assert extract.furniture([*own, *body], [[*own, *body[1:], "edited"]]) == set()
 
 
-def test_op9_copies_are_folded_and_near_copies_passed_over(spark):
-    spark.conf.set("spark.sql.shuffle.partitions", "1")
-    try:
-        bodies = [[f"text {k} {j}" for j in range(2)] for k in range(2)]
-        assert main_texts(spark, [(f"two.org/{k}", site(9, b)) for k, b in enumerate(bodies)]) == ["\n".join(b) for b in bodies]
-        copies = [("a", ["first", "second"]), *[(f"b{k}", ["again", "and again"]) for k in range(4)], ("c", ["last", "of all"])]
-        assert main_texts(spark, [(f"run.org/{u}", site(9, b)) for u, b in copies]) == ["\n".join(b) for _, b in copies]
-        long = [f"sentence {k}" for k in range(50)]
-        near = [("a", ["first"]), *[(f"b{k}", [*long, f"seen {k} times"]) for k in range(5)], ("c", ["last"])]
-        assert main_texts(spark, [(f"near.org/{u}", site(3, b)) for u, b in near]) == ["\n".join(b) for _, b in near]
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
+@pytest.fixture(params=[1, 4, 60])
+def tasks(request, spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(request.param))
+    yield request.param
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_op9_copies_are_folded_and_near_copies_passed_over(spark, tasks):
+    """With each number of tasks, up to one for each page, so that runs of copies are cut anywhere."""
+    pages = [(f"a.org/{k}", "<div>Top of site</div><div>body {}</div><div>All rights reserved</div>".format(k), f"body {k}") for k in range(4)]
+    pages += [(f"two.org/{k}", site(9, b), "\n".join(b)) for k, b in enumerate([["a", "b"], ["c", "d"]])]
+    copies = [("a", ["first", "second"]), *[(f"b{k}", ["again", "and again"]) for k in range(4)], ("c", ["last", "of all"])]
+    pages += [(f"run.org/{u}", site(9, b), "\n".join(b)) for u, b in copies] + [("run.org/bb", "", "")]
+    long = [f"sentence {k}" for k in range(50)]
+    near = [("a", ["first"]), *[(f"b{k}", [*long, f"seen {k} times"]) for k in range(5)], ("c", ["last"])]
+    pages += [(f"near.org/{u}", site(3, b), "\n".join(b)) for u, b in near]
+    assert main_texts(spark, [p[:2] for p in pages]) == [p[2] for p in pages]
+
+
+def test_op9_edges_carry_what_one_pass_finds():
+    """States before each part, however a row of runs is cut."""
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        pages = [[int(x) for x in rng.integers(0, 3, rng.integers(1, 7))] for _ in range(rng.integers(2, 9))]
+        cuts = [0, *sorted(rng.choice(range(1, len(pages)), rng.integers(1, len(pages)), replace=False).tolist()), len(pages)]
+        parts, wanted, state = [], [], None
+        for a, b in zip(cuts, cuts[1:]):
+            wanted.append(state)
+            runs = [pages[a]]
+            for page in pages[a:b]:
+                state = extract.reached(state, page)
+                if runs[-1] != page:
+                    runs.append(page)
+            edge = extract._edge(runs)
+            parts.append(("h", edge, "h", edge, True))
+        assert extract._carried(parts) == wanted
