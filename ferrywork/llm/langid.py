@@ -13,13 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrywork.llm.frames import rows_of, slices
 from ferrywork.llm.textcodes import Words, gathered, run_hashes, utf8
 
 SAMPLE_DOCS, SAMPLE_CHARS, FEATURE_BITS, GRAMS, STEPS, CHUNK, SPLICE, UNKNOWN = 400, 20_000, 17, (1, 2, 3, 4), 40, 64, 40, "und"
+# Of each language at least, where so many languages share the sample; passages of a long text.
+LEAST_DOCS, PASSAGES = 20, 4
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LETTER = np.array([chr(b).isalpha() and b < 128 or b >= 128 for b in range(256)])
 
@@ -172,11 +174,37 @@ def tag(field: Field, texts: pa.Array):
     return words, letters, marginal
 
 
+def _passages(column: str, longest: int):
+    """The text, or so many passages of it, evenly spread, where it has more than ``longest`` characters."""
+    size, length = max(1, longest // (2 * PASSAGES)), F.length(column)
+    cuts = [F.substring(column, (1 + (length - size) * k / (PASSAGES - 1)).cast("int"), F.lit(size)) for k in range(PASSAGES)]
+    return F.when(length <= longest, F.array(column)).otherwise(F.array(*cuts))
+
+
+def _joined(passages: list[str]) -> str:
+    """Passages without the words that their ends may have cut."""
+    for k, text in enumerate(passages):
+        words = text.split()
+        if len(passages) > 1 and len(words) > 2:
+            words = words[k > 0 : len(words) - (k < len(passages) - 1)]
+            passages[k] = " ".join(words)
+    return " ".join(passages)
+
+
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Field | None:
-    """Train on at most ``sample_docs`` documents of ``docs(text, lang)``, picked by hash among those of at most ``sample_chars`` characters."""
-    known = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(F.length("text") <= sample_chars)
-    rows = known.select("text", "lang").orderBy(F.xxhash64("text"), "lang").limit(sample_docs).collect()
-    return train([r.text for r in rows], [r.lang for r in rows])
+    """Train on ``sample_docs`` distinct texts of ``docs(text, lang)``, dealt to the languages in turn, so that each gets its share or all it has.
+
+    Where that is under ``LEAST_DOCS`` texts for a language, because there are very many languages, the sample grows to that many for each.  Texts are picked by hash;
+    of one with more than ``sample_chars`` characters, some passages are taken.  Training time and driver memory grow with the number of languages.
+    """
+    known = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h"))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    dealt = known.select("lang", "h").distinct().withColumn("turn", turn).where(F.col("turn") <= sample_docs).orderBy("turn", "h", "lang")
+    languages = known.select("lang").distinct().count()
+    picked = {(r.lang, r.h) for r in dealt.limit(max(sample_docs, LEAST_DOCS * languages)).collect()}
+    wanted = known.where(F.col("h").isin([h for _, h in sorted(picked)])).groupBy("lang", "h").agg(F.min(_passages("text", sample_chars)).alias("passages"))
+    rows = sorted((r.lang, r.h, _joined(r.passages)) for r in wanted.collect() if (r.lang, r.h) in picked)
+    return train([text for _, _, text in rows], [lang for lang, _, _ in rows])
 
 
 def predict(docs: DataFrame, field: Field | None) -> DataFrame:

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from ferrywork.llm import extract
+from ferrywork.llm import extract, langid
 
 
 def site(furniture, body):
@@ -65,3 +66,22 @@ def test_op9_edges_carry_what_one_pass_finds():
             edge = extract._edge(runs)
             parts.append(("h", edge, "h", edge, True))
         assert extract._carried(parts) == wanted
+
+
+def test_op10_learns_rare_languages_despite_copies_and_long_texts(spark):
+    rng = np.random.default_rng(6)
+    words = {lang: [f"{lang}{''.join(rng.choice(list(signs), 5))}" for _ in range(60)] for lang, signs in (("aa", "bcdfg"), ("bb", "klmno"), ("cc", "stuvw"))}
+    texts = [(lang, " ".join(rng.choice(words[lang], 12))) for lang in ["aa"] * 600 + ["bb"] * 30]
+    texts = [(r.lang, r.text) for r in spark.createDataFrame(texts, "lang string, text string").orderBy(F.xxhash64("text")).collect()]
+    first = next(t for t in texts if t[0] == "aa")
+    late = [t for t in texts if t[0] == "bb"][-2:]
+    long = ("cc", " ".join(rng.choice(words["cc"], 6000)))
+    rows = [first] * 450 + [t for t in texts if t[0] == "aa"] + late + [long]
+    field = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert field.labels == ["aa", "bb", "cc"]
+    asked = [" ".join(rng.choice(words[lang], 12)) for lang in field.labels]
+    found = langid.predict(spark.createDataFrame(list(zip(asked)), "text string"), field).collect()
+    assert {r.text: r.lang_pred for r in found} == dict(zip(asked, field.labels))
+    assert langid.fit(spark.createDataFrame([long], "lang string, text string")).labels == ["cc"]
+    # More languages than the sample has texts: each is learned.
+    assert len(langid.fit(spark.createDataFrame([(f"l{k}", f"word{k}") for k in range(9)], "lang string, text string"), sample_docs=4).labels) == 9
