@@ -14,7 +14,7 @@ from ferrywork.llm.frames import table, written
 
 #: Documents go that have no letters, or whose best language holds less than this share of their words.
 LEAST_SHARE = 0.3
-#: Near-duplicates: fingerprints of five-word shingles (similarity 0.8 or more) within four bits.
+#: Near-duplicates: fingerprints of five-word shingles within four bits.  That finds few pairs of a Jaccard similarity under 0.85 (see README); similarity is not verified.
 SHINGLE = 5
 
 
