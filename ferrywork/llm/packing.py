@@ -9,6 +9,7 @@ When the stream ends, open windows are poured into each other; the last one is c
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,13 @@ class WordEncoder:
         self.id_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         self.id_bytes[list(vocabulary.values())] = [len(token) for token in vocabulary]  # one sign stands for one byte
         self.known: dict[str, bytes] = {}
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("added tokens that take white space or whole words only are not supported")
+        self.added = {t.content: np.array([k], dtype="<u4") for k, t in added.items()}
+        # The longest one where several begin; a text without any is one piece.
+        longest = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(map(re.escape, longest))})").split if longest else lambda text: [text]
 
     def _learn(self, words: list[str]) -> None:
         """Ids of new words in one call; words end where the bytes of their ids do."""
@@ -56,6 +64,12 @@ class WordEncoder:
         self.known.update((w, raw[a:b]) for w, a, b in zip(words, [0, *ends], ends))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; added tokens are cut out first and have ids of their own."""
+        parts = [self.cut(text) for text in texts]
+        plain = iter(self._plain([p for x in parts for p in x[::2]]))
+        return [next(plain) if len(x) == 1 else np.concatenate([self.added[p] if k % 2 else next(plain) for k, p in enumerate(x)]) for x in parts]
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
         words, number, first = distinct_pretokens(texts)
         known = self.known
         if len(known) + len(words) > CACHED_WORDS:

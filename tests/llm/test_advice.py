@@ -1,10 +1,12 @@
 """Places where an operator did less than the whole job."""
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from ferrywork.llm import extract, langid
+from ferrywork.llm import extract, langid, packing
 
 
 def site(furniture, body):
@@ -85,3 +87,18 @@ def test_op10_learns_rare_languages_despite_copies_and_long_texts(spark):
     assert langid.fit(spark.createDataFrame([long], "lang string, text string")).labels == ["cc"]
     # More languages than the sample has texts: each is learned.
     assert len(langid.fit(spark.createDataFrame([(f"l{k}", f"word{k}") for k in range(9)], "lang string, text string"), sample_docs=4).labels) == 9
+
+
+def test_op4_added_tokens_have_their_own_ids(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    added = [t.content for t in library.get_added_tokens_decoder().values()]
+    assert added
+    rng = np.random.default_rng(7)
+    signs = [*added, *added, "a", " ", "it's", "\n", "é", "12", "<|", "|>", added[0][:-1]]
+    rows = [(k, "".join(rng.choice(signs, rng.integers(0, 9)))) for k in range(200)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), path).orderBy("doc_id", "start").collect()
+    found = {}
+    for p in pieces:
+        found[p.doc_id] = found.get(p.doc_id, b"") + bytes(p.ids)
+    assert found == {k: np.array([*library.encode(t, add_special_tokens=False).ids, 1], dtype="<u4").tobytes() for k, t in rows}
