@@ -10,6 +10,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from __spark_entry__ import entry, oracle_sql, queries
 
+from ferrywork.plans.registry import load_checks
+
 SF_DIR = "/root/testdata/sf0.001"
 
 
@@ -18,7 +20,7 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("key", sorted(queries()))
+@pytest.mark.parametrize("key", sorted(load_checks()))
 def test_query_matches_its_sql(spark, con, key):
     df = queries()[key](spark, SF_DIR)
     plan = df._jdf.queryExecution().executedPlan().toString()
