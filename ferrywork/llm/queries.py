@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ferrywork.llm import annindex, bpe, capfilters, extract, langid, packing, pii, simhash, substring, urlfilter
+from ferrywork.llm import annindex, bpe, capfilters, convtrie, extract, langid, packing, pii, simhash, substring, urlfilter
 from ferrywork.llm.frames import table
 
 QUERIES, SQL = {}, {}
@@ -110,3 +110,53 @@ def op6_boosted_urls(spark, sf_dir):
 def op9_neighbour_differencing(spark, sf_dir):
     found = extract.main_text(table(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+# CRC-32 of the characters' codes in the list {0}, bit by bit; 3988292384 is its polynomial.
+CRC32_SQL = (
+    "xor(list_reduce([4294967295] || {0}, lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], "
+    "lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+)
+OP13_SQL = r"""
+WITH turns AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(r) || ':' || r || x)) AS place,
+        {'role': r, 'text': x} AS item, len(regexp_extract_all(x, '[^ 	-]+')) AS words
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)
+), convs AS (
+    SELECT conv_id, CRC % 4 AS h FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM conversations WHERE conv_id IS NOT NULL)
+), rebuilt AS (
+    SELECT conv_id, 1 AS part, place, item, words FROM turns JOIN convs USING (conv_id) WHERE conv_id % 20 = 0 OR place > h
+    UNION ALL
+    SELECT c.conv_id, 0, t.place, t.item, t.words FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 20 WHERE c.conv_id % 20 <> 0 AND t.place <= c.h
+), steps AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS depth, item, words FROM rebuilt
+), whole AS (
+    SELECT c.conv_id, coalesce(list(item ORDER BY depth) FILTER (depth IS NOT NULL), []) AS items FROM convs c LEFT JOIN steps USING (conv_id) GROUP BY c.conv_id
+), prefixes AS (
+    SELECT conv_id, depth, len(items) AS total, items[1:depth] AS prefix FROM (SELECT conv_id, items, unnest(range(0, len(items) + 1)) AS depth FROM whole)
+), named AS (
+    SELECT conv_id, depth, total, min(conv_id) OVER (PARTITION BY depth, prefix) AS node FROM prefixes
+), nodes AS (
+    SELECT node, depth, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (total = depth), '') AS ends
+    FROM named GROUP BY node, depth
+), saved AS (
+    SELECT n.node, n.depth, (n_convs - 1) * coalesce(s.words, 0) AS tokens FROM nodes n LEFT JOIN steps s ON s.conv_id = n.node AND s.depth = n.depth
+), above AS (
+    SELECT a.node, a.depth, b.node AS up, b.depth AS up_depth, c.tokens FROM nodes a JOIN named b ON b.conv_id = a.node AND b.depth <= a.depth
+    JOIN saved c ON c.node = a.node AND c.depth = a.depth
+), inner_nodes AS (
+    SELECT up AS node, up_depth AS depth, count(*) AS n_children FROM above WHERE up_depth = depth - 1 GROUP BY up, up_depth
+), sums AS (
+    SELECT a.up AS node, a.up_depth AS depth, sum(a.tokens) AS saved_tokens, count(*) FILTER (i.node IS NULL) AS n_leaves
+    FROM above a LEFT JOIN inner_nodes i ON i.node = a.node AND i.depth = a.depth GROUP BY a.up, a.up_depth
+)
+SELECT n.node AS conv_id, n.depth, p.up AS parent_conv_id, n.n_convs, coalesce(i.n_children, 0) AS n_children, s.n_leaves,
+    CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN sums s USING (node, depth) LEFT JOIN inner_nodes i USING (node, depth)
+LEFT JOIN above p ON p.node = n.node AND p.depth = n.depth AND p.up_depth = n.depth - 1
+""".replace("CRC", CRC32_SQL.format("list_transform(range(1, length(s) + 1), lambda i: ascii(s[i]))"))
+
+
+@query("op13_truncation_peeling", OP13_SQL)
+def op13_truncation_peeling(spark, sf_dir):
+    return convtrie.spliced_trie(table(spark, sf_dir, "conversations"))
