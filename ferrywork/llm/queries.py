@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ferrywork.llm import annindex, bpe, capfilters, convtrie, extract, langid, packing, pii, simhash, substring, urlfilter
+from ferrywork.llm import annindex, bpe, capfilters, convtrie, extract, langid, packing, pii, prefixhash, simhash, spelling, substring, urlfilter
 from ferrywork.llm.frames import table
 
 QUERIES, SQL = {}, {}
@@ -120,7 +120,8 @@ CRC32_SQL = (
 OP13_SQL = r"""
 WITH turns AS (
     SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(r) || ':' || r || x)) AS place,
-        {'role': r, 'text': x} AS item, len(regexp_extract_all(x, '[^ 	-]+')) AS words
+        {'role': r, 'text': x} AS item, len(regexp_extract_all(x, '[^ 	-
+]+')) AS words
     FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)
 ), convs AS (
     SELECT conv_id, CRC % 4 AS h FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM conversations WHERE conv_id IS NOT NULL)
@@ -160,3 +161,42 @@ LEFT JOIN above p ON p.node = n.node AND p.depth = n.depth AND p.up_depth = n.de
 @query("op13_truncation_peeling", OP13_SQL)
 def op13_truncation_peeling(spark, sf_dir):
     return convtrie.spliced_trie(table(spark, sf_dir, "conversations"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE runs AS (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), each AS (
+    SELECT run, length(run) AS size, hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) AS bytes, count(*) AS n FROM runs GROUP BY doc_id, run
+), coded AS (
+    SELECT run, size, n, CRC AS h FROM each
+), words AS (
+    SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % 31 = 0 THEN left(run, CAST(h % size AS INT)) || substr(run, CAST(h % size AS INT) + 2) ELSE run END AS word FROM coded)
+    WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), less AS (
+    SELECT word, n, k, left(word, k - 1) || substr(word, k + 1) AS rest FROM (SELECT word, n, CAST(unnest(range(1, length(word) + 1)) AS INT) AS k FROM words)
+), near AS (
+    SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.k = b.k AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT a.word, a.n, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+    UNION SELECT b.word, b.n, a.word, a.n FROM less a JOIN words b ON a.rest = b.word
+), ranked AS (
+    SELECT word, n, other, other_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS place FROM near
+), forms AS (
+    SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form, CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
+    FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.place = 1
+), chain AS (
+    SELECT word, word AS at, form AS ahead FROM forms
+    UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON f.word = c.ahead
+)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c ON c.word = f.word AND c.ahead IS NULL
+""".replace("CRC", CRC32_SQL.format("list_transform(range(1, length(bytes) // 2 + 1), lambda i: CAST('0x' || bytes[2 * i - 1 : 2 * i] AS BIGINT))"))
+
+
+@query("op11_pivotal_grams", OP11_SQL)
+def op11_pivotal_grams(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_prefix_hashes")
+def op12_prefix_hashes(spark, sf_dir):
+    return prefixhash.edited_neighbours(table(spark, sf_dir, "documents"))

@@ -154,15 +154,33 @@ def joined_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def distinct_pretokens(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct pre-tokens, the number of each pre-token in reading order, and where each text begins in it."""
+    """Distinct pre-tokens, the number of each pre-token in reading order, and where each text begins in it.
+
+    Pre-tokens are sorted out by hash, then each is compared with the one that stands for it; if any differs, all are told apart by their text.
+    """
     codes, offsets = joined_codes(texts)
     starts = pretokens(codes, offsets)
-    ends = np.append(starts[1:], len(codes))
-    hashes = run_hashes(codes, starts, ends, _BYTE_BASE)
-    _, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    lengths = np.diff(starts, append=len(codes))
+    _, index, inverse = np.unique(run_hashes(codes, starts, starts + lengths, _BYTE_BASE), return_index=True, return_inverse=True)
     whole = "".join(texts)
-    words = [whole[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist())]
-    return words, inverse, np.searchsorted(starts, offsets)
+    first = np.searchsorted(starts, offsets)
+    if same_runs(codes, starts, lengths, index[inverse]):
+        words = [whole[a : a + n] for a, n in zip(starts[index].tolist(), lengths[index].tolist())]
+        return words, inverse, first
+    numbers: dict[str, int] = {}
+    own = (whole[a : a + n] for a, n in zip(starts.tolist(), lengths.tolist()))
+    inverse = np.fromiter((numbers.setdefault(word, len(numbers)) for word in own), dtype=np.int64, count=len(starts))
+    return list(numbers), inverse, first
+
+
+def same_runs(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, like: np.ndarray) -> bool:
+    """Whether each of the adjoining runs that make up ``codes`` equals the run of the number ``like``."""
+    if (lengths != lengths[like]).any():
+        return False
+    kind = np.int32 if len(codes) < 2**31 else np.int64
+    at = np.repeat((starts[like] - starts).astype(kind), lengths)
+    at += np.arange(len(codes), dtype=kind)
+    return bool((codes[at] == codes).all())
 
 
 def gathered(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:

@@ -1,6 +1,8 @@
 """Operators 11 to 13 and the SQL of the corpus queries: brute force on small tables, odd rows, clashing names."""
 
 import hashlib
+import os
+import re
 import sys
 import zlib
 from pathlib import Path
@@ -12,7 +14,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from oracle import compare, connect
 
-from ferrywork.llm import convtrie
+from ferrywork.llm import convtrie, prefixhash, spelling
 from ferrywork.llm.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -96,3 +98,158 @@ def test_op13_deep_conversation_takes_few_rounds(spark):
     rows = [(1, t, "u", str(t)) for t in range(3000)] + [(2, 0, "u", "0"), (2, 1, "u", "else")]
     found = convtrie.conversation_trie(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert len(found) == 3002 and max(r.depth for r in found) == 3000 and next(r for r in found if r.depth == 0).n_leaves == 2
+
+
+def edits(a, b):
+    """Whether the words differ by exactly one inserted, deleted or replaced code point."""
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    if len(a) > len(b):
+        a, b = b, a
+    return len(b) == len(a) + 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+
+def brute_variants(words, ratio=10):
+    near = {w: [v for v in words if edits(w, v)] for w in words}
+    best = {w: min(others, key=lambda v: (-words[v], v.encode()), default=None) for w, others in near.items()}
+    form = {w: b if b is not None and words[b] >= ratio * words[w] else None for w, b in best.items()}
+    out = []
+    for w in words:
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, words[w], len(near[w]), words[form[w]] if form[w] else None))
+    return sorted(out)
+
+
+def brute_counts(rows):
+    found = {}
+    for doc, text in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            if len(run) >= 7:
+                found[run] = found.get(run, 0) + 1
+    return found
+
+
+def test_op11_pairs_against_all_pairs(spark):
+    rng = np.random.default_rng(7)
+    words = {}
+    for letters, count in (("ab", 60), ("abcd\u00e9", 300), ("abcdefghijklmnopq\u00ff", 200)):
+        for _ in range(count):
+            w = "".join(rng.choice(list(letters), rng.integers(7, 11)))
+            for _ in range(int(rng.integers(0, 4))):
+                words[w] = int(10 ** rng.uniform(0.4, 5))
+                k, c = int(rng.integers(0, len(w))), str(rng.choice(list(letters)))
+                w = [w[:k] + c + w[k + 1 :], w[:k] + c + w[k:], w[:k] + w[k + 1 :] if len(w) > 7 else w][int(rng.integers(0, 3))]
+    found = spelling.variants(spark.createDataFrame(list(words.items()), "word string, n long"))
+    assert sorted(map(tuple, found.collect())) == brute_variants(words)
+
+
+def test_op11_counts_and_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(spelling, "PIECE_CHARS", 50)
+    monkeypatch.setattr(spelling, "COUNTER_WORDS", 20)
+    rng = np.random.default_rng(5)
+    stems = ["verschiedene", "LETTERS", "\u00c9l\u00e9phant", "\u00d7\u00f7abcdef", "straightforward", "na\u00efvet\u00e9s", "\u0100bcdefghi", "shorty", "under_scored"]
+    rows = [(k, " ".join(rng.choice(stems, 40)) + "\n" + "".join(rng.choice(stems, 3))) for k in range(80)]
+    rows += [(900, None), (901, ""), (None, "verschiedene verschiedene"), (3, rows[3][1]), (902, "x" * 3000 + " verschiedenee"), (903, "verschiedenee")]
+    frame = spark.createDataFrame([(*r, "mine", 1) for r in rows], "doc_id long, text string, word string, n int")
+    counts = brute_counts(rows)
+    assert {r.word: r.n for r in spelling.word_counts(frame).collect()} == counts
+    found = spelling.spelling_variants(frame)
+    assert found.columns == ["word", "form", "root", "n", "n_near", "form_n"]
+    assert sorted(map(tuple, found.collect())) == brute_variants({w: n for w, n in counts.items() if n >= 2})
+    assert spelling.spelling_variants(frame.limit(0)).count() == 0
+
+
+def test_op11_pivots_are_the_lightest_disjoint_pair():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        places = sorted(rng.choice(12, int(rng.integers(3, 8)), replace=False).tolist())
+        weights = rng.integers(1, 30, len(places)).tolist()
+        sums = {(p, q): weights[i] + weights[j] for i, p in enumerate(places) for j, q in enumerate(places) if q - p >= 2}
+        if sums:
+            assert sums[tuple(spelling.pivots(places, weights))] == min(sums.values())
+
+
+def hashes(text):
+    return prefixhash.PrefixHashes(prefixhash.code_points(text))
+
+
+@pytest.mark.parametrize("block", [prefixhash.BLOCK, 8, 32])
+def test_op12_spans_and_extensions(block, monkeypatch):
+    monkeypatch.setattr(prefixhash, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        a, b = ("".join(rng.choice(["a", "b", "\u00e9", "\U0001f600"], rng.integers(0, 70), p=[0.9, 0.05, 0.03, 0.02])) for _ in range(2))
+        b = a[: len(a) // 2] + b
+        x, y = hashes(a), hashes(b)
+        for base, k in zip(prefixhash.BASES, (0, 1)):
+            assert [x.upto(i)[k] for i in range(len(a) + 1)] == [sum((ord(c) + 1) * pow(base, i, prefixhash.PRIME) for i, c in enumerate(a[:n])) % prefixhash.PRIME for n in range(len(a) + 1)]
+        for _ in range(10):
+            i, j = int(rng.integers(0, len(a) + 1)), int(rng.integers(0, len(b) + 1))
+            assert x.common(y, i, j) == len(os.path.commonprefix([a[i:], b[j:]]))
+            assert x.common_back(y, i, j) == len(os.path.commonprefix([a[:i][::-1], b[:j][::-1]]))
+            n = int(rng.integers(0, min(len(a) - i, len(b) - j) + 1))
+            assert (x.span(i, i + n) == y.span(j, j + n)) == (a[i : i + n] == b[j : j + n])
+        spans = {hashes(a[k : k + 16]).span(0, len(a[k : k + 16])) for k in range(max(1, len(a) - 15))} if a else set()
+        assert x.least_spans(count=5).tolist() == sorted({int(prefixhash.mixed(np.array([s], dtype=np.uint64))[0]) >> 32 for s in spans})[:5]
+
+
+def test_op12_long_complements_differ():
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(4096))
+    other = word.translate(str.maketrans("ab", "ba"))
+    assert hashes(word).span(0, 4096) != hashes(other).span(0, 4096) and hashes(word).common(hashes(other)) == 0
+
+
+def test_op12_likeness():
+    rng = np.random.default_rng(1)
+    text = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    a, b = text(800), text(800)
+    near = lambda x, y: prefixhash.likeness(prefixhash.fingerprint(hashes(x)), prefixhash.fingerprint(hashes(y)))
+    assert near(a, a) == 1 and near("", "") == 1 and near("", "x") == 0 and near(a, b) < 0.05
+    assert 0.35 < near(a, a[:2400] + b[:2400]) < 0.65 and near(a, b + a) > 0.4 and near(a, a.replace("abc", "xyz")) > 0.8
+    assert near("abcdef", "abcxyz") == 0.5 and 0 <= near("aaaa", "aaaaaaaa") <= 1
+
+
+def brute_edited(rows):
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), len((r[1] or "").encode()), prefixhash.xxhash.xxh64_intdigest((r[1] or "").encode())))
+    out = []
+    for k, (doc, text) in enumerate(order):
+        text, after = text or "", order[(k + 1) % len(order)][1] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        own, changed, following = (prefixhash.fingerprint(hashes(t)) for t in (text, edited, after))
+        sha = hashlib.sha256(edited.encode()).hexdigest()
+        common = [len(os.path.commonprefix([text, t])) for t in (edited, after)]
+        out.append((doc, len(text), sha, own, changed, prefixhash.likeness(own, changed), prefixhash.likeness(own, following), *common))
+    return sorted(out, key=str)
+
+
+def test_op12_neighbours(spark):
+    odd = [(5, None), (6, ""), (6, ""), (6, "b" * 40), (None, "last"), (None, None), (7, "\U0001f600\u00e9x" * 70_000), (-3, "negative"), (2**62, "far away")]
+    rows = odd + [(100 + 3 * k, f"text number {k} " * (k % 40)) for k in range(300)]
+    frame = spark.createDataFrame([(*r, "mine", 0.5) for r in rows], "doc_id long, text string, fingerprint string, near_next double").repartition(7)
+    found = prefixhash.edited_neighbours(frame)
+    assert sorted(map(tuple, found.collect()), key=str) == brute_edited(rows)
+    assert sorted(map(tuple, prefixhash.fingerprints(frame).collect()), key=str) == sorted([(r[0], r[1], r[3]) for r in brute_edited(rows)], key=str)
+    assert prefixhash.edited_neighbours(frame.limit(0)).count() == 0
+    one = spark.createDataFrame([(1, "abcd")], "doc_id long, text string")
+    assert prefixhash.edited_neighbours(one).first().edited_sha256 == hashlib.sha256(b"abab").hexdigest()
+    assert prefixhash.edited_neighbours(spark.createDataFrame([(None, "abcd"), (None, "xy")], "doc_id long, text string")).count() == 2
+
+
+def test_op12_query(spark):
+    found = QUERIES["op12_prefix_hashes"](spark, SF).collect()
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    assert sorted(map(tuple, found), key=str) == brute_edited(rows)
+    assert np.mean([r.near_edited > r.near_next for r in found]) > 0.9
+
+
+def test_op12_extensions_of_pairs(spark):
+    rows = [("abcdef", 2, "xxcdef!", 2, 9), (None, 0, "a", 0, 9), ("abc", None, "abd", None, 9), ("abc", 7, "abc", 0, 9)]
+    frame = spark.createDataFrame(rows, "left_text string, left_at long, right_text string, right_at long, common int")
+    assert [r.common for r in prefixhash.common_extensions(frame).collect()] == [4, 0, 2, 0]

@@ -55,6 +55,23 @@ def test_pretokens_follow_the_pattern():
         assert [[words[k] for k in number[first[j] : first[j + 1]]] for j in range(3)] == [pattern.findall(t) for t in texts]
 
 
+def test_words_of_equal_hash_are_told_apart(spark):
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word, f"{other} {word}", other, word]
+    words, number, first = distinct_pretokens(texts)
+    assert [[words[k] for k in number[first[j] : first[j + 1]]] for j in range(4)] == [[word], [other, f" {word}"], [other], [word]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    found: dict[int, list] = {}
+    for p in sorted(packing.pack(rows, path).collect(), key=lambda p: (p.doc_id, p.start)):
+        found.setdefault(p.doc_id, []).extend(np.frombuffer(p.ids, dtype="<u4").tolist())
+    assert found == {k: tokenizer.encode(t, add_special_tokens=False).ids + [1] for k, t in enumerate(texts)}
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    assert {r.doc_id: bytes(r.decoded).decode() for r in bpe.decode(bpe.encode(rows, path), path).collect()} == dict(enumerate(texts))
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (260, 2))] + [(900, k) for k in range(400, 480)] + [(5, 5), (None, 7)]
