@@ -3,8 +3,9 @@
 Words are compared within one edit.  Grams are ordered by how many words hold them, rare ones first; a word's prefix is its three rarest
 bigrams and whatever else ranks no later than the third.  Of the prefix, dynamic programming picks two disjoint bigrams, the pivots, of least total
 frequency.  One edit spoils at most one of two disjoint bigrams, so a near word holds one of them, and holds it in its own prefix if that prefix ends no
-earlier in the order; of two near words, one has this relation to the other.  The pivot can only have moved with the edit: with its length unchanged it stands
-at the same place, with one letter more or less at the same or the next place.  So pivots are joined with prefixes on bigram, place and length, and what meets is verified.
+earlier in the order; of two near words, one has this relation to the other.  The edit is to the right of that bigram or to the left.  If to the right, the words agree
+up to the bigram, which has not moved; if to the left, they agree from it on, and it has moved by the difference of the lengths.  So pivots are joined with prefixes on
+bigram, place, length and the side that agrees, and what meets is verified.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from bisect import bisect_right
 from collections import Counter
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,10 +108,17 @@ def signatures(word: str, held: dict[str, int], rank: dict[str, int]) -> tuple[l
     return [(grams[k], k) for k in chosen], [(grams[k], k) for k in places], end
 
 
-def shifted(place: int, length: int, least_length: int) -> list[tuple[int, int]]:
-    """Place and length that a bigram at ``place`` of a word of ``length`` can have in a word one edit away."""
-    moves = [(place, length), (place, length + 1), (place + 1, length + 1), (place, length - 1), (place - 1, length - 1)]
-    return [(p, n) for p, n in moves if n >= least_length and 0 <= p <= n - GRAM]
+def looked_for(word: str, place: int, least_length: int) -> list[tuple[str, int, int, str]]:
+    """Side, place, length and agreeing part under which a word one edit away lists the bigram that ``word`` has at ``place``."""
+    size = len(word)
+    lengths = [n for n in (size - 1, size, size + 1) if n >= least_length]
+    left = [("<", place, n, word[: place + GRAM]) for n in lengths if place + GRAM <= n]
+    return left + [(">", place + n - size, n, word[place:]) for n in lengths if place + n >= size]
+
+
+def listed_as(word: str, place: int) -> list[tuple[str, int, int, str]]:
+    """The same for a word itself: with what is left of the bigram, and with what is right of it."""
+    return [("<", place, len(word), word[: place + GRAM]), (">", place, len(word), word[place:])]
 
 
 def near_pairs(words: DataFrame, least_length: int = LEAST_LENGTH) -> DataFrame:
@@ -121,8 +130,10 @@ def near_pairs(words: DataFrame, least_length: int = LEAST_LENGTH) -> DataFrame:
     table = grams.groupBy("gram").agg(F.count("*").alias("words")).collect()  # bigrams of the alphabet, not of the data
     held = {r.gram: r.words for r in table}
     rank = {g: k for k, g in enumerate(sorted(held, key=lambda g: (held[g], g)))}
-    key = [("gram", pa.string()), ("place", pa.int32()), ("length", pa.int32())]
-    schema = pa.schema([*key, ("word", pa.string()), ("n", pa.int64()), ("end", pa.int32()), ("pivot", pa.bool_())])
+    schema = pa.schema([("key", pa.int64()), ("word", pa.string()), ("n", pa.int64()), ("end", pa.int32()), ("pivot", pa.bool_())])
+
+    def key(found: tuple) -> int:
+        return xxhash.xxh64_intdigest("%s%d %d %s" % found) - (1 << 63)
 
     def signed(batches):
         for batch in batches:
@@ -130,15 +141,14 @@ def near_pairs(words: DataFrame, least_length: int = LEAST_LENGTH) -> DataFrame:
                 rows = []
                 for word, n in zip(*[c.to_pylist() for c in batch.slice(start, 5000).columns]):
                     chosen, prefix, end = signatures(word, held, rank)
-                    rows += [(g, k, len(word), word, n, end, False) for g, k in prefix]
-                    rows += [(g, p, length, word, n, end, True) for g, k in chosen for p, length in shifted(k, len(word), least_length)]
+                    rows += [(key(x), word, n, end, False) for _, k in prefix for x in listed_as(word, k)]
+                    rows += [(key(x), word, n, end, True) for _, k in chosen for x in looked_for(word, k, least_length)]
                 yield rows_of(schema, list(zip(*rows)))
 
-    ddl = "gram string, place int, length int, word string, n long, end int, pivot boolean"
-    index = written(words.select("word", "n").mapInArrow(signed, ddl), "grams")
-    probe = index.where("pivot").select("gram", "place", "length", F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("end").alias("a_end"))
-    held_by = index.where("NOT pivot").select("gram", "place", "length", F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("end").alias("b_end"))
-    met = probe.join(held_by, ["gram", "place", "length"]).where(f"a_end <= b_end AND a <> b AND levenshtein(a, b, {EDITS}) = {EDITS}")
+    index = written(words.select("word", "n").mapInArrow(signed, "key long, word string, n long, end int, pivot boolean"), "grams")
+    probe = index.where("pivot").select("key", F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("end").alias("a_end"))
+    held_by = index.where("NOT pivot").select("key", F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("end").alias("b_end"))
+    met = probe.join(held_by, "key").where(f"a_end <= b_end AND a <> b AND levenshtein(a, b, {EDITS}) = {EDITS}")
     pairs = met.select(F.least("a", "b").alias("a"), F.when(F.col("a") < F.col("b"), F.col("a_n")).otherwise(F.col("b_n")).alias("a_n"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("b_n")).otherwise(F.col("a_n")).alias("b_n"))
     pairs = pairs.distinct()
     return pairs.select(F.explode(F.array(F.struct("a", "a_n", "b", "b_n"), F.struct(F.col("b").alias("a"), F.col("b_n").alias("a_n"), F.col("a").alias("b"), F.col("a_n").alias("b_n")))).alias("p")).select("p.*")
