@@ -24,7 +24,11 @@ NUMERIC = (INT, FLOAT, BOOL)
 
 
 class ExpressionError(ValueError):
-    """The expression uses a name or a form that has no column equivalent."""
+    """The expression would fail on every row: it is no expression, or names what is not there."""
+
+
+class UnsupportedExpression(ExpressionError):
+    """The expression is sound Python but has no column equivalent here; running without it would change results."""
 
 
 @dataclass(frozen=True)
@@ -88,7 +92,7 @@ class Compiler(ast.NodeVisitor):
         return self.visit(tree.body)
 
     def generic_visit(self, node):
-        raise ExpressionError(f"{type(node).__name__} is not supported in an expression")
+        raise UnsupportedExpression(f"{type(node).__name__} is not supported in an expression")
 
     # -- leaves ---------------------------------------------------------
 
@@ -96,9 +100,9 @@ class Compiler(ast.NodeVisitor):
         for kind, cls in ((BOOL, bool), (INT, int), (FLOAT, float), (STR, str)):
             if isinstance(node.value, cls):
                 if kind == INT and abs(node.value) >= 2**63:
-                    raise ExpressionError("integer literal is wider than 64 bits")
+                    raise UnsupportedExpression("integer literal is wider than 64 bits")
                 return Value(F.lit(node.value).cast(SPARK_TYPE[kind]), kind)
-        raise ExpressionError(f"literal {node.value!r} is not supported here")
+        raise UnsupportedExpression(f"literal {node.value!r} is not supported here")
 
     def visit_Name(self, node) -> Value:
         if node.id not in self.fields:
@@ -119,7 +123,7 @@ class Compiler(ast.NodeVisitor):
         for piece in node.values:
             if isinstance(piece, ast.FormattedValue):
                 if piece.format_spec is not None or piece.conversion not in (-1, 115):
-                    raise ExpressionError("format specifications are not supported")
+                    raise UnsupportedExpression("format specifications are not supported")
                 value = self.visit(piece.value)
                 parts.append(Value(pytext.py_str(value.col, value.type), STR, value.null_if))
             else:
@@ -144,10 +148,16 @@ class Compiler(ast.NodeVisitor):
 
     def visit_BinOp(self, node) -> Value:
         left, right = self.visit(node.left), self.visit(node.right)
-        exponent = node.right.value if isinstance(node.right, ast.Constant) else None
-        if isinstance(node.op, ast.Pow) and left.kind in (INT, BOOL) and type(exponent) is int and 1 <= exponent <= 8:
+        if isinstance(node.op, ast.Pow) and left.kind in (INT, BOOL) and right.kind in (INT, BOOL):
             # A whole power of an integer is an exact integer, not a double.
-            return Value(reduce(F.try_multiply, [_number(left)] * exponent), INT, None)
+            try:
+                exponent = ast.literal_eval(node.right)
+            except ValueError:
+                return Value(_whole_power(_number(left), _number(right)), INT, None)
+            if 1 <= exponent <= 8:
+                return Value(reduce(F.try_multiply, [_number(left)] * exponent), INT, None)
+            if exponent >= 0:
+                return Value(_whole_power(_number(left), F.lit(int(exponent)).cast("bigint")), INT, None)
         return self.arithmetic(node.op, left, right)
 
     def arithmetic(self, op, left: Value, right: Value) -> Value:
@@ -269,7 +279,7 @@ class Compiler(ast.NodeVisitor):
             kind = _common_number(*values)
             values = [Value(_number(v).cast(SPARK_TYPE[kind]), kind, v.null_if) for v in values]
         elif len(kinds) > 1:
-            raise ExpressionError("operands of and/or give values of different types")
+            raise UnsupportedExpression("operands of and/or give values of different types")
         result = values[-1]
         for value in reversed(values[:-1]):
             holds = pytext.py_bool(value.col, value.type)
@@ -283,7 +293,7 @@ class Compiler(ast.NodeVisitor):
         kind = yes.kind
         if yes.kind != no.kind:
             if not _both_numeric(yes, no):
-                raise ExpressionError("both branches of a conditional must have one type")
+                raise UnsupportedExpression("both branches of a conditional must have one type")
             kind = _common_number(yes, no)
             yes = Value(_number(yes).cast(SPARK_TYPE[kind]), kind, yes.null_if)
             no = Value(_number(no).cast(SPARK_TYPE[kind]), kind, no.null_if)
@@ -321,8 +331,10 @@ class Compiler(ast.NodeVisitor):
     # -- calls, methods, subscripts --------------------------------------
 
     def visit_Call(self, node) -> Value:
+        if getattr(node.func, "id", None) == "round" and [k.arg for k in node.keywords] == ["ndigits"] and len(node.args) == 1:
+            node = ast.Call(func=node.func, args=[*node.args, node.keywords[0].value], keywords=[])
         if node.keywords:
-            raise ExpressionError("keyword arguments are not supported")
+            raise UnsupportedExpression("keyword arguments are not supported")
         if isinstance(node.func, ast.Attribute):
             return self.method(node.func.attr, self.visit(node.func.value), node.args)
         name = getattr(node.func, "id", None)
@@ -332,7 +344,7 @@ class Compiler(ast.NodeVisitor):
 
     def one(self, args) -> Value:
         if len(args) != 1:
-            raise ExpressionError("one argument expected")
+            raise UnsupportedExpression("one argument expected")
         return self.visit(args[0])
 
     def call_abs(self, args) -> Value:
@@ -388,7 +400,7 @@ class Compiler(ast.NodeVisitor):
         if len(args) == 1 and isinstance(args[0], (ast.Tuple, ast.List)):
             args = args[0].elts
         if not args:
-            raise ExpressionError("at least one value expected")
+            raise UnsupportedExpression("at least one value expected")
         return [self.visit(a) for a in args]
 
     def extreme(self, args, pick) -> Value:
@@ -416,7 +428,9 @@ class Compiler(ast.NodeVisitor):
 
     def method(self, name: str, target: Value, arg_nodes) -> Value:
         if target.kind != STR:
-            raise ExpressionError(f"method {name!r} needs text")
+            owner = {INT: int, FLOAT: float, BOOL: bool, LIST: list}.get(target.kind)
+            kind = UnsupportedExpression if owner and hasattr(owner, name) else ExpressionError
+            raise kind(f"method {name!r} needs text")
         if name == "join" and len(arg_nodes) == 1 and isinstance(arg_nodes[0], (ast.Tuple, ast.List)):
             parts = [self.visit(e) for e in arg_nodes[0].elts]
             if any(p.kind != STR for p in parts):
@@ -461,7 +475,9 @@ class Compiler(ast.NodeVisitor):
                 return Value(words, LIST, nulls)
             if len(args) == len(literals) == 1 and literals[0]:
                 return Value(F.split(text, re.escape(literals[0])), LIST, nulls)
-        raise ExpressionError(f"method {name!r} with {len(args)} arguments is not supported")
+        if not hasattr(str, name):
+            raise ExpressionError(f"text has no method {name!r}")
+        raise UnsupportedExpression(f"method {name!r} with {len(args)} arguments is not supported")
 
     def stripped(self, name: str, text: Column, chars: str | None = None) -> Column:
         unit = r"\s" if chars is None else "[" + "".join("\\" + c if not c.isalnum() else c for c in chars) + "]"
@@ -481,16 +497,16 @@ class Compiler(ast.NodeVisitor):
         except ValueError:
             value = None
         if not isinstance(value, int):
-            raise ExpressionError("a literal integer is needed here")
+            raise UnsupportedExpression("a literal integer is needed here")
         return value
 
     def visit_Subscript(self, node) -> Value:
         target = self.visit(node.value)
         if target.kind not in (STR, LIST):
-            raise ExpressionError("only text and split results can be indexed")
+            raise UnsupportedExpression("only text and split results can be indexed")
         if isinstance(node.slice, ast.Slice):
             if node.slice.step is not None or target.kind == LIST:
-                raise ExpressionError("this slice is not supported")
+                raise UnsupportedExpression("this slice is not supported")
             size = F.length(target.col)
             ends = [None if e is None else self.literal_int(e) for e in (node.slice.lower, node.slice.upper)]
             start, stop = (
@@ -530,6 +546,33 @@ def _floor_div(a: Column, b: Column, kind: str) -> Column:
     return F.when(inexact & ((a < 0) != (divisor < 0)), quotient - 1).otherwise(quotient)
 
 
+def _whole_power(base: Column, exponent: Column) -> Column:
+    """Integer power by squaring; NULL beyond 64 bits and, but for bases 1 and -1, for a negative exponent, whose result is no integer.
+
+    From the 63rd power on only -1, 0 and 1 do not overflow, so six squarings are enough.
+    """
+    odd = F.pmod(exponent, F.lit(2).cast("bigint")) == 1
+
+    def step(state, k):
+        taken = F.call_function("shiftright", exponent, k).bitwiseAND(F.lit(1).cast("bigint")) == 1
+        more = F.call_function("shiftright", exponent, k + 1) > 0
+        return F.struct(
+            F.when(taken, F.try_multiply(state["power"], state["square"])).otherwise(state["power"]).alias("power"),
+            F.when(more, F.try_multiply(state["square"], state["square"])).otherwise(state["square"]).alias("square"),
+        )
+
+    start = F.struct(F.lit(1).cast("bigint").alias("power"), base.alias("square"))
+    squared = F.aggregate(F.array(*[F.lit(k) for k in range(6)]), start, step, lambda state: state["power"])
+    return (
+        F.when(base.isNull() | exponent.isNull(), None)
+        .when((base == 1) | (exponent == 0), F.lit(1).cast("bigint"))
+        .when(base == -1, F.when(odd, F.lit(-1)).otherwise(F.lit(1)).cast("bigint"))
+        .when(exponent < 0, None)
+        .when(base == 0, F.lit(0).cast("bigint"))
+        .when(exponent < 64, squared)
+    )
+
+
 def _logical_and(left: Value, right: Value) -> Value:
     combined = F.when(left.is_null(), None).when(~left.col, False).otherwise(right.col)
     return Value(combined, BOOL, None)
@@ -544,7 +587,7 @@ def value_of(text: str, schema: T.StructType) -> Column:
     """Column of the expression's values, NULL where Python would raise."""
     value = Compiler(schema).compile(text)
     if value.kind == LIST:
-        raise ExpressionError("the expression gives a list")
+        raise UnsupportedExpression("the expression gives a list")
     return value.col
 
 

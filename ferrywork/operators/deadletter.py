@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ferrywork.functions.names import safe_name
 from ferrywork.operators.load import json_row
+from ferrywork.operators.merge import unfolded
 from ferrywork.operators.transforms import apply_steps, row_before
 
 # Reasons for a rejection.
@@ -56,7 +57,7 @@ def mark_duplicates(df: DataFrame, keys: list[str], order_by: list[str]) -> Data
     place = F.struct(*order_by, *rest) if order_by or rest else F.lit(0)
     firsts = folded.groupBy(*keys).agg(F.min(place).alias("_first"))
     ranked = folded.join(firsts, keys).withColumn("_is_first", place == F.col("_first"))
-    copies = ranked.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    copies = unfolded(ranked, "_copies", "_copy")
     duplicate = ~(F.col("_is_first") & (F.col("_copy") == 1))
     text = F.concat(F.lit("key occurs again: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
     marked = copies.withColumns(
@@ -65,8 +66,13 @@ def mark_duplicates(df: DataFrame, keys: list[str], order_by: list[str]) -> Data
     return clean.unionByName(marked)
 
 
-def dead_letters(rejected: DataFrame, source: str, table: str, run_id: str, failed_at: Column, error_text: str | None = None) -> DataFrame:
-    """Rejected rows in dead-letter form: the row as JSON, with the value that did not convert, beside its error."""
+def dead_letters(
+    rejected: DataFrame, source: str, table: str, run_id: str, failed_at: Column, error_text: str | None = None, pipeline_id: str | None = None
+) -> DataFrame:
+    """Rejected rows in dead-letter form: the row as JSON, with the value that did not convert, beside its error.
+
+    Equal rows give letters of their own, told apart by the copy's number in the id.
+    """
     columns = [c for c in rejected.columns if c not in (ERROR_TYPE, ERROR_TEXT, ERROR_ROW)]
     data = json_row(rejected.select(*[f"`{c}`" for c in columns]))
     if ERROR_ROW in rejected.columns:
@@ -74,6 +80,7 @@ def dead_letters(rejected: DataFrame, source: str, table: str, run_id: str, fail
     kind = F.col(ERROR_TYPE) if ERROR_TYPE in rejected.columns else F.lit(None).cast("string")
     text = F.lit(error_text) if error_text is not None else F.col(ERROR_TEXT)
     letters = rejected.select(
+        F.lit(pipeline_id).cast("string").alias("pipeline_id"),
         F.lit(safe_name(source)).alias("source_name"),
         F.lit(table).alias("table_name"),
         F.lit(run_id).alias("run_id"),
@@ -83,9 +90,10 @@ def dead_letters(rejected: DataFrame, source: str, table: str, run_id: str, fail
         failed_at.alias("failed_at"),
         F.lit(False).alias("reprocessed"),
     )
-    # The id comes from the content, so a task that runs again gives it again.
-    identity = F.concat_ws("\n", "run_id", "source_name", "table_name", ERROR_TYPE, ERROR_TEXT, "row_data")
-    return letters.select(F.sha2(identity, 256).alias("id"), "*")
+    # The id comes from the content and the copy's number, so a task that runs again gives it again.
+    copies = unfolded(letters.groupBy(*letters.columns).agg(F.count("*").alias("_copies")), "_copies", "_copy")
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("pipeline_id", "run_id", "source_name", "table_name", ERROR_TYPE, ERROR_TEXT, "row_data", "_copy")]
+    return copies.select(F.sha2(F.concat_ws("\n", *parts), 256).alias("id"), *letters.columns)
 
 
 def summary(letters: DataFrame) -> DataFrame:
@@ -103,12 +111,12 @@ def page(letters: DataFrame, source: str, offset: int, limit: int) -> DataFrame:
     return mine.orderBy(F.desc("failed_at"), F.desc("id")).offset(offset).limit(limit)
 
 
-def reprocess(letters: DataFrame, schema, steps, required: list[str], scripts: dict | None = None) -> DataFrame:
-    """Waiting letters run through ``steps`` again: the typed row, and the outcome.
+def reprocess(letters: DataFrame, schema, steps, required: list[str], scripts: dict | None = None, conform=None) -> DataFrame:
+    """Waiting letters run through ``steps`` again, and through ``conform`` where given: the typed row, and the outcome.
 
     ``reprocessed`` is true where the row now passes.
     """
     waiting = letters.where(~F.col("reprocessed"))
-    rows = waiting.select("id", F.from_json("row_data", schema).alias("_row")).select("id", "_row.*")
-    out = row_errors(apply_steps(rows, steps, scripts, rejects="_casts"), required, "_casts").drop(ERROR_ROW)
+    rows = apply_steps(waiting.select("id", F.from_json("row_data", schema).alias("_row")).select("id", "_row.*"), steps, scripts, rejects="_casts")
+    out = row_errors(conform(rows) if conform else rows, required, "_casts").drop(ERROR_ROW)
     return out.withColumn("reprocessed", F.col(ERROR_TYPE).isNull())

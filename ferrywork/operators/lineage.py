@@ -54,7 +54,8 @@ def assets(pipelines: DataFrame, tables: DataFrame, sources: DataFrame, runs: Da
     Both uses of it read the same columns, so the runs are shuffled once.
     """
     last = last_run_per_pipeline(runs).select("pipeline_id", F.col("id").alias("run_id"), F.col("status").alias("_run_status"))
-    figures = stats.join(last, "run_id").select(
+    key = ["run_id", "pipeline_id"] if "pipeline_id" in stats.columns else ["run_id"]
+    figures = stats.join(last, key).select(
         "pipeline_id",
         F.col("_run_status").alias("_stat_run_status"),
         F.col("table_name").alias("name"),

@@ -38,13 +38,13 @@ def raw_table_name(source: str, table: str) -> str:
     return f"{safe_name(source)}_{safe_name(table)}_raw"
 
 
-def write_raw(rows: DataFrame, path: str, run_id: str, day: date) -> str:
+def write_raw(rows: DataFrame, path: str, run_id: str, day: date, owner: str = "") -> str:
     """Write one run's raw rows to a folder of its own; returns the folder.
 
     Days are the outer folders, so expiry drops whole days; a run that is
-    repeated replaces its rows.
+    repeated replaces its rows, but not those of another ``owner`` (pipeline and table) with that run id.
     """
-    folder = f"{path}/_day={day:%Y-%m-%d}/of_run={folders.file_name(run_id)}"
+    folder = f"{path}/_day={day:%Y-%m-%d}/of_owner={folders.file_name(owner or '-')}/of_run={folders.file_name(run_id)}"
     rows.write.mode("overwrite").parquet(folder)
     return folder
 

@@ -76,3 +76,11 @@ def merge_rows(target: DataFrame, changes: DataFrame, keys: list[str], order_by:
 def compact_latest(df: DataFrame, keys: list[str], version: str, *tie_break: str) -> DataFrame:
     """One row per key, the one with the greatest version."""
     return latest_per_key(df, keys, newest_first(version, *tie_break))
+
+
+def unfolded(df: DataFrame, copies: str, number: str, block: int = 10_000) -> DataFrame:
+    """Each row ``copies`` times, numbered from 1 in ``number``; made in blocks, so that no long list is held."""
+    first = F.sequence(F.lit(0).cast("bigint"), F.col(copies) - 1, F.lit(block).cast("bigint"))
+    blocks = df.withColumn("_block", F.explode(first))
+    last = F.least(F.col(copies), F.col("_block") + block)
+    return blocks.withColumn(number, F.explode(F.sequence(F.col("_block") + 1, last))).drop("_block")

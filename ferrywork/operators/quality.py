@@ -77,8 +77,13 @@ def quality_log(df: DataFrame, rows_extracted: Column, required: list[str], thre
 
 
 def checks_of_counts(counted: DataFrame, required: list[str], threshold: float = DEFAULT_THRESHOLD_PCT) -> DataFrame:
-    """Unpivots rows of counts into two log rows each; other columns are kept."""
+    """Unpivots rows of counts into two log rows each; other columns are kept.
+
+    Rows that were folded into another of their key, ``rows_folded`` where it is counted, are not missing.
+    """
     extracted, loaded = F.col("rows_extracted"), F.col("rows_loaded")
+    if "rows_folded" in counted.columns:
+        loaded = loaded + F.col("rows_folded")
     pct = discrepancy_pct(extracted, loaded)
     _, status, null_columns, required_columns, passed = null_verdict([F.col(f"nulls_{c}") for c in required], required)
     none = F.lit(None).cast("string")
@@ -102,14 +107,15 @@ def checks_of_counts(counted: DataFrame, required: list[str], threshold: float =
 
 
 def schema_versions(observed: DataFrame) -> DataFrame:
-    """Version history from ``(table_name, seen_at, columns)`` observations.
+    """Version history from ``(table_name, seen_at, columns)`` observations, per pipeline where they name it.
 
     Columns are only ever added, so a list that was left never comes back and
     each distinct list is one version. Observations are folded map-side to the
     distinct lists, of which a table has few, before they are numbered.
     """
-    first_seen = observed.groupBy("table_name", "columns").agg(F.min("seen_at").alias("applied_at"))
-    by_table = Window.partitionBy("table_name").orderBy("applied_at", "columns")
+    of = [c for c in ("pipeline_id", "table_name") if c in observed.columns]
+    first_seen = observed.groupBy(*of, "columns").agg(F.min("seen_at").alias("applied_at"))
+    by_table = Window.partitionBy(*of).orderBy("applied_at", "columns")
     return first_seen.select(
-        "table_name", F.row_number().over(by_table).cast("bigint").alias("version"), "columns", "applied_at"
+        *of, F.row_number().over(by_table).cast("bigint").alias("version"), "columns", "applied_at"
     )

@@ -67,15 +67,16 @@ def runs_by_asset(runs: DataFrame, stats: DataFrame, table_name: str | None = No
     """Runs with the figures of one table; a zero or missing figure falls back to the run's."""
     stats = stats if table_name is None else stats.where(F.col("table_name") == table_name)
     runs = runs if pipeline_id is None else runs.where(F.col("pipeline_id") == pipeline_id)
-    s = stats.select(
-        F.col("run_id").alias("id"),
+    key = ["id", "pipeline_id"] if "pipeline_id" in stats.columns else ["id"]
+    s = stats.withColumnRenamed("run_id", "id").select(
+        *key,
         "table_name",
         (F.coalesce("rows_loaded_analytics", F.lit(0)) + F.coalesce("rows_loaded_raw", F.lit(0))).alias("rows_synced"),
         F.col("duration_ms").alias("_duration"),
         F.nullif("error_message", F.lit("")).alias("_error"),
     )
     r = runs.select("id", "pipeline_id", "status", "started_at", "trigger_type", "duration_ms", "error_message")
-    return r.join(s, "id").select(
+    return r.join(s, key).select(
         "id", "pipeline_id", "table_name", "status", "started_at", "trigger_type", "rows_synced",
         F.coalesce(F.nullif("_duration", F.lit(0)), F.col("duration_ms")).alias("duration_ms"),
         F.coalesce("_error", "error_message").alias("error_message"),
@@ -324,9 +325,9 @@ def freshness_status(pipelines: DataFrame, runs: DataFrame, as_of, interval_minu
 
 
 def run_summary(stats: DataFrame) -> DataFrame:
-    """Per run: tables, rows, failures, time and overall status."""
+    """Per run, of each pipeline where the figures name it: tables, rows, failures, time and overall status."""
     failed = F.count_if(F.col("error_message").isNotNull())
-    return stats.groupBy("run_id").agg(
+    return stats.groupBy(*[c for c in ("run_id", "pipeline_id") if c in stats.columns]).agg(
         F.count("*").alias("table_count"),
         failed.alias("failed_tables"),
         _sum(F.col("rows_loaded_analytics")).alias("rows_synced"),

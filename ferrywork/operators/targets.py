@@ -35,6 +35,8 @@ OP, REJECTED, BATCH = "_op", "_rejected", "batch"
 UPSERT, DELETE = "U", "D"
 ERRORS = ("error_type", "error_text", "error_row")
 BOOKKEEPING = (OP, REJECTED, BATCH, *ERRORS)
+#: VARIANT object of the values that came for columns the target did not have, by lower-case name.
+RESCUED = "_rescued"
 
 Version = tuple[int, int]
 
@@ -194,8 +196,10 @@ class TargetTable:
             parts.insert(0, delete_by_key(base, changes, self.keys))
         return parts
 
-    def read(self) -> DataFrame:
-        return _united(self._parts())
+    def read(self, rescued: bool = False) -> DataFrame:
+        """The table as it stands; with ``rescued`` also the values kept for columns it does not have."""
+        rows = _filled(_united(self._parts()))
+        return rows if rescued or RESCUED not in rows.columns else rows.drop(RESCUED)
 
     # -- writing ------------------------------------------------------------
 
@@ -270,7 +274,7 @@ class TargetTable:
         *kept, changed = self._parts()
         folded = [{k: m.get(k) for k in ("run_id", "at", "bookmark", "rows", "owner", "deleted")} for m in self.commits() if m.get("run_id")]
         # The kept rows are written from where they are, bucket by bucket.
-        rows = _united([*kept, self._spread(changed, version[1])])
+        rows = _filled(_united([*kept, self._spread(changed, version[1])]))
         self._write_base((version[0] + 1, version[1]), rows, folded=folded)
 
     def compact_if_due(self) -> bool:
@@ -304,12 +308,44 @@ class Batch:
         rows = self.target.spark.read.schema(self.schema).parquet(self.path)
         return rows.where(F.col(REJECTED)).drop(REJECTED, OP)
 
+    def landed(self) -> tuple[int, int]:
+        """Accepted rows that the written files hold, and how many of them repeat the key of another."""
+        rows = self.target.spark.read.schema(self.schema).parquet(self.path)
+        return landed(rows.where(~F.col(REJECTED) & (F.col(OP) == UPSERT)), self.target.keys)
+
     def commit(self, at: str = "", bookmark: dict | None = None, rows: int | None = None, deleted: str | None = None) -> None:
         """``deleted`` is the newest soft delete that the batch carries over."""
         owner = self.target.owner
         self.target._commit(self.path, self.schema, run_id=self.run_id, at=at, bookmark=bookmark, rows=rows, owner=owner, deleted=deleted)
 
 
+def landed(rows: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """Rows of a written frame and how many of them repeat a key; reads the key columns, or without keys only the file footers."""
+    if not keys:
+        return rows.agg(F.count("*")).first()[0], 0
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.count("*").alias("keys")).first()
+    return counted["n"] or 0, (counted["n"] or 0) - counted["keys"]
+
+
+def rescue(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` without ``columns``, whose values go to the rescue column; it is NULL where all of them are."""
+    held = F.to_variant_object(F.struct(*[F.col(f"`{c}`").alias(c.lower()) for c in columns]))
+    some = reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNotNull() for c in columns])
+    return rows.withColumn(RESCUED, F.when(some, held)).drop(*columns)
+
+
+def _filled(rows: DataFrame) -> DataFrame:
+    """Columns added later get the values that were rescued for them before."""
+    if RESCUED not in rows.columns:
+        return rows
+    kept = {}
+    for f in rows.schema.fields:
+        if not f.name.startswith("_"):
+            path = "$['" + f.name.lower().replace("'", "\\'") + "']"
+            kept[f.name] = F.coalesce(F.col(f"`{f.name}`"), F.try_variant_get(F.col(RESCUED), path, f.dataType.simpleString()))
+    return rows.withColumns(kept)
+
+
 def _united(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 

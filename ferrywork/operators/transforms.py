@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ferrywork.functions import pytext
-from ferrywork.functions.expressions import ExpressionError, kept_by, value_of
+from ferrywork.functions.expressions import ExpressionError, UnsupportedExpression, kept_by, value_of
 from ferrywork.operators.load import json_row
 
 log = logging.getLogger(__name__)
@@ -271,14 +271,14 @@ def apply_steps(
 ) -> DataFrame:
     """Apply ``[{type, config}]`` in order.
 
-    A step that cannot be compiled would fail on every row and so change none:
-    it is skipped with a warning, or raised with ``strict``.
+    A step that would fail on every row changes none: it is skipped with a warning, or raised with ``strict``.  A step that is sound
+    but cannot be expressed is always raised, before any row is read: without it the rows would come out wrong.
     """
     for step in steps or []:
         try:
             df = apply_step(df, step, scripts, rejects)
         except ExpressionError as exc:
-            if strict:
+            if strict or isinstance(exc, UnsupportedExpression):
                 raise
             log.warning("transform step %s skipped: %s", step, exc)
     return df

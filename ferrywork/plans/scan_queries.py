@@ -152,7 +152,108 @@ def detect_sync_mode(spark, sf):
         "events": table(spark, sf, "events").withColumnRenamed("ts", "created_at"),
         "src_orders": view(spark, sf, "src_orders"),
     }
-    return catalog.discover(frames, "public").drop("schema_name", "column_count")
+    return catalog.discover(frames, "public").drop("schema_name", "column_count", "newest_value")
+
+
+ALL_TABLES = [*TABLES, "benchmark", "conversations", "embeddings", "labels", "pages"]
+_ALL_ROWS = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in ALL_TABLES)
+
+
+@check(
+    "discover_all_tables",
+    f"""SELECT 'public' AS schema_name, table_name, row_count, (SELECT count(*) FROM information_schema.columns c WHERE c.table_name = r.table_name) AS column_count
+        FROM ({_ALL_ROWS}) r""",
+)
+def discover_all_tables(spark, sf):
+    return catalog.tables_of({t: table(spark, sf, t) for t in ALL_TABLES}, "public")
+
+
+@check(
+    "describe_all_columns",
+    f"""SELECT table_name, column_name, CASE WHEN data_type LIKE 'FLOAT%' OR data_type LIKE 'DOUBLE[%' THEN 'array' ELSE {_DUCK_TYPES} END AS type,
+        cast(ordinal_position AS bigint) AS position, row_count FROM information_schema.columns JOIN ({_ALL_ROWS}) USING (table_name)""",
+)
+def describe_all_columns(spark, sf):
+    frames = {t: table(spark, sf, t) for t in ALL_TABLES}
+    kind = F.when(F.col("type").startswith("array"), "array").otherwise(F.col("type"))
+    columns = catalog.columns_of(frames, "public").select("table_name", "column_name", kind.alias("type"), F.col("position").cast("bigint").alias("position"))
+    return columns.join(catalog.tables_of(frames, "public").select("table_name", "row_count"), "table_name")
+
+
+@check(
+    "discover_bookmarks",
+    """SELECT 'events' AS table_name, 'incremental' AS sync_mode, 'created_at' AS bookmark_column, count(*) AS row_count, max(ts) AS newest, CAST(NULL AS varchar) AS number FROM events
+        UNION ALL SELECT 'lineitem', 'incremental', 'updated_at', count(*), NULL, CAST(max(l_orderkey) AS varchar) FROM lineitem
+        UNION ALL SELECT 'part', 'full_refresh', NULL, count(*), NULL, NULL FROM part""",
+)
+def discover_bookmarks(spark, sf):
+    """A change column may count versions in place of times."""
+    frames = {
+        "events": table(spark, sf, "events").withColumnRenamed("ts", "created_at"),
+        "lineitem": table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "updated_at"),
+        "part": table(spark, sf, "part"),
+    }
+    found = catalog.discover(frames, "public")
+    number = F.when(F.col("newest").isNull(), F.col("newest_value")).alias("number")
+    return found.select("table_name", "sync_mode", "bookmark_column", "row_count", "newest", number)
+
+
+# Documents of four tables, with the fields that a text pattern would take for something else.
+_DOCUMENTS = {
+    "orders": {
+        "_id": "cast(o_orderkey AS string)", "code": "lpad(cast(o_orderkey AS string), 9, '0')", "total": "o_totalprice", "open": "o_orderstatus = 'O'",
+        "flag": "CASE WHEN o_orderstatus = 'O' THEN 'true' ELSE 'false' END", "made": "{$date}cast(o_orderdate AS string)", "shop": "{key}o_custkey",
+        "mixed": "CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END", "never": "cast(NULL AS string)", "rank": "o_custkey",
+    },
+    "customer": {
+        "_id": "{$oid}c_name", "code": "c_mktsegment", "total": "c_acctbal", "tags": "[c_mktsegment]", "mixed": "{$binary}c_name", "rank": "c_acctbal + 0.5",
+    },
+    "nation": {"_id": "cast(n_nationkey AS bigint)", "code": "cast(n_nationkey AS bigint)", "blob": "{$binary}n_name", "rank": "cast(n_nationkey AS bigint)", "owner": "{$oid}n_name"},
+    "events": {"_id": "event_id", "seen": "{$date}cast(ts AS string)", "open": "value > 10", "big": "event_id * 1000003", "mixed": "event_type"},
+}
+
+
+def _document_sql(expr: str, duck: bool) -> str:
+    if expr.startswith("{"):
+        key, inner = expr[1:].split("}", 1)
+        return f"json_object('{key}', {inner})" if duck else f"named_struct('{key}', {inner})"
+    if expr.startswith("["):
+        return f"json_array({expr[1:-1]})" if duck else f"array({expr[1:-1]})"
+    return expr
+
+
+def _duck_documents() -> str:
+    parts = []
+    for name, fields in _DOCUMENTS.items():
+        pairs = ", ".join(f"'{k}', {_document_sql(e, True)}" for k, e in fields.items()).replace("AS string)", "AS varchar)")
+        parts.append(f"SELECT json_object({pairs}) AS doc FROM {name}")
+    return " UNION ALL ".join(parts)
+
+
+def documents_of_tables(spark, sf):
+    out = None
+    for name, fields in _DOCUMENTS.items():
+        rows = table(spark, sf, name).select(F.to_json(F.struct(*[F.expr(_document_sql(e, False)).alias(k) for k, e in fields.items()]), {"ignoreNullFields": "false"}).alias("doc"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@check(
+    "infer_document_types",
+    f"""WITH docs AS ({_duck_documents()}), fields AS (
+            SELECT key, json_extract(doc, '$."' || key || '"') AS value FROM (SELECT doc, unnest(json_keys(doc)) AS key FROM docs)
+        ), kinds AS (
+            SELECT key, CASE WHEN json_type(value) IN ('UBIGINT', 'BIGINT') THEN 'bigint' WHEN json_type(value) = 'DOUBLE' THEN 'double' WHEN json_type(value) = 'BOOLEAN' THEN 'boolean'
+                WHEN json_type(value) = 'NULL' THEN NULL WHEN json_type(value) = 'ARRAY' THEN 'json' WHEN json_type(value) <> 'OBJECT' THEN 'text'
+                WHEN json_keys(value) = ['$date'] THEN 'timestamp' WHEN json_keys(value) = ['$oid'] THEN 'varchar(48)' WHEN json_keys(value) = ['$binary'] THEN 'binary'
+                ELSE 'json' END AS kind FROM fields
+        )
+        SELECT key AS column_name, CASE WHEN key = '_id' THEN 'varchar(48)' WHEN count(kind) = 0 THEN 'null' WHEN count(DISTINCT kind) = 1 THEN max(kind)
+            WHEN list_sort(list(DISTINCT kind)) = ['bigint', 'double'] THEN 'double' ELSE 'text' END AS type, key <> '_id' AS nullable, key = '_id' AS pk FROM kinds GROUP BY key""",
+)
+def infer_document_types(spark, sf):
+    """Types of the fields of mixed documents: quoted digits and truth values stay text, wrapped times, ids and bytes are told apart."""
+    return catalog.infer_document_types(documents_of_tables(spark, sf), "doc")
 
 
 @check("raw_json_extract", "SELECT event_id, cast(json_extract_string(props, '$.k') AS bigint) AS k FROM events")
@@ -210,6 +311,18 @@ def table_globs(spark, sf):
     return table(spark, sf, "part").where(catalog.matches_globs(F.col("p_name"), include, exclude)).select("p_partkey", "p_name")
 
 
+@check(
+    "table_filter",
+    """SELECT p_partkey, p_brand, p_type FROM part WHERE (p_brand LIKE 'Brand%1' OR p_brand LIKE '%d#_5') AND NOT p_brand LIKE '%3%' AND p_type LIKE '%E%'""",
+)
+def table_filter(spark, sf):
+    """Globs that keep some names and reject others, one list per column."""
+    include, exclude = catalog.parse_table_filter("Brand*1, +*d#?5, -*3*")
+    kinds, _ = catalog.parse_table_filter("*E*")
+    rows = table(spark, sf, "part").where(catalog.matches_globs(F.col("p_brand"), include, exclude) & catalog.matches_globs(F.col("p_type"), kinds, []))
+    return rows.select("p_partkey", "p_brand", "p_type")
+
+
 @check(
     "schema_drift",
     """SELECT 'orders' AS table_name, name AS column_name, type FROM (SELECT unnest(['deleted_at', 'updated_at']) AS name, 'text' AS type)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from ferrywork.functions.names import safe_name
 from ferrywork.operators import alerts, deadletter, load, quality, runlog
 from ferrywork.operators.state import BookmarkStore
-from ferrywork.operators.targets import DELETE, OP, UPSERT, TargetTable
+from ferrywork.operators.targets import DELETE, OP, RESCUED, UPSERT, TargetTable, landed, rescue
 from ferrywork.operators.transforms import apply_steps, noted, row_before
 from ferrywork.sources import folders
 from ferrywork.sources.catalog import bookmark_column_of, matches_globs, parse_table_filter
@@ -39,8 +39,11 @@ RUNS = (
 STATS = (
     "run_id string, table_name string, status string, rows_extracted bigint, rows_loaded_raw bigint, rows_loaded_analytics bigint, "
     "rows_failed bigint, rows_deleted bigint, bookmark_before string, bookmark_after string, "
-    "new_columns string, quality_passed boolean, duration_ms bigint, error_message string"
+    "new_columns string, quality_passed boolean, duration_ms bigint, error_message string, pipeline_id string, rows_folded bigint"
 )
+LINES = "id string, run_id string, pipeline_id string, timestamp timestamp, level string, message string"
+SEEN_COLUMNS = "pipeline_id string, table_name string, seen_at timestamp, columns string"
+
 
 
 @dataclass(frozen=True)
@@ -99,6 +102,7 @@ class TableResult:
     rows_loaded: int = 0
     rows_failed: int = 0
     rows_deleted: int = 0
+    rows_folded: int = 0
     bookmark_before: str | None = None
     bookmark_after: str | None = None
     new_columns: list[str] = field(default_factory=list)
@@ -129,6 +133,11 @@ class RunResult:
         return "success" if not failed else "failed" if failed == len(self.tables) else "partial"
 
 
+def run_file(pipeline_id: str, run_id: str) -> str:
+    """Run ids are the caller's, so two pipelines may have the same."""
+    return f"{file_name(pipeline_id)}.{file_name(run_id)}"
+
+
 class Workspace:
     """Folders of one deployment: targets, raw zone, state and logs."""
 
@@ -159,7 +168,7 @@ class Workspace:
 
     def write_log(self, name: str, key: str, lines: list[str]) -> None:
         """A few JSON lines about one run; writing them again replaces them."""
-        folders.write_text(self.spark, f"{self.log_path(name)}/{file_name(key)}.json", "".join(f"{x}\n" for x in lines))
+        folders.write_text(self.spark, f"{self.log_path(name)}/{key}.json", "".join(f"{x}\n" for x in lines))
 
     def read_log(self, name: str, schema: str) -> DataFrame:
         path = self.log_path(name)
@@ -169,21 +178,39 @@ class Workspace:
 
     def prune_logs(self, as_of: datetime, days: int = 90) -> int:
         """Remove the log files of runs past their time; returns how many runs went."""
-        runs = self.read_log("runs", RUNS)
-        old = runs.join(runlog.retained_runs(runs, as_of.isoformat(), days).select("id"), "id", "left_anti").select("id")
+        runs, key = self.read_log("runs", RUNS), ["pipeline_id", "id"]
+        old = runs.join(runlog.retained_runs(runs, as_of.isoformat(), days).select(key), key, "left_anti").select(key)
         gone = 0
         for row in old.toLocalIterator():
-            for name in ("run_table_stats", "runs"):
-                folders.remove(self.spark, f"{self.log_path(name)}/{file_name(row['id'])}.json")
+            for name in ("run_table_stats", "run_logs", "runs"):
+                folders.remove(self.spark, f"{self.log_path(name)}/{run_file(row['pipeline_id'], row['id'])}.json")
             gone += 1
         return gone
 
-    def write_dead_letters(self, letters: DataFrame, table: str, run_id: str) -> None:
-        """One folder per table and run, so that a repeated run replaces its own."""
-        letters.write.mode("overwrite").parquet(f"{self.log_path('dead_letters')}/of_table={file_name(table)}/of_run={file_name(run_id)}")
+    def write_dead_letters(self, letters: DataFrame, pipeline: Pipeline, table: str, run_id: str) -> None:
+        """One folder per pipeline, table and run, so that a repeated run replaces its own."""
+        path = f"{self.log_path('dead_letters')}/of_pipeline={file_name(pipeline.id)}/of_table={file_name(table)}/of_run={file_name(run_id)}"
+        letters.write.mode("overwrite").parquet(path)
+
+    def letter_states(self) -> TargetTable:
+        """What became of letters that were tried again, by letter id."""
+        return TargetTable(self.spark, f"{self.root}/state", "letters", ["id"])
+
+    def schema_versions(self) -> DataFrame:
+        """Column lists that each pipeline's targets have had, numbered."""
+        return quality.schema_versions(self.read_log("schemas", SEEN_COLUMNS))
 
     def dead_letters(self) -> DataFrame:
-        return self.spark.read.parquet(self.log_path("dead_letters")).drop("of_table", "of_run")
+        """All letters, each with its last outcome: a letter that passed is ``reprocessed``, one that failed again has its newest error."""
+        letters = self.spark.read.parquet(self.log_path("dead_letters")).drop("of_pipeline", "of_table", "of_run")
+        states = self.letter_states()
+        if states.version() is None:
+            return letters
+        known = states.read().select("id", F.col("reprocessed").alias("_passed"), "last_type", "last_text")
+        failed_again = F.col("_passed").isNotNull() & ~F.col("_passed")
+        newest = {c: F.when(failed_again, F.col(last)).otherwise(F.col(c)) for c, last in (("error_type", "last_type"), ("error_text", "last_text"))}
+        passed = F.coalesce("_passed", F.lit(False))
+        return letters.join(known, "id", "left").withColumns({"reprocessed": passed, **newest}).select(letters.columns)
 
 
 def pick_bookmark_column(table: SyncTable, source: DataFrame) -> str | None:
@@ -248,7 +275,7 @@ def sync_table(ws: Workspace, pipeline: Pipeline, table: SyncTable, source: Data
         landed = Observation()
         beside = [c for c in ("_casts", row_before("_casts")) if c in rows.columns]
         raw = load.raw_rows(rows, run_id, stamp, beside).observe(landed, F.count("*").alias("n"))
-        mine = spark.read.parquet(load.write_raw(raw, path, run_id, as_of.date()))
+        mine = spark.read.parquet(load.write_raw(raw, path, run_id, as_of.date(), f"{pipeline.id}/{table.source_table}"))
         result.rows_raw = landed.get["n"]
         rows = load.parse_raw(mine, rows.drop(*beside).schema, beside).drop(load.RUN_ID, "_extracted_at")
 
@@ -256,7 +283,7 @@ def sync_table(ws: Workspace, pipeline: Pipeline, table: SyncTable, source: Data
         kept = {f.name.lower() for f in known.fields}
         result.new_columns = [c for c in rows.columns if c.lower() not in kept and not c.startswith("_")]
         if result.new_columns and not table.auto_evolve and not full:
-            rows = rows.drop(*result.new_columns)
+            rows = rescue(rows, result.new_columns)
         if not full:
             rows = conform(rows, known, "_casts")
 
@@ -284,11 +311,13 @@ def sync_table(ws: Workspace, pipeline: Pipeline, table: SyncTable, source: Data
         written = target.append(checked, run_id, rejected=F.col(deadletter.ERROR_TYPE).isNotNull())
     metrics = counted.get
     result.rows_extracted = extracted.get["n"]
-    result.rows_loaded, result.rows_failed = metrics["good"], metrics["n"] - metrics["good"]
+    # What the files hold, not what was sent to them; rows of one key become one.
+    found, result.rows_folded = written.landed()
+    result.rows_loaded, result.rows_failed = found - result.rows_folded, metrics["n"] - metrics["good"]
     result.rows_deleted = deleted.get["n"] if deleted else 0
     if result.rows_failed:
-        letters = deadletter.dead_letters(written.rejected_rows(), pipeline.source_name, table.source_table, run_id, stamp)
-        ws.write_dead_letters(letters, table.source_table, run_id)
+        letters = deadletter.dead_letters(written.rejected_rows(), pipeline.source_name, table.source_table, run_id, stamp, pipeline_id=pipeline.id)
+        ws.write_dead_letters(letters, pipeline, table.source_table, run_id)
     if result.rows_extracted or result.rows_deleted or full:  # an emptied source empties the target
         result.bookmark_after = extracted.get["top"]
         fact = None
@@ -297,20 +326,64 @@ def sync_table(ws: Workspace, pipeline: Pipeline, table: SyncTable, source: Data
         written.commit(as_of.isoformat(), fact, result.rows_loaded + result.rows_deleted, deleted.get["top"] if deleted else None)
         _recover_bookmark(ws, pipeline, table, target)
 
+        if known is None or result.new_columns:
+            columns = ",".join(f.name for f in target.schema().fields if not f.name.startswith("_"))
+            seen = {"pipeline_id": pipeline.id, "table_name": table.source_table, "seen_at": as_of.isoformat(), "columns": columns}
+            ws.write_log("schemas", f"{run_file(pipeline.id, run_id)}.{file_name(table.source_table)}", [json.dumps(seen)])
+
     names = [c for c in required if f"nulls_{c}" in metrics]
-    counts = {"rows_extracted": metrics["n"], "rows_loaded": metrics["good"], **{f"nulls_{c}": metrics[f"nulls_{c}"] for c in names}}
+    counts = {"rows_extracted": metrics["n"], "rows_loaded": result.rows_loaded, "rows_folded": result.rows_folded}
+    counts |= {f"nulls_{c}": metrics[f"nulls_{c}"] for c in names}
     fixed = {"pipeline_id": pipeline.id, "run_id": run_id, "table_name": table.source_table, "checked_at": as_of.isoformat()}
     one = spark.range(1).select(
         *[F.lit(v).alias(k) for k, v in fixed.items()], *[F.lit(v).cast("bigint").alias(k) for k, v in counts.items()]
     )
     verdicts = quality.checks_of_counts(one, names, pipeline.quality_threshold)
-    ws.write_log("quality", f"{run_id}.{table.source_table}", verdicts.toJSON().collect())
-    gap = 0 if not metrics["n"] else abs(metrics["n"] - metrics["good"]) / metrics["n"] * 100
+    ws.write_log("quality", f"{run_file(pipeline.id, run_id)}.{file_name(table.source_table)}", verdicts.toJSON().collect())
+    gap = 0 if not metrics["n"] else abs(metrics["n"] - found) / metrics["n"] * 100
     result.quality_passed = gap <= pipeline.quality_threshold and not any(metrics[f"nulls_{c}"] for c in names)
     target.compact_if_due()
     return result
 
 
+def reprocess_letters(
+    ws: Workspace, pipeline: Pipeline, table: SyncTable, run_id: str, as_of: datetime, steps=(), schema: T.StructType | str | None = None, scripts=None
+) -> tuple[int, int]:
+    """Try the waiting letters of a table again: repaired rows are merged into its target, and every letter tried gets its outcome.
+
+    ``steps`` repair the rows, which have plain values as text unless ``schema`` says otherwise; then the target's types apply.  A repaired row does not
+    replace one of its key with the same or a later change time, but its letter is done.  Returns how many letters passed and how many failed again.
+    The step can be repeated with its ``run_id`` after a failure at any point: rows and outcomes are each committed once.
+    """
+    if not folders.exists(ws.spark, ws.log_path("dead_letters")):
+        return 0, 0
+    column = table.bookmark_column
+    target, states = ws.target(table, column, pipeline), ws.letter_states()
+    known = T.StructType([f for f in target.schema().fields if not f.name.startswith("_")])
+    waiting = ws.dead_letters().where((F.col("pipeline_id") == pipeline.id) & (F.col("table_name") == table.source_table) & ~F.col("reprocessed"))
+    nested = (T.StructType, T.ArrayType, T.MapType, T.VariantType)
+    text = T.StructType([f if isinstance(f.dataType, nested) else T.StructField(f.name, T.StringType()) for f in known.fields])
+    required = list(dict.fromkeys([*table.keys, *table.required]))
+    tried = deadletter.reprocess(waiting, schema or text, steps, required, scripts, lambda rows: conform(rows, known, "_casts"))
+    path = f"{ws.staging_path(target)}-letters/{run_file(pipeline.id, run_id)}"
+    if states.commit_of(run_id) is None:
+        if target.commit_of(run_id) is None:
+            tried.write.mode("overwrite").parquet(path)
+            good = ws.spark.read.schema(tried.schema).parquet(path).where("reprocessed").drop("id", "reprocessed", deadletter.ERROR_TYPE, deadletter.ERROR_TEXT)
+            if table.keys and column in good.columns:
+                later = target.read().select(*table.keys, F.col(column).alias("_later"))
+                good = good.join(later, list(table.keys), "left").where(F.col("_later").isNull() | (F.col("_later") < F.col(column))).drop("_later")
+            batch = target.append(load.stamp(good, run_id, F.lit(as_of).cast("timestamp")), run_id)
+            batch.commit(as_of.isoformat(), rows=batch.landed()[0])
+        outcome = ws.spark.read.schema(tried.schema).parquet(path).select("id", "reprocessed", deadletter.ERROR_TYPE, deadletter.ERROR_TEXT, F.lit(run_id).alias("reprocessed_by"))
+        batch = states.append(outcome.withColumnsRenamed({deadletter.ERROR_TYPE: "_type", deadletter.ERROR_TEXT: "_text"}).select(
+            "id", "reprocessed", F.col("_type").alias("last_type"), F.col("_text").alias("last_text"), "reprocessed_by"), run_id)
+        batch.commit(as_of.isoformat(), rows=batch.landed()[0])
+        states.compact_if_due()
+    counted = states.read().where(F.col("reprocessed_by") == run_id).agg(F.count_if("reprocessed").alias("passed"), F.count_if(~F.col("reprocessed")).alias("failed")).first()
+    return counted["passed"], counted["failed"]
+
+
 def _recover_bookmark(ws: Workspace, pipeline: Pipeline, table: SyncTable, target: TargetTable) -> None:
     """Record the bookmark of the target's last commit, unless state has a later word."""
     fact = target.last_bookmark()
@@ -334,6 +407,9 @@ class _Staged:
     def rejected_rows(self) -> DataFrame:
         return self.staged().where(F.col(deadletter.ERROR_TYPE).isNotNull())
 
+    def landed(self) -> tuple[int, int]:
+        return landed(self.staged().where(F.col(deadletter.ERROR_TYPE).isNull()), self.target.keys)
+
     def commit(self, at: str, bookmark: dict | None, rows: int, deleted: str | None = None) -> None:
         good = self.staged().where(F.col(deadletter.ERROR_TYPE).isNull())
         self.target.replace(good.drop(deadletter.ERROR_TYPE, deadletter.ERROR_TEXT, deadletter.ERROR_ROW), self.run_id, at, bookmark)
@@ -410,13 +486,12 @@ def run_pipeline(
     return outcome
 
 
-def run_alerts(ws: Workspace, run_id: str) -> DataFrame:
-    """Alert events of one logged run; see ``alerts`` for routing and text."""
-    runs = ws.read_log("runs", RUNS).where(F.col("id") == run_id).select(F.col("id").alias("run_id"), "pipeline_id")
+def run_alerts(ws: Workspace, run_id: str, pipeline_id: str | None = None) -> DataFrame:
+    """Alert events of a logged run, of one pipeline or of each that has a run of this id; see ``alerts`` for routing and text."""
     stats = ws.read_log("run_table_stats", STATS).where(F.col("run_id") == run_id)
-    return alerts.alert_events(
-        stats.join(runs, "run_id").withColumns({"rows_synced": F.col("rows_loaded_analytics"), "passed": F.col("quality_passed")})
-    )
+    if pipeline_id is not None:
+        stats = stats.where(F.col("pipeline_id") == pipeline_id)
+    return alerts.alert_events(stats.withColumns({"rows_synced": F.col("rows_loaded_analytics"), "passed": F.col("quality_passed")}))
 
 
 def write_run_log(ws: Workspace, pipeline: Pipeline, outcome: RunResult, as_of: datetime, trigger: str) -> None:
@@ -426,7 +501,7 @@ def write_run_log(ws: Workspace, pipeline: Pipeline, outcome: RunResult, as_of:
             "run_id": outcome.run_id, "table_name": t.table, "status": t.status, "rows_extracted": t.rows_extracted, "rows_loaded_raw": t.rows_raw,
             "rows_loaded_analytics": t.rows_loaded, "rows_failed": t.rows_failed, "rows_deleted": t.rows_deleted,
             "bookmark_before": t.bookmark_before, "bookmark_after": t.bookmark_after, "new_columns": ", ".join(t.new_columns),
-            "quality_passed": t.quality_passed, "duration_ms": t.duration_ms, "error_message": t.error,
+            "quality_passed": t.quality_passed, "duration_ms": t.duration_ms, "error_message": t.error, "pipeline_id": pipeline.id, "rows_folded": t.rows_folded,
         }
         for t in outcome.tables
     ]
@@ -436,5 +511,28 @@ def write_run_log(ws: Workspace, pipeline: Pipeline, outcome: RunResult, as_of:
         "finished_at": (as_of + timedelta(milliseconds=took)).isoformat(), "duration_ms": took, "rows_synced": outcome.rows_synced,
         "trigger_type": trigger, "error_message": "; ".join(f"{t.table}: {t.error}" for t in outcome.tables if t.error) or None,
     }
-    ws.write_log("run_table_stats", outcome.run_id, [json.dumps(s) for s in stats])
-    ws.write_log("runs", outcome.run_id, [json.dumps(run)])
+    key, seen_at = run_file(pipeline.id, outcome.run_id), as_of.isoformat()
+    ws.write_log("run_table_stats", key, [json.dumps(s) for s in stats])
+    lines = [
+        {"id": f"{key}.{n:04d}", "run_id": outcome.run_id, "pipeline_id": pipeline.id, "timestamp": seen_at, "level": level, "message": message}
+        for n, (level, message) in enumerate(run_lines(outcome, run["status"], took))
+    ]
+    ws.write_log("run_logs", key, [json.dumps(x) for x in lines])
+    ws.write_log("runs", key, [json.dumps(run)])
+
+
+def run_lines(outcome: RunResult, status: str, took: int) -> list[tuple[str, str]]:
+    """Level and text of what a run did, in order."""
+    lines = [("INFO", f"run started: {len(outcome.tables)} tables")]
+    for t in outcome.tables:
+        if t.error:
+            lines.append(("ERROR", f"{t.table}: {t.error}"))
+            continue
+        lines.append(("INFO", f"{t.table}: {t.rows_extracted} extracted, {t.rows_loaded} loaded, {t.rows_deleted} deleted, bookmark {t.bookmark_after or t.bookmark_before}"))
+        if t.new_columns:
+            lines.append(("WARNING", f"{t.table}: new columns {', '.join(t.new_columns)}"))
+        if t.rows_failed:
+            lines.append(("WARNING", f"{t.table}: {t.rows_failed} rows rejected"))
+        if not t.quality_passed:
+            lines.append(("WARNING", f"{t.table}: quality check failed"))
+    return [*lines, ("ERROR" if status == runlog.FAILED else "INFO", f"run ended: {status}, {outcome.rows_synced} rows in {took} ms")]

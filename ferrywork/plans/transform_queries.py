@@ -264,3 +264,23 @@ def x_conditional(spark, sf):
         size="'bulk' if l_quantity > 40 else 'some' if l_quantity > 10 else 'few'", kept="0 if l_returnflag == 'R' else l_linenumber",
         middle="10 < l_quantity <= 30", label="'n=' + str(l_linenumber)",
     )
+
+
+def _power_sql(base: str, exponent: str) -> str:
+    """Exact power in 128 bits, NULL where 64 are not enough."""
+    value = f"list_reduce([1::hugeint] || list_transform(range(0, {exponent}), lambda i: ({base})::hugeint), lambda a, b: a * b)"
+    return f"CASE WHEN {value} BETWEEN -9223372036854775808 AND 9223372036854775807 THEN {value} END::bigint"
+
+
+@check(
+    "x_power",
+    f"""SELECT l_orderkey, l_linenumber, {_power_sql("l_linenumber", "9")} AS ninth, {_power_sql("l_suppkey", "12")} AS wide,
+        {_power_sql("l_linenumber", "l_linenumber")} AS own, {_power_sql("-l_linenumber - 40", "2 * l_linenumber - 1")} AS odd,
+        CASE WHEN l_linenumber <> 3 THEN 1.0 / (l_linenumber - 3) END AS inverse, CASE WHEN l_linenumber = 1 THEN 1 END::bigint AS negative FROM lineitem""",
+)
+def x_power(spark, sf):
+    return values(
+        table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], ninth="l_linenumber ** 9", wide="l_suppkey ** 12",
+        own="l_linenumber ** l_linenumber", odd="(-l_linenumber - 40) ** (2 * l_linenumber - 1)", inverse="(l_linenumber - 3) ** -1",
+        negative="l_linenumber ** (0 - l_linenumber)",
+    )

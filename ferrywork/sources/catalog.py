@@ -108,14 +108,16 @@ def detect_sync_modes(columns: DataFrame) -> DataFrame:
 
 
 def discover(tables: dict[str, DataFrame], schema_name: str = "default") -> DataFrame:
-    """Per table: rows, columns, sync mode and the newest value of its bookmark column."""
+    """Per table: rows, columns, sync mode and the newest value of its bookmark column, as text and, where it is a time, as time."""
     modes = detect_sync_modes(columns_of(tables, schema_name))
     newest = None
     for name, df in sorted(tables.items()):
         column = bookmark_column_of(df.columns)
         top = F.max(column) if column else F.lit(None)
-        part = df.agg(F.count("*").alias("row_count"), top.cast("timestamp_ntz").alias("newest")).select(
-            F.lit(name).alias("table_name"), "row_count", F.lit(len(df.columns)).cast("bigint").alias("column_count"), "newest"
+        timed = column and isinstance(df.schema[column].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType, T.StringType))
+        moment = top.try_cast("timestamp_ntz") if timed else F.lit(None).cast("timestamp_ntz")
+        part = df.agg(F.count("*").alias("row_count"), moment.alias("newest"), top.cast("string").alias("newest_value")).select(
+            F.lit(name).alias("table_name"), "row_count", F.lit(len(df.columns)).cast("bigint").alias("column_count"), "newest", "newest_value"
         )
         newest = part if newest is None else newest.unionByName(part)
     return modes.join(newest, "table_name")
@@ -149,41 +151,61 @@ def matches_globs(name: Column, include: list[str], exclude: list[str]) -> Colum
     return wanted & ~any_of(exclude) if exclude else wanted
 
 
-# Type ladder of sampled document values; the first match wins.
-BOOL_TEXT = r"^(true|false)$"
-INT_TEXT = r"^-?\d+$"
-NUMBER_TEXT = r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"
+# Type ladder of document values.
+KINDS = ("timestamp", "boolean", "bigint", "double", "json", "varchar(48)", "binary", "text")
+#: How JSON text writes values that JSON has no type for: an object with just this one key.
+WRAPPED = {
+    "$date": "timestamp", "$timestamp": "timestamp", "$numberInt": "bigint", "$numberLong": "bigint", "$numberDouble": "double", "$numberDecimal": "double",
+    "$oid": "varchar(48)", "$binary": "binary", "$uuid": "binary",
+}
 
 
-def infer_document_columns(df: DataFrame, column: str, id_column: str = "_id") -> DataFrame:
-    """Name and type of every top-level field over all documents.
-
-    Looks at the whole collection in one aggregation by field name: field
-    names are few, so partial aggregation leaves almost nothing to shuffle.
-    A field seen as both bigint and double is double; other mixes are text.
-    """
-    fields = df.select(F.explode(F.from_json(F.col(column), "map<string,string>")).alias("column_name", "text"))
-    text = F.col("text")
+def document_kinds(fields: DataFrame) -> DataFrame:
+    """``column_name, kind`` of ``key, value`` rows: the kind of a VARIANT is that of its type, never of how its text looks; NULL for a null."""
+    keys = F.when(F.col("shape").startswith("OBJECT<`$"), F.json_object_keys(F.to_json("value")))
+    shaped = fields.select("key", "value", F.schema_of_variant("value").alias("shape"))
+    wrapped = F.create_map(*[F.lit(x) for pair in WRAPPED.items() for x in pair])
+    wrapped = shaped.select("key", "shape", F.when(F.size(keys) == 1, F.try_element_at(wrapped, keys[0])).alias("wrapped"))
+    shape = F.col("shape")
     kind = (
-        F.when(text.isNull(), None)
-        .when(text.rlike(BOOL_TEXT), "boolean")
-        .when(text.rlike(INT_TEXT), "bigint")
-        .when(text.rlike(NUMBER_TEXT), "double")
-        .when(text.startswith("{") | text.startswith("["), "json")
+        F.when(shape == "VOID", None)
+        .when(F.col("wrapped").isNotNull(), F.col("wrapped"))
+        .when(shape.isin("TIMESTAMP", "TIMESTAMP_NTZ", "DATE"), "timestamp")
+        .when(shape == "BOOLEAN", "boolean")
+        .when(shape == "BIGINT", "bigint")
+        .when(shape.isin("DOUBLE", "FLOAT") | shape.startswith("DECIMAL"), "double")
+        .when(shape.startswith("OBJECT<") | shape.startswith("ARRAY<"), "json")
+        .when(shape == "BINARY", "binary")
         .otherwise("text")
     )
-    seen = {k: F.count_if(F.col("kind") == k) > 0 for k in ("boolean", "bigint", "double", "json", "text")}
+    return wrapped.select(F.col("key").alias("column_name"), kind.alias("kind"))
+
+
+def infer_document_types(df: DataFrame, column: str, id_column: str = "_id") -> DataFrame:
+    """:func:`infer_document_columns` with the id as it is held in a target: text of bounded length."""
+    found = infer_document_columns(df, column, id_column)
+    return found.withColumn("type", F.when(F.col("pk"), "varchar(48)").otherwise(F.col("type")))
+
+
+def infer_document_columns(df: DataFrame, column: str, id_column: str = "_id") -> DataFrame:
+    """Name and type of every top-level field over all documents, which are JSON text or VARIANT.
+
+    Looks at the whole collection in one aggregation by field name: field names are few, so partial aggregation leaves almost nothing to
+    shuffle. A field seen as both bigint and double is double; other mixes are text. Nulls count for no kind; a field of nulls alone is
+    ``null``. Text that is no JSON object has no fields. The id is the key and never null.
+    """
+    document = F.col(column) if isinstance(df.schema[column].dataType, T.VariantType) else F.try_parse_json(F.col(column))
+    fields = df.select(document.alias("_document")).lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_document").outer()))
+    fields = document_kinds(fields.where(F.col("key").isNotNull()).select("key", "value"))
+    seen = {k: F.count_if(F.col("kind") == k) > 0 for k in KINDS}
     kinds = sum((c.cast("int") for c in seen.values()), F.lit(0))
     one = F.coalesce(*[F.when(c, k) for k, c in seen.items()])
     numeric = seen["bigint"] & seen["double"] & (kinds == 2)
-    return (
-        fields.select("column_name", kind.alias("kind"))
-        .groupBy("column_name")
-        .agg(
-            F.when(kinds == 0, "null").when(numeric, "double").when(kinds == 1, one).otherwise("text").alias("type")
-        )
-        .select("*", (F.col("column_name") != id_column).alias("nullable"), (F.col("column_name") == id_column).alias("pk"))
+    typed = fields.groupBy("column_name").agg(
+        F.when(kinds == 0, "null").when(numeric, "double").when(kinds == 1, one).otherwise("text").alias("type")
     )
+    is_id = F.col("column_name") == id_column
+    return typed.select("*", (~is_id).alias("nullable"), is_id.alias("pk"))
 
 
 def infer_struct(df: DataFrame, column: str) -> T.StructType:

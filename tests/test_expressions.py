@@ -149,3 +149,40 @@ def test_filter_reaches_the_scan(spark, tmp_path):
     df = spark.read.parquet(path)
     plan = df.where(kept_by("a > 1 and s != 'x'", df.schema))._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(a,1)" in plan.split("PushedFilters")[1]
+
+
+def test_whole_powers_like_python(spark):
+    bases = [-(2**63), -7, -3, -2, -1, 0, 1, 2, 3, 10, 3037000499, 2**31, 2**62, None]
+    exponents = [0, 1, 2, 3, 5, 9, 18, 31, 39, 62, 63, 64, 2**40, 2**62 + 1, -1, -4, None]
+    df = spark.createDataFrame([(b, e) for b in bases for e in exponents], "b long, e long")
+
+    def python(b, e):
+        if b is None or e is None or (e < 0 and abs(b) != 1):
+            return None
+        if abs(b) > 1 and e > 64:
+            return None
+        if e < 0:
+            return int(b**e)
+        value = (1 if b == 1 or e % 2 == 0 else -1) if abs(b) == 1 else 0**e if b == 0 else b**e
+        return value if -(2**63) <= value < 2**63 else None
+
+    for r in df.select("b", "e", value_of("b ** e", df.schema).alias("p"), value_of("b ** 39", df.schema).alias("q")).collect():
+        assert (r.b, r.e, r.p, r.q) == (r.b, r.e, python(r.b, r.e), python(r.b, 39))
+
+
+def test_sound_but_unsupported_expressions_are_told_apart(spark):
+    from ferrywork.functions.expressions import UnsupportedExpression
+    from ferrywork.operators.transforms import apply_steps
+
+    df = spark.createDataFrame([(1, "a", 2.25)], "n long, s string, f double")
+    for text in ("s.title()", "'y' if n else 0", "[x for x in s]", "s.join(x for x in s)", "n.bit_length()"):
+        with pytest.raises(UnsupportedExpression):
+            value_of(text, df.schema)
+        with pytest.raises(UnsupportedExpression):
+            apply_steps(df, [{"type": "filter", "config": {"condition": text}}])
+    for text in ("n +", "missing > 1", "unknown(n)", "s.no_such()", "n.upper()"):
+        with pytest.raises(ExpressionError) as caught:
+            value_of(text, df.schema)
+        assert not isinstance(caught.value, UnsupportedExpression)
+        assert apply_steps(df, [{"type": "filter", "config": {"condition": text}}]).count() == 1
+    assert df.select(value_of("round(f, ndigits=1)", df.schema)).first()[0] == 2.2

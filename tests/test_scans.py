@@ -131,3 +131,28 @@ def test_files_roundtrip(spark, tmp_path):
         options = connectors.connector_options(kind, {})
         back = scans.read_files(spark, f"{tmp_path}/{kind}", kind, "id int, s string", **options)
         assert sorted(back.collect()) == sorted(df.collect())
+
+
+def test_document_types_come_from_values_not_their_looks(spark):
+    texts = [
+        '{"_id": "1", "a": "01234", "b": "true", "c": 1, "d": true, "e": null, "f": [1], "g": {"x": 1}, "h": 1.5, "i": {"$date": "2024-01-01T00:00:00Z"}, "j": {"$date": "x", "y": 1}}',
+        '{"_id": {"$oid": "5f"}, "c": 2.5, "d": "no", "e": null, "i": null, "k": {"$binary": {"base64": "AA=="}}, "l": 1e3, "m": 123456789012345678901234567890}',
+        "not json", None, "[1, 2]", '{"c": null}',
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "doc string")
+    got = {r.column_name: (r.type, r.nullable, r.pk) for r in catalog.infer_document_types(df, "doc").collect()}
+    kinds = {"_id": "varchar(48)", "a": "text", "b": "text", "c": "double", "d": "text", "e": "null", "f": "json", "g": "json", "h": "double", "i": "timestamp", "j": "json", "k": "binary", "l": "double", "m": "double"}
+    assert got == {k: (t, k != "_id", k == "_id") for k, t in kinds.items()}
+    assert catalog.infer_document_types(df.limit(0), "doc").count() == 0
+
+
+def test_document_types_of_typed_values(spark):
+    df = spark.sql("SELECT to_variant_object(struct(timestamp'2024-01-01' AS t, date'2024-01-01' AS d, cast('x' AS binary) AS b, 1L AS n, 'x' AS s, map('a', 1) AS m)) AS doc")
+    got = {r.column_name: r.type for r in catalog.infer_document_types(df, "doc").collect()}
+    assert got == {"t": "timestamp", "d": "timestamp", "b": "binary", "n": "bigint", "s": "text", "m": "json"}
+
+
+def test_discover_takes_a_numeric_change_column(spark):
+    frame = spark.createDataFrame([(1, 5), (2, 9)], "id int, updated_at long")
+    found = catalog.discover({"t": frame}).first()
+    assert (found.bookmark_column, found.newest, found.newest_value) == ("updated_at", None, "9")
