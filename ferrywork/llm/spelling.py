@@ -4,8 +4,9 @@ Words are compared within one edit.  Grams are ordered by how many words hold th
 bigrams and whatever else ranks no later than the third.  Of the prefix, dynamic programming picks two disjoint bigrams, the pivots, of least total
 frequency.  One edit spoils at most one of two disjoint bigrams, so a near word holds one of them, and holds it in its own prefix if that prefix ends no
 earlier in the order; of two near words, one has this relation to the other.  The edit is to the right of that bigram or to the left.  If to the right, the words agree
-up to the bigram, which has not moved; if to the left, they agree from it on, and it has moved by the difference of the lengths.  So pivots are joined with prefixes on
-bigram, place, length and the side that agrees, and what meets is verified.
+up to the bigram, which has not moved; if to the left, they agree from it on, and it has moved by the difference of the lengths.  Where the agreeing side is the shorter
+one, the other side is halved, and one half of it agrees too.  So pivots are joined with prefixes on bigram, place, length and what agrees, which is half of the word or
+more, and what meets is verified.
 """
 
 from __future__ import annotations
@@ -108,17 +109,27 @@ def signatures(word: str, held: dict[str, int], rank: dict[str, int]) -> tuple[l
     return [(grams[k], k) for k in chosen], [(grams[k], k) for k in places], end
 
 
-def looked_for(word: str, place: int, least_length: int) -> list[tuple[str, int, int, str]]:
-    """Side, place, length and agreeing part under which a word one edit away lists the bigram that ``word`` has at ``place``."""
-    size = len(word)
-    lengths = [n for n in (size - 1, size, size + 1) if n >= least_length]
-    left = [("<", place, n, word[: place + GRAM]) for n in lengths if place + GRAM <= n]
-    return left + [(">", place + n - size, n, word[place:]) for n in lengths if place + n >= size]
+def agreements(word: str, place: int, size: int) -> list[tuple[str, int, int, str]]:
+    """What a word of ``size``, at most one edit away, can agree in with ``word`` around the bigram at ``place`` of ``word``.
 
-
-def listed_as(word: str, place: int) -> list[tuple[str, int, int, str]]:
-    """The same for a word itself: with what is left of the bigram, and with what is right of it."""
-    return [("<", place, len(word), word[: place + GRAM]), (">", place, len(word), word[place:])]
+    Each is a kind of agreement, the bigram's place in the other word, ``size`` and the text that is equal; one of them holds for every edit that spares the bigram.
+    """
+    found, moved = [], size - len(word)
+    end = place + GRAM
+    if end <= size:  # the edit is to the right
+        middle = end + (size - end) // 2
+        if 2 * end >= size:
+            found.append(("<", place, size, word[:end]))
+        else:
+            found += [("<<", place, size, word[:middle]), ("<>", place, size, f"{word[:end]}|{word[middle - moved :]}")]
+    at = place + moved
+    if at >= 0:  # the edit is to the left
+        middle = at // 2
+        if 2 * (size - at) >= size:
+            found.append((">", at, size, word[place:]))
+        else:
+            found += [(">>", at, size, word[middle - moved :]), ("><", at, size, f"{word[:middle]}|{word[place:]}")]
+    return found
 
 
 def near_pairs(words: DataFrame, least_length: int = LEAST_LENGTH) -> DataFrame:
@@ -141,8 +152,10 @@ def near_pairs(words: DataFrame, least_length: int = LEAST_LENGTH) -> DataFrame:
                 rows = []
                 for word, n in zip(*[c.to_pylist() for c in batch.slice(start, 5000).columns]):
                     chosen, prefix, end = signatures(word, held, rank)
-                    rows += [(key(x), word, n, end, False) for _, k in prefix for x in listed_as(word, k)]
-                    rows += [(key(x), word, n, end, True) for _, k in chosen for x in looked_for(word, k, least_length)]
+                    size = len(word)
+                    rows += [(key(x), word, n, end, False) for _, k in prefix for x in agreements(word, k, size)]
+                    sizes = [m for m in (size - 1, size, size + 1) if m >= least_length]
+                    rows += [(key(x), word, n, end, True) for _, k in chosen for m in sizes for x in agreements(word, k, m)]
                 yield rows_of(schema, list(zip(*rows)))
 
     index = written(words.select("word", "n").mapInArrow(signed, "key long, word string, n long, end int, pivot boolean"), "grams")
