@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ferrywork.functions.names import safe_name
 from ferrywork.operators.load import json_row
-from ferrywork.operators.merge import unfolded
+from ferrywork.operators.merge import has_key, unfolded
 from ferrywork.operators.transforms import apply_steps, row_before
 
 # Reasons for a rejection.
@@ -39,31 +41,24 @@ def row_errors(df: DataFrame, required: list[str], failed_casts: str | None = No
 def mark_duplicates(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
     """Marks every good row but the first per key as a duplicate.
 
-    Only keys that occur more than once take part: they come from a counting
-    aggregation, which is combined map-side and so does not suffer from a hot
-    key. Equal rows are folded into one row with a count before the first row
-    per key is chosen, and unfolded after it. The order is made total by all
-    the other columns.
+    Equal rows are folded into one with a count, then one aggregate per key gives its first row and its number of rows, both combined
+    map-side so that a hot key does not gather, and is joined back once; the copies are unfolded after it.  The order is made total by all
+    the other columns.  Both uses of the folded rows share one shuffle, so ``df`` is read once.
     """
     columns = [c for c in df.columns if c not in (ERROR_TYPE, ERROR_TEXT, ERROR_ROW)]
-    good = F.col(ERROR_TYPE).isNull()
-    repeated = (
-        df.where(good).groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > 1).drop("_n").withColumn("_hit", F.lit(True))
-    )
-    flagged = df.join(repeated, keys, "left")
-    clean = flagged.where(F.col("_hit").isNull() | ~good).select(*df.columns)
-    folded = flagged.where(F.col("_hit") & good).groupBy(*columns).agg(F.count("*").alias("_copies"))
+    folded = df.groupBy(*df.columns).agg(F.count("*").alias("_copies"))
     rest = [c for c in columns if c not in keys and c not in order_by]
     place = F.struct(*order_by, *rest) if order_by or rest else F.lit(0)
-    firsts = folded.groupBy(*keys).agg(F.min(place).alias("_first"))
-    ranked = folded.join(firsts, keys).withColumn("_is_first", place == F.col("_first"))
-    copies = unfolded(ranked, "_copies", "_copy")
-    duplicate = ~(F.col("_is_first") & (F.col("_copy") == 1))
+    good = F.col(ERROR_TYPE).isNull()
+    # Written as conditions inside the aggregates: a filter would be pushed below the folding, which then could not be shared.
+    firsts = folded.groupBy(*keys).agg(F.min(F.when(good, place)).alias("_first"), F.sum(F.when(good, F.col("_copies"))).alias("_rows"))
+    # Null-safe, as a plain equality would filter one use by key; rows without a key are no duplicates all the same.
+    renamed = firsts.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    copies = unfolded(folded.join(renamed, same, "left"), "_copies", "_copy")
+    duplicate = good & has_key(keys) & F.coalesce((F.col("_rows") > 1) & ~((place == F.col("_first")) & (F.col("_copy") == 1)), F.lit(False))
     text = F.concat(F.lit("key occurs again: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
-    marked = copies.withColumns(
-        {ERROR_TYPE: F.when(duplicate, PK_DUPLICATE), ERROR_TEXT: F.when(duplicate, text), ERROR_ROW: F.lit(None).cast("string")}
-    ).select(*df.columns)
-    return clean.unionByName(marked)
+    return copies.withColumns({ERROR_TYPE: F.when(duplicate, PK_DUPLICATE).otherwise(F.col(ERROR_TYPE)), ERROR_TEXT: F.when(duplicate, text).otherwise(F.col(ERROR_TEXT))}).select(*df.columns)
 
 
 def dead_letters(
@@ -111,12 +106,12 @@ def page(letters: DataFrame, source: str, offset: int, limit: int) -> DataFrame:
     return mine.orderBy(F.desc("failed_at"), F.desc("id")).offset(offset).limit(limit)
 
 
-def reprocess(letters: DataFrame, schema, steps, required: list[str], scripts: dict | None = None, conform=None) -> DataFrame:
+def reprocess(letters: DataFrame, schema, steps, required: list[str], scripts: dict | None = None, conform=None, letter: str = "id") -> DataFrame:
     """Waiting letters run through ``steps`` again, and through ``conform`` where given: the typed row, and the outcome.
 
-    ``reprocessed`` is true where the row now passes.
+    ``reprocessed`` is true where the row now passes; ``letter`` names the column of the letter's id, for rows that have an ``id`` of their own.
     """
-    waiting = letters.where(~F.col("reprocessed"))
-    rows = apply_steps(waiting.select("id", F.from_json("row_data", schema).alias("_row")).select("id", "_row.*"), steps, scripts, rejects="_casts")
+    waiting = letters.where(~F.col("reprocessed")).select(F.col("id").alias(letter), F.from_json("row_data", schema).alias("_row"))
+    rows = apply_steps(waiting.select(letter, "_row.*"), steps, scripts, rejects="_casts")
     out = row_errors(conform(rows) if conform else rows, required, "_casts").drop(ERROR_ROW)
     return out.withColumn("reprocessed", F.col(ERROR_TYPE).isNull())

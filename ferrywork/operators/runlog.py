@@ -90,6 +90,27 @@ def runs_page_per_pipeline(runs: DataFrame, offset: int, limit: int) -> DataFram
     return ranked.where(F.col("position") > offset).withColumn("position", F.col("position").cast("bigint"))
 
 
+def deep_page_per_key(rows: DataFrame, key: str, moment: str, tie_break: str, offset: int, limit: int, ranges: int = 4096) -> DataFrame:
+    """Every key's page of rows, newest first, with its ``position``, for pages far from the newest row and keys with very many rows.
+
+    Rows are counted per key and range of time, which is combined map-side; running sums of the counts tell at which position a range begins.
+    Only the ranges that the page lies in are joined back and sorted.  Rows without a time come last.
+    """
+    micros = F.unix_micros(F.col(moment).cast("timestamp"))
+    low, high = rows.agg(F.min(micros), F.max(micros)).first()
+    width = ((high or 0) - (low or 0)) // ranges + 1
+    placed = rows.withColumn("_range", F.coalesce(F.floor((micros - F.lit(low or 0)) / width), F.lit(-1)))
+    counted = placed.groupBy(key, "_range").agg(F.count("*").alias("_rows"))
+    newer = Window.partitionBy(key).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    begun = counted.withColumn("_before", F.coalesce(F.sum("_rows").over(newer), F.lit(0)))
+    wanted = begun.where((F.col("_before") < offset + limit) & (F.col("_before") + F.col("_rows") > offset)).withColumnRenamed(key, "_key")
+    same = F.col(key).eqNullSafe(F.col("_key")) & (placed["_range"] == wanted["_range"])
+    own = placed.join(wanted, same).drop(wanted["_range"])
+    newest = Window.partitionBy(key, "_range").orderBy(F.desc_nulls_last(moment), F.desc(tie_break))
+    ranked = own.withColumn("position", (F.col("_before") + F.row_number().over(newest)).cast("bigint"))
+    return ranked.where((F.col("position") > offset) & (F.col("position") <= offset + limit)).select(*rows.columns, "position")
+
+
 def log_lines(lines: DataFrame, run_id, offset: int, limit: int) -> DataFrame:
     return lines.where(F.col("run_id") == run_id).orderBy("id").offset(offset).limit(limit)
 

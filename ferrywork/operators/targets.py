@@ -129,8 +129,11 @@ class TargetTable:
 
     def last_fact(self, name: str) -> dict | None:
         """The last commit of the owner that holds a fact of this name."""
-        facts = [f for m in self.commits() for f in (*m.get("folded", []), m) if f.get(name) and self._mine(f)]
-        return facts[-1] if facts else None
+        return next(reversed(self.facts(name)), None)
+
+    def facts(self, name: str) -> list[dict]:
+        """All commits of the owner that hold a fact of this name, oldest first."""
+        return [f for m in self.commits() for f in (*m.get("folded", []), m) if f.get(name) and self._mine(f)]
 
     def last_bookmark(self) -> dict | None:
         """The bookmark fact committed last, with its run and time."""
@@ -272,7 +275,7 @@ class TargetTable:
         if not self.batches(version):
             return
         *kept, changed = self._parts()
-        folded = [{k: m.get(k) for k in ("run_id", "at", "bookmark", "rows", "owner", "deleted")} for m in self.commits() if m.get("run_id")]
+        folded = [{k: m.get(k) for k in ("run_id", "at", "bookmark", "rows", "owner", "deleted", "counts")} for m in self.commits() if m.get("run_id")]
         # The kept rows are written from where they are, bucket by bucket.
         rows = _filled(_united([*kept, self._spread(changed, version[1])]))
         self._write_base((version[0] + 1, version[1]), rows, folded=folded)
@@ -313,10 +316,12 @@ class Batch:
         rows = self.target.spark.read.schema(self.schema).parquet(self.path)
         return landed(rows.where(~F.col(REJECTED) & (F.col(OP) == UPSERT)), self.target.keys)
 
-    def commit(self, at: str = "", bookmark: dict | None = None, rows: int | None = None, deleted: str | None = None) -> None:
-        """``deleted`` is the newest soft delete that the batch carries over."""
+    def commit(
+        self, at: str = "", bookmark: dict | None = None, rows: int | None = None, deleted: str | None = None, counts: dict | None = None
+    ) -> None:
+        """``deleted`` is the newest soft delete that the batch carries over; ``counts`` are other figures to keep with it."""
         owner = self.target.owner
-        self.target._commit(self.path, self.schema, run_id=self.run_id, at=at, bookmark=bookmark, rows=rows, owner=owner, deleted=deleted)
+        self.target._commit(self.path, self.schema, run_id=self.run_id, at=at, bookmark=bookmark, rows=rows, owner=owner, deleted=deleted, counts=counts)
 
 
 def landed(rows: DataFrame, keys: list[str]) -> tuple[int, int]:
@@ -327,9 +332,13 @@ def landed(rows: DataFrame, keys: list[str]) -> tuple[int, int]:
     return counted["n"] or 0, (counted["n"] or 0) - counted["keys"]
 
 
+def _rescue_key(name: str) -> str:
+    return folders.file_name(name.lower())  # without the signs that end a path
+
+
 def rescue(rows: DataFrame, columns: list[str]) -> DataFrame:
     """``rows`` without ``columns``, whose values go to the rescue column; it is NULL where all of them are."""
-    held = F.to_variant_object(F.struct(*[F.col(f"`{c}`").alias(c.lower()) for c in columns]))
+    held = F.to_variant_object(F.struct(*[F.col(f"`{c}`").alias(_rescue_key(c)) for c in columns]))
     some = reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNotNull() for c in columns])
     return rows.withColumn(RESCUED, F.when(some, held)).drop(*columns)
 
@@ -341,7 +350,7 @@ def _filled(rows: DataFrame) -> DataFrame:
     kept = {}
     for f in rows.schema.fields:
         if not f.name.startswith("_"):
-            path = "$['" + f.name.lower().replace("'", "\\'") + "']"
+            path = f"$['{_rescue_key(f.name)}']"
             kept[f.name] = F.coalesce(F.col(f"`{f.name}`"), F.try_variant_get(F.col(RESCUED), path, f.dataType.simpleString()))
     return rows.withColumns(kept)
 

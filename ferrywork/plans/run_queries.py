@@ -424,3 +424,17 @@ def format_count(spark, sf):
 )
 def format_age(spark, sf):
     return view(spark, sf, "runs").select("id", formats.age_text(F.col("started_at"), F.lit(AS_OF)).alias("age"))
+
+
+@check(
+    "runs_deep_page",
+    """SELECT pipeline_id, started_at, id, position FROM (
+        SELECT *, row_number() OVER (PARTITION BY pipeline_id ORDER BY started_at DESC, id DESC) AS position FROM (
+            SELECT CASE WHEN l_orderkey % 3 < 2 THEN 0 ELSE l_orderkey % 100 END AS pipeline_id, l_shipdate AS started_at, l_orderkey * 10 + l_linenumber AS id FROM lineitem))
+       WHERE position > 3000 AND position <= 3200""",
+)
+def runs_deep_page(spark, sf):
+    """A page far from the newest run, where one pipeline has two thirds of all runs."""
+    hot = "CASE WHEN l_orderkey % 3 < 2 THEN 0 ELSE l_orderkey % 100 END AS pipeline_id"
+    runs = table(spark, sf, "lineitem").selectExpr(hot, "l_shipdate AS started_at", "l_orderkey * 10 + l_linenumber AS id")
+    return runlog.deep_page_per_key(runs, "pipeline_id", "started_at", "id", 3000, 200)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ferrywork.functions import formats, names
-from ferrywork.operators import state
+from ferrywork.operators import deadletter, state
 from ferrywork.plans.fixtures import BOOKMARK, table, view
 from ferrywork.plans.registry import check
+from ferrywork.session import scratch_path
 from ferrywork.sources import catalog, scans
 
 TABLES = ["customer", "documents", "events", "lineitem", "nation", "orders", "part", "region", "supplier"]
@@ -51,6 +52,50 @@ def scan_batch_limited(spark, sf):
     return scans.bounded_rows(rows, "updated_at", 500)
 
 
+@check(
+    "scan_batch_cut",
+    f"""SELECT * FROM src_orders WHERE updated_at > timestamp '{BOOKMARK}' AND deleted_at IS NULL AND updated_at <= (
+        SELECT max(updated_at) FROM (SELECT updated_at FROM src_orders
+            WHERE updated_at > timestamp '{BOOKMARK}' AND deleted_at IS NULL ORDER BY updated_at LIMIT 4000))""",
+    ("src_orders",),
+)
+def scan_batch_cut(spark, sf):
+    """The same batch at sizes where the oldest rows do not fit one task."""
+    rows = scans.incremental_rows(view(spark, sf, "src_orders"), "updated_at", BOOKMARK)
+    return scans.cut_rows(rows, "updated_at", 4000)
+
+
+@check(
+    "scan_files_text",
+    " UNION ALL ".join(
+        f"""SELECT '{f}' AS format, count(*) AS n, count(o_orderpriority) AS named, sum(o_orderkey)::bigint AS keys, min(o_orderdate) AS first, max(o_totalprice) AS dearest,
+            (SELECT count(*) FROM orders WHERE o_orderkey % 50 = 7) {'' if f in ('csv', 'json') else '* 0'} AS broken FROM (SELECT * REPLACE (nullif(o_orderpriority, '5-LOW') AS o_orderpriority) FROM orders)"""
+        for f in ("csv", "json", "orc", "parquet")
+    ),
+)
+def scan_files_text(spark, sf):
+    """Rows written to four file formats and read back; of the text formats, lines that were cut short become dead letters."""
+    rows = table(spark, sf, "orders").withColumn("o_orderpriority", F.expr("nullif(o_orderpriority, '5-LOW')"))
+    out = None
+    for file_format in ("csv", "json", "orc", "parquet"):
+        path = scratch_path(spark, file_format)
+        scans.export_files(rows, path, file_format)
+        if file_format in ("csv", "json"):
+            rows.where("o_orderkey % 50 = 7").select(F.concat(F.lit('{"o_orderkey": '), F.col("o_orderkey").cast("string"), F.lit(', "half'))).write.mode("append").text(path)
+            found = scans.read_lines(spark, path, file_format, rows.schema, **scans.import_options(file_format))
+            sound, broken = scans.split_broken(found)
+            letters = deadletter.dead_letters(broken, "files", "orders", "run-1", F.lit("2024-01-01").cast("timestamp")).where("row_data LIKE '%half%'")
+        else:
+            sound, letters = scans.read_files(spark, path, file_format), rows.limit(0)
+        sums = sound.agg(
+            F.count("*").alias("n"), F.count("o_orderpriority").alias("named"), F.sum("o_orderkey").alias("keys"),
+            F.min("o_orderdate").alias("first"), F.max("o_totalprice").alias("dearest"),
+        )
+        part = sums.withColumns({"format": F.lit(file_format), "broken": letters.agg(F.count("*")).scalar()})
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @check(
     "scan_documents_json",
     """SELECT event_id, cast(json_extract_string(props, '$.k') AS bigint) AS k,

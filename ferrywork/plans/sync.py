@@ -26,7 +26,7 @@ from ferrywork.operators.transforms import apply_steps, noted, row_before
 from ferrywork.sources import folders
 from ferrywork.sources.catalog import bookmark_column_of, matches_globs, parse_table_filter
 from ferrywork.sources.folders import file_name
-from ferrywork.sources.scans import DELETED_COLUMN, bookmark_literal, bounded_rows, find_column, incremental_rows, live_rows, soft_deleted_rows
+from ferrywork.sources.scans import DELETED_COLUMN, bookmark_literal, cut_rows, find_column, incremental_rows, live_rows, soft_deleted_rows
 
 log = logging.getLogger(__name__)
 
@@ -260,7 +260,7 @@ def sync_table(ws: Workspace, pipeline: Pipeline, table: SyncTable, source: Data
         source, bookmark_column, bookmark, table.deleted_column, table.lookback
     )
     if table.max_rows and bookmark_column and not full:
-        rows = bounded_rows(rows, bookmark_column, table.max_rows, unordered=bookmark is None)
+        rows = cut_rows(rows, bookmark_column, table.max_rows, unordered=bookmark is None)
 
     extracted = Observation()
     top = F.max(bookmark_column).cast("string") if bookmark_column else F.lit(None).cast("string")
@@ -364,20 +364,22 @@ def reprocess_letters(
     nested = (T.StructType, T.ArrayType, T.MapType, T.VariantType)
     text = T.StructType([f if isinstance(f.dataType, nested) else T.StructField(f.name, T.StringType()) for f in known.fields])
     required = list(dict.fromkeys([*table.keys, *table.required]))
-    tried = deadletter.reprocess(waiting, schema or text, steps, required, scripts, lambda rows: conform(rows, known, "_casts"))
+    tried = deadletter.reprocess(waiting, schema or text, steps, required, scripts, lambda rows: conform(rows, known, "_casts"), letter="_letter")
     path = f"{ws.staging_path(target)}-letters/{run_file(pipeline.id, run_id)}"
     if states.commit_of(run_id) is None:
         if target.commit_of(run_id) is None:
             tried.write.mode("overwrite").parquet(path)
-            good = ws.spark.read.schema(tried.schema).parquet(path).where("reprocessed").drop("id", "reprocessed", deadletter.ERROR_TYPE, deadletter.ERROR_TEXT)
+            good = ws.spark.read.schema(tried.schema).parquet(path).where("reprocessed").drop("_letter", "reprocessed", deadletter.ERROR_TYPE, deadletter.ERROR_TEXT)
             if table.keys and column in good.columns:
                 later = target.read().select(*table.keys, F.col(column).alias("_later"))
                 good = good.join(later, list(table.keys), "left").where(F.col("_later").isNull() | (F.col("_later") < F.col(column))).drop("_later")
             batch = target.append(load.stamp(good, run_id, F.lit(as_of).cast("timestamp")), run_id)
             batch.commit(as_of.isoformat(), rows=batch.landed()[0])
-        outcome = ws.spark.read.schema(tried.schema).parquet(path).select("id", "reprocessed", deadletter.ERROR_TYPE, deadletter.ERROR_TEXT, F.lit(run_id).alias("reprocessed_by"))
-        batch = states.append(outcome.withColumnsRenamed({deadletter.ERROR_TYPE: "_type", deadletter.ERROR_TEXT: "_text"}).select(
-            "id", "reprocessed", F.col("_type").alias("last_type"), F.col("_text").alias("last_text"), "reprocessed_by"), run_id)
+        outcome = ws.spark.read.schema(tried.schema).parquet(path).select(
+            F.col("_letter").alias("id"), "reprocessed", F.col(deadletter.ERROR_TYPE).alias("last_type"), F.col(deadletter.ERROR_TEXT).alias("last_text"),
+            F.lit(run_id).alias("reprocessed_by"),
+        )
+        batch = states.append(outcome, run_id)
         batch.commit(as_of.isoformat(), rows=batch.landed()[0])
         states.compact_if_due()
     counted = states.read().where(F.col("reprocessed_by") == run_id).agg(F.count_if("reprocessed").alias("passed"), F.count_if(~F.col("reprocessed")).alias("failed")).first()

@@ -6,12 +6,12 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from ferrywork.operators import load, merge
+from ferrywork.operators import load, merge, runlog
 from ferrywork.operators.targets import TargetTable
 from ferrywork.operators.transforms import apply_steps
 from ferrywork.plans.fixtures import BOOKMARK, table, view, view_columns
 from ferrywork.plans.registry import check
-from ferrywork.plans.sync import Pipeline, SyncTable, Workspace, run_pipeline
+from ferrywork.plans.sync import LINES, RUNS, STATS, Pipeline, SyncTable, Workspace, reprocess_letters, run_pipeline
 from ferrywork.session import scratch_path
 from ferrywork.sources.scans import incremental_rows, live_rows, soft_deleted_rows
 from ferrywork.streaming import sync as streams
@@ -186,3 +186,233 @@ def stream_daily_stats(spark, sf):
         streams.daily_counts(runs, "started_at"), target, f"d{abs(hash(folder))}", f"{folder}/_checkpoint", output_mode="update"
     ).awaitTermination()
     return target.read().select(F.col("day").cast("string").alias("day"), "run_count", "total_rows")
+
+
+# -- what a run leaves ----------------------------------------------------------------
+
+
+@check(
+    "quality_row_count_of_load",
+    """SELECT 'row_count' AS check_type, count(*) AS rows_extracted, count(DISTINCT l_orderkey) FILTER (good) AS rows_loaded,
+        count(*) FILTER (good) - count(DISTINCT l_orderkey) FILTER (good) AS rows_folded, round_even(count(*) FILTER (NOT good) / count(*) * 100, 2) AS discrepancy_pct, TRUE AS passed
+        FROM (SELECT l_orderkey, l_returnflag <> 'R' OR l_linenumber <> 3 AS good FROM lineitem)""",
+)
+def quality_row_count_of_load(spark, sf):
+    """Rows that the written files hold against rows sent to them; rows folded into another of their key are a figure of their own."""
+    ws = Workspace(spark, scratch_path(spark, "counted"))
+    lines = SyncTable("lineitem", keys=("l_orderkey",), bookmark_column="l_shipdate", required=("flag",))
+    source = table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_shipdate", "CASE WHEN l_returnflag <> 'R' OR l_linenumber <> 3 THEN l_returnflag END AS flag")
+    run_one(ws, Pipeline("p1", "shop", (lines,), quality_threshold=20.0), source, 1)
+    log = spark.read.json(ws.log_path("quality")).where("check_type = 'row_count'")
+    return log.select("check_type", "rows_extracted", "rows_loaded", "rows_folded", "discrepancy_pct", "passed")
+
+
+def run_one(ws, pipeline, source, number, run_id=None):
+    result = run_pipeline(ws, pipeline, lambda _: source, run_id or f"run-{number}", datetime(2024, 1, number))
+    if result.outcome != "success":
+        raise RuntimeError(result.tables[0].error)
+    return result
+
+
+def plain_orders(spark, sf, moment):
+    return table(spark, sf, "orders").where(F.col("o_orderdate") <= F.lit(moment).cast("timestamp_ntz"))
+
+
+@check(
+    "schema_evolve_late",
+    f"SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderdate > timestamp '{MOMENTS[0]}' THEN o_orderpriority END AS priority, "
+    f"CASE WHEN o_orderdate > timestamp '{MOMENTS[0]}' THEN o_totalprice END AS price FROM orders",
+)
+def schema_evolve_late(spark, sf):
+    """Values of columns that nobody asked for are there once the columns are added."""
+    ws = Workspace(spark, scratch_path(spark, "late"))
+    extra = [F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("price")]
+    for number, moment in enumerate(MOMENTS, start=1):
+        orders = SyncTable("orders", keys=("o_orderkey",), bookmark_column="o_orderdate", auto_evolve=number == 3)
+        source = plain_orders(spark, sf, moment).select("o_orderkey", "o_orderstatus", "o_orderdate", *(extra if number > 1 else []))
+        run_one(ws, Pipeline("p1", "shop", (orders,)), source, number)
+    return ws.target(orders, "o_orderdate").read().select("o_orderkey", "o_orderstatus", "priority", "price")
+
+
+CODED = "CASE o_orderkey % 10 WHEN 0 THEN 'n/a' WHEN 1 THEN concat('x', o_custkey) ELSE cast(o_custkey AS string) END AS code"
+
+
+@check(
+    "dead_letter_reprocess_load",
+    """SELECT o_orderkey, CASE o_orderkey % 10 WHEN 0 THEN 0 WHEN 1 THEN NULL ELSE o_custkey END AS code,
+        CASE WHEN o_orderkey % 10 = 1 THEN 'value does not convert: code' END AS waiting_for, CASE WHEN o_orderkey % 10 = 1 THEN 'x' || o_custkey END AS value FROM orders""",
+)
+def dead_letter_reprocess_load(spark, sf):
+    """Rejected rows are repaired and merged into the target; letters that fail again keep waiting."""
+    ws = Workspace(spark, scratch_path(spark, "letters"))
+    cast = {"type": "type_cast", "config": {"columns": {"code": "int"}}}
+    orders = SyncTable("orders", keys=("o_orderkey",), bookmark_column="o_orderdate", transforms=(cast,), required=("code",))
+    pipeline = Pipeline("p1", "shop", (orders,))
+    run_one(ws, pipeline, table(spark, sf, "orders").selectExpr("o_orderkey", "o_orderdate", CODED), 1)
+    repair = [{"type": "map_values", "config": {"column": "code", "mapping": {"n/a": "0"}}}]
+    for _ in range(2):  # repeating the step changes nothing
+        reprocess_letters(ws, pipeline, orders, "again-1", datetime(2024, 1, 2), repair)
+    done = ws.target(orders, "o_orderdate", pipeline).read().select("o_orderkey", "code", F.lit(None).cast("string").alias("waiting_for"), F.lit(None).cast("string").alias("value"))
+    row = F.from_json("row_data", "o_orderkey bigint, code string").alias("row")
+    waiting = ws.dead_letters().where("NOT reprocessed").select("error_text", row)
+    return done.unionByName(waiting.select("row.o_orderkey", F.lit(None).cast("bigint").alias("code"), F.col("error_text").alias("waiting_for"), F.col("row.code").alias("value")))
+
+
+@check(
+    "sync_runs_of_equal_id",
+    f"""SELECT p AS pipeline_id, count(*) FILTER (o_orderkey % 10 > 1 AND d <= m) AS kept, count(*) FILTER (d <= m) AS raw_rows,
+        count(*) FILTER (o_orderkey % 10 <= 1 AND d <= m) AS letters, 1::bigint AS runs, 1::bigint AS logged_tables
+        FROM (SELECT o_orderkey, o_orderdate AS d FROM orders), (VALUES ('a', timestamp '{MOMENTS[0]}'), ('b', timestamp '{MOMENTS[1]}')) AS v(p, m) GROUP BY p""",
+)
+def sync_runs_of_equal_id(spark, sf):
+    """Two pipelines with one table name, source and run id: rows, raw rows, letters and run logs of both are there."""
+    ws = Workspace(spark, scratch_path(spark, "equal"))
+    cast = {"type": "type_cast", "config": {"columns": {"code": "int"}}}
+    orders = SyncTable("orders", keys=("o_orderkey",), bookmark_column="o_orderdate", transforms=(cast,), load_mode="raw")
+    out = None
+    for name, moment in zip("ab", MOMENTS):
+        run_one(ws, Pipeline(name, "shop", (orders,)), plain_orders(spark, sf, moment).selectExpr("o_orderkey", "o_orderdate", CODED), 1, "the-run")
+    raw = spark.read.parquet(ws.raw_path("shop", "orders")).withColumn("pipeline_id", F.substring("of_owner", 1, 1))
+    counted = {
+        "raw_rows": raw, "letters": ws.dead_letters().dropDuplicates(["id"]),
+        "runs": ws.read_log("runs", RUNS), "logged_tables": ws.read_log("run_table_stats", STATS),
+    }
+    for name in "ab":
+        kept = ws.target(orders, "o_orderdate", Pipeline(name, "shop", (orders,))).read().agg(F.lit(name).alias("pipeline_id"), F.count("*").alias("kept"))
+        out = kept if out is None else out.unionByName(kept)
+    for column, rows in counted.items():
+        out = out.join(rows.groupBy("pipeline_id").agg(F.count("*").alias(column)), "pipeline_id")
+    return out
+
+
+@check(
+    "run_log_of_a_run",
+    f"""SELECT * FROM (SELECT 'INFO' AS level, 'run started: 1 tables' AS message
+        UNION ALL SELECT 'INFO', 'orders: ' || count(*) || ' extracted, ' || count(*) FILTER (o_orderkey % 10 > 1) || ' loaded, 0 deleted, bookmark ' || strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') FROM orders
+        UNION ALL SELECT 'WARNING', 'orders: ' || count(*) FILTER (o_orderkey % 10 <= 1) || ' rows rejected' FROM orders
+        UNION ALL SELECT 'WARNING', 'orders: quality check failed')""",
+)
+def run_log_of_a_run(spark, sf):
+    """The lines that a run writes about itself, without the last one, which has its time."""
+    ws = Workspace(spark, scratch_path(spark, "lines"))
+    cast = {"type": "type_cast", "config": {"columns": {"code": "int"}}}
+    orders = SyncTable("orders", keys=("o_orderkey",), bookmark_column="o_orderdate", transforms=(cast,))
+    run_one(ws, Pipeline("p1", "shop", (orders,)), table(spark, sf, "orders").selectExpr("o_orderkey", "o_orderdate", CODED), 1)
+    lines = runlog.log_lines(ws.read_log("run_logs", LINES), "run-1", 0, 100)
+    return lines.where("message NOT LIKE 'run ended%'").select("level", "message")
+
+
+@check(
+    "sync_cycle_changes",
+    f"""SELECT o_orderkey, o_totalprice + CASE WHEN o_orderkey % 7 = 0 AND o_orderdate <= timestamp '{MOMENTS[0]}' THEN 1 ELSE 0 END AS price,
+        o_orderkey % 50 AS code, CASE WHEN o_orderdate > timestamp '{MOMENTS[1]}' THEN o_orderpriority END AS priority FROM orders WHERE o_orderkey % 50 <> 3""",
+)
+def sync_cycle_changes(spark, sf):
+    """Rows are changed, rejected and given a column between the cycles."""
+    ws = Workspace(spark, scratch_path(spark, "changes"))
+    first, later = (F.lit(m).cast("timestamp_ntz") for m in MOMENTS[:2])
+    cast = {"type": "type_cast", "config": {"columns": {"code": "int"}}}
+    for number, moment in enumerate(MOMENTS, start=1):
+        rows = plain_orders(spark, sf, moment)
+        changed = (F.col("o_orderkey") % 7 == 0) & (F.col("o_orderdate") <= first) & F.lit(number > 1)
+        source = rows.select(
+            "o_orderkey", (F.col("o_totalprice") + F.when(changed, 1).otherwise(0)).alias("price"),
+            F.expr("CASE WHEN o_orderkey % 50 = 3 THEN 'bad' ELSE cast(o_orderkey % 50 AS string) END AS code"),
+            F.when(changed, first + F.make_dt_interval(F.lit(1), (F.col("o_orderkey") % 1000).cast("int"))).otherwise(F.col("o_orderdate")).alias("updated_at"),
+            *([F.when(F.col("o_orderdate") > later, F.col("o_orderpriority")).alias("priority")] if number == 3 else []),
+        )
+        orders = SyncTable("orders", keys=("o_orderkey",), bookmark_column="updated_at", transforms=(cast,), auto_evolve=True)
+        run_one(ws, Pipeline("p1", "shop", (orders,)), source, number)
+    return ws.target(orders, "updated_at").read().select("o_orderkey", "price", "code", "priority")
+
+
+@check(
+    "sync_bounded_nulls",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 10 > 0 THEN o_orderdate END AS updated_at FROM orders",
+)
+def sync_bounded_nulls(spark, sf):
+    """Bounded batches, the first of which also takes the rows without a change time, leave every row loaded."""
+    ws = Workspace(spark, scratch_path(spark, "nulls"))
+    source = table(spark, sf, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 10 > 0 THEN o_orderdate END AS updated_at")
+    size = source.count() // 3 + 1
+    orders = SyncTable("orders", keys=("o_orderkey",), bookmark_column="updated_at", max_rows=size)
+    for number in range(1, 4):
+        run_one(ws, Pipeline("p1", "shop", (orders,)), source, number)
+    return ws.target(orders, "updated_at").read().select("o_orderkey", "updated_at")
+
+
+@check("ensure_schema_whole", "SELECT o_orderkey, o_orderstatus, o_orderdate, NULL::double AS discount FROM orders")
+def ensure_schema_whole(spark, sf):
+    """A typed table is made, filled with all orders, and given one more column."""
+    source = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    path = scratch_path(spark, "whole")
+    name = load.ensure_table(spark, "ferrywork_check", path.rsplit("/", 1)[1], source.schema, path)
+    load.stamp(source, "run-1", F.lit("2024-01-01").cast("timestamp")).write.insertInto(name)
+    load.add_columns(spark, name, spark.createDataFrame([], "discount double").schema)
+    return spark.table(name).drop(load.RUN_ID, load.SYNCED_AT)
+
+
+# -- streams out of order -----------------------------------------------------------------
+
+#: Three files that come one by one: the newest events, the oldest with repeats of the newest, the rest with repeats of all.
+_PARTS = (
+    "ts >= timestamp '2024-01-20'",
+    "ts < timestamp '2024-01-10' OR (ts >= timestamp '2024-01-20' AND event_id % 5 = 0)",
+    "(ts >= timestamp '2024-01-10' AND ts < timestamp '2024-01-20') OR event_id % 7 = 0",
+)
+
+
+def out_of_order(spark, sf, columns=("*",)):
+    """Folder of three files, in that order, and their schema."""
+    folder = scratch_path(spark, "parts")
+    for part in _PARTS:
+        table(spark, sf, "events").where(part.replace("timestamp '", "timestamp_ntz'")).selectExpr(*columns).coalesce(1).write.mode("append").parquet(folder)
+    return spark.read.parquet(folder).schema, folder
+
+
+def unique_events(spark, sf):
+    schema, parts = out_of_order(spark, sf)
+    folder = scratch_path(spark, "unique")
+    target = TargetTable(spark, folder, "events", ["event_id"], compact_share=float("inf"))
+    stream = streams.file_stream(spark, parts, "*.parquet", schema, files_per_batch=1)
+    streams.stream_unique(stream, target, f"u{abs(hash(folder))}", f"{folder}/_checkpoint", "ts").awaitTermination()
+    return target
+
+
+@check("stream_dedup_late", "SELECT event_id, user_id, event_type, ts FROM events")
+def stream_dedup_late(spark, sf):
+    """Every event once, also those that come weeks late."""
+    return unique_events(spark, sf).read().select("event_id", "user_id", "event_type", "ts")
+
+
+@check(
+    "stream_dedup_accounts",
+    f"""WITH parts AS ({" UNION ALL ".join(f"SELECT {k} AS part, event_id, ts FROM events WHERE {p}" for k, p in enumerate(_PARTS))}),
+        tops AS (SELECT part, max(max(ts)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM parts GROUP BY part),
+        firsts AS (SELECT event_id, min(part) AS part FROM parts GROUP BY event_id)
+        SELECT p.part::bigint AS part, count(*) AS rows, (SELECT count(*) FROM firsts f WHERE f.part = p.part) AS loaded,
+            count(*) - (SELECT count(*) FROM firsts f WHERE f.part = p.part) AS repeats, count(*) FILTER (p.ts < t.newest - INTERVAL 1 DAY) AS late
+        FROM parts p JOIN tops t ON t.part = p.part GROUP BY p.part""",
+)
+def stream_dedup_accounts(spark, sf):
+    """Rows, loaded rows, repeats and late rows of each micro-batch."""
+    facts = [f["counts"] for f in unique_events(spark, sf).facts("counts")]
+    rows = [(k, f["rows"], f["loaded"], f["repeats"], f["late"]) for k, f in enumerate(facts)]
+    return spark.createDataFrame(rows, "part long, rows long, loaded long, repeats long, late long")
+
+
+@check(
+    "stream_daily_stats_late",
+    "SELECT strftime(started_at, '%Y-%m-%d') AS day, count(*) AS run_count, coalesce(sum(rows_synced), 0)::bigint AS total_rows FROM ("
+    + " UNION ALL ".join(f"SELECT r.* FROM runs r JOIN events e ON e.event_id = r.id WHERE {p}" for p in _PARTS)
+    + ") GROUP BY 1",
+    ("runs",),
+)
+def stream_daily_stats_late(spark, sf):
+    """Runs and rows per day of runs that come out of order."""
+    schema, parts = out_of_order(spark, sf, view_columns("runs"))
+    folder = scratch_path(spark, "totals")
+    target = TargetTable(spark, folder, "totals", [])
+    stream = streams.file_stream(spark, parts, "*.parquet", schema, files_per_batch=1)
+    streams.stream_daily_totals(stream, target, f"t{abs(hash(folder))}", f"{folder}/_checkpoint", "started_at").awaitTermination()
+    return streams.daily_totals(target).withColumn("day", F.col("day").cast("string"))
