@@ -15,7 +15,7 @@ found by binary search on the ladders.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +32,18 @@ BLOCK, WIDTH, LEAST, STEPS = 1 << 16, 16, 64, 4
 _P, _BITS = np.uint64(PRIME), np.uint64(31)
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """``x`` itself, brought down by a multiple of the prime."""
+    high = x >> _BITS
+    x &= _P
+    x += high
+    return x
+
+
 def _reduced(x: np.ndarray) -> np.ndarray:
-    """``x`` modulo the prime, for values below 2**62."""
-    x = (x & _P) + (x >> _BITS)
-    x = (x & _P) + (x >> _BITS)
-    return np.where(x >= _P, x - _P, x)
+    """``x`` itself modulo the prime, for values below 2**63."""
+    x = _folded(_folded(x))
+    return np.minimum(x, x - _P, out=x)  # the difference wraps round to a great number where x is below
 
 
 def _table(base: int) -> np.ndarray:
@@ -52,11 +59,24 @@ _UP, _DOWN = [_table(b) for b in BASES], [_table(pow(b, -1, PRIME)) for b in BAS
 
 def _sums(codes: np.ndarray, k: int) -> np.ndarray:
     """Prefix array of at most a block and a span, for base ``k``."""
+    terms = codes.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= _UP[k][: len(codes)]
     out = np.zeros(len(codes) + 1, dtype=np.uint64)
-    np.cumsum(_reduced((codes.astype(np.uint64) + np.uint64(1)) * _UP[k][: len(codes)]), out=out[1:])
+    np.cumsum(_folded(terms), out=out[1:])
     return _reduced(out)
 
 
+def _down(k: int, at: np.ndarray) -> np.ndarray:
+    """Powers of the inverse of base ``k``: how a difference of entries is brought back to the beginning."""
+    blocks, inverse = at // BLOCK, int(_DOWN[k][1])
+    low = _DOWN[k][at % BLOCK]
+    if not blocks.any():
+        return low
+    known = {b: pow(inverse, b * BLOCK, PRIME) for b in np.unique(blocks).tolist()}
+    return _reduced(low * np.array([known[b] for b in blocks.tolist()], dtype=np.uint64))
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
 
@@ -75,8 +95,10 @@ class PrefixHashes:
         if self._kept[0] != number:
             start = number * BLOCK
             codes = self.codes[start : start + BLOCK]
-            shift = [np.uint64(pow(b, start, PRIME)) for b in BASES]
-            self._kept = (number, [_reduced(_reduced(_sums(codes, k) * shift[k]) + np.uint64(self.marks[number][k])) for k in (0, 1)])
+            sums = [_sums(codes, k) for k in (0, 1)]
+            if number:
+                sums = [_reduced(_reduced(sums[k] * np.uint64(pow(BASES[k], start, PRIME))) + np.uint64(self.marks[number][k])) for k in (0, 1)]
+            self._kept = (number, sums)
         return self._kept[1]
 
     def upto(self, at: int) -> tuple[int, int]:
@@ -92,12 +114,31 @@ class PrefixHashes:
         high, low = ((y - x) * pow(base, -start, PRIME) % PRIME for base, x, y in zip(BASES, a, b))
         return high << 31 | low
 
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of many spans at once."""
+        total = np.zeros(len(starts), dtype=np.uint64)
+        for k in (0, 1):
+            difference = _reduced(self._entries(k, ends) + _P - self._entries(k, starts))
+            total = total << _BITS | _reduced(difference * _down(k, starts))
+        return total
+
+    def _entries(self, k: int, at: np.ndarray) -> np.ndarray:
+        if self.size < BLOCK:
+            return self._block(0)[k][at]
+        found = np.zeros(len(at), dtype=np.uint64)
+        numbers = at // BLOCK
+        for number in np.unique(numbers).tolist():
+            own = numbers == number
+            found[own] = self._block(number)[k][at[own] - number * BLOCK]
+        return found
+
     def common(self, other: PrefixHashes, at: int = 0, other_at: int = 0) -> int:
         """Longest common extension to the right of the two places, by binary search over its length."""
         low, high = 0, min(self.size - at, other.size - other_at)
+        same = (lambda n: self.upto(n) == other.upto(n)) if at == other_at == 0 else (lambda n: self.span(at, at + n) == other.span(other_at, other_at + n))
         while low < high:
             middle = (low + high + 1) // 2
-            if self.span(at, at + middle) == other.span(other_at, other_at + middle):
+            if same(middle):
                 low = middle
             else:
                 high = middle - 1
@@ -115,19 +156,17 @@ class PrefixHashes:
         return low
 
     def least_spans(self, width: int = WIDTH, count: int = LEAST) -> np.ndarray:
-        """The ``count`` least of the distinct mixed hashes of all spans of ``width``; of a shorter text, of its one span."""
+        """The ``count`` least of the distinct hashes, of the first base, of all spans of ``width``; of a shorter text, of its one span."""
         width = min(width, self.size)
         found = np.zeros(0, dtype=np.uint32)
         if not width:
             return found
         for start in range(0, self.size - width + 1, BLOCK):
-            codes = self.codes[start : start + BLOCK + width - 1]
-            total = np.zeros(len(codes) - width + 1, dtype=np.uint64)
-            for k in (0, 1):
-                sums = _sums(codes, k)
-                spans = _reduced(_reduced(sums[width:] + _P - sums[:-width]) * _DOWN[k][: len(total)])
-                total = total << _BITS | spans
-            values = (mixed(total) >> np.uint64(32)).astype(np.uint32)
+            sums = self._block(0)[0] if self.size < BLOCK else _sums(self.codes[start : start + BLOCK + width - 1], 0)
+            spans = sums[width:] + _P
+            spans -= sums[:-width]
+            spans *= _DOWN[0][: len(spans)]
+            values = (mixed(_reduced(spans)) >> np.uint64(32)).astype(np.uint32)
             least = np.unique(np.partition(values, 4 * count)[: 4 * count]) if len(values) > 8 * count else np.unique(values)
             if len(least) < count:
                 least = np.unique(values)
@@ -135,10 +174,8 @@ class PrefixHashes:
         return found
 
 
-def ladder(size: int) -> list[int]:
-    """Lengths up to ``size``: all small ones, then ``STEPS`` to each doubling."""
-    lengths, step = [], 1
-    at = 1
+def _rungs(size: int) -> list[int]:
+    lengths, step, at = [], 1, 1
     while at <= size:
         lengths.append(at)
         if at == 2 * STEPS * step:
@@ -147,17 +184,27 @@ def ladder(size: int) -> list[int]:
     return lengths
 
 
+_LADDER = _rungs(1 << 40)
+
+
+def ladder(size: int) -> list[int]:
+    """Lengths up to ``size``: all small ones, then ``STEPS`` to each doubling."""
+    return _LADDER[: bisect_right(_LADDER, size)]
+
+
 def fingerprint(hashes: PrefixHashes) -> str:
-    n = hashes.size
-    lengths = ladder(n)
-    heads = "".join(f"{_short(hashes.span(0, k)):08x}" for k in lengths)
-    tails = "".join(f"{_short(hashes.span(n - k, n)):08x}" for k in lengths)
-    return f"{n:x}-{hashes.span(0, n):016x}-{heads}-{tails}-" + hashes.least_spans().astype(">u4").tobytes().hex()
+    n, none = hashes.size, np.zeros(1, dtype=np.int64)
+    lengths = np.array(ladder(n), dtype=np.int64)
+    ends = np.concatenate((none + n, lengths, np.full(len(lengths), n)))
+    starts = np.concatenate((none, np.zeros(len(lengths), dtype=np.int64), n - lengths))
+    found = hashes.spans(starts, ends)
+    marks = _short(found[1:]).tobytes().hex()
+    return f"{n:x}-{int(found[0]):016x}-{marks[: len(marks) // 2]}-{marks[len(marks) // 2 :]}-" + hashes.least_spans().astype(">u4").tobytes().hex()
 
 
-def _short(value: int) -> int:
-    """32 mixed bits of a 62-bit hash."""
-    return value * 0x9E3779B97F4A7C15 % 2**64 >> 32
+def _short(values: np.ndarray) -> np.ndarray:
+    """32 mixed bits of 62-bit hashes, big-endian."""
+    return (values * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(">u4")
 
 
 def _marks(text: str) -> list[str]:
@@ -168,17 +215,7 @@ def _agreeing(a: list[str], b: list[str]) -> int:
     """Longest length of the ladder at which the marks agree; where they agree, they do at all shorter ones."""
     shared = min(len(a), len(b))
     k = bisect_left(range(shared), True, key=lambda k: a[k] != b[k])
-    return ladder_cache(k)
-
-
-def ladder_cache(k: int) -> int:
-    """The ``k``-th length of the ladder, 0 for none."""
-    while len(_LADDER) <= k:
-        _LADDER[:] = [0, *ladder(2 * _LADDER[-1])]
-    return _LADDER[k]
-
-
-_LADDER = [0, *ladder(1 << 20)]
+    return _LADDER[k - 1] if k else 0
 
 
 def likeness(a: str, b: str) -> float:
