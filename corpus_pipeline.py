@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ferrywork.llm import langid, packing, pii, simhash, substring
 from ferrywork.llm.frames import table, written
 
-#: Documents go that have no letters, or whose best language holds less than this share of their words.
-LEAST_SHARE = 0.3
+#: Documents go of whose n-grams the sample of labelled documents had less than this share, in any language: keyboard junk has at most 0.8, prose 0.9 and more.
+LEAST_FAMILIAR = 0.8
 #: Near-duplicates: fingerprints of five-word shingles within four bits.  That finds few pairs of a Jaccard similarity under 0.85 (see README); similarity is not verified.
 SHINGLE = 5
 
@@ -26,37 +26,47 @@ def _like(docs: DataFrame, changed: DataFrame) -> DataFrame:
     return changed.select(*[f"`{c}`" for c in docs.columns])
 
 
+def _put_aside(docs: DataFrame, *names: str):
+    """``docs`` without columns of these names, which an operator gives its results, and a way back to the columns of ``docs``."""
+    renamed = {c: f"own {c}" for c in names if c in docs.columns}
+    return docs.withColumnsRenamed(renamed), lambda done: done.select(*[F.col(f"`{renamed.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents with a language; the field learns from the labelled ones.  Null texts have none and go."""
-    found = langid.predict(docs, langid.fit(docs)) if "lang" in docs.columns else langid.predict(docs, None)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*[f"`{c}`" for c in docs.columns])
+    """Keep documents in a learned language; the field learns from the labelled ones.
+
+    Null and empty texts, texts without letters and texts in no learned language go; without labels nothing is learned and all go.  Texts of any length
+    are read whole.  Repeated rows, null ids and other columns, whatever their names, stay as they are.  An empty table stays empty.
+    """
+    aside, back = _put_aside(docs, "lang_pred", "score", "familiar")
+    found = langid.predict(aside, langid.fit(aside) if "lang" in docs.columns else None)
+    return back(found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("familiar") >= LEAST_FAMILIAR)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each group, once; documents without an id stay."""
-    found = simhash.simhash_components(docs, shingle=SHINGLE).where("doc_id IS NULL OR doc_id = component_id")
-    kept = found.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("kept id")).distinct()
-    first = docs.where("doc_id IS NOT NULL").join(kept, docs["doc_id"].cast("long") == F.col("`kept id`"), "left_semi")
-    # Repeated rows of one id: the first by length and hash of the text.
-    others = [c for c in docs.columns if c != "doc_id"]
-    order = F.struct(F.length("text"), F.xxhash64("text"), *[F.col(f"`{c}`") for c in others])
-    once = first.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in others]), order).alias("row of one id"))
-    once = once.select("doc_id", *[F.col(f"`row of one id`.`{c}`").alias(c) for c in others]).select(*[f"`{c}`" for c in docs.columns])
-    return once.unionByName(docs.where("doc_id IS NULL"))
+    """Keep the document of the smallest id of each group, once; see :func:`simhash.first_of_groups` for ids with several texts and rows without an id.
+
+    Null and empty texts are one group.  An empty table stays empty; other columns stay, of any type.
+    """
+    return simhash.first_of_groups(docs, shingle=SHINGLE)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove windows of 13 words that a document of a smaller id holds."""
-    return _like(docs, substring.substring_dedup(docs))
+    """Remove windows of 13 words that a document of a smaller id holds.
+
+    Every row stays: null texts stay null, shorter texts and rows without an id lose nothing; texts of any length are read whole.
+    """
+    aside, back = _put_aside(docs, "n_words", "n_removed")
+    return _like(docs, back(substring.substring_dedup(aside)))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by the name of its kind."""
+    """Replace personal data by the name of its kind.  Every row stays; null and empty texts stay as they are."""
     return _like(docs, pii.redact(docs))
 
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the token ids; one row per piece."""
+    """Pack the token ids; one row per piece.  A null or empty text is its end id alone, a null id stays null, repeated rows are packed each."""
     pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

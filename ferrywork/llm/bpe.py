@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrywork.llm.frames import SLICE_BYTES, rows_of, slices
+from ferrywork.llm.frames import SLICE_BYTES, give_back, released, rows_of, slices
 from ferrywork.llm.textcodes import distinct_pretokens, gathered
 
 BUCKET_BYTES, MOST_SLOTS = 8 << 20, 1 << 16
@@ -98,6 +98,8 @@ def encode(docs: DataFrame, ranks_path: str, bucket_bytes: int = BUCKET_BYTES) -
         for word in sorted(w.encode() for w in found):
             by_slot.setdefault(zlib.crc32(word) % slots, []).append(word)
         blobs = [_packed(part) for part in by_slot.values()]
+        del found
+        give_back()
         return pa.Table.from_arrays([pa.repeat(group.column("bucket")[0], len(blobs)), pa.array(list(by_slot), pa.int32()), pa.array(blobs, pa.binary())], schema=word_schema)
 
     def encoded(batches):
@@ -133,12 +135,14 @@ def encode(docs: DataFrame, ranks_path: str, bucket_bytes: int = BUCKET_BYTES) -
             ids = gathered(flat, starts[rows], count)
             ends = np.concatenate(([0], np.cumsum(count)))[first]
             found += [ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+        del place, flat
+        give_back()
         return pa.Table.from_arrays([texts_of.column("doc_id").combine_chunks(), pa.array(found, pa.binary())], schema=result_schema)
 
     bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).alias("bucket")
-    packed = docs.select(bucket, "doc_id", "text").mapInArrow(compress, "bucket long, doc_id long, packed binary")
+    packed = docs.select(bucket, "doc_id", "text").mapInArrow(released(compress), "bucket long, doc_id long, packed binary")
     listed = packed.groupBy("bucket").applyInArrow(words, "bucket long, slot int, words binary")
-    coded = listed.repartition("slot").sortWithinPartitions("slot").mapInArrow(encoded, "bucket long, slot int, words binary, ids binary")
+    coded = listed.repartition("slot").sortWithinPartitions("slot").mapInArrow(released(encoded), "bucket long, slot int, words binary, ids binary")
     return packed.groupBy("bucket").cogroup(coded.groupBy("bucket")).applyInArrow(reassemble, "doc_id long, ids binary")
 
 
@@ -161,4 +165,4 @@ def decode(encoded: DataFrame, ranks_path: str, column: str = "ids") -> DataFram
                 found.append(gathered(flat, starts[ids], lengths[ids]).tobytes())
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], names=[*part.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, schema_ddl)
+    return encoded.mapInArrow(released(run), schema_ddl)

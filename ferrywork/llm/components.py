@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrywork.llm.frames import written
+from ferrywork.llm.frames import released, written
 
 
 class Forest:
@@ -54,7 +54,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns
     edges = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b")
-    now = written(edges.mapInArrow(_forests, "a long, b long"), "links")
+    now = written(edges.mapInArrow(released(_forests), "a long, b long"), "links")
     seen = None
     while True:
         both = now.union(now.select("b", "a"))

@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ferrywork.llm.frames import rows_of, slices
+from ferrywork.llm.frames import released, rows_of, slices
 from ferrywork.llm.textcodes import Words, gathered, run_hashes, utf8
 
 SAMPLE_DOCS, SAMPLE_CHARS, FEATURE_BITS, GRAMS, STEPS, CHUNK, SPLICE, UNKNOWN = 400, 20_000, 17, (1, 2, 3, 4), 40, 64, 40, "und"
@@ -28,12 +29,13 @@ _LETTER = np.array([chr(b).isalpha() and b < 128 or b >= 128 for b in range(256)
 
 @dataclass
 class Field:
-    """Weights per feature and label, transitions and starts; labels in order."""
+    """Weights per feature and label, transitions and starts; labels in order; and which features the sample had."""
 
     labels: list[str]
     weights: np.ndarray
     moves: np.ndarray
     starts: np.ndarray
+    seen: np.ndarray | None = None
 
 
 def word_features(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -138,7 +140,8 @@ def train(texts: list[str], langs: list[str], steps: int = STEPS) -> Field | Non
     first = np.unique(np.concatenate([[0], group, len(mixed) + words.first]))
     number, truth = number[line], truth[line]
     k = len(labels)
-    field = Field(labels, np.zeros((1 << FEATURE_BITS, k), dtype=np.float32), np.zeros((k, k)), np.zeros(k))
+    field = Field(labels, np.zeros((1 << FEATURE_BITS, k), dtype=np.float32), np.zeros((k, k)), np.zeros(k), np.zeros(1 << FEATURE_BITS, dtype=bool))
+    field.seen[features] = True
     wanted = np.zeros((len(line), k))
     wanted[np.arange(len(line)), truth] = 1
     inner = np.ones(len(line), dtype=bool)
@@ -167,11 +170,18 @@ def train(texts: list[str], langs: list[str], steps: int = STEPS) -> Field | Non
 
 def tag(field: Field, texts: pa.Array):
     """Words of ``texts`` and the probabilities of their languages."""
+    words, letters, marginal, _ = tag_with_familiar(field, texts)
+    return words, letters, marginal
+
+
+def tag_with_familiar(field: Field, texts: pa.Array):
+    """As :func:`tag`, and what share of each word's features any language's sample had."""
     words = Words(*utf8(texts))
     features, count, number, letters = word_features(words)
     scores = emissions(field.weights, features, count)[number]
     marginal = forward_backward(scores, words.first, field.moves, field.starts)[0] if len(number) else np.zeros((0, len(field.labels)))
-    return words, letters, marginal
+    familiar = np.add.reduceat(field.seen[features], np.cumsum(count) - count, dtype=np.int64)[number] / count[number] if len(number) else np.zeros(0)
+    return words, letters, marginal, familiar
 
 
 def _passages(column: str, longest: int):
@@ -208,31 +218,34 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAM
 
 
 def predict(docs: DataFrame, field: Field | None) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (mean probability of that language over words with letters, 0 to 1) in place of any columns so named.
+    """``docs`` with ``lang_pred``, ``score`` (mean probability of that language over words with letters, 0 to 1) and ``familiar`` in place of any columns so named.
 
-    ``und`` with score 0 where the text is null or has no letter, or where nothing could be learned.  Repeated rows are kept, other columns stay.
+    The probabilities are shared out among the learned languages alone, so the score cannot tell a text in none of them.  ``familiar`` can: it is the
+    mean share of a word's n-grams that the training sample had, in any language, over words with letters.  ``und`` with score 0 where the text is null or has no letter, or where nothing could be learned.  Repeated rows are kept, other columns stay.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "familiar")]
     source = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("rest"))
-    rest_type = source.schema["rest"].dataType.simpleString()
+    result = T.StructType([source.schema["rest"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("familiar", T.DoubleType())])
 
     def run(batches):
         for part in slices(batches):
             texts = part.column("text")
-            found, score = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
+            found, score, known = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows), np.zeros(part.num_rows)
             if field is not None:
-                words, letters, marginal = tag(field, texts)
+                words, letters, marginal, familiar = tag_with_familiar(field, texts)
                 weight = np.where(letters[:, None], marginal, 0)
                 sums = np.stack([np.bincount(words.text, weight[:, j], minlength=part.num_rows) for j in range(len(field.labels))], axis=1)
                 total = np.bincount(words.text, letters, minlength=part.num_rows)
+                share = np.bincount(words.text, np.where(letters, familiar, 0), minlength=part.num_rows)
                 for k, text in enumerate(texts):
                     if total[k] and (text.as_py().isascii() or any(map(str.isalpha, text.as_py()))):
                         best = int(np.argmax(sums[k]))
                         found[k], score[k] = field.labels[best], min(1.0, float(sums[k, best] / total[k]))
-            yield pa.RecordBatch.from_arrays([part.column("rest"), pa.array(found, pa.string()), pa.array(score)], names=["rest", "lang_pred", "score"])
+                        known[k] = min(1.0, float(share[k] / total[k]))
+            yield pa.RecordBatch.from_arrays([part.column("rest"), pa.array(found, pa.string()), pa.array(score), pa.array(known)], names=["rest", "lang_pred", "score", "familiar"])
 
-    done = source.mapInArrow(run, f"rest {rest_type}, lang_pred string, score double")
-    return done.select(*[F.col(f"rest.`{c}`").alias(c) for c in kept], "lang_pred", "score")
+    done = source.mapInArrow(released(run), result)
+    return done.select(*[F.col(f"rest.`{c}`").alias(c) for c in kept], "lang_pred", "score", "familiar")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -241,6 +254,6 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``held_out, lang_pred, score``, learned from its labelled rows that are not held out (a null id is not learned from)."""
+    """``docs`` with ``held_out, lang_pred, score, familiar``, learned from its labelled rows that are not held out (a null id is not learned from)."""
     field = fit(docs.where(F.col("doc_id").isNotNull() & ~held_out()))
     return predict(docs.withColumn("held_out", held_out()), field)

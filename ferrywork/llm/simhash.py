@@ -18,9 +18,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ferrywork.llm.components import Forest, components
-from ferrywork.llm.frames import rows_of, written
+from ferrywork.llm.frames import released, rows_of, slices, written
 from ferrywork.llm.textcodes import mixed
 
 SEED, SHINGLE, RADIUS, PIVOTS, DENSE = 42, 4, 4, 48, 4096
@@ -59,16 +60,19 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` (a signed long) for each row of ``docs``."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """``doc_id, fp`` (a signed long) for each row of ``docs``, and every column besides ``text`` and these that ``docs`` has."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "fp")]
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`") for c in others])
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
+        for part in slices(batches):
+            texts = part.column("text").cast(pa.large_binary())
             found = np.array([fingerprint(t.as_py(), shingle) for t in texts], dtype=np.uint64).view(np.int64)
-            yield rows_of(schema, [batch.column(0), pa.array(found)])
+            columns = [part.column("doc_id"), pa.array(found), *[part.column(c) for c in others]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", *others])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    result = T.StructType([*T.StructType.fromDDL("doc_id long, fp long").fields, *[source.schema[c] for c in others]])
+    return source.mapInArrow(released(run), result)
 
 
 def _near(fps: np.ndarray, radius: int):
@@ -156,7 +160,38 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         for k in range(0, len(found), 50_000):
             yield rows_of(edge, [pa.array(found[k : k + 50_000, 0]), pa.array(found[k : k + 50_000, 1])])
 
-    return fps.select("fp").mapInArrow(keyed, "key long, fp long").repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long")
+    return fps.select("fp").mapInArrow(released(keyed), "key long, fp long").repartition("key").sortWithinPartitions("key").mapInArrow(released(search), "a long, b long")
+
+
+def groups(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``fp, least, root`` for each distinct ``fp`` of ``marked`` (``doc_id, fp``): its least id, and the fingerprint that names its group."""
+    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    found = components(links(distinct, radius))
+    return written(distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+
+
+def first_of_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` that stay when each group of near duplicates keeps one document: that of the smallest ``doc_id``.
+
+    Where an id has several texts, each counts by itself: a group keeps the one of least digest, and other groups may keep the others.  Of rows that
+    repeat id and text, one stays, the first by its other columns, whatever their type.  Null and empty texts are one text.  Rows without ``doc_id``
+    all stay, and keep none away.  An empty table gives an empty result.
+    """
+    digest = F.substring(F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)), 1, 16)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # put aside, so that no column's name matters
+    known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), digest.alias("digest"), row.alias("row"))
+    marked = known.select(F.col("id").alias("doc_id"), F.col("row.text").alias("text"), "digest")
+    marked = written(fingerprints(marked, shingle), "fingerprints").withColumnRenamed("doc_id", "id")
+    rooted = groups(marked.withColumnRenamed("id", "doc_id"), radius).select("fp", "root")
+    firsts = marked.groupBy("fp").agg(F.min(F.struct("id", "digest")).alias("first")).join(rooted, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    times = marked.groupBy("id", "digest").agg(F.count("*").alias("times"))
+    stay = known.join(firsts.select("first.*").join(times, ["id", "digest"]), ["id", "digest"])
+    columns = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    once = stay.where("times = 1").select(*columns)
+    # Repeats are few beside all documents, so only theirs are gathered, row by row, and ordered by the text of their columns: some types have no order.
+    order = F.to_json("row", {"ignoreNullFields": "false"})
+    again = stay.where("times > 1").groupBy("id", "digest").agg(F.min_by("row", order).alias("row")).select(*columns)
+    return once.unionByName(again).unionByName(docs.where("doc_id IS NULL"))
 
 
 def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -166,10 +201,8 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHI
     their fingerprint and so their component.  Rows without ``doc_id`` stay, and lend no id: a component
     with no id at all has a null ``component_id``.  An empty table gives an empty result.  Other columns are not read.
     """
-    marked = written(fingerprints(docs, shingle), "fingerprints")
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(distinct, radius))
-    rooted = written(distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    marked = written(fingerprints(docs.select("doc_id", "text"), shingle), "fingerprints")
+    rooted = groups(marked, radius)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")

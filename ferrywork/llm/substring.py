@@ -21,8 +21,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ferrywork.llm.frames import rows_of, slices, written
+from ferrywork.llm.frames import released, rows_of, slices, written
 from ferrywork.llm.textcodes import Words, utf8
 
 WINDOW, GRAM, HOT = 13, 5, 5000
@@ -229,8 +230,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
             if rows:
                 yield rows_of(span, list(zip(*rows)))
 
-    rest_type = source.schema["rest"].dataType.simpleString()
-    result = f"row long, doc_id long, text string, n_words long, n_removed long, rest {rest_type}"
+    rest_field = source.schema["rest"]
+    result = T.StructType([*T.StructType.fromDDL("row long, doc_id long, text string, n_words long, n_removed long").fields, rest_field])
 
     def remove(batches):
         unpack = zstandard.ZstdDecompressor().decompress
@@ -255,26 +256,26 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
                     )
                     at, size, texts, words_in, removed = k + 1, 0, [], [], []
 
-    firsts = named.select("doc_id", "text").mapInArrow(marks, "anchor long, doc_id long")
+    firsts = named.select("doc_id", "text").mapInArrow(released(marks), "anchor long, doc_id long")
     firsts = firsts.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("times"))
     firsts = firsts.where("first < last").select("anchor", "first", (F.col("times") > hot).alias("hot"))
-    placed = named.select("row", "doc_id", "text").mapInArrow(places, "anchor long, row long, doc_id long, at int, windows short")
+    placed = named.select("row", "doc_id", "text").mapInArrow(released(places), "anchor long, row long, doc_id long, at int, windows short")
     found = placed.join(firsts, "anchor").groupBy("row").agg(F.collect_set(F.struct("at", "windows", "first", "hot")).alias("found"))
-    packed = source.mapInArrow(compress, f"row long, doc_id long, packed binary, rest {rest_type}")
+    packed = source.mapInArrow(released(compress), T.StructType([*T.StructType.fromDDL("row long, doc_id long, packed binary").fields, rest_field]))
     parts = packed.join(found, "row").select("row", "doc_id", "packed", "found")
-    stretches = written(parts.mapInArrow(cut, "shard long, row long, doc_id long, at int, words binary, hot boolean"), "stretches")
+    stretches = written(parts.mapInArrow(released(cut), "shard long, row long, doc_id long, at int, words binary, hot boolean"), "stretches")
     cold = stretches.where("NOT hot").drop("hot").repartition("shard").sortWithinPartitions("shard", "doc_id", "row", "at")
-    spans = cold.mapInArrow(match, "row long, at int, count int")
+    spans = cold.mapInArrow(released(match), "row long, at int, count int")
     shared = stretches.where("hot").select("row", "doc_id", "at", "words")
     texts = shared.groupBy("words").agg(F.min("doc_id").alias("first"))
-    each = texts.mapInArrow(windows_of, "words binary, k int, window binary, first long")
+    each = texts.mapInArrow(released(windows_of), "words binary, k int, window binary, first long")
     earliest = each.groupBy("window").agg(F.min("first").alias("first"))
     firsts = each.drop("first").join(earliest, "window").groupBy("words").agg(F.collect_list(F.struct("k", "first")).alias("firsts"))
-    again = shared.join(firsts, "words").mapInArrow(held_before, "row long, at int, count int")
+    again = shared.join(firsts, "words").mapInArrow(released(held_before), "row long, at int, count int")
     spans = written(spans.union(again), "spans")
     removal = spans.groupBy("row").agg(F.collect_list(F.struct("at", "count")).alias("spans"))
     joined = packed.join(removal, "row", "left").select("row", "doc_id", "packed", "spans", "rest")
-    done = joined.mapInArrow(remove, result)
+    done = joined.mapInArrow(released(remove), result)
     fields = {"doc_id": F.col("doc_id"), "text": F.col("text")} | {c: F.col(f"rest.`{c}`") for c in rest}
     types = dict(docs.dtypes)
     return done.select(*[fields[c].cast(types[c]).alias(c) for c in kept_columns], "n_words", "n_removed")
