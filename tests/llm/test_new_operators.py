@@ -14,8 +14,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from oracle import compare, connect
 
-from ferrywork.llm import convtrie, prefixhash, spelling
-from ferrywork.llm.queries import QUERIES, SQL
+from ferrywork.llm import convtrie, prefixhash, spelling, urlfilter
+from ferrywork.llm.queries import QUERIES, RULES, SQL
 
 SF = "/root/testdata/sf0.001"
 
@@ -253,3 +253,41 @@ def test_op12_extensions_of_pairs(spark):
     rows = [("abcdef", 2, "xxcdef!", 2, 9), (None, 0, "a", 0, 9), ("abc", None, "abd", None, 9), ("abc", 7, "abc", 0, 9)]
     frame = spark.createDataFrame(rows, "left_text string, left_at long, right_text string, right_at long, common int")
     assert [r.common for r in prefixhash.common_extensions(frame).collect()] == [4, 0, 2, 0]
+
+
+def test_op6_labels_do_not_leak_into_their_own_features(spark):
+    """A suffix whose labels are of one page only tells nothing about that page."""
+    rows = [(f"http://host{k}.org/{'bad' if k % 2 else 'good'}/{k % 7}",) for k in range(400)]
+    rules = [urlfilter.Rule(f"host{k}.org", "/", "block" if k % 2 else "allow") for k in range(0, 200)]
+    pages = spark.createDataFrame(rows, "url string")
+    measured = urlfilter._measured(urlfilter._ruled(pages, rules, ["url"]), urlfilter._blocked())
+    share = urlfilter.FEATURES.index("suffix_blocked")
+    assert {round(r.features[share], 6) for r in measured.collect()} == {0.5}
+
+
+def test_op6_held_out_accuracy(spark):
+    """The rules tell pages of one host apart by their language, which no lexical feature shows, so much is left to chance; see README for the figure."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    found = urlfilter.held_out(pages, RULES).collect()
+    right, most = np.mean([r.label == r.prediction for r in found]), max(np.mean([r.label == x for r in found]) for x in (0.0, 1.0))
+    print(len(found), right, most)
+    assert len(found) > 200 and right > most + 0.05
+
+
+def test_op6_separates_by_lexical_features(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(600):
+        spam = k % 3 == 0
+        tail = "".join(rng.choice(list("0123456789"), 24)) + "?a=1&b=2&c=3" if spam else "guide/to/things.html"
+        rows.append((f"http://{'x' if k % 2 else 'y'}{k % 50}.example.org/{tail}", spam))
+    pages = spark.createDataFrame([(u,) for u, _ in rows], "url string")
+    rules = [urlfilter.Rule(f"x{k}.example.org", f"/{d}", "block") for k in range(0, 50) for d in range(10)] + [urlfilter.Rule(f"x{k}.example.org", "/g", "allow") for k in range(50)]
+    found = {r.url: r.verdict for r in urlfilter.judge(pages, rules).where("rule IS NULL").collect()}
+    assert len(found) > 100 and np.mean([found[u] == ("block" if spam else "allow") for u, spam in rows if u in found]) == 1
+
+
+def test_op6_very_long_urls(spark):
+    pages = spark.createDataFrame([("http://a.net/" + "x/" * 100_000, 1), ("http://" + "b" * 50_000 + ".org/fr/1", 2), ("http://c.org/?" + "k=v&" * 50_000, 3)], "url string, rule int")
+    found = urlfilter.judge(pages, RULES).collect()
+    assert sorted((r.rule or "", len(r.host)) for r in found) == [("", 5), ("net/", 5), ("org/fr/", 50_004)]
