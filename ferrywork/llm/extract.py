@@ -17,6 +17,7 @@ import zlib
 from array import array
 from bisect import bisect_right
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -26,7 +27,10 @@ from ferrywork.llm.frames import SLICE_BYTES, rows_of, slices, written
 from ferrywork.llm.urlfilter import parts
 
 # HTML's element kinds, and words that name furniture in class, id and role.
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_TAG = r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(%s)>"
+# A quoted value may hold the sign that ends a tag; the second form is for a page whose quotes do not close.
+TOKEN = re.compile(_TAG % r"(?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[=\"'])*+", re.S)
+PLAIN = re.compile(_TAG % "[^>]*", re.S)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "object", "canvas", "math"}
 OFF = {"nav", "footer", "aside", "form", "head", "button", "select", "dialog", "menu", "header"}
@@ -38,47 +42,92 @@ FURNITURE = set(
     "nav navbar navigation menu header masthead footer sidebar aside ad ads advert adverts advertisement banner promo sponsor sponsored cookie cookies consent gdpr notice notices popup modal "
     "comment comments replies reply disqus share sharing social related breadcrumb breadcrumbs newsletter subscribe signup login search contentinfo complementary dialog toolbar pagination pager widget".split()
 )
-COPY_SHARE, BOUND_ROWS, RANGES = 0.8, 50, 4
+#: Names that an article's own parts bear too.
+HEADS = {"header", "masthead", "banner"}
+COPY_SHARE, BOUND_ROWS, RANGES, TABLE_BITS = 0.8, 50, 4, 1 << 28
 ORDER = ("host", "path", "page_id")
 ZONES = {"t": "text", "l": "loose", "o": "open"}
 
 
-def _named_furniture(attributes: str) -> bool:
-    return any(word in FURNITURE for m in NAMED.finditer(attributes) for word in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()))
+def _named_furniture(attributes: str, inside: bool) -> bool:
+    """Whether class, id or role names furniture: by any word of a name outside an article, by a whole name inside one."""
+    for found in NAMED.finditer(attributes):
+        value = (found[1] or found[2] or found[3] or "").lower()
+        names = set(value.split()) - HEADS if inside else set(re.split(r"[^a-z]+", value))
+        if names & FURNITURE:
+            return True
+    return False
+
+
+class _Open:
+    """Elements that are open, with their zones, and how many there are of each name."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, str]] = []
+        self.count: dict[str, int] = {}
+        self.mains = self.texts = 0
+
+    @property
+    def zone(self) -> str:
+        return self.stack[-1][1] if self.stack else "open"
+
+    def push(self, tag: str, zone: str) -> None:
+        self.stack.append((tag, zone))
+        self._counted(tag, 1)
+
+    def pop(self) -> str:
+        tag, _ = self.stack.pop()
+        self._counted(tag, -1)
+        return tag
+
+    def close(self, tag: str) -> None:
+        """Close the innermost element of this name and what is open in it; a close without one is passed over."""
+        while self.count.get(tag) and self.pop() != tag:
+            pass
+
+    def _counted(self, tag: str, step: int) -> None:
+        self.count[tag] = self.count.get(tag, 0) + step
+        self.mains += step * (tag in MAIN)
+        self.texts += step * (tag in TEXT_BLOCKS)
 
 
 def lines_of(page: str) -> list[tuple[str, str]]:
-    """Blocks of a page in order, as ``(zone, text)``: ``text`` in an article, ``loose`` in an article but in no text element, ``open`` outside; furniture by markup is left out."""
-    stack: list[tuple[str, str]] = []  # open elements and their zones
-    out: list[tuple[str, str]] = []
-    pending: list[str] = []
+    """Blocks of a page in order, as ``(zone, text)``; furniture by markup is left out.
 
-    def zone() -> str:
-        return stack[-1][1] if stack else "open"
+    Zones: ``text`` in an article's text elements, ``loose`` elsewhere in an article and in its text elements that bear a name of furniture, ``open`` outside.
+    One pass forward: a page of any length, however deep its elements and wherever its tags and quotes fail to close, takes time in proportion to its length.
+    """
+    open_, out, pending = _Open(), [], []
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(pending)).split())
         pending.clear()
-        here = zone()
+        here = open_.zone
         if text and here != "off":
-            if here == "main":
-                here = "text" if any(tag in TEXT_BLOCKS for tag, _ in stack) else "loose"
+            if here in ("main", "doubt"):
+                here = "text" if here == "main" and open_.texts else "loose"
             out.append((here, text))
 
-    at, size = 0, len(page)
+    at, size, pattern, last = 0, len(page), TOKEN, page.rfind(">")
     while at < size:
-        found = TOKEN.search(page, at)
-        if not found:
-            pending.append(page[at:])
+        begin = page.find("<", at)
+        if begin < 0 or begin > last:  # no tag ends after this
+            if begin >= 0 and page.startswith("<!--", begin):
+                size = begin
+            pending.append(page[at:size])
             break
-        pending.append(page[at : found.start()])
-        at = found.end()
-        if not found[2]:
+        found = pattern.match(page, begin)
+        if not found and pattern is TOKEN and re.compile("</?[a-zA-Z]").match(page, begin):
+            pattern = PLAIN
+            found = pattern.match(page, begin)
+        pending.append(page[at : begin if found else begin + 1])
+        at = found.end() if found else begin + 1
+        if not found or not found[2]:
             continue
         tag, closing, attributes = found[2].lower(), bool(found[1]), found[3]
         if tag in HIDDEN and not closing:
             if not attributes.rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at, last + 1)
                 at = end.end() if end else size
             continue
         if tag in BLOCKS:
@@ -86,32 +135,50 @@ def lines_of(page: str) -> list[tuple[str, str]]:
         if tag in VOID:
             continue
         if closing:
-            if any(t == tag for t, _ in stack):
-                while stack and stack.pop()[0] != tag:
-                    pass
+            open_.close(tag)
             continue
         if tag in BLOCKS and tag not in ("td", "th"):
-            if stack and stack[-1][0] == "p":  # a block ends an open paragraph
-                stack.pop()
-            if tag == "li" and stack and stack[-1][0] == "li":
-                stack.pop()
-        here = zone()
+            if open_.stack and open_.stack[-1][0] == "p":  # a block ends an open paragraph
+                open_.pop()
+            if tag == "li" and open_.stack and open_.stack[-1][0] == "li":
+                open_.pop()
+        here, inside = open_.zone, open_.mains > 0
         if here != "off":
-            inside = any(t in MAIN for t, _ in stack)
             if tag in MAIN:
                 here = "main"
             elif tag in OFF and not (tag == "header" and inside):
                 here = "off"
-            if tag not in ("html", "body", *MAIN) and attributes and _named_furniture(attributes):
-                here = "off"
-        if tag in BLOCKS or here != zone():
-            stack.append((tag, here))
+            if tag not in ("html", "body", *MAIN) and attributes and _named_furniture(attributes, inside):
+                here = "doubt" if inside and tag in TEXT_BLOCKS and here != "off" else "off"
+        if tag in BLOCKS or here != open_.zone:
+            open_.push(tag, here)
     flush()
     return out
 
 
+def _lengths(a: list, b: list) -> np.ndarray:
+    """Length of a longest common subsequence of ``a`` and each beginning of ``b``."""
+    where: dict = {}
+    for j, line in enumerate(b):
+        where[line] = where.get(line, 0) | 1 << j
+    row = full = (1 << len(b)) - 1
+    for line in a:
+        u = row & where.get(line, 0)
+        row = ((row + u) | (row - u)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
 def common(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
-    """Positions in ``a`` and in ``b`` of one longest common subsequence, by bit-parallel rows."""
+    """Positions in ``a`` and in ``b`` of one longest common subsequence, by bit-parallel rows.
+
+    Where the rows would take too much memory, ``a`` is halved and ``b`` cut where the halves' subsequences are longest together.
+    """
+    if len(a) > 1 and len(a) * len(b) > TABLE_BITS:
+        half = len(a) // 2
+        cut = int(np.argmax(_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]))
+        (left, right), (later, after) = common(a[:half], b[:cut]), common(a[half:], b[cut:])
+        return left | {i + half for i in later}, right | {j + cut for j in after}
     where: dict[str, int] = {}
     for j, line in enumerate(b):
         where[line] = where.get(line, 0) | 1 << j

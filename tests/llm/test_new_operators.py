@@ -4,6 +4,7 @@ import hashlib
 import os
 import re
 import sys
+import time
 import zlib
 from pathlib import Path
 
@@ -14,7 +15,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from oracle import compare, connect
 
-from ferrywork.llm import convtrie, prefixhash, spelling, urlfilter
+from ferrywork.llm import convtrie, extract, prefixhash, spelling, urlfilter
 from ferrywork.llm.queries import QUERIES, RULES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -291,3 +292,58 @@ def test_op6_very_long_urls(spark):
     pages = spark.createDataFrame([("http://a.net/" + "x/" * 100_000, 1), ("http://" + "b" * 50_000 + ".org/fr/1", 2), ("http://c.org/?" + "k=v&" * 50_000, 3)], "url string, rule int")
     found = urlfilter.judge(pages, RULES).collect()
     assert sorted((r.rule or "", len(r.host)) for r in found) == [("", 5), ("net/", 5), ("org/fr/", 50_004)]
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 200_000, "<a " * 330_000, "<a b=\"" * 160_000 + ">", "<a b='>' c=\"" * 80_000 + ">", "<!" * 500_000, "</script " * 100_000 + ">", "<script>" * 125_000,
+    "<p>" * 330_000, "</div>" * 160_000, "<!--" * 250_000, "<a b=\">\" " * 100_000, "<p class=" + "x " * 400_000 + ">t", "<" * 1_000_000, "&amp" * 250_000, "<ul><li>" * 120_000 + "</ul>" * 60_000,
+])
+def test_op9_hostile_pages_take_time_in_proportion(page):
+    began = time.process_time()
+    extract.lines_of(page)
+    assert time.process_time() - began < 5
+
+
+def test_op9_names_inside_an_article():
+    page = (
+        "<div class='site-header'>Site</div><article><div class='entry-header'><h1>Title</h1></div><p class='share-price'>Price</p>"
+        "<div class='related-work'>Work</div><p class='ad'>Maybe</p><div class='share'>Share this</div><div class=\"comments\"><p>Hi</p></div><p title=\"a > b\">Text</p><p>1 < 2</article>"
+    )
+    assert extract.lines_of(page) == [("text", "Title"), ("text", "Price"), ("loose", "Work"), ("loose", "Maybe"), ("text", "Text"), ("text", "1 < 2")]
+    assert extract.lines_of("<p>a<p>b") == [("open", "a"), ("open", "b")]
+    assert extract.lines_of("x <!-- never closed <p>y</p>") == [("open", "x")] and extract.lines_of("x <b y") == [("open", "x <b y")]
+
+
+def brute_common(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+@pytest.mark.parametrize("bits", [1, 40, extract.TABLE_BITS])
+def test_op9_common_lines_in_any_memory(bits, monkeypatch):
+    monkeypatch.setattr(extract, "TABLE_BITS", bits)
+    rng = np.random.default_rng(11)
+    for _ in range(80):
+        a, b = (rng.integers(0, 4, rng.integers(0, 25)).tolist() for _ in range(2))
+        left, right = extract.common(a, b)
+        assert [a[i] for i in sorted(left)] == [b[j] for j in sorted(right)] and len(left) == brute_common(a, b)
+
+
+def test_op9_differencing_decides_pages_without_article(spark):
+    """Sites whose furniture bears no name: what neighbours share goes, whatever the markup."""
+    rng = np.random.default_rng(2)
+    rows, want = [], {}
+    for host in range(6):
+        menu = [f"menu {host} {k}" for k in range(5)]
+        for k in range(8):
+            body = [f"line {host} {k} {rng.integers(0, 10**9)}" for _ in range(rng.integers(2, 6))]
+            page = "".join(f"<div>{x}</div>" for x in menu[:3]) + "".join(f"<p>{x}</p>" for x in body) + "".join(f"<span>{x}</span><br>" for x in menu[3:])
+            rows.append((host * 100 + k, f"http://h{host}.org/a/{k}", page, "mine"))
+            want[host * 100 + k] = "\n".join(body)
+    pages = spark.createDataFrame([*rows, (9000, None, None, "x"), (9001, "http://lone.org/", "<p>alone</p>", "x")], "page_id long, url string, html string, text string")
+    found = {r.page_id: r.text for r in extract.main_text(pages).collect()}
+    assert found == want | {9000: "", 9001: "alone"}
+    assert extract.main_text(pages.limit(0)).count() == 0
