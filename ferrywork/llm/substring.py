@@ -3,7 +3,8 @@
 1. *Anchors.*  Of the short word runs in each window the one with the least hash is its anchor, so equal windows
    have equal anchors.  Anchors that only one document holds are dropped; for the others the first document is known.
 2. *Shards.*  The windows of a repeated anchor go, as stretches of text, to the shard of the anchor's first
-   document.  Every document that holds such a window sends it to that same shard, so no other text needs to be seen there.
+   document.  Every document that holds such a window sends it to that same shard, so no other text needs to be seen there.  The anchors of a document that is
+   first for very many are dealt to several shards by their hash; equal windows have equal anchors and still meet.
 3. *Automata.*  A shard streams its stretches in the order of doc_id through one suffix automaton of the stretches of smaller ids, which gives
    the length of the longest match that ends at each word; matches of a whole window or more are maximal spans to remove.
    Only text that was not matched is added, so the automaton holds distinct text.
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 from ferrywork.llm.frames import released, rows_of, slices, written
 from ferrywork.llm.textcodes import Words, utf8
 
-WINDOW, GRAM, HOT = 13, 5, 5000
+WINDOW, GRAM, HOT, SHARD_RUNS = 13, 5, 5000, 200_000
 
 
 def anchors(words: Words, window: int, gram: int):
@@ -146,12 +147,13 @@ def _runs(at: np.ndarray):
     return list(zip(at[np.append(0, cut + 1)].tolist(), (at[np.append(cut, len(at) - 1)] + 1).tolist()))
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard_runs: int = SHARD_RUNS) -> DataFrame:
     """``docs`` with ``text`` reduced to its kept words, joined by one blank, and ``n_words, n_removed`` added.
 
     Columns of these two names in ``docs`` are replaced; all others stay.  A word goes if a window that covers it also starts in a document of a smaller
     ``doc_id``, both judged on the input.  Null texts have no words and stay null; texts shorter than a window and
-    rows without ``doc_id`` lose nothing and remove nothing.  Rows of one ``doc_id`` do not count for each other.
+    rows without ``doc_id`` lose nothing and remove nothing.  Rows of one ``doc_id`` do not count for each other.  Texts of any length are read whole; an
+    empty table gives an empty result.  A row is known by its id and a 64-bit hash of its text, so only two texts of one id could be taken for each other.
     """
     kept_columns = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     rest = [c for c in kept_columns if c not in ("doc_id", "text")]
@@ -164,7 +166,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     run = pa.schema([("anchor", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("windows", pa.int16())])
     seen = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64())])
     stretch = pa.schema([("shard", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("words", pa.binary()), ("hot", pa.bool_())])
-    span = pa.schema([("row", pa.int64()), ("at", pa.int32()), ("count", pa.int32())])
+    span = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("count", pa.int32())])
+
+    span_ddl = "row long, doc_id long, at int, count int"
 
     def marks(batches):
         for part in slices(batches):
@@ -215,7 +219,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
             rows = []
             for row, doc, at, firsts in zip(*[batch.column(c).to_pylist() for c in ("row", "doc_id", "at", "firsts")]):
                 gone = np.array(sorted(f["k"] for f in firsts if f["first"] < doc), dtype=np.int64)
-                rows += [(row, at + a, b - a + window - 1) for a, b in _runs(gone)]
+                rows += [(row, doc, at + a, b - a + window - 1) for a, b in _runs(gone)]
             if rows:
                 yield rows_of(span, list(zip(*rows)))
 
@@ -226,7 +230,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
             for key, row, doc, at, text in zip(*[c.to_pylist() for c in batch.columns]):
                 if key != now:
                     shard, now = Shard(window), key
-                rows += [(row, at + a, n) for a, n in shard.spans(doc, text)]
+                rows += [(row, doc, at + a, n) for a, n in shard.spans(doc, text)]
             if rows:
                 yield rows_of(span, list(zip(*rows)))
 
@@ -258,23 +262,27 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
 
     firsts = named.select("doc_id", "text").mapInArrow(released(marks), "anchor long, doc_id long")
     firsts = firsts.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("times"))
-    firsts = firsts.where("first < last").select("anchor", "first", (F.col("times") > hot).alias("hot"))
+    firsts = firsts.where("first < last").select("anchor", "first", "times", (F.col("times") > hot).alias("hot"))
+    loads = firsts.where("NOT hot").groupBy("first").agg(F.sum("times").alias("runs")).where(F.col("runs") > shard_runs)
+    parts = loads.select("first", F.ceil(F.col("runs") / shard_runs).alias("parts"))
+    own = F.when(F.col("parts").isNull() | F.col("hot"), F.col("first")).otherwise(F.xxhash64("first", F.pmod("anchor", F.col("parts"))))
+    firsts = firsts.join(parts, "first", "left").select("anchor", own.alias("first"), "hot")
     placed = named.select("row", "doc_id", "text").mapInArrow(released(places), "anchor long, row long, doc_id long, at int, windows short")
-    found = placed.join(firsts, "anchor").groupBy("row").agg(F.collect_set(F.struct("at", "windows", "first", "hot")).alias("found"))
+    found = placed.join(firsts, "anchor").groupBy("row", "doc_id").agg(F.collect_set(F.struct("at", "windows", "first", "hot")).alias("found"))
     packed = source.mapInArrow(released(compress), T.StructType([*T.StructType.fromDDL("row long, doc_id long, packed binary").fields, rest_field]))
-    parts = packed.join(found, "row").select("row", "doc_id", "packed", "found")
+    parts = packed.join(found, ["row", "doc_id"]).select("row", "doc_id", "packed", "found")
     stretches = written(parts.mapInArrow(released(cut), "shard long, row long, doc_id long, at int, words binary, hot boolean"), "stretches")
     cold = stretches.where("NOT hot").drop("hot").repartition("shard").sortWithinPartitions("shard", "doc_id", "row", "at")
-    spans = cold.mapInArrow(released(match), "row long, at int, count int")
+    spans = cold.mapInArrow(released(match), span_ddl)
     shared = stretches.where("hot").select("row", "doc_id", "at", "words")
     texts = shared.groupBy("words").agg(F.min("doc_id").alias("first"))
     each = texts.mapInArrow(released(windows_of), "words binary, k int, window binary, first long")
     earliest = each.groupBy("window").agg(F.min("first").alias("first"))
     firsts = each.drop("first").join(earliest, "window").groupBy("words").agg(F.collect_list(F.struct("k", "first")).alias("firsts"))
-    again = shared.join(firsts, "words").mapInArrow(released(held_before), "row long, at int, count int")
+    again = shared.join(firsts, "words").mapInArrow(released(held_before), span_ddl)
     spans = written(spans.union(again), "spans")
-    removal = spans.groupBy("row").agg(F.collect_list(F.struct("at", "count")).alias("spans"))
-    joined = packed.join(removal, "row", "left").select("row", "doc_id", "packed", "spans", "rest")
+    removal = spans.groupBy("row", "doc_id").agg(F.collect_list(F.struct("at", "count")).alias("spans"))
+    joined = packed.join(removal, ["row", "doc_id"], "left").select("row", "doc_id", "packed", "spans", "rest")
     done = joined.mapInArrow(released(remove), result)
     fields = {"doc_id": F.col("doc_id"), "text": F.col("text")} | {c: F.col(f"rest.`{c}`") for c in rest}
     types = dict(docs.dtypes)

@@ -15,7 +15,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from oracle import compare, connect
 
-from ferrywork.llm import convtrie, extract, prefixhash, spelling, urlfilter
+from ferrywork.llm import convtrie, extract, prefixhash, spelling, substring, urlfilter
 from ferrywork.llm.queries import QUERIES, RULES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -347,3 +347,27 @@ def test_op9_differencing_decides_pages_without_article(spark):
     found = {r.page_id: r.text for r in extract.main_text(pages).collect()}
     assert found == want | {9000: "", 9001: "alone"}
     assert extract.main_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hot", [substring.HOT, 2])
+def test_op2_first_document_of_very_many_anchors(spark, hot):
+    """Shards of one first document are split by anchor; texts, cut anywhere, lose the same windows."""
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(40)]
+    first = " ".join(rng.choice(words, 3000))
+    rows = [(1, first)]
+    for k in range(2, 40):
+        parts = first.split()
+        at, size = int(rng.integers(0, 2900)), int(rng.integers(5, 90))
+        rows.append((k, " ".join([*rng.choice(words, 8), *parts[at : at + size], *rng.choice(words, 8), *parts[at + 3 : at + 40]])))
+    found = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot, shard_runs=50)
+    want = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.text) for r in found.collect())
+    assert got == sorted((r.doc_id, r.n_words, r.n_removed, r.text) for r in want.collect())
+    seen, gone = set(), {}
+    for doc, text in rows:
+        own = text.split()
+        windows = [tuple(own[k : k + 13]) for k in range(len(own) - 12)]
+        gone[doc] = len({p for k, w in enumerate(windows) if w in seen for p in range(k, k + 13)})
+        seen.update(windows)
+    assert {d: n for d, _, n, _ in got} == gone and sum(gone.values()) > 1000
