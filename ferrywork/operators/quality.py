@@ -106,6 +106,21 @@ def checks_of_counts(counted: DataFrame, required: list[str], threshold: float =
     return counted.select(*kept, F.explode(F.array(count_row, null_row)).alias("c")).select(*kept, "c.*")
 
 
+def checks_of_run(counts: dict, required: list[str], threshold: float = DEFAULT_THRESHOLD_PCT) -> list[dict]:
+    """The two log rows of :func:`checks_of_counts` for one run's figures, which are at hand without a job."""
+    extracted, loaded = counts["rows_extracted"], counts["rows_loaded"] + counts.get("rows_folded", 0)
+    pct = abs(extracted - loaded) / extracted * 100 if extracted else 0.0
+    missing = [f"{c}({counts[f'nulls_{c}']})" for c in required if counts[f"nulls_{c}"]]
+    kept = {k: v for k, v in counts.items() if not k.startswith("nulls_")}
+    rows = [
+        {**kept, "check_type": "row_count", "status": "passed" if pct <= threshold else "failed", "discrepancy_pct": round(pct, 2), "passed": pct <= threshold},
+        {**kept, "check_type": "null_check", "status": "warning" if missing else "passed", "required_columns": ", ".join(required), "passed": not missing},
+    ]
+    if missing:
+        rows[1]["null_columns"] = ", ".join(missing)
+    return rows
+
+
 def schema_versions(observed: DataFrame) -> DataFrame:
     """Version history from ``(table_name, seen_at, columns)`` observations, per pipeline where they name it.
 

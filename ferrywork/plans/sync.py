@@ -335,13 +335,9 @@ def sync_table(ws: Workspace, pipeline: Pipeline, table: SyncTable, source: Data
     counts = {"rows_extracted": metrics["n"], "rows_loaded": result.rows_loaded, "rows_folded": result.rows_folded}
     counts |= {f"nulls_{c}": metrics[f"nulls_{c}"] for c in names}
     fixed = {"pipeline_id": pipeline.id, "run_id": run_id, "table_name": table.source_table, "checked_at": as_of.isoformat()}
-    one = spark.range(1).select(
-        *[F.lit(v).alias(k) for k, v in fixed.items()], *[F.lit(v).cast("bigint").alias(k) for k, v in counts.items()]
-    )
-    verdicts = quality.checks_of_counts(one, names, pipeline.quality_threshold)
-    ws.write_log("quality", f"{run_file(pipeline.id, run_id)}.{file_name(table.source_table)}", verdicts.toJSON().collect())
-    gap = 0 if not metrics["n"] else abs(metrics["n"] - found) / metrics["n"] * 100
-    result.quality_passed = gap <= pipeline.quality_threshold and not any(metrics[f"nulls_{c}"] for c in names)
+    verdicts = quality.checks_of_run(fixed | counts, names, pipeline.quality_threshold)
+    ws.write_log("quality", f"{run_file(pipeline.id, run_id)}.{file_name(table.source_table)}", [json.dumps(v) for v in verdicts])
+    result.quality_passed = all(v["passed"] for v in verdicts)
     target.compact_if_due()
     return result
 

@@ -70,3 +70,14 @@ def test_listings_are_sorted_by_kind(spark):
     df = spark.createDataFrame([(2, "b"), (10, "A"), (1, None), (3, "B")], "n int, s string").repartition(3)
     assert [r["n"] for r in runlog.sorted_listing(df, "n", True).collect()] == [10, 3, 2, 1]
     assert [r["s"] for r in runlog.sorted_listing(df, "s").collect()] == ["A", "B", "b", None]
+
+
+def test_log_rows_of_a_run_are_those_of_the_frame(spark):
+    import json
+
+    for n, loaded, folded, nulls in ((100, 90, 5, 3), (100, 5, 95, 0), (0, 0, 0, 0), (7, 6, 0, 1), (3, 2, 0, 0)):
+        counts = {"table_name": "t", "rows_extracted": n, "rows_loaded": loaded, "rows_folded": folded, "nulls_a": nulls, "nulls_b": 0}
+        frame = spark.createDataFrame([counts])
+        want = [json.loads(x) for x in quality.checks_of_counts(frame, ["a", "b"], 5.0).toJSON().collect()]
+        by_type = lambda rows: sorted(rows, key=lambda r: r["check_type"])
+        assert by_type(quality.checks_of_run(counts, ["a", "b"], 5.0)) == by_type(want)
