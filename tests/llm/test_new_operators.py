@@ -15,7 +15,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from oracle import compare, connect
 
-from ferrywork.llm import convtrie, extract, prefixhash, spelling, substring, urlfilter
+from ferrywork.llm import convtrie, extract, pii, prefixhash, spelling, substring, urlfilter
 from ferrywork.llm.queries import QUERIES, RULES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -371,3 +371,42 @@ def test_op2_first_document_of_very_many_anchors(spark, hot):
         gone[doc] = len({p for k, w in enumerate(windows) if w in seen for p in range(k, k + 13)})
         seen.update(windows)
     assert {d: n for d, _, n, _ in got} == gone and sum(gone.values()) > 1000
+
+
+def planted_personal_data(texts):
+    """Texts with secrets, account numbers and written-out addresses in them, and their places; and things that only look like them."""
+    rng = np.random.default_rng(21)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    secret = lambda: "".join(rng.choice(list("0123456789abcdef"), 40)) if rng.random() < 0.5 else "k7" + "".join(rng.choice(letters, 30))
+    digits = lambda n: "".join(rng.choice(list("123456789"), n))
+    name = lambda: "".join(rng.choice(list("abcdefghijklm"), 6))
+    rows, want = [], set()
+    for k, text in enumerate(texts):
+        words = text.split()[:120]
+        at = int(rng.integers(1, max(2, len(words))))
+        kind = ("secret", "account", "handle", "other", "none")[k % 5]
+        before, hit = {
+            "secret": lambda: (str(rng.choice(["token = \"", "password: ", "api key = ", "secret: "])), secret()),
+            "account": lambda: (str(rng.choice(["account ", "konto ", "compte ", "IBAN "])), digits(int(rng.integers(13, 18)))),
+            "handle": lambda: (str(rng.choice(["mail ", "contact ", "write "])), f"{name()} [at] {name()} [dot] org"),
+            "other": lambda: ("", str(rng.choice([f"/usr/share/{name()}/{name()}/{name()}2", digits(9), f"{name()}-{name()}-{name()}-{name()}-4"]))),
+            "none": lambda: ("", ""),
+        }[kind]()
+        head = " ".join(words[:at]) + " " + before
+        body = f"{head}{hit}{chr(34) if before.endswith(chr(34)) else ''} {' '.join(words[at:])}"
+        rows.append((k, body))
+        if kind in ("secret", "account", "handle"):
+            want.add((k, f"{kind}:{len(head)}:{len(head) + len(hit)}"))
+    return rows, want
+
+
+def test_op7_added_spans_on_planted_data(spark, capsys):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text NOT RLIKE '[0-9@]' AND n_chars > 100").orderBy("doc_id").limit(500).collect()]
+    rows, want = planted_personal_data(texts)
+    found = set()
+    for r in pii.pii_report(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found |= {(r.doc_id, s) for s in r.spans.split(",") if s.split(":")[0] in ("secret", "account", "handle")}
+    recall, precision = len(found & want) / len(want), len(found & want) / len(found)
+    with capsys.disabled():
+        print(f"op7 added spans: {len(want)} planted, recall {recall:.3f}, precision {precision:.3f}")
+    assert recall > 0.9 and precision > 0.9
