@@ -12,7 +12,7 @@
 The automata are not broadcast whole: the reference is the corpus itself, so shards and stretches are
 brought together by a shuffle, which grows with the repeated text alone.  Anchors found more than ``HOT`` times
 (a passage that a large part of the documents share) would all meet in one shard; their runs of windows are folded to
-distinct texts first, whose windows are compared by an aggregation, and the answers are joined back to the runs, which Spark can split.
+distinct texts first, within each row and then over all, whose windows are compared by an aggregation, and the answers are joined back to the rows, which Spark can split.
 """
 
 from __future__ import annotations
@@ -165,10 +165,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     named = source.where("doc_id IS NOT NULL")
     run = pa.schema([("anchor", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("windows", pa.int16())])
     seen = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64())])
-    stretch = pa.schema([("shard", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("words", pa.binary()), ("hot", pa.bool_())])
-    span = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("count", pa.int32())])
+    stretch = pa.schema([("shard", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("ats", pa.list_(pa.int32())), ("words", pa.binary()), ("hot", pa.bool_())])
+    span = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("spans", pa.list_(pa.struct([("at", pa.int32()), ("count", pa.int32())])))])
 
-    span_ddl = "row long, doc_id long, at int, count int"
+    span_ddl = "row long, doc_id long, spans array<struct<at: int, count: int>>"
 
     def marks(batches):
         for part in slices(batches):
@@ -193,11 +193,15 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
         for batch in batches:
             rows, size = [], 0
             for row, doc, blob, found in zip(*[batch.column(c).to_pylist() for c in ("row", "doc_id", "packed", "found")]):
-                words = unpack(blob).split()
+                words, hot_ats = unpack(blob).split(), {}
                 for shard, at, count, is_hot in _stretches(found):
                     part = b" ".join(words[at : at + count + window - 1])
-                    rows.append((shard, row, doc, at, part, is_hot))
+                    if is_hot:  # a text that the row repeats goes once, with all its places
+                        hot_ats.setdefault(part, []).append(at)
+                    else:
+                        rows.append((shard, row, doc, [at], part, False))
                     size += len(part)
+                rows += [(0, row, doc, ats, part, True) for part, ats in hot_ats.items()]
                 if size > 1 << 20:
                     yield rows_of(stretch, list(zip(*rows)))
                     rows, size = [], 0
@@ -217,9 +221,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     def held_before(batches):
         for batch in batches:
             rows = []
-            for row, doc, at, firsts in zip(*[batch.column(c).to_pylist() for c in ("row", "doc_id", "at", "firsts")]):
+            for row, doc, ats, firsts in zip(*[batch.column(c).to_pylist() for c in ("row", "doc_id", "ats", "firsts")]):
                 gone = np.array(sorted(f["k"] for f in firsts if f["first"] < doc), dtype=np.int64)
-                rows += [(row, doc, at + a, b - a + window - 1) for a, b in _runs(gone)]
+                if len(gone):
+                    rows.append((row, doc, _spans([(at + a, b - a + window - 1) for at in ats for a, b in _runs(gone)])))
             if rows:
                 yield rows_of(span, list(zip(*rows)))
 
@@ -227,10 +232,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
         shard, now = None, None
         for batch in batches:
             rows = []
-            for key, row, doc, at, text in zip(*[c.to_pylist() for c in batch.columns]):
+            for key, row, doc, ats, text in zip(*[c.to_pylist() for c in batch.columns]):
                 if key != now:
                     shard, now = Shard(window), key
-                rows += [(row, doc, at + a, n) for a, n in shard.spans(doc, text)]
+                found = [(ats[0] + a, n) for a, n in shard.spans(doc, text)]
+                if found:
+                    rows.append((row, doc, _spans(found)))
             if rows:
                 yield rows_of(span, list(zip(*rows)))
 
@@ -271,17 +278,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     found = placed.join(firsts, "anchor").groupBy("row", "doc_id").agg(F.collect_set(F.struct("at", "windows", "first", "hot")).alias("found"))
     packed = source.mapInArrow(released(compress), T.StructType([*T.StructType.fromDDL("row long, doc_id long, packed binary").fields, rest_field]))
     parts = packed.join(found, ["row", "doc_id"]).select("row", "doc_id", "packed", "found")
-    stretches = written(parts.mapInArrow(released(cut), "shard long, row long, doc_id long, at int, words binary, hot boolean"), "stretches")
-    cold = stretches.where("NOT hot").drop("hot").repartition("shard").sortWithinPartitions("shard", "doc_id", "row", "at")
+    stretches = written(parts.mapInArrow(released(cut), "shard long, row long, doc_id long, ats array<int>, words binary, hot boolean"), "stretches")
+    cold = stretches.where("NOT hot").drop("hot").repartition("shard").sortWithinPartitions("shard", "doc_id", "row", "ats")
     spans = cold.mapInArrow(released(match), span_ddl)
-    shared = stretches.where("hot").select("row", "doc_id", "at", "words")
+    shared = stretches.where("hot").select("row", "doc_id", "ats", "words")
     texts = shared.groupBy("words").agg(F.min("doc_id").alias("first"))
     each = texts.mapInArrow(released(windows_of), "words binary, k int, window binary, first long")
     earliest = each.groupBy("window").agg(F.min("first").alias("first"))
     firsts = each.drop("first").join(earliest, "window").groupBy("words").agg(F.collect_list(F.struct("k", "first")).alias("firsts"))
     again = shared.join(firsts, "words").mapInArrow(released(held_before), span_ddl)
     spans = written(spans.union(again), "spans")
-    removal = spans.groupBy("row", "doc_id").agg(F.collect_list(F.struct("at", "count")).alias("spans"))
+    removal = spans.groupBy("row", "doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     joined = packed.join(removal, ["row", "doc_id"], "left").select("row", "doc_id", "packed", "spans", "rest")
     done = joined.mapInArrow(released(remove), result)
     fields = {"doc_id": F.col("doc_id"), "text": F.col("text")} | {c: F.col(f"rest.`{c}`") for c in rest}
@@ -289,6 +296,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     return done.select(*[fields[c].cast(types[c]).alias(c) for c in kept_columns], "n_words", "n_removed")
 
 
+def _spans(found: list[tuple[int, int]]) -> list[dict]:
+    """Spans in order, with those that touch made one."""
+    out: list[dict] = []
+    for at, count in sorted(found):
+        if out and at <= out[-1]["at"] + out[-1]["count"]:
+            out[-1]["count"] = max(out[-1]["count"], at + count - out[-1]["at"])
+        else:
+            out.append({"at": at, "count": count})
+    return out
+
+
 def _pieces(n: int, size: int = 100_000):
     return [(k, min(k + size, n)) for k in range(0, n, size)]
 
