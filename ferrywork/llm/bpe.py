@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrywork.llm.frames import SLICE_BYTES, give_back, released, rows_of, slices
+from ferrywork.llm.frames import SLICE_BYTES, give_back, released, rows_of, slices, small_batches
 from ferrywork.llm.textcodes import distinct_pretokens, gathered
 
 BUCKET_BYTES, MOST_SLOTS = 8 << 20, 1 << 16
@@ -75,6 +75,7 @@ def encode(docs: DataFrame, ranks_path: str, bucket_bytes: int = BUCKET_BYTES) -
     A null or empty text has no ids.  Repeated rows are kept; a null ``doc_id`` stays null.  An empty table gives an
     empty result.  Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))

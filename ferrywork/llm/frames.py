@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ferrywork.session import scratch_path
 
 SLICE_BYTES = 1 << 19
+#: Rows of a batch of texts between Spark and its workers; Spark's own bound of 10,000 makes tens of megabytes on either side.
+ARROW_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have batches of at most ``ARROW_ROWS`` rows in this session; a smaller bound that is set stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    bound = int(spark.conf.get(key))
+    if bound <= 0 or bound > ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def give_back() -> None:
     """Return the memory that this process holds without need; workers live on after a task, and those of earlier stages add up."""
     gc.collect()

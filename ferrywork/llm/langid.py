@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrywork.llm.frames import released, rows_of, slices
+from ferrywork.llm.frames import released, rows_of, slices, small_batches
 from ferrywork.llm.textcodes import Words, gathered, run_hashes, utf8
 
 SAMPLE_DOCS, SAMPLE_CHARS, FEATURE_BITS, GRAMS, STEPS, CHUNK, SPLICE, UNKNOWN = 400, 20_000, 17, (1, 2, 3, 4), 40, 64, 40, "und"
@@ -223,6 +223,7 @@ def predict(docs: DataFrame, field: Field | None) -> DataFrame:
     The probabilities are shared out among the learned languages alone, so the score cannot tell a text in none of them.  ``familiar`` can: it is the
     mean share of a word's n-grams that the training sample had, in any language, over words with letters.  ``und`` with score 0 where the text is null or has no letter, or where nothing could be learned.  Repeated rows are kept, other columns stay.
     """
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "familiar")]
     source = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("rest"))
     result = T.StructType([source.schema["rest"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("familiar", T.DoubleType())])

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrywork.llm.frames import released, rows_of, slices
+from ferrywork.llm.frames import released, rows_of, slices, small_batches
 from ferrywork.llm.textcodes import distinct_pretokens, gathered
 
 WINDOW, END_ID, CACHED_WORDS = 2048, 1, 300_000
@@ -193,4 +193,5 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
             yield rows(found)
         ids_of.known.clear()
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(run), PIECE_DDL)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrywork.llm.components import Forest, components
-from ferrywork.llm.frames import released, rows_of, slices, written
+from ferrywork.llm.frames import released, rows_of, slices, small_batches, written
 from ferrywork.llm.textcodes import mixed
 
 SEED, SHINGLE, RADIUS, PIVOTS, DENSE = 42, 4, 4, 48, 4096
@@ -61,6 +61,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, fp`` (a signed long) for each row of ``docs``, and every column besides ``text`` and these that ``docs`` has."""
+    small_batches(docs.sparkSession)
     others = [c for c in docs.columns if c not in ("doc_id", "text", "fp")]
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`") for c in others])
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrywork.llm.frames import released, rows_of, slices, written
+from ferrywork.llm.frames import released, rows_of, slices, small_batches, written
 from ferrywork.llm.textcodes import Words, utf8
 
 WINDOW, GRAM, HOT, SHARD_RUNS = 13, 5, 5000, 200_000
@@ -155,6 +155,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     rows without ``doc_id`` lose nothing and remove nothing.  Rows of one ``doc_id`` do not count for each other.  Texts of any length are read whole; an
     empty table gives an empty result.  A row is known by its id and a 64-bit hash of its text, so only two texts of one id could be taken for each other.
     """
+    small_batches(docs.sparkSession)
     kept_columns = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     rest = [c for c in kept_columns if c not in ("doc_id", "text")]
     source = docs.select(
