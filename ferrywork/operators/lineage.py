@@ -47,9 +47,12 @@ def layered_tables(named: DataFrame) -> DataFrame:
     )
 
 
-def assets(pipelines: DataFrame, tables: DataFrame, sources: DataFrame, runs: DataFrame, stats: DataFrame) -> DataFrame:
+def assets(pipelines: DataFrame, tables: DataFrame, sources: DataFrame, runs: DataFrame, stats: DataFrame, by_source: bool = False) -> DataFrame:
     """Assets with status, rows, time and error of the pipeline's last run.
 
+    Figures are found under the asset's own name, or with ``by_source`` under that of its source table, where a run logs
+    the rows of all layers; raw assets have figures only then.
+
     The last run per pipeline is found first, so only its figures are joined.
     Both uses of it read the same columns, so the runs are shuffled once.
     """
@@ -64,7 +67,9 @@ def assets(pipelines: DataFrame, tables: DataFrame, sources: DataFrame, runs: Da
         F.col("duration_ms").alias("_duration"),
         F.col("error_message").alias("_error"),
     )
-    joined = layered_tables(named_tables(pipelines, tables, sources)).join(last, "pipeline_id", "left").join(figures, ["pipeline_id", "name"], "left")
+    logged = figures.withColumnRenamed("name", "_logged_as")
+    layered = layered_tables(named_tables(pipelines, tables, sources)).withColumn("_logged_as", F.col("source_table" if by_source else "name"))
+    joined = layered.join(last, "pipeline_id", "left").join(logged, ["pipeline_id", "_logged_as"], "left")
     zero = F.lit(0).cast("bigint")
     rows = (
         F.when(F.col("layer") == "source", F.col("rows_extracted"))

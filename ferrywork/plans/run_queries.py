@@ -302,6 +302,12 @@ def lineage_assets(spark, sf):
     return lineage.assets(*lineage_frames(spark, sf), view(spark, sf, "runs"), view(spark, sf, "run_table_stats"))
 
 
+@check("lineage_assets_by_source", _ASSETS.replace("st.table_name = a.name", "st.table_name = a.source_table"), _LINEAGE)
+def lineage_assets_by_source(spark, sf):
+    """The same with the figures of all layers logged under the source table, as a run logs them."""
+    return lineage.assets(*lineage_frames(spark, sf), view(spark, sf, "runs"), view(spark, sf, "run_table_stats"), by_source=True)
+
+
 @check("asset_status", f"SELECT layer, status, count(*) AS n FROM ({_ASSETS}) GROUP BY ALL", _LINEAGE)
 def asset_status(spark, sf):
     rows = lineage.assets(*lineage_frames(spark, sf), view(spark, sf, "runs"), view(spark, sf, "run_table_stats"))
