@@ -270,7 +270,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
 
     firsts = named.select("doc_id", "text").mapInArrow(released(marks), "anchor long, doc_id long")
     firsts = firsts.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("times"))
-    firsts = firsts.where("first < last").select("anchor", "first", "times", (F.col("times") > hot).alias("hot"))
+    # Written, as it is read twice and small beside what it comes from.
+    firsts = written(firsts.where("first < last").select("anchor", "first", "times", (F.col("times") > hot).alias("hot")), "anchors")
     loads = firsts.where("NOT hot").groupBy("first").agg(F.sum("times").alias("runs")).where(F.col("runs") > shard_runs)
     parts = loads.select("first", F.ceil(F.col("runs") / shard_runs).alias("parts"))
     own = F.when(F.col("parts").isNull() | F.col("hot"), F.col("first")).otherwise(F.xxhash64("first", F.pmod("anchor", F.col("parts"))))
