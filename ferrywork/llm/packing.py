@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrywork.llm.frames import released, rows_of, slices, small_batches
-from ferrywork.llm.textcodes import distinct_pretokens, gathered
+from ferrywork.llm.textcodes import PreTokens, distinct_pretokens, gathered, joined_codes
 
 WINDOW, END_ID, CACHED_WORDS = 2048, 1, 300_000
 PIECE = pa.schema([
@@ -28,22 +28,67 @@ PIECE = pa.schema([
 PIECE_DDL = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+# The sign by which a byte-level tokenizer writes each byte; a blank is none of them.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SIGNS = np.zeros(256, dtype="<u2")
+_SIGNS[_PRINTED] = _PRINTED
+_SIGNS[np.setdiff1d(np.arange(256), _PRINTED)] = 256 + np.arange(256 - len(_PRINTED))
+
+
+class Runs:
+    """Numbered runs of 32-bit values, one behind the other; the room for them doubles when it is full."""
+
+    def __init__(self, values: np.ndarray, counts: np.ndarray):
+        self.flat, self.ends, self.size = values, np.concatenate(([0], np.cumsum(counts, dtype=np.int64))), len(counts)
+
+    def add(self, values: np.ndarray, counts: np.ndarray) -> None:
+        used = self.ends[self.size]
+        self.flat = _with_room(self.flat, used + len(values))
+        self.flat[used : used + len(values)] = values
+        self.ends = _with_room(self.ends, self.size + 1 + len(counts))
+        self.ends[self.size + 1 : self.size + 1 + len(counts)] = used + np.cumsum(counts)
+        self.size += len(counts)
+
+    def where(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and length of these runs."""
+        begin = self.ends[numbers]
+        return begin, self.ends[numbers + 1] - begin
+
+    def only(self, numbers: np.ndarray) -> Runs:
+        begin, count = self.where(numbers)
+        return Runs(gathered(self.flat, begin, count), count)
+
+
+def _with_room(values: np.ndarray, size: int) -> np.ndarray:
+    if size <= len(values):
+        return values
+    return np.concatenate((values, np.zeros(max(size, 2 * len(values)) - len(values), dtype=values.dtype)))
+
+
 class WordEncoder:
-    """Ids of texts by the file of a byte-level tokenizer; each distinct pre-token is encoded once while it is kept."""
+    """Ids of texts by the file of a byte-level tokenizer; each distinct pre-token is encoded once while it is kept.
+
+    Known words are found by hash and compared code point by code point.  Where two words of equal hash differ, the texts at hand are encoded without them.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        # Words come already cut, so only their bytes are left to be mapped.
-        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        vocabulary = self.tokenizer.get_vocab()
+        whole = Tokenizer.from_file(path)
+        if whole.normalizer is not None:
+            raise ValueError("a tokenizer that changes a text before it is cut is not supported")
+        # Words come already cut and written in signs, so only the merges are left to be done.
+        self.tokenizer = Tokenizer(whole.model)
+        self.tokenizer.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        vocabulary = whole.get_vocab()
         self.id_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         self.id_bytes[list(vocabulary.values())] = [len(token) for token in vocabulary]  # one sign stands for one byte
-        self.known: dict[str, bytes] = {}
-        added = self.tokenizer.get_added_tokens_decoder()
+        nothing = np.zeros(0, dtype="<u4")
+        self.words, self.ids = Runs(nothing, nothing), Runs(nothing, nothing)
+        self.hash, self.number = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)  # ascending, and whose hash it is
+        self.again = np.zeros(0, dtype=bool)
+        added = whole.get_added_tokens_decoder()
         if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
             raise ValueError("added tokens that take white space or whole words only are not supported")
         self.added = {t.content: np.array([k], dtype="<u4") for k, t in added.items()}
@@ -51,17 +96,37 @@ class WordEncoder:
         longest = sorted(self.added, key=len, reverse=True)
         self.cut = re.compile(f"({'|'.join(map(re.escape, longest))})").split if longest else lambda text: [text]
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new words in one call; words end where the bytes of their ids do."""
-        found = self.tokenizer.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0]
-        ids = np.array(found.ids, dtype="<u4")
-        reached = np.cumsum(self.id_bytes[ids])
-        wanted = np.cumsum([len(w.encode()) for w in words])
-        last = np.searchsorted(reached, wanted)
-        if len(ids) != last[-1] + 1 or (reached[last] != wanted).any():
-            raise ValueError("the tokenizer is not byte-level: its ids do not spell the words")
-        raw, ends = ids.tobytes(), (4 * (last + 1)).tolist()
-        self.known.update((w, raw[a:b]) for w, a, b in zip(words, [0, *ends], ends))
+    def forget(self, room: int = 0) -> None:
+        """Keep only words met in more than one call since the last time; none, where ``room`` more would still be too many."""
+        numbers = np.flatnonzero(self.again)
+        if len(numbers) + room > CACHED_WORDS:
+            numbers = numbers[:0]
+        renamed = np.full(len(self.again), -1)
+        renamed[numbers] = np.arange(len(numbers))
+        renamed = renamed[self.number]
+        self.hash, self.number = self.hash[renamed >= 0], renamed[renamed >= 0]
+        self.words, self.ids = self.words.only(numbers), self.ids.only(numbers)
+        self.again = np.zeros(len(numbers), dtype=bool)
+
+    def _learn(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words that stand one behind the other, and how many each has; words end where the bytes of their ids do."""
+        flat, counts = [], []
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        for k in range(0, len(lengths), 1000):
+            bounds = ends[k : k + 1001]
+            part = codes[bounds[0] : bounds[-1]]
+            raw = np.frombuffer(part.tobytes().decode("utf-32-le").encode(), dtype=np.uint8)
+            size = 1 + (part >= 0x80).astype(np.int64) + (part >= 0x800) + (part >= 0x10000)
+            wanted = np.cumsum(size)[bounds[1:] - bounds[0] - 1]
+            signs = np.insert(_SIGNS[raw], wanted[:-1], ord(" ")).tobytes().decode("utf-16-le")
+            ids = np.array(self.tokenizer.encode_batch_fast([signs], add_special_tokens=False)[0].ids, dtype="<u4")
+            reached = np.cumsum(self.id_bytes[ids])
+            last = np.searchsorted(reached, wanted)
+            if len(ids) != last[-1] + 1 or (reached[last] != wanted).any():
+                raise ValueError("the tokenizer is not byte-level: its ids do not spell the words")
+            flat.append(ids)
+            counts.append(np.diff(last, prepend=-1))
+        return np.concatenate(flat), np.concatenate(counts)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; added tokens are cut out first and have ids of their own."""
@@ -69,20 +134,45 @@ class WordEncoder:
         plain = iter(self._plain([p for x in parts for p in x[::2]]))
         return [next(plain) if len(x) == 1 else np.concatenate([self.added[p] if k % 2 else next(plain) for k, p in enumerate(x)]) for x in parts]
 
+    def _numbers(self, cut: PreTokens) -> np.ndarray | None:
+        """Numbers of the distinct pre-tokens, new ones learned; nothing where a word differs from a known one of its hash."""
+        if len(self.again) + len(cut.hash) > CACHED_WORDS:
+            self.forget(len(cut.hash))
+        start, length = cut.start[cut.index], cut.length[cut.index]
+        at = np.searchsorted(self.hash, cut.hash)
+        known = np.zeros(len(at), dtype=bool)
+        inside = at < len(self.hash)
+        known[inside] = self.hash[at[inside]] == cut.hash[inside]
+        numbers = np.empty(len(at), dtype=np.int64)
+        numbers[known] = old = self.number[at[known]]
+        begin, count = self.words.where(old)
+        if (count != length[known]).any() or (gathered(self.words.flat, begin, count) != gathered(cut.codes, start[known], count)).any():
+            return None
+        self.again[old] = True
+        new = ~known
+        if new.any():
+            codes = gathered(cut.codes, start[new], length[new])
+            ids, counts = self._learn(codes, length[new])
+            numbers[new] = own = len(self.again) + np.arange(len(counts))
+            self.words.add(codes, length[new])
+            self.ids.add(ids, counts)
+            self.again = np.append(self.again, np.zeros(len(counts), dtype=bool))
+            self.hash, self.number = np.insert(self.hash, at[new], cut.hash[new]), np.insert(self.number, at[new], own)
+        return numbers
+
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
-        words, number, first = distinct_pretokens(texts)
-        known = self.known
-        if len(known) + len(words) > CACHED_WORDS:
-            known.clear()
-        new = [w for w in words if w not in known]
-        for k in range(0, len(new), 1000):
-            self._learn(new[k : k + 1000])
-        ids = [known[w] for w in words]
-        count = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-        start = np.cumsum(count) - count
-        flat = np.frombuffer(b"".join(ids), dtype="<u4")
-        found = gathered(flat, start[number], count[number])
-        ends = np.concatenate(([0], np.cumsum(count[number])))[first]
+        cut = PreTokens(texts)
+        number, first, runs = cut.number, cut.first, self.ids
+        numbers = self._numbers(cut) if cut.same and len(cut.hash) else None
+        if numbers is not None:
+            number, runs = numbers[number], self.ids
+        elif len(cut.hash):
+            words, number, first = distinct_pretokens(texts)
+            codes, offsets = joined_codes(words)
+            runs = Runs(*self._learn(codes, np.diff(offsets)))
+        begin, count = runs.where(number)
+        found = gathered(runs.flat, begin, count)
+        ends = np.concatenate(([0], np.cumsum(count)))[first]
         return [found[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
@@ -107,12 +197,15 @@ class Packer:
     def level_for(self, size: int) -> int:
         """Fill level whose choice leaves the smallest sum of squares; the fullest one on ties, 0 for a new window."""
         count, top = self.count, self.window - size
+        levels = np.flatnonzero(count[1 : top + 1]) + 1
+        if not len(levels):
+            return 0
         # Taking a window from level h and putting it on h + size changes the sum by 2 (N[h + size] - N[h] + 1).
-        change = 2 * (count[size : self.window + 1] - count[: top + 1] + 1)
-        change[top] = 1 - 2 * count[top]  # a full window is counted no more
-        change[0] = 2 * count[size] + 1 if top else 0
-        change[(count[: top + 1] == 0) & (np.arange(top + 1) > 0)] = np.iinfo(np.int64).max
-        return top - int(np.argmin(change[::-1]))
+        change = 2 * (count[levels + size] - count[levels] + 1)
+        if levels[-1] == top:
+            change[-1] = 1 - 2 * count[top]  # a full window is counted no more
+        best = len(levels) - 1 - int(np.argmin(change[::-1]))
+        return int(levels[best]) if change[best] <= 2 * count[size] + 1 else 0
 
     def add(self, doc, ids: np.ndarray):
         size, at = len(ids), 0
@@ -191,7 +284,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
         found = list(packer.close())
         if found:
             yield rows(found)
-        ids_of.known.clear()
+        ids_of.forget()  # what was met again is left for the next task
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(run), PIECE_DDL)

@@ -153,24 +153,37 @@ def joined_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32), offsets
 
 
+class PreTokens:
+    """The pre-tokens of many texts: ``start`` and ``length`` in ``codes``, and ``first[i]:first[i + 1]`` for text ``i``.
+
+    ``hash`` and ``index`` are the distinct hashes, ascending, and a pre-token that stands for each; ``number`` is each pre-token's place among them.
+    ``same`` tells whether all pre-tokens of equal hash are equal, which is found by comparing them.
+    """
+
+    def __init__(self, texts: list[str]):
+        self.codes, offsets = joined_codes(texts)
+        self.start = pretokens(self.codes, offsets)
+        self.length = np.diff(self.start, append=len(self.codes))
+        self.first = np.searchsorted(self.start, offsets)
+        hashes = run_hashes(self.codes, self.start, self.start + self.length, _BYTE_BASE)
+        self.hash, self.index, self.number = np.unique(hashes, return_index=True, return_inverse=True)
+        self.same = same_runs(self.codes, self.start, self.length, self.index[self.number])
+
+
 def distinct_pretokens(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct pre-tokens, the number of each pre-token in reading order, and where each text begins in it.
 
     Pre-tokens are sorted out by hash, then each is compared with the one that stands for it; if any differs, all are told apart by their text.
     """
-    codes, offsets = joined_codes(texts)
-    starts = pretokens(codes, offsets)
-    lengths = np.diff(starts, append=len(codes))
-    _, index, inverse = np.unique(run_hashes(codes, starts, starts + lengths, _BYTE_BASE), return_index=True, return_inverse=True)
+    cut = PreTokens(texts)
     whole = "".join(texts)
-    first = np.searchsorted(starts, offsets)
-    if same_runs(codes, starts, lengths, index[inverse]):
-        words = [whole[a : a + n] for a, n in zip(starts[index].tolist(), lengths[index].tolist())]
-        return words, inverse, first
+    if cut.same:
+        words = [whole[a : a + n] for a, n in zip(cut.start[cut.index].tolist(), cut.length[cut.index].tolist())]
+        return words, cut.number, cut.first
     numbers: dict[str, int] = {}
-    own = (whole[a : a + n] for a, n in zip(starts.tolist(), lengths.tolist()))
-    inverse = np.fromiter((numbers.setdefault(word, len(numbers)) for word in own), dtype=np.int64, count=len(starts))
-    return list(numbers), inverse, first
+    own = (whole[a : a + n] for a, n in zip(cut.start.tolist(), cut.length.tolist()))
+    inverse = np.fromiter((numbers.setdefault(word, len(numbers)) for word in own), dtype=np.int64, count=len(cut.start))
+    return list(numbers), inverse, cut.first
 
 
 def same_runs(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, like: np.ndarray) -> bool:

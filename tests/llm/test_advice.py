@@ -102,3 +102,37 @@ def test_op4_added_tokens_have_their_own_ids(spark):
     for p in pieces:
         found[p.doc_id] = found.get(p.doc_id, b"") + bytes(p.ids)
     assert found == {k: np.array([*library.encode(t, add_special_tokens=False).ids, 1], dtype="<u4").tobytes() for k, t in rows}
+
+
+def test_op4_words_in_use_are_encoded_once(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    monkeypatch.setattr(packing, "CACHED_WORDS", 100)
+    ids_of, learned = packing.WordEncoder(path), []
+    learn = ids_of._learn
+    monkeypatch.setattr(ids_of, "_learn", lambda *words: learned.append(len(words[-1])) or learn(*words))
+    common = [f"é{chr(97 + k)}" for k in range(20)]
+    for call in range(30):
+        own = [f"x{chr(97 + call % 26)}{chr(65 + call // 26)}{chr(97 + k)}" for k in range(15)]
+        texts = ["\n".join(common), "\n".join(own)]
+        assert [x.tolist() for x in ids_of(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    # The 20, the line break and the 15 of each call; before, the common words were encoded again whenever the cache was full.
+    assert sum(learned) == 21 + 30 * 15
+
+
+@pytest.mark.parametrize("room", [0, 12, 300_000])
+def test_op4_ids_do_not_depend_on_what_is_known(monkeypatch, room):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    monkeypatch.setattr(packing, "CACHED_WORDS", room)
+    ids_of = packing.WordEncoder(path)
+    rng = np.random.default_rng(5)
+    signs = ["a", "ab", " the", "'ll", " ", "  ", "\n", "1", "!", "é", "ÿ", "　", "漢", "😀", "\x00", "\U0010ffff", "Ġ", "<|endoftext|>"]
+    # Words of equal hash, within a call and from one call to the next.
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    calls = [["".join(rng.choice(signs, rng.integers(0, 12))) for _ in range(3)] for _ in range(150)]
+    calls += [[word], [other, "a"], [word, other], [], [""], [word], ["".join(map(chr, range(1, 0x3000)))]]
+    for texts in calls:
+        assert [x.tolist() for x in ids_of(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        ids_of.forget() if rng.random() < 0.1 else None
